@@ -83,7 +83,7 @@ def runs(hashes: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     out = np.zeros(len(hashes) - n + 1, dtype=np.uint64)
     for k in range(n):
-        out = mix(out + _U(0x9E3779B97F4A7C15) * _U(k + 1)) + hashes[k : k + len(out)]
+        out = mix(out + _U(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) + hashes[k : k + len(out)]
     return mix(out)
 
 
