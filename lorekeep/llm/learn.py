@@ -110,15 +110,15 @@ def out_of_fold(x: np.ndarray, y: np.ndarray, fold: np.ndarray, **how) -> np.nda
     return out
 
 
-def chosen_words(owner: np.ndarray, bucket: np.ndarray, y: np.ndarray, most: int, least_texts: int = 3) -> np.ndarray:
-    """The buckets whose rate differs most between the classes, in standard deviations; sorted."""
+def chosen_words(owner: np.ndarray, bucket: np.ndarray, y: np.ndarray, most: int, least_texts: int = 3, least_score: float = 4.0) -> np.ndarray:
+    """The buckets whose rate differs most between the classes, by least_score standard deviations at least; sorted."""
     names, inverse, held = np.unique(bucket, return_inverse=True, return_counts=True)
     hits = np.bincount(inverse, weights=y[owner], minlength=len(names)) if len(names) else np.zeros(0)
     rate = y.mean() if len(y) else 0.0
     spread = np.sqrt(np.maximum(held * rate * (1 - rate), 1e-9))
     score = np.where(held >= least_texts, np.abs(hits - held * rate) / spread, 0.0)
     best = np.argsort(-score, kind="stable")[:most]
-    return np.sort(names[best[score[best] > 0]])
+    return np.sort(names[best[score[best] >= least_score]])
 
 
 def presence(owner: np.ndarray, bucket: np.ndarray, n_texts: int, columns: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, lines, minhash, quality, toxicity
+from . import bpe, decontaminate, licenses, lines, minhash, quality, suffix, toxicity
 from .base import table
 
 
@@ -20,6 +20,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.clean_pages(table(spark, sf_dir, "pages")).drop("text")
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(suffix.without_repeats(table(spark, sf_dir, "documents")))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,6 +48,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_line_dedup": op2_line_dedup,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_decontamination": op4_decontamination,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_quality": op7_quality,
