@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .base import parts_for, text_bytes
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 _U = np.uint64
 
 
@@ -28,7 +28,7 @@ class Layout:
 
     def __init__(self, n_bytes: int):
         self.shards = parts_for(n_bytes, SHARD_BYTES, least=12)
-        self.buckets = max(12, self.shards // 4)
+        self.buckets = max(12, self.shards // 2)
 
     def bucket_of(self, keys: np.ndarray) -> np.ndarray:
         return ((keys >> _U(32)) % _U(self.buckets)).astype(np.int64)

@@ -33,7 +33,7 @@ from .words import mix, powers
 LENGTH = 50
 GRAM = 26
 #: Texts are hashed so many bytes at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _U = np.uint64
 _VALUE = mix(np.arange(256, dtype=np.uint64) + _U(12345)) | _U(1)
 
@@ -45,13 +45,15 @@ def join_texts(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_hashes(blob: np.ndarray, n: int) -> np.ndarray:
-    """64-bit hash of the n bytes from each place on."""
-    if len(blob) < n:
-        return np.zeros(0, dtype=np.uint64)
-    up, down = powers(len(blob) + 1)
-    total = np.zeros(len(blob) + 1, dtype=np.uint64)
-    np.cumsum(_VALUE[blob] * up[: len(blob)], out=total[1:])
-    return mix((total[n:] - total[:-n]) * down[: len(blob) - n + 1])
+    """64-bit hash of the n bytes from each place on, worked out PIECE places at a time."""
+    out = np.zeros(max(0, len(blob) - n + 1), dtype=np.uint64)
+    for at in range(0, len(out), PIECE):
+        part = blob[at : at + PIECE + n - 1]
+        up, down = powers(len(part) + 1)
+        total = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(_VALUE[part] * up[: len(part)], out=total[1:])
+        out[at : at + PIECE] = mix((total[n:] - total[:-n]) * down[: len(part) - n + 1])
+    return out
 
 
 def minimizers(blob: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
