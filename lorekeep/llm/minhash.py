@@ -6,9 +6,10 @@ non-empty one by optimal densification (a hash of bin and attempt picks the lend
 make a band; documents that agree on a band share a bucket. Equal sets are first folded into
 one representative, whatever their number. Each bucket then offers star-shaped edges, centre to
 member, with the centre drawn anew for each bucket; the edges are confirmed on the full sets.
-After components of the confirmed edges, the pairs that share a bucket but whose components
-differ, and no star tested, are confirmed as well: so every colliding pair is either tested or
-already joined, while a bucket of one large group costs no more than its star.
+After components of the confirmed edges, the buckets whose members still lie in several
+components are gathered into groups, and all pairs of a group are compared block by block: so
+every colliding pair is either tested or already joined, while a bucket that its star joins
+costs no more than that.
 
 At a similarity of 0.85 a pair shares no bucket with probability (1 - 0.85^8)^36, about 1e-5;
 for exact copies never. Defined results: null or wordless text has an empty set, is linked with
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import checkpointed, pieces, texts
+from .blocks import similar_inside
 from .graph import components
 from .words import SPACED, Words, mix, shingles
 
@@ -149,6 +151,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     return joined.mapInArrow(test, "a long, b long")
 
 
+def unresolved(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Edges (a, b) from the centre to each member of the buckets (key, id, centre, members) whose members lie in several components."""
+    grouped = shared.filter("members > 2").join(found, "id", "left").select("key", "id", "centre", F.coalesce("component", "id").alias("component"))
+    mixed = grouped.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
+    return grouped.join(mixed, "key").filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+
+
 def near_groups(documents: DataFrame, n: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each document: linked from percent similarity on."""
     docs = texts(documents).filter("doc_id IS NOT NULL")
@@ -171,18 +180,12 @@ def near_groups(documents: DataFrame, n: int, percent: int) -> DataFrame:
     edges = checkpointed(confirmed(star, docs, n, percent))
     found = checkpointed(components(edges))
 
-    grouped = shared.filter("members > 2").join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    sizes = grouped.groupBy("key", "component").agg(F.count("*").alias("k"))
-    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("groups")).filter("groups > 1")
-    open_ = checkpointed(grouped.join(largest, "key").select("key", "id", "n", "component", "largest"))
-    other = open_.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    rest = open_.filter("component <> largest").join(other, "key").filter((F.col("component") != F.col("component2")) & fits(F.col("n"), F.col("n2")))
-    rest = rest.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    rest = checkpointed(rest)
-    if rest.limit(1).count():
-        more = checkpointed(confirmed(rest, docs, n, percent))
-        if more.limit(1).count():
-            found = checkpointed(components(edges.union(more)))
+    open_ = checkpointed(unresolved(shared, found))
+    if open_.limit(1).count():
+        groups = components(open_).withColumnRenamed("component", "grp")
+        sets = shingle_sets(docs.join(groups, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), n)
+        more = checkpointed(similar_inside(groups.join(sets, "id"), percent))
+        found = checkpointed(components(edges.union(more)))
 
     # Both sides are plain tables dealt by representative, so that a hot one is split at run time.
     linked = folded.join(found.withColumnRenamed("id", "rep"), "rep", "left")
