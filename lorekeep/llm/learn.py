@@ -27,6 +27,24 @@ def word_features(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return distinct(words.text_of(), (words.hash >> _U(64 - BITS)).astype(np.int64))
 
 
+def portions(raws: list[bytes], limit: int = 1 << 20):
+    """(first row, texts) of runs of up to limit bytes, so that no array spans a whole sample."""
+    first, size = 0, 0
+    for i, raw in enumerate(raws):
+        size += len(raw) + 1
+        if size >= limit or i == len(raws) - 1:
+            yield first, raws[first : i + 1]
+            first, size = i + 1, 0
+
+
+def sample_features(raws: list[bytes], kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """word_features of a whole sample."""
+    found = [(first, *word_features(Words(part, kind))) for first, part in portions(raws)]
+    if not found:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return np.concatenate([first + o for first, o, _ in found]), np.concatenate([b for _, _, b in found])
+
+
 def text_stats(raws: list[bytes]) -> np.ndarray:
     """A row of STATS for each text."""
     words = Words(raws, SPACED)

@@ -26,7 +26,7 @@ from . import learn
 from .base import pieces, texts
 from .words import ALNUM, Words
 
-SAMPLE = 6000
+SAMPLE = 4000
 WORDS = 256
 FOLDS = 5
 CATEGORIES = ("insult", "contempt", "pile_on", "toxic")
@@ -82,12 +82,12 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 def train(rows: list[tuple[int, bytes, int]]) -> Chain:
     rows = sorted(rows)
-    words = Words([r[1] for r in rows], ALNUM)
+    raws = [r[1] for r in rows]
     toxic = np.array([float(r[2] > 0) for r in rows])
-    owner, bucket = learn.word_features(words)
+    owner, bucket = learn.sample_features(raws, ALNUM)
     columns = learn.chosen_words(owner, bucket, toxic, WORDS)
     x = learn.presence(owner, bucket, len(rows), columns)
-    y = weak_labels(words, toxic)
+    y = np.vstack([weak_labels(Words(part, ALNUM), toxic[first : first + len(part)]) for first, part in learn.portions(raws)] or [np.zeros((0, len(CATEGORIES)))])
     fold = learn.folds(np.array([r[0] for r in rows], dtype=np.int64), FOLDS)
     models, earlier = [], []
     for k in range(len(CATEGORIES)):
