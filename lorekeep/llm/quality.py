@@ -29,8 +29,8 @@ from . import learn
 from .base import pieces
 from .words import SPACED, Words, mix
 
-SAMPLE = 5000
-POOL = 3000
+SAMPLE = 4000
+POOL = 2000
 WORDS = 128
 META_BITS = 8
 ROUNDS = 3
@@ -70,6 +70,9 @@ class CoModel:
     def text_features(self, raws: list[bytes]) -> np.ndarray:
         return np.column_stack([learn.text_stats(raws), learn.presence(*learn.word_features(Words(raws, SPACED)), len(raws), self.columns)])
 
+    def sample_features(self, raws: list[bytes]) -> np.ndarray:
+        return np.vstack([np.zeros((0, len(learn.STATS) + len(self.columns))), *(self.text_features(part) for _, part in learn.portions(raws))])
+
     def combine(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
         return self.both.predict(np.column_stack([text, meta]))
 
@@ -84,9 +87,9 @@ def train(labelled: list[tuple], pool: list[tuple]) -> CoModel:
     labelled, pool = sorted(labelled, key=lambda r: r[0]), sorted(pool, key=lambda r: r[0])
     y = np.array([float(r[5] > 0) for r in labelled])
     raws = [r[1] for r in labelled]
-    model = CoModel(learn.chosen_words(*learn.word_features(Words(raws, SPACED)), y, WORDS), None, None, None, 0.5)
-    view = {"text": model.text_features(raws), "meta": meta_features(*([r[i] for r in labelled] for i in (2, 3, 4)))}
-    free = {"text": model.text_features([r[1] for r in pool]), "meta": meta_features(*([r[i] for r in pool] for i in (2, 3, 4)))}
+    model = CoModel(learn.chosen_words(*learn.sample_features(raws, SPACED), y, WORDS), None, None, None, 0.5)
+    view = {"text": model.sample_features(raws), "meta": meta_features(*([r[i] for r in labelled] for i in (2, 3, 4)))}
+    free = {"text": model.sample_features([r[1] for r in pool]), "meta": meta_features(*([r[i] for r in pool] for i in (2, 3, 4)))}
     added: dict[str, tuple[np.ndarray, np.ndarray]] = {v: (np.zeros(0, dtype=int), np.zeros(0)) for v in view}
     fitted = {}
     for r in range(ROUNDS + 1):
