@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, lines, minhash, neighbours, quality, suffix, toxicity
+from . import bpe, decontaminate, licenses, lines, minhash, neighbours, passages, quality, suffix, toxicity
 from .base import table
 
 
@@ -28,6 +28,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.digests(passages.without_repeats(table(spark, sf_dir, "documents")))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"), n=3, percent=85)
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_decontamination": op4_decontamination,
+    "op5_paragraph_dedup": op5_paragraph_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
