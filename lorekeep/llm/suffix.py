@@ -77,24 +77,29 @@ def minimizers(blob: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.n
 
 def first_eight(blob: np.ndarray) -> np.ndarray:
     """The 8 bytes from each place on as one big-endian number, NULs past the end."""
-    padded = np.concatenate((blob, np.zeros(8, np.uint8)))
-    out = np.zeros(len(blob), dtype=np.uint64)
+    whole = -(-len(blob) // 8) * 8
+    padded = np.concatenate((blob, np.zeros(whole + 8 - len(blob), np.uint8)))
+    out = np.empty(whole, dtype=np.uint64)
     for k in range(8):
-        out = (out << _U(8)) | padded[k : k + len(blob)]
-    return out
+        out[k::8] = padded[k : k + whole].view(">u8")
+    return out[: len(blob)]
 
 
-def suffix_order(blob: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(blob: np.ndarray, words: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(order, rank): the suffixes at starts (sorted) by their first `length` bytes; equal ones share a rank.
 
+    words: first_eight(blob).
+
     Larsson-Sadakane: refinement by the rank `depth` bytes further on needs that place's rank,
     so every place up to length - 8 past a start is ranked along.
     """
-    wanted = np.zeros(len(blob) + 1, dtype=np.int32)
-    np.add.at(wanted, starts, 1)
-    np.add.at(wanted, np.minimum(starts + length - 7, len(blob)), -1)
-    place = np.flatnonzero(np.cumsum(wanted[:-1]) > 0)
-    head = first_eight(blob)[place]
+    first, n = runs_of(starts)
+    stop = np.minimum(starts[first] + n - 1 + length - 7, len(blob))
+    open_ = np.zeros(len(blob) + 1, dtype=np.int32)
+    open_[starts[first]] = 1
+    open_ -= np.bincount(stop, minlength=len(blob) + 1).astype(np.int32)
+    place = np.flatnonzero(np.cumsum(open_[:-1]) > 0)
+    head = words[place]
     order = np.argsort(head)
     rank = np.empty(len(place), dtype=np.int64)
     new = np.ones(len(place), dtype=bool)
@@ -130,7 +135,7 @@ def suffix_order(blob: np.ndarray, starts: np.ndarray, length: int = LENGTH) ->
     return place[order], rank[order]
 
 
-def common_prefixes(blob: np.ndarray, order: np.ndarray, cap: int = LENGTH) -> np.ndarray:
+def common_prefixes(words: np.ndarray, order: np.ndarray, cap: int = LENGTH) -> np.ndarray:
     """Bytes that each suffix in order shares with the one before, at most cap (0 for the first).
 
     Kasai's recurrence, in the order of the text: the suffix one byte on shares one byte fewer at
@@ -141,9 +146,9 @@ def common_prefixes(blob: np.ndarray, order: np.ndarray, cap: int = LENGTH) -> n
     out = np.zeros(n, dtype=np.int64)
     if n < 2:
         return out
-    padded = np.concatenate((blob, np.zeros(cap + 8, np.uint8)))
-    words = first_eight(padded)
-    present = np.zeros(len(blob) + 1, dtype=bool)
+    size = len(words)
+    words = np.concatenate((words, np.zeros(cap + 8, np.uint64)))
+    present = np.zeros(size + 1, dtype=bool)
     present[order] = True
     by_text = np.argsort(order, kind="stable")  # places in `order`, by start
     before = np.empty(n, dtype=np.int64)
@@ -178,22 +183,32 @@ def common_prefixes(blob: np.ndarray, order: np.ndarray, cap: int = LENGTH) -> n
     return out
 
 
-def window_keys(raws: list[bytes]) -> np.ndarray:
-    """minimizers() of join_texts(raws), worked out a few texts at a time."""
-    out = np.zeros(sum(map(len, raws)) + len(raws), dtype=np.uint64)
+def minimizer_runs(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, minimizer) of the runs of strings of one text with one minimizer, over join_texts(raws)."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     at, first, size = 0, 0, 0
     for i, raw in enumerate(raws):
         size += len(raw) + 1
         if size >= PIECE or i == len(raws) - 1:
-            own = minimizers(join_texts(raws[first : i + 1])[0])
-            out[at : at + len(own)] = own
+            low = minimizers(join_texts(raws[first : i + 1])[0])
+            if len(low):
+                start = np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1))
+                n = np.diff(np.append(start, len(low)))
+                real = low[start] > 0
+                found.append((at + start[real], n[real], low[start][real]))
             at, first, size = at + size, i + 1, 0
-    return out
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def shard_keys(ids: np.ndarray, raws: list[bytes]) -> np.ndarray:
-    keys = np.unique(window_keys(raws))
-    return keys[keys > 0]
+    return np.unique(minimizer_runs(raws)[2])
+
+
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All places of the runs."""
+    return np.repeat(start - np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else start, n) + np.arange(int(n.sum()))
 
 
 def runs_of(places: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,21 +231,19 @@ _SPANS = pa.schema([("shard", pa.int32()), ("spans", pa.binary())])
 def shard_strings(shard: int, ids: np.ndarray, raws: list[bytes], layout: Layout, mark_rows: pa.Table) -> pa.Table:
     """What a shard's suffix array decides by itself (bucket -1) and what its buckets must decide."""
     blob, begin = join_texts(raws)
-    low = window_keys(raws)
-    keys = np.unique(low)
-    keys = keys[keys > 0]
+    start, n, low = minimizer_runs(raws)
+    keys, key = np.unique(low, return_inverse=True)
     elsewhere = marked(layout, keys, mark_rows)
-    valid = np.flatnonzero(low)
-    key = np.searchsorted(keys, low[valid])
-    text = np.searchsorted(begin, valid, "right") - 1
-    first, _ = runs_of(valid, key, text)
-    pairs = np.unique(key[first] * len(raws) + text[first]) if len(first) else np.zeros(0, np.int64)
+    text = np.searchsorted(begin, start, "right") - 1
+    pairs = np.unique(key * len(raws) + text)
     here = np.bincount(pairs // max(1, len(raws)), minlength=len(keys)) > 1
     chosen = (elsewhere | here)[key] if len(keys) else np.zeros(0, bool)
-    valid, key, text = valid[chosen], key[chosen], text[chosen]
+    start, n, key, text = start[chosen], n[chosen], key[chosen], text[chosen]
+    valid, key, text = spread(start, n), np.repeat(key, n), np.repeat(text, n)
 
-    order, _ = suffix_order(blob, valid)
-    new = common_prefixes(blob, order) < LENGTH
+    words = first_eight(blob)
+    order, _ = suffix_order(blob, words, valid)
+    new = common_prefixes(words, order) < LENGTH
     group = np.cumsum(new) - 1
     owner = ids[np.searchsorted(begin, order, "right") - 1]
     least = np.minimum.reduceat(owner, np.flatnonzero(new)) if len(order) else owner

@@ -48,7 +48,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, (n - 1).bit_length())
+    size = 1 << max(19, (n - 1).bit_length())
     return _powers(size)
 
 
