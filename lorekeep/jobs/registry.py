@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import queries as q
+from . import sql
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in q.ALL}
+ORACLE_SQL = {name: text for name, text in sql.SQL.items() if name in QUERIES}
