@@ -5,7 +5,8 @@ hashed into BANDS * ROWS bins, each keeping its least value; an empty bin borrow
 non-empty one by optimal densification (a hash of bin and attempt picks the lender). ROWS bins
 make a band; documents that agree on a band share a bucket. Equal sets are first folded into
 one representative, whatever their number. Each bucket then offers star-shaped edges, centre to
-member, with the centre drawn anew for each bucket; the edges are confirmed on the full sets.
+member, with its smallest id as centre, so that a group's buckets mostly offer the same edges;
+the edges are confirmed on the full sets.
 After components of the confirmed edges, the buckets whose members still lie in several
 components are gathered into groups, and all pairs of a group are compared block by block: so
 every colliding pair is either tested or already joined, while a bucket that its star joins
@@ -172,7 +173,7 @@ def near_groups(documents: DataFrame, n: int, percent: int) -> DataFrame:
     folded = checkpointed(folded.select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")))
 
     bands = folded.filter("keys IS NOT NULL").select(F.col("rep").alias("id"), "n", F.explode("keys").alias("key"))
-    centres = bands.groupBy("key").agg(F.min_by("id", F.xxhash64("id", "key")).alias("centre"), F.min_by("n", F.xxhash64("id", "key")).alias("centre_n"), F.count("*").alias("members")).filter("members > 1")
+    centres = bands.groupBy("key").agg(F.min("id").alias("centre"), F.min_by("n", "id").alias("centre_n"), F.count("*").alias("members")).filter("members > 1")
     shared = checkpointed(bands.join(centres, "key"))
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     star = shared.filter((F.col("id") != F.col("centre")) & fits(F.col("n"), F.col("centre_n")))
