@@ -155,7 +155,7 @@ def text_components(found: DataFrame, percent: int) -> DataFrame:
     """(name, component) of the texts that are similar to another text."""
     sets = checkpointed(found.groupBy("name").agg(F.first("grams").alias("grams"), F.first("keys").alias("keys"), F.count("*").alias("copies")))
     bands = sets.select("name", F.explode("keys").alias("key"))
-    centres = bands.groupBy("key").agg(F.min_by("name", F.xxhash64("name", "key")).alias("centre"), F.count("*").alias("members")).filter("members > 1")
+    centres = bands.groupBy("key").agg(F.min("name").alias("centre"), F.count("*").alias("members")).filter("members > 1")
     shared = checkpointed(bands.join(centres, "key"))
     star = checkpointed(shared.filter("name <> centre").select(F.least("name", "centre").alias("a"), F.greatest("name", "centre").alias("b")).distinct())
     edges = checkpointed(similar(star, sets, percent))
