@@ -156,4 +156,4 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents, with all their columns, that hold no window of any item."""
     bad = contamination(documents, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return documents.join(bad, F.col("doc_id") == F.col("bad_id"), "left_anti")
+    return documents.join(bad, documents["doc_id"] == bad["bad_id"], "left_anti")

@@ -15,7 +15,8 @@ costs no more than that.
 At a similarity of 0.85 a pair shares no bucket with probability (1 - 0.85^8)^36, about 1e-5;
 for exact copies never. Defined results: null or wordless text has an empty set, is linked with
 nothing and kept; a text of fewer words than a shingle has its whole sequence as one; a repeated
-doc_id gives repeated rows of one component; other columns are ignored.
+doc_id gives repeated rows of one component; rows with a null doc_id are left out; other columns
+are ignored.
 """
 
 from __future__ import annotations

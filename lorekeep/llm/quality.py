@@ -154,4 +154,4 @@ def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, with all their columns, that the classifier doesn't reject."""
     rejected = classify(documents, labels).filter("NOT keep").select(F.col("doc_id").alias("rejected_id")).distinct()
-    return documents.join(rejected, F.col("doc_id") == F.col("rejected_id"), "left_anti")
+    return documents.join(rejected, documents["doc_id"] == rejected["rejected_id"], "left_anti")

@@ -8,7 +8,7 @@ a toxic document with a word of the category's list, or with several.
 
 The models are fitted on SAMPLE labelled rows at most (the least by a hash of doc_id); every
 document is scored on its whole text. Defined results: null or wordless text has probability 0
-and isn't toxic; with no labels or one class alone every probability is the base rate; a doc_id
+and isn't toxic; with no labels or one class alone every probability is the base rate and nothing is called toxic; a doc_id
 with several labels counts once, with the largest; other columns are ignored.
 """
 
@@ -94,7 +94,7 @@ def train(rows: list[tuple[int, bytes, int]]) -> Chain:
         features = np.column_stack([x, *earlier])
         models.append(learn.fit(features, y[:, k], standardise=False))
         earlier.append(learn.out_of_fold(features, y[:, k], fold, standardise=False))
-    return Chain(columns, models, best_threshold(earlier[-1], toxic) if len(rows) else 0.5)
+    return Chain(columns, models, best_threshold(earlier[-1], toxic) if 0 < toxic.sum() < len(rows) else 2.0)
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), *((f"p_{c}", pa.float64()) for c in CATEGORIES), ("toxic", pa.bool_())])
