@@ -92,6 +92,23 @@ _ROWS = pa.schema([("shard", pa.int32()), ("doc", pa.int32()), ("doc_id", pa.int
 _ROWS_SQL = "shard int, doc int, doc_id long, start int, end int, name long, grams binary, keys array<long>"
 
 
+def apart(key: np.ndarray, text: np.ndarray, word: np.ndarray, n_keys: int) -> np.ndarray:
+    """For each key: whether paragraphs of two texts, or two that don't overlap, have it."""
+    bands = key.shape[1]
+    flat, text, word = key.ravel(), np.repeat(text, bands), np.repeat(word, bands)
+    order = np.lexsort((word, text, flat))
+    flat, text, word = flat[order], text[order], word[order]
+    same = flat[1:] == flat[:-1]
+    out = np.zeros(n_keys, dtype=bool)
+    if not len(flat):
+        return out
+    out[flat[1:][same & (text[1:] != text[:-1])]] = True
+    first = np.flatnonzero(np.concatenate(([True], ~same | (text[1:] != text[:-1]))))
+    last = np.append(first[1:], len(flat)) - 1
+    out[flat[first][word[last] - word[first] >= PARAGRAPH]] = True
+    return out
+
+
 def candidates(shards: DataFrame, layout: Layout) -> DataFrame:
     """The paragraphs with a band key that another paragraph of the corpus has; equal texts of a shard carry sets once."""
 
@@ -99,28 +116,21 @@ def candidates(shards: DataFrame, layout: Layout) -> DataFrame:
         shard = rows.column("shard")[0].as_py()
         ids, raws = sorted_docs(rows)
         parts = list(portions(raws))
-        keys, count = np.unique(np.concatenate([p.keys.ravel() for _, p in parts]), return_counts=True)
-        shared = (count > 1) | marked(layout, keys, mark_rows)
-        out = []
-        for first, p in parts:
-            here = shared[np.searchsorted(keys, p.keys)]
-            use = np.flatnonzero(here.any(axis=1))
-            if not len(use):
-                continue
-            listed = p.keys[use].view(np.int64)
-            mask = here[use]
-            offsets = np.concatenate(([0], np.cumsum(mask.sum(axis=1)))).astype(np.int32)
-            grams = np.ascontiguousarray(np.sort(p.grams[use], axis=1))
-            out.append(
-                pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(use), shard, np.int32)), pa.array((p.text[use] + first).astype(np.int32)), pa.array(ids[p.text[use] + first]), pa.array(p.start[use].astype(np.int32)), pa.array(p.end[use].astype(np.int32)),
-                        pa.array(p.name[use].view(np.int64)), pa.array([np.unique(g).tobytes() for g in grams], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(listed[mask])),
-                    ],
-                    schema=_ROWS,
-                )
-            )
-        return pa.Table.from_batches(out, schema=_ROWS)
+        text = np.concatenate([p.text + first for first, p in parts])
+        all_keys = np.concatenate([p.keys for _, p in parts])
+        word = np.concatenate([p.word for _, p in parts])
+        keys, at = np.unique(all_keys, return_inverse=True)
+        at = at.reshape(all_keys.shape)
+        shared = marked(layout, keys, mark_rows) | apart(at, text, word, len(keys))
+        here = shared[at] if len(keys) else np.zeros(at.shape, bool)
+        use = np.flatnonzero(here.any(axis=1))
+        name, start, end, grams = (np.concatenate([getattr(p, f) for _, p in parts])[use] for f in ("name", "start", "end", "grams"))
+        once = np.zeros(len(use), dtype=bool)
+        once[np.unique(name, return_index=True)[1]] = True
+        sets = [np.unique(g).tobytes() if first else None for g, first in zip(grams, once, strict=True)]
+        listed = [k[m].view(np.int64).tolist() if first else None for k, m, first in zip(all_keys[use], here[use], once, strict=True)]
+        columns = [np.full(len(use), shard), text[use], ids[text[use]], start, end, name.view(np.int64), sets, listed]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, _ROWS, strict=True)], schema=_ROWS)
 
     return shards.groupBy("shard").cogroup(marks(shards, layout, colliding_keys).groupBy("shard")).applyInArrow(pick, _ROWS_SQL)
 
@@ -153,7 +163,7 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def text_components(found: DataFrame, percent: int) -> DataFrame:
     """(name, component) of the texts that are similar to another text."""
-    sets = checkpointed(found.groupBy("name").agg(F.first("grams").alias("grams"), F.first("keys").alias("keys"), F.count("*").alias("copies")))
+    sets = checkpointed(found.groupBy("name").agg(F.first("grams", ignorenulls=True).alias("grams"), F.first("keys", ignorenulls=True).alias("keys"), F.count("*").alias("copies")))
     bands = sets.select("name", F.explode("keys").alias("key"))
     centres = bands.groupBy("key").agg(F.min("name").alias("centre"), F.count("*").alias("members")).filter("members > 1")
     shared = checkpointed(bands.join(centres, "key"))
