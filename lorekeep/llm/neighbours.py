@@ -5,8 +5,11 @@ codes: in each of some tables, vectors are sorted by label and by the signs of t
 projections, and neighbours in that order whose cosine reaches FLOOR enter each other's lists.
 Then lists are refined through neighbours of neighbours: two vectors that stand in one vector's
 list are compared if they weren't yet. A list holds LIST neighbours and is doubled in the next
-round where it is saturated, that is, full of neighbours above the threshold. Recall is audited
-by brute force for AUDIT vectors against all others; below WANTED, further tables are added.
+round where it is saturated, that is, full of neighbours above the threshold. Each label is
+audited by brute force: a sample that grows until SEEN of its vectors have a link is held against
+the label, and recall is the share of these that lost no link. Labels below WANTED get further
+tables, rounds and longer lists; those that still fail after TRIES, and those whose links are too
+rare for a sample, are compared pair by pair, block by block, so no shortfall is passed on.
 The edges at or above the threshold give components. As every link lies inside a component,
 links are then counted block by block of members, so that no pairs are emitted and the links
 inside a component are complete whatever the lists held.
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import checkpointed
+from .blocks import forest
 from .graph import components
 
 FLOOR = 0.9
@@ -35,9 +39,13 @@ WINDOW = 8
 LIST = 8
 ROUNDS = 2
 AUDIT = 200
+#: An audit counts once so many of the asked vectors have a link; until then it asks GROW times as many.
+SEEN, GROW = 100, 4
 WANTED = 0.97
 TRIES = 3
 BLOCK = 256
+#: Vectors of a block where a label is held against samples or compared whole.
+SIDE = 2048
 SALTS = 16
 _U = np.uint64
 log = logging.getLogger(__name__)
@@ -71,6 +79,7 @@ def by_dimension(batch: pa.RecordBatch, vectors: int) -> Iterator[tuple[np.ndarr
 
 _CODES = pa.schema([("place", pa.int32()), ("label", pa.string()), ("code", pa.int64()), ("id", pa.int64()), ("v", pa.list_(pa.float64()))])
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cos", pa.float64())])
+_ASKED = pa.schema([("label", pa.string()), ("id", pa.int64()), ("lost", pa.bool_())])
 
 
 def sorted_candidates(vectors: DataFrame, tables: range) -> DataFrame:
@@ -133,32 +142,73 @@ def refined(edges: DataFrame, vectors: DataFrame, threshold: float, size: int) -
     return edges.unionByName(new)
 
 
-def audited(vectors: DataFrame, component: DataFrame, threshold: float) -> float:
-    """The share of the true links of AUDIT vectors whose ends are in one component."""
-    asked = vectors.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(AUDIT).collect()
-    by: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for label in {r["label"] for r in asked}:
-        own = [r for r in asked if r["label"] == label]
-        by[label] = (np.array([r["id"] for r in own], dtype=np.int64), np.array([r["v"] for r in own], dtype=np.float64))
-    sent = vectors.sparkSession.sparkContext.broadcast(by)
+def audited(vectors: DataFrame, component: DataFrame, threshold: float) -> DataFrame:
+    """(label, verdict) of each label of vectors: holds, fails, or rare where a sample shows too few links.
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            label = np.array(batch.column(1).to_pylist(), dtype=object)
-            ids = np.asarray(batch.column(0))
-            for name, (q, m) in sent.value.items():
-                rows = np.flatnonzero(label == name)
-                if len(rows):
-                    cos = m @ matrix(batch.column(2).take(pa.array(rows))).T
-                    i, j = np.nonzero(cos >= threshold)
-                    x, y = q[i], ids[rows[j]]
-                    keep = x != y
-                    yield pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(y[keep]), pa.array(cos[i, j][keep])], schema=_EDGES)
-
-    true = vectors.select("id", "label", "v").mapInArrow(search, "a long, b long, cos double")
-    of = lambda c: component.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
-    got = true.join(of("a"), "a", "left").join(of("b"), "b", "left").agg(F.count("*").alias("all"), F.count_if(F.col("of_a") == F.col("of_b")).alias("found")).first()
-    return got["found"] / got["all"] if got["all"] else 1.0
+    A label's sample starts at AUDIT vectors and grows until SEEN of them have a link, each being
+    compared with the whole label. A label that is asked whole must miss nothing; one of which half
+    or more would have to be asked is rare.
+    """
+    placed = vectors.join(component, "id", "left").select("id", "label", "v", F.coalesce("component", "id").alias("component"))
+    sizes = checkpointed(vectors.groupBy("label").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / SIDE).cast("int")))
+    placed = checkpointed(placed.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    share = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 40)) / float(1 << 40)
+
+    def search(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not asked.num_rows or not held.num_rows:
+            return pa.table([pa.array([], f.type) for f in _ASKED], schema=_ASKED)
+        asked, held = asked.combine_chunks(), held.combine_chunks()
+        x, y = (t.column("id").to_numpy() for t in (asked, held))
+        hit = (matrix(asked.column("v").chunk(0)) @ matrix(held.column("v").chunk(0)).T >= threshold) & (x[:, None] != y[None, :])
+        lost = hit & (asked.column("component").to_numpy()[:, None] != held.column("component").to_numpy()[None, :])
+        some = hit.any(axis=1)
+        return pa.table([pa.array([key[0].as_py()] * int(some.sum()), pa.string()), pa.array(x[some]), pa.array(lost.any(axis=1)[some])], schema=_ASKED)
+
+    open_, done, k = sizes, None, AUDIT
+    while True:
+        asked = placed.join(open_.select("label"), "label", "left_semi").filter(share < k / F.col("n"))
+        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        held = placed.join(open_.select("label"), "label", "left_semi")
+        asked, held = (t.select(*[F.col(c).alias(c) for c in ("label", "block", "id", "v", "component")]) for t in (asked, held))
+        linked = asked.groupBy("label", "block").cogroup(held.groupBy("label", "block")).applyInArrow(search, "label string, id long, lost boolean")
+        linked = linked.groupBy("label", "id").agg(F.max("lost").alias("lost")).groupBy("label").agg(F.count("*").alias("seen"), F.count_if("lost").alias("lost"))
+        told = open_.join(linked, "label", "left").fillna(0, ["seen", "lost"])
+        few = (F.col("seen") < SEEN) & (F.col("n") > k)
+        good = F.when(F.col("n") <= k, F.col("lost") == 0).otherwise(F.col("lost") <= (1 - WANTED) * F.col("seen"))
+        verdict = F.when(few & (F.col("n") <= 2 * GROW * k), "rare").when(few, "open").when(good, "holds").otherwise("fails")
+        told = checkpointed(told.withColumn("verdict", verdict).select("label", "n", "blocks", "verdict"))
+        part = told.filter("verdict <> 'open'").select("label", "verdict")
+        done = part if done is None else done.unionByName(part)
+        open_ = told.filter("verdict = 'open'").drop("verdict")
+        if not open_.limit(1).count():
+            return checkpointed(done)
+        k *= GROW
+
+
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def compared(vectors: DataFrame, threshold: float) -> DataFrame:
+    """Edges (a, b) that span the linked vectors of each label: every pair is compared, block by block."""
+    sizes = vectors.groupBy("label").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("blocks"))
+    placed = vectors.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = sent.select("label", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "v")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        p, q = rows.column("p")[0].as_py(), rows.column("q")[0].as_py()
+        block, ids = rows.column("block").to_numpy(), rows.column("id").to_numpy()
+        m = matrix(rows.column("v").chunk(0))
+        x, y = np.flatnonzero(block == p), np.flatnonzero(block == q)
+        hit = m[x] @ m[y].T >= threshold
+        i, j = np.nonzero(np.triu(hit, 1) if p == q else hit)
+        i, j = x[i], y[j]
+        kept = forest(len(ids), i, j)
+        a, b = ids[i[kept]], ids[j[kept]]
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIRS)
+
+    return sent.groupBy("label", "p", "q").applyInArrow(compare, "a long, b long")
 
 
 _COUNTS = pa.schema([("id", pa.int64()), ("links", pa.int64())])
@@ -203,26 +253,35 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame:
     folded = checkpointed(good.join(dealt, [*name, "salt"]).select("vec_id", "rep", "size", "label", F.when(F.col("vec_id") == F.col("rep"), F.col("v")).alias("v")))
     vectors = checkpointed(folded.filter("vec_id = rep").select(F.col("rep").alias("id"), "label", "size", "v"))
 
-    largest = vectors.groupBy("label").count().agg(F.max("count").alias("n")).first()["n"] or 1
-    bits = max(4.0, math.log2(largest / WINDOW)) if largest > WINDOW else 4.0
-    agree = (1 - math.acos(threshold) / math.pi) ** bits
-    tables = max(6, math.ceil(math.log(0.005) / math.log(1 - agree)))
-    edges, found = None, None
+    edges, exact, open_, found = None, None, vectors, None
     for attempt in range(TRIES):
-        more = sorted_candidates(vectors, range(attempt * tables, (attempt + 1) * tables))
+        largest = open_.groupBy("label").count().agg(F.max("count").alias("n")).first()["n"] or 1
+        bits = max(4.0, math.log2(largest / WINDOW)) if largest > WINDOW else 4.0
+        agree = (1 - math.acos(threshold) / math.pi) ** bits
+        tables = max(6, math.ceil(math.log(0.005) / math.log(1 - agree)))
+        more = sorted_candidates(open_, range(attempt << 16, (attempt << 16) + tables))
         edges = checkpointed(more if edges is None else edges.unionByName(more).groupBy("a", "b").agg(F.max("cos").alias("cos")))
-        size = LIST
-        for _ in range(ROUNDS):
+        size = LIST << attempt
+        for _ in range(ROUNDS + attempt):
             before = edges.count()
             edges = checkpointed(refined(edges, vectors, threshold, size))
             size *= 2
             if edges.count() <= 1.001 * before:
                 break
         found = components(edges.filter(F.col("cos") >= threshold).select("a", "b"))
-        recall = audited(vectors, found, threshold)
-        log.info("neighbour graph: recall %.4f of audited links after %d tables", recall, (attempt + 1) * tables)
-        if recall >= WANTED:
+        verdicts = audited(open_, found, threshold)
+        told = {r["verdict"]: r["count"] for r in verdicts.groupBy("verdict").count().collect()}
+        log.info("neighbour graph: labels by audit after try %d: %s", attempt + 1, told)
+        # Links too rare to be audited by a sample, and recall that stays low, leave it to every pair.
+        whole = verdicts.filter("verdict = 'rare'" if attempt + 1 < TRIES else "verdict <> 'holds'").select("label")
+        if told.get("rare") or (attempt + 1 == TRIES and told.get("fails")):
+            part = checkpointed(compared(open_.join(whole, "label", "left_semi"), threshold))
+            exact = part if exact is None else exact.unionByName(part)
+        if not told.get("fails"):
             break
+        open_ = checkpointed(open_.join(verdicts.filter("verdict = 'fails'"), "label", "left_semi"))
+    if exact is not None:
+        found = components(edges.filter(F.col("cos") >= threshold).select("a", "b").unionByName(exact))
 
     links = links_inside(found.join(vectors, "id").select("id", "component", "size", "v"), threshold)
     classes = found.join(links, "id", "left").select(F.col("id").alias("rep"), "component", "links")

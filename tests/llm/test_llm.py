@@ -256,6 +256,20 @@ def test_embedding_groups_against_brute_force(spark):
     assert got == {i: (links[i], of[i], of[i] == i) for i in links}
 
 
+def test_embedding_pairs_in_a_dense_label_are_all_found(spark):
+    r = np.random.default_rng(5)
+    unit = lambda m: m / np.linalg.norm(m, axis=-1, keepdims=True)
+    centre = unit(r.standard_normal(64))
+    m = unit(np.sqrt(0.9) * centre + np.sqrt(0.1) * unit(r.standard_normal((1500, 64))))
+    m[1400:] = unit(m[:100] + 0.175 * unit(r.standard_normal((100, 64))))
+    cos = m @ m.T
+    edges = [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(cos >= 0.98, 1)), strict=True)]
+    assert len(edges) >= 90
+    of = classes(edges, range(1500))
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(m)], "vec_id long, embedding array<double>, label int")
+    assert {x["vec_id"]: x["component_id"] for x in neighbours.near_vectors(table).collect()} == of
+
+
 def test_empty_tables(spark):
     none = docs(spark).limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
