@@ -9,8 +9,8 @@ The items are taken in blocks of bounded size, each sent to all tasks, so that a
 any size needs no join that deals documents by a word.
 
 Defined results: null or wordless texts have no words, no windows and no hits; a null item_id
-is left out; repeated items count once; repeated documents give repeated rows; other columns
-are ignored.
+is left out; repeated items count once; repeated documents give repeated rows, and texts that
+share a doc_id, or have none, a row each, in one block or several; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ WINDOW = 10
 #: Items of so many bytes of text form a block, whose windows each task holds.
 BLOCK_BYTES = 4 << 20
 
-_FOUND = "doc_id long, n_words long, starts array<int>, ends array<int>, items array<long>"
-_FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))])
+_FOUND = "doc_id long, n_words long, starts array<int>, ends array<int>, items array<long>, copy string, rows long"
+_FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.int64())), ("copy", pa.string()), ("rows", pa.int64())])
 
 
 def words(raw: bytes) -> list[bytes]:
@@ -76,7 +76,7 @@ def prefix_index(items: list[tuple[int, list[bytes]]], counts: dict[bytes, int],
 
 
 def find_windows(docs: DataFrame, items: list[tuple[int, list[bytes]]], n: int, only_hits: bool) -> DataFrame:
-    """Places of one block's windows in each document: word spans and the items found."""
+    """Places of one block's windows in each document (doc_id, text, copy, rows): word spans and the items found."""
     counts = corpus_counts(docs, {w for _, item in items for w in item})
     sent = docs.sparkSession.sparkContext.broadcast(prefix_index(items, counts, n))
 
@@ -85,7 +85,7 @@ def find_windows(docs: DataFrame, items: list[tuple[int, list[bytes]]], n: int,
         keys = frozenset(index)
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, text, copy, rows in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 own = words(raw_text(text))
                 spans, items = set(), set()
                 if not keys.isdisjoint(own):
@@ -97,10 +97,10 @@ def find_windows(docs: DataFrame, items: list[tuple[int, list[bytes]]], n: int,
                                 items.update(holders)
                 if spans or not only_hits:
                     ordered = sorted(spans)
-                    out.append((doc_id, len(own), [s for s, _ in ordered], [e for _, e in ordered], sorted(items)))
+                    out.append((doc_id, len(own), [s for s, _ in ordered], [e for _, e in ordered], sorted(items), copy, rows))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t.type) for i, t in enumerate(_FOUND_ARROW)], schema=_FOUND_ARROW)
 
-    return docs.select("doc_id", "text").mapInArrow(find, _FOUND)
+    return docs.select("doc_id", "text", "copy", "rows").mapInArrow(find, _FOUND)
 
 
 def _summary(starts: list[int], ends: list[int], items: list[int]) -> tuple[int, int, str]:
@@ -139,17 +139,19 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         return [(r["item_id"], words(r["text"].encode())) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toLocalIterator()]
 
     if blocks == 1:
-        return report(find_windows(docs, block(0), window, only_hits=False))
-    # Rows of one document meet again by its id and a number of its own, as documents may repeat.
-    numbered = docs.withColumn("copy", F.xxhash64("text"))
-    every = numbered.groupBy("doc_id", "copy").agg(F.count("*").alias("rows"), F.first("text").alias("text"))
+        single = docs.withColumns({"copy": F.lit(None).cast("string"), "rows": F.lit(1).cast("long")})
+        return report(find_windows(single, block(0), window, only_hits=False).drop("copy", "rows"))
+    # Equal rows are searched once; a text's findings meet again by its id and digest, and each row is told.
+    every = docs.withColumn("copy", F.sha2("text", 256)).groupBy("doc_id", "copy").agg(F.count("*").alias("rows"), F.first("text").alias("text"))
     found = None
     for b in range(blocks):
         part = find_windows(every, block(b), window, only_hits=b > 0)
         found = part if found is None else found.unionByName(part)
-    merged = found.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.flatten(F.collect_list("items")).alias("items")
+    merged = found.groupBy("doc_id", "copy").agg(
+        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.flatten(F.collect_list("items")).alias("items"), F.max("rows").alias("rows")
     )
+    again = F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("again")
+    merged = merged.select("doc_id", "n_words", "starts", "ends", "items", again).drop("again")
     return report(merged)
 
 

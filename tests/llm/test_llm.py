@@ -146,6 +146,18 @@ def test_decontamination_in_one_block_and_in_several(spark):
     assert decontaminate.clean(docs(spark, *texts), bench).columns == DOCS.replace(",", "").split()[::2]
 
 
+def test_decontamination_of_repeated_clashing_and_null_ids(spark):
+    r = random.Random(15)
+    items = [sentence(r, 12, 60) for _ in range(30)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"a b {items[0]}", f"a b {items[0]}", f"{items[1]} and {items[2]} x y z", "none of it", None]
+    table = spark.createDataFrame([(d, t) for d in (7, None) for t in texts], "doc_id long, text string")
+    rows = [sorted(map(str, map(tuple, decontaminate.contamination(table, bench, block_bytes=n).collect()))) for n in (decontaminate.BLOCK_BYTES, 200)]
+    assert rows[0] == rows[1] and len(rows[1]) == 10
+    whole = [tuple(x)[:4] for x in decontaminate.contamination(table, bench, block_bytes=200).filter("doc_id = 7").collect()]
+    assert sorted(whole) == [(7, 0, 0, 0), (7, 3, 0, 0), (7, 14, 12, 1), (7, 14, 12, 1), (7, 28, 24, 2)]
+
+
 def test_paragraph_dedup(spark):
     r = random.Random(6)
     passage, near = sentence(r, 70), sentence(r, 60).split()
