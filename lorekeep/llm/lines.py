@@ -9,8 +9,10 @@ meets the pages by host and salt, so that a host with a third of all pages is de
 tasks.
 
 Defined results: null text has no lines; null host is a host of its own; a line that a page
-repeats counts once for the page and goes at every place; repeated rows count as pages; equal
-page ids don't matter; an empty table gives an empty result.
+repeats counts once for the page and goes at every place; repeated rows count as pages in the
+pages table (its SQL says so), while documents of equal text count once for their source, so that
+only lines which different texts share go; equal page ids don't matter; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -27,9 +29,14 @@ def line_key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.concat(line, F.lit("\n")), F.lit(7)).alias("b"))
 
 
-def boilerplate(pages: DataFrame, ratio: float, least: int) -> DataFrame:
-    """(host, keys): the boilerplate lines of each host that has any, of pages (host, lines)."""
-    held = pages.select("host", F.explode(F.array_distinct("lines")).alias("line")).select("host", line_key(F.col("line")).alias("key"))
+def boilerplate(pages: DataFrame, ratio: float, least: int, fold: bool = False) -> DataFrame:
+    """(host, keys): the boilerplate lines of each host that has any, of pages (host, lines); fold counts equal pages of a host once."""
+    if fold:
+        content = line_key(F.array_join("lines", "\n")).alias("content")
+        held = pages.select("host", content, F.explode(F.array_distinct("lines")).alias("line")).select("host", "content", line_key(F.col("line")).alias("key")).distinct()
+        pages = pages.select("host", content).distinct()
+    else:
+        held = pages.select("host", F.explode(F.array_distinct("lines")).alias("line")).select("host", line_key(F.col("line")).alias("key"))
     counts = held.groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     totals = pages.groupBy("host").agg(F.count("*").alias("n_pages"))
     return (
@@ -40,9 +47,9 @@ def boilerplate(pages: DataFrame, ratio: float, least: int) -> DataFrame:
     )
 
 
-def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES, fold: bool = False) -> DataFrame:
     """pages (host, lines array<string>, any others) with the columns kept and n_dropped added."""
-    listed = boilerplate(pages, ratio, least)
+    listed = boilerplate(pages, ratio, least, fold)
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     listed = listed.select(F.col("host").alias("of_host"), F.col("keys").alias("boilerplate"), salt.alias("of_salt"))
     dealt = pages.withColumn("dealt", F.pmod(F.xxhash64("lines"), F.lit(SALTS)).cast("int"))
@@ -73,7 +80,7 @@ def clean_documents(documents: DataFrame, ratio: float = RATIO, least: int = LEA
     """documents with their columns, less each source's boilerplate lines; n_chars follows the text."""
     columns = documents.columns
     lined = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("source").alias("host"), F.split(F.coalesce(F.col("text"), F.lit("")), "\n").alias("lines"))
-    out = drop_boilerplate(lined, ratio, least)
+    out = drop_boilerplate(lined, ratio, least, fold=True)
     changed = F.col("n_dropped") > 0
     text = F.when(changed, F.array_join("kept", "\n")).otherwise(F.col("row.text"))
     fields = {"text": text, "n_chars": F.when(changed, F.length(text)).otherwise(F.col("row.n_chars")).cast("long")}

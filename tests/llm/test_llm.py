@@ -158,6 +158,12 @@ def test_decontamination_of_repeated_clashing_and_null_ids(spark):
     assert sorted(whole) == [(7, 0, 0, 0), (7, 3, 0, 0), (7, 14, 12, 1), (7, 14, 12, 1), (7, 28, 24, 2)]
 
 
+def test_line_dedup_keeps_one_text_of_many_copies(spark):
+    rows = ["head\nfirst of the copies\nsecond"] * 30 + [f"head\nbody {i}" for i in range(60)]
+    got = {x["doc_id"]: x["text"] for x in lines.clean_documents(docs(spark, *rows)).collect()}
+    assert all(got[i] == "first of the copies\nsecond" for i in range(30)) and all(got[30 + i] == f"body {i}" for i in range(60))
+
+
 def test_paragraph_dedup(spark):
     r = random.Random(6)
     passage, near = sentence(r, 70), sentence(r, 60).split()
