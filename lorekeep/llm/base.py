@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task handles at once.
@@ -25,15 +26,41 @@ def texts(docs: DataFrame) -> DataFrame:
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in spark.checkpoint.dir, which every executor shares.
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder that spark.checkpoint.dir names, which driver and executors share.
 
-    A temporary folder stands in only where the setting is missing, as in tests.
+    Where the setting is missing, a local session takes a temporary folder; a cluster has none that
+    every node sees, so there it is an error.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return df.checkpoint()
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{shared.rstrip('/')}/lorekeep-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame, *seen: Column) -> DataFrame:
+    """df as a table written to the shared folder and read again: short lineage, and sizes as they are.
+
+    With aggregates `seen`, what they give over the rows as they are written is in the result's
+    `seen` attribute, at no further pass.
+    """
+    spark, at = df.sparkSession, shared_folder(df.sparkSession)
+    watch = Observation() if seen else None
+    (df.observe(watch, *seen) if watch else df).write.parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.at, out.seen = at, watch.get if watch else {}
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of checkpointed() that no later plan reads."""
+    for t in tables:
+        if t is not None:
+            spark = t.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(t.at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_bytes(docs: DataFrame) -> int:

@@ -12,7 +12,7 @@ import pytest
 pytest.importorskip("lorekeep.llm")
 import public_tokenizers  # noqa: E402
 
-from lorekeep.llm import blocks, bpe, decontaminate, learn, licenses, lines, minhash, neighbours, passages, quality, suffix, toxicity  # noqa: E402
+from lorekeep.llm import base, blocks, bpe, decontaminate, learn, licenses, lines, minhash, neighbours, passages, quality, suffix, toxicity  # noqa: E402
 from lorekeep.llm.graph import components  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, n int, salt double, gone_id long"
@@ -209,8 +209,20 @@ def test_blocks_span_groups(monkeypatch):
     assert blocks.forest(4, np.array([0, 1, 0, 2]), np.array([1, 2, 2, 3])) == [0, 1, 3]
 
 
-def test_components(spark):
-    edges = [(1, 2), (2, 3), (10, 11), *((i, i + 1) for i in range(20, 40))]
+@pytest.mark.parametrize("n", [1, 2, 5000])
+def test_components_of_a_shuffled_path_in_few_rounds(spark, n, monkeypatch):
+    from lorekeep.llm import graph
+
+    written = []
+    monkeypatch.setattr(graph, "checkpointed", lambda df, *seen: written.append(1) or base.checkpointed(df, *seen))
+    ids = random.Random(n).sample(range(3 * n), n)
+    edges = spark.createDataFrame([*zip(ids, ids[1:], strict=False), (-5, -5)], "a long, b long")
+    got = {r["id"]: r["component"] for r in components(edges).collect()}
+    assert got == ({i: min(ids) for i in ids} if n > 1 else {}) and len(written) <= 3 * 15
+
+
+def test_components_of_stars_and_small_groups(spark):
+    edges = [(1, 2), (2, 3), (3, 1), (2, 1), (10, 11), *((i, i + 1) for i in range(20, 40)), *((999_999, 1000 + i) for i in range(100_000))]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == classes(edges, {x for e in edges for x in e})
 
