@@ -1,13 +1,12 @@
 """Markdown ingestion: parse, chunk, hash, route, and plan what is new.
 
 The plan is one lazy DataFrame from scan to action; applying it appends its `ingest` rows, a dry
-run shows them. Front matter and the chunker fold over lines with a running size, which no window
-frame expresses, so they run in Arrow batches inside the tasks; everything else is Columns.
+run shows them. The chunker folds over lines with a running size, which no window frame
+expresses, so it runs in Arrow batches inside the tasks; everything else is Columns.
 """
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator, Sequence
 
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
-# Limits, markers and type names of the note format.
+# Limits, markers, type names, reserved keys, scope map and inline patterns of the note format.
 MIN_CHARS, MAX_CHARS = 40, 2000
 MARKERS = ("记住：", "记住:", "记下：", "记下:", "别忘了：", "别忘了:", "remember:", "remember that", "> [!memory]")
 TYPES = {"preference": "preference", "pref": "preference", "project-state": "project_state", "project_state": "project_state", "projectstate": "project_state"}
@@ -28,51 +27,55 @@ PROJECT_STATE = r"(?im)(?:项目状态|project\s*state)\s*[:：]\s*([^\s=＝,，
 _HEADING = re.compile(r"(#{1,6})\s+(.+?)\s*#*\s*\Z")
 
 
-def scalar(text: str):
-    """A front matter value: quoted string, bool, null, list, number, or the text itself."""
-    text = text.strip()
-    if len(text) > 1 and text[0] in "\"'" and text[0] == text[-1]:
-        return text[1:-1]
-    words = {"true": True, "yes": True, "false": False, "no": False, "null": None, "~": None, "": None}
-    if text.lower() in words:
-        return words[text.lower()]
-    if text[0] == "[" and text[-1] == "]":
-        return [scalar(x) for x in text[1:-1].split(",")] if text[1:-1].strip() else []
-    for kind in (int, float):
-        try:
-            return kind(text)
-        except ValueError:
-            continue
-    return text
-
-
-def uncommented(value: str) -> str:
-    value = value.lstrip() if value.strip()[:1] in ("'", '"') else value
-    if value[:1] in ("'", '"'):
-        end = value.find(value[0], 1)
-        return value[: end + 1] if end > 0 else value
-    return value.split(" #", 1)[0]
-
-
-def front_matter(text: str) -> tuple[dict, str]:
-    """(values, body); a text without a closed block at its start has no values."""
-    clean = re.sub(r"\r\n?", "\n", text).removeprefix("﻿")
-    lines = clean.split("\n")
-    stop = next((i for i, line in enumerate(lines[1:], 1) if line.strip() in ("---", "...")), None)
-    if lines[0].strip() != "---" or stop is None:
-        return {}, clean
-    values: dict = {}
-    open_list = None
-    for line in map(str.strip, lines[1:stop]):
-        if line.startswith("- ") and open_list is not None:
-            open_list.append(scalar(line[2:]))
-        elif line and not line.startswith("#") and ":" in line:
-            key, value = line.split(":", 1)
-            value = uncommented(value.strip()).strip()
-            if key.strip():
-                open_list = [] if value == "" else None
-                values[key.strip()] = open_list if value == "" else scalar(value)
-    return values, "\n".join(lines[stop + 1 :])
+# The lines of a front matter block, told apart by what they start with: entries, their list items.
+_ENTRY = r"(?m)^[ \t]*([^#\s:-][^:\n]*|-[^ :\n][^:\n]*):([^\n]*)"
+_BLOCK = r"(?s)\A[ \t]*---[ \t]*\n(|.*?\n)[ \t]*(?:---|\.\.\.)[ \t]*(?:\n|\z)"
+_QUOTED = r"\A(\"[^\"]*\"|'[^']*')"
+_INTEGER, _NUMBER = r"\A[+-]?\d+\z", r"\A[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
+
+
+def _json_text(value: Column) -> Column:
+    """A string as JSON, by Spark's own writer."""
+    return F.regexp_replace(F.to_json(F.array(value)), r"\A\[|\]\z", "")
+
+
+def _json_word(raw: Column) -> Column:
+    """A front matter value that is no list, as JSON: quoted string, word, number or plain text."""
+    text, low = F.trim(raw), F.lower(F.trim(raw))
+    number = F.regexp_replace(F.regexp_replace(text, r"\A\+", ""), r"\A(-?)0+(?=\d)", "$1")
+    return (
+        F.when(F.regexp_extract(text, _QUOTED + r"\z", 1) != "", _json_text(F.substring(text, F.lit(2), F.length(text) - 2)))
+        .when(low.isin("", "~", "null"), F.lit("null")).when(low.isin("true", "yes"), F.lit("true")).when(low.isin("false", "no"), F.lit("false"))
+        .when(text.rlike(_INTEGER), number).when(text.rlike(_NUMBER), text.try_cast("double").cast("string")).otherwise(_json_text(text))
+    )
+
+
+def _json_list(items: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(items, _json_word), ","), F.lit("]"))
+
+
+def _json_value(raw: Column, below: Column) -> Column:
+    """The value of an entry as JSON: what stands behind its colon, less a comment, or the items below it."""
+    text = F.trim(raw)
+    quoted = F.regexp_extract(text, _QUOTED, 1)
+    plain = F.when(quoted != "", quoted).otherwise(F.trim(F.regexp_replace(text, r"(\A| )#.*\z", "")))
+    inside = F.regexp_extract(plain, r"(?s)\A\[(.*)\]\z", 1)
+    inline = F.when(F.trim(inside) == "", F.lit("[]")).otherwise(_json_list(F.split(inside, ",")))
+    items = F.regexp_extract_all(below, F.lit(r"(?m)^[ \t]*- ([^\n]*)$"), F.lit(1))
+    return F.when(plain == "", _json_list(items)).when(plain.rlike(r"(?s)\A\[.*\]\z"), inline).otherwise(_json_word(plain))
+
+
+def front_json(block: Column) -> Column:
+    """The entries of a front matter block as one JSON object, keys sorted; the last of equal keys counts.
+
+    The block is cut at its entries: a piece holds an entry's value and the lines up to the next.
+    """
+    keys = F.transform(F.regexp_extract_all(block, F.lit(_ENTRY), F.lit(1)), lambda k: F.trim(k))
+    values = F.regexp_extract_all(block, F.lit(_ENTRY), F.lit(2))
+    below = F.split(block, _ENTRY)
+    entries = F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda e, i: F.struct(e["k"].alias("k"), _json_value(e["v"], F.get(below, i + 1)).alias("v")))
+    last = F.filter(entries, lambda e, i: (e["k"] != "") & ~F.exists(F.slice(keys, i + 2, F.size(keys)), lambda k: k == e["k"]))
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(last), lambda e: F.concat(_json_text(e["k"]), F.lit(":"), e["v"])), ","), F.lit("}"))
 
 
 def normal(text: str) -> str:
@@ -145,27 +148,28 @@ def chunks(body: str, least: int = MIN_CHARS, most: int = MAX_CHARS, with_code:
     return out
 
 
-_PARSED = "rel_path string, title string, front string, body string"
 _CHUNKED = "rel_path string, title string, front string, body_hash string, ordinal int, heading_path array<string>, text string, line_start int, line_end int"
 
 
-def parse(notes: DataFrame) -> DataFrame:
-    """notes (rel_path, text) with title, front matter as JSON, and body."""
-    schema = pa.schema([(c, pa.string()) for c in ("rel_path", "title", "front", "body")])
+def title_of(front_title: Column, body: Column, path: Column) -> Column:
+    """The front matter's title, else the first heading of level one, else the file's name."""
+    heading = F.regexp_extract(body, r"(?m)^[^\S\n]*# [^\S\n]*(\S.*?)[^\S\n]*$", 1)
+    name = F.regexp_replace(F.substring_index(F.coalesce(path, F.lit("")), "/", -1), r"(?<=.)\.[^.]*\z", "")
+    given = F.trim(front_title)
+    return F.when(given != "", given).when(heading != "", heading).otherwise(name)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                values, body = front_matter(text or "")
-                titled = values.get("title")
-                heading = next((line.strip()[2:].strip() for line in body.split("\n") if line.strip().startswith("# ")), None)
-                name = re.sub(r"(?<=.)\.[^./]*$", "", (path or "").rsplit("/", 1)[-1])
-                title = titled.strip() if isinstance(titled, str) and titled.strip() else heading if heading is not None else name
-                rows.append((path, title, json.dumps(values, ensure_ascii=False, sort_keys=True), body))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], schema=schema)
 
-    return notes.select(F.col("rel_path").cast("string"), F.col("text").cast("string")).mapInArrow(run, _PARSED)
+def parse(notes: DataFrame) -> DataFrame:
+    """notes (rel_path, text) with title, front matter as JSON, and body; all of it Columns."""
+    clean = F.regexp_replace(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"\r\n?", "\n"), r"\A\x{FEFF}", "")
+    split = notes.select(F.col("rel_path").cast("string").alias("rel_path"), clean.alias("clean"))
+    has = F.col("clean").rlike(_BLOCK)
+    split = split.select("rel_path", F.when(has, F.regexp_extract("clean", _BLOCK, 1)).otherwise("").alias("block"), F.when(has, F.regexp_replace("clean", _BLOCK, "")).otherwise(F.col("clean")).alias("body"))
+    named = split.select("rel_path", "body", F.when(F.col("block") == "", "{}").otherwise(front_json(F.col("block"))).alias("front"))
+    # A title that is no string doesn't count: a VARIANT tells them apart.
+    value = F.try_variant_get(F.try_parse_json("front"), "$.title", "string")
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("front"), "$.title", "variant"))
+    return named.select("rel_path", title_of(F.when(kind == "STRING", value), F.col("body"), F.col("rel_path")).alias("title"), "front", "body")
 
 
 def chunked(parsed: DataFrame, least: int = MIN_CHARS, most: int = MAX_CHARS) -> DataFrame:
@@ -175,9 +179,8 @@ def chunked(parsed: DataFrame, least: int = MIN_CHARS, most: int = MAX_CHARS) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for path, title, front, body, sha in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                kind = json.loads(front).get("type")
-                if isinstance(kind, str) and kind.strip().lower() in TYPES:
+            for path, title, front, body, sha, declared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if declared:
                     text = normal(body)
                     own = [(0, [title], text, 1, text.count("\n") + 1)] if len(text) >= least else []
                 else:
@@ -185,7 +188,8 @@ def chunked(parsed: DataFrame, least: int = MIN_CHARS, most: int = MAX_CHARS) ->
                 rows += [(path, title, front, sha, *c) for c in own]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    return parsed.select("rel_path", "title", "front", "body", tx.content_hash(F.col("body")).alias("body_hash")).mapInArrow(run, _CHUNKED).withColumn("content_hash", tx.content_hash(F.col("text")))
+    declared = F.coalesce(F.lower(front("type")).isin(*TYPES), F.lit(False))
+    return parsed.select("rel_path", "title", "front", "body", tx.content_hash(F.col("body")).alias("body_hash"), declared.alias("declared")).mapInArrow(run, _CHUNKED).withColumn("content_hash", tx.content_hash(F.col("text")))
 
 
 def mapped_scope(path: Column, scope_map: Sequence[tuple[str, str]] = SCOPE_MAP) -> Column:

@@ -1,3 +1,4 @@
+import json
 import math
 
 import pytest
@@ -107,10 +108,16 @@ def test_policy(spark):
     assert got == {1: "accepted", 2: "low confidence", 3: "duplicate", 4: "too short", 5: "no key", 6: "unknown supersede target", 7: "not worth remembering", 8: "accepted"}
 
 
-def test_front_matter():
-    values, body = ingest.front_matter("---\ntitle: 'A # b'\nn: 3 # three\nlist:\n- x\n- 2\ninline: [a, true]\nnone:\n---\nbody")
-    assert body == "body" and values == {"title": "A # b", "n": 3, "list": ["x", 2], "inline": ["a", True], "none": []}
-    assert ingest.front_matter("no block") == ({}, "no block") and ingest.front_matter("---\nopen") == ({}, "---\nopen")
+def test_front_matter(spark):
+    texts = {
+        "---\ntitle: 'A # b'\nn: 3 # three\nlist:\n- x\n  - 2\ninline: [a, true, \"q\"]\nnone:\n# a comment: here\nurl: http://x/y#z\nf: +01.50\nn: 007\nyes: no\n---\nbody": (
+            {"title": "A # b", "n": 7, "list": ["x", 2], "inline": ["a", True, "q"], "none": [], "url": "http://x/y#z", "f": 1.5, "yes": False}, "body", "A # b"),
+        "no block": ({}, "no block", "n"), "---\nopen: 1": ({}, "---\nopen: 1", "n"), "\ufeff---\r\na: \"it\\\\s\"\r\ntitle: 5\r\n...\r\n# Head \r\nx": ({"a": "it\\\\s", "title": 5}, "# Head \nx", "Head"),
+        "---\n---\n": ({}, "", "n"), "": ({}, "", "n"),
+    }
+    rows = spark.createDataFrame([("a/n.md", t) for t in texts], "rel_path string, text string")
+    got = [(json.loads(r["front"]), r["body"], r["title"]) for r in ingest.parse(rows).collect()]
+    assert got == list(texts.values())
 
 
 def test_chunks():
