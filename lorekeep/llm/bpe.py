@@ -5,8 +5,9 @@ frequent pieces are folded by Spark higher-order functions: an aggregate over an
 single bytes merges, step by step, the leftmost neighbour pair of lowest rank, looking ranks up
 in a literal map (an array of buckets by hash, since Spark searches a plain map from its
 start). A piece that is rare or long is merged by the same rule where it occurs, so that the
-table sent to the tasks has a fixed bound whatever the corpus holds. Ids are little-endian
-unsigned 32-bit integers end to end; decoding concatenates the ids' binary pieces.
+table sent to the tasks has a fixed bound (TABLE_PIECES pieces of FOLD_BYTES) whatever the corpus
+holds. Decoding looks each id up in a literal array of the vocabulary's pieces and concatenates
+them, by Spark's functions.
 
 Defined results: null text is empty; an empty text has no ids; repeated rows give repeated
 rows; columns other than doc_id and text are ignored.
@@ -27,12 +28,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import checkpointed, texts
+from .base import checkpointed, discard, texts
 
 #: Pieces of at most so many bytes are folded by Spark; longer ones need more steps than a fold should take.
 FOLD_BYTES = 48
 #: At most so many frequent pieces are sent to the tasks.
-TABLE_PIECES = 250_000
+TABLE_PIECES = 1 << 17
+#: Words that a task counts before it passes them on, and words whose ids it remembers.
+COUNTED, REMEMBERED = 200_000, 200_000
 _BUCKETS = 16_384
 _NO_RANK = 2**31 - 1
 
@@ -112,20 +115,28 @@ def fold(piece: Column, ranks: Column) -> Column:
 
 
 def piece_counts(docs: DataFrame, pattern: str) -> DataFrame:
-    """(piece binary, n): the distinct pieces of all texts, counted per task before the shuffle."""
+    """(piece binary, n): the pieces of all texts, counted per task before the shuffle.
+
+    A task counts what stands between single spaces and cuts each such word once. Where white
+    space runs together the cut may differ from the text's own; the counts only choose the table.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, seen = regex.compile(pattern).findall, Counter()
         for batch in batches:
             for text in batch.column(0):
-                seen.update(find(text.as_py()))
-                if len(seen) > 200_000:
-                    yield out(seen)
+                seen.update((" " + text.as_py()).split(" ")[1:])
+                if len(seen) > COUNTED:
+                    yield out(seen, find)
                     seen = Counter()
-        yield out(seen)
+        yield out(seen, find)
 
-    def out(seen: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([p.encode() for p in seen], pa.binary()), pa.array(seen.values(), pa.int64())], names=["piece", "n"])
+    def out(seen: Counter, find) -> pa.RecordBatch:
+        pieces: dict[str, int] = {}
+        for word, n in seen.items():
+            for p in find(f" {word}"):
+                pieces[p] = pieces.get(p, 0) + n
+        return pa.RecordBatch.from_arrays([pa.array([p.encode() for p in pieces], pa.binary()), pa.array(pieces.values(), pa.int64())], names=["piece", "n"])
 
     return docs.select("text").mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
@@ -141,77 +152,101 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.filter(level >= least)
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, with_decoded: bool = False, table_pieces: int = TABLE_PIECES) -> DataFrame:
-    """(doc_id, n_tokens, ids binary[, decoded binary]) of every whole text."""
+class Coder:
+    """Ids of whole texts in a task, as little-endian bytes.
+
+    A piece may hold a space only as its first character or among other white space. So a single
+    space between other characters always starts a piece, and what stands between two such spaces
+    is coded as a whole and remembered. A text with other white space next to a space is cut whole.
+    """
+
+    def __init__(self, pattern: str, ranks: dict[bytes, int], known: dict[str, bytes]):
+        self.find, self.ranks, self.known = regex.compile(pattern).findall, ranks, known
+        self.words: dict[str, bytes] = {}
+        self.rare: dict[str, bytes] = {}
+
+    def piece(self, piece: str) -> bytes:
+        ids = self.known.get(piece) or self.rare.get(piece)
+        if ids is None:
+            ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
+            if len(piece) <= FOLD_BYTES:
+                if len(self.rare) >= REMEMBERED:
+                    self.rare.clear()
+                self.rare[piece] = ids
+        return ids
+
+    def cut(self, text: str) -> bytes:
+        return b"".join(map(self.piece, self.find(text)))
+
+    def code(self, text: str) -> bytes:
+        first, *rest = text.split(" ")
+        codes = list(map(self.words.get, rest))
+        if None in codes:
+            for i, word in enumerate(rest):
+                if codes[i] is None:
+                    if not word or word[0].isspace() or word[-1].isspace():
+                        return self.cut(text)
+                    codes[i] = self.cut(f" {word}")
+                    if len(word) <= FOLD_BYTES:
+                        if len(self.words) >= REMEMBERED:
+                            self.words.clear()
+                        self.words[word] = codes[i]
+        if rest and (not first or first[-1].isspace()):
+            return self.cut(text)
+        return self.cut(first) + b"".join(codes)
+
+
+def encode(docs: DataFrame, vocabulary: str, pattern: str, table_pieces: int = TABLE_PIECES) -> DataFrame:
+    """(doc_id, n_tokens, ids array<int>, ids_bytes: the same as little-endian unsigned 32-bit integers) of every whole text."""
     docs, ranks = texts(docs), read_ranks(vocabulary)
     spark = docs.sparkSession
     counts = checkpointed(piece_counts(docs, pattern).filter(F.octet_length("piece") <= FOLD_BYTES))
     chosen = frequent(counts, table_pieces)
-    coded = chosen.repartition(spark.sparkContext.defaultParallelism * 4, "piece").select("piece", fold(F.col("piece"), rank_literal(ranks)).alias("ids"))
-    known = spark.sparkContext.broadcast({bytes(r["piece"]).decode(): np.array(r["ids"], "<u4").tobytes() for r in coded.toLocalIterator(prefetchPartitions=True)})
-    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())] + [("decoded", pa.binary())] * with_decoded
-    schema = pa.schema(fields)
+    coded = chosen.repartition(spark.sparkContext.defaultParallelism, "piece").select("piece", fold(F.col("piece"), rank_literal(ranks)).alias("ids")).toArrow()
+    discard(counts)
+    known = {p.decode(): np.array(ids, "<u4").tobytes() for batch in coded.to_batches() for p, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)}
+    sent = spark.sparkContext.broadcast(known)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_bytes", pa.binary())])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, table, local, get = regex.compile(pattern).findall, known.value, {}, None
-        all_ranks = read_ranks(vocabulary)
-        piece_of = pieces_of(all_ranks)
-
-        def rest(piece: str) -> bytes:
-            if (ids := local.get(piece)) is None:
-                ids = np.array(merge(piece.encode(), all_ranks), "<u4").tobytes()
-                if len(piece) <= 4 * FOLD_BYTES:
-                    if len(local) >= 50_000:
-                        local.clear()
-                    local[piece] = ids
-            return ids
-
-        get = table.get
+        coder = Coder(pattern, read_ranks(vocabulary), sent.value)
         for batch in batches:
-            ids_of, size = [], 0
-            at = 0
+            codes, size, at = [], 0, 0
             for text in batch.column(1):
-                raw = b"".join([get(p) or rest(p) for p in find(text.as_py())])
-                ids_of.append(raw)
-                size += len(raw)
+                codes.append(coder.code(text.as_py()))
+                size += len(codes[-1])
                 if size > 8 << 20:
-                    yield rows(batch.column(0)[at : at + len(ids_of)], ids_of, piece_of)
-                    at, ids_of, size = at + len(ids_of), [], 0
-            yield rows(batch.column(0)[at : at + len(ids_of)], ids_of, piece_of)
+                    yield rows(batch.column(0)[at : at + len(codes)], codes)
+                    at, codes, size = at + len(codes), [], 0
+            yield rows(batch.column(0)[at : at + len(codes)], codes)
 
-    def rows(doc_ids: pa.Array, ids_of: list[bytes], piece_of: list[bytes]) -> pa.RecordBatch:
-        columns = [doc_ids, pa.array([len(x) // 4 for x in ids_of], pa.int64()), pa.array(ids_of, pa.binary())]
-        if with_decoded:
-            columns.append(pa.array([join_pieces(x, piece_of) for x in ids_of], pa.binary()))
-        return pa.RecordBatch.from_arrays(columns, schema=schema)
+    def rows(doc_ids: pa.Array, codes: list[bytes]) -> pa.RecordBatch:
+        sizes = np.array([len(x) // 4 for x in codes], dtype=np.int64)
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.frombuffer(b"".join(codes), "<i4")))
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array(sizes), ids, pa.array(codes, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(assemble, ", ".join(f"{n} {'long' if t == pa.int64() else 'binary'}" for n, t in fields))
+    return docs.mapInArrow(assemble, "doc_id long, n_tokens long, ids array<int>, ids_bytes binary")
 
 
-def pieces_of(ranks: dict[bytes, int]) -> list[bytes]:
-    out = [b""] * (max(ranks.values(), default=-1) + 1)
+def piece_literal(ranks: dict[bytes, int]) -> Column:
+    """The vocabulary's pieces as hexadecimal digits, in the order of their ranks, as one literal array."""
+    pieces = [""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
-        out[rank] = piece
-    return out
+        pieces[rank] = piece.hex()
+    return F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
 
 
-def join_pieces(ids: bytes, piece_of: list[bytes]) -> bytes:
-    return b"".join([piece_of[i] for i in np.frombuffer(ids, "<u4").tolist()])
+def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The bytes that ids (array<int>) stand for: their pieces from a literal array, put together."""
+    pieces = piece_literal(ranks)
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, text) of (doc_id, ids binary); bytes that are no UTF-8 become U+FFFD."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece_of = pieces_of(read_ranks(vocabulary))
-        for batch in batches:
-            out = [join_pieces(x.as_py() or b"", piece_of).decode("utf-8", "replace") for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], schema=schema)
-
-    return encoded.select("doc_id", "ids").mapInArrow(join, "doc_id long, text string")
+    """encoded (ids array<int>, any others) with the decoded bytes; Spark's functions alone."""
+    return encoded.withColumn("decoded", decoded(F.col("ids"), read_ranks(vocabulary)))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encode(..., with_decoded=True)."""
-    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(encoded: DataFrame, vocabulary: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encode(...), decoded here."""
+    return decode(encoded, vocabulary).select("doc_id", "n_tokens", F.sha2("ids_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

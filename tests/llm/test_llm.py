@@ -261,13 +261,16 @@ def test_bpe_round_trip_and_ids(spark):
     with open(VOCABULARY, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    texts = ["Hello, world! it's 2024\n\n  x", "<|endoftext|>", "née 你好 😀 \x1c\x85 z", "aaaa" * 50, *odd_texts()[:9]]
-    coded = bpe.encode(docs(spark, *texts), VOCABULARY, public_tokenizers.PATTERN, with_decoded=True)
-    got = {x["doc_id"]: x for x in coded.collect()}
-    for i, t in enumerate(texts):
-        assert np.frombuffer(got[i]["ids"], "<u4").tolist() == library.encode_ordinary(t or "") and bytes(got[i]["decoded"]) == (t or "").encode()
-    back = {x["doc_id"]: x["text"] for x in bpe.decode(coded, VOCABULARY).collect()}
-    assert back == {i: t or "" for i, t in enumerate(texts)}
+    r = random.Random(12)
+    mixed = ["".join(r.choice(" \n\t\u00a0\u3000aé1.,'s你😀") for _ in range(r.randrange(1, 40))) for _ in range(400)]
+    texts = ["Hello, world! it's 2024\n\n  x", "<|endoftext|>", "née 你好 😀 \x1c\x85 z", "aaaa" * 50, *mixed, *odd_texts()]
+    for pieces in (bpe.TABLE_PIECES, 16):
+        coded = bpe.encode(docs(spark, *texts), VOCABULARY, public_tokenizers.PATTERN, table_pieces=pieces)
+        got = {x["doc_id"]: x for x in bpe.decode(coded, VOCABULARY).collect()}
+        for i, t in enumerate(texts):
+            want = library.encode_ordinary(t or "")
+            assert got[i]["ids"] == want and bytes(got[i]["ids_bytes"]) == np.array(want, "<u4").tobytes()
+            assert bytes(got[i]["decoded"]) == (t or "").encode() and got[i]["n_tokens"] == len(want)
 
 
 def test_embedding_groups_against_brute_force(spark):
@@ -306,7 +309,7 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     for out in (
         licenses.scan(none), lines.clean_documents(none), decontaminate.contamination(none, bench), suffix.without_repeats(none), passages.without_repeats(none), minhash.near_groups(none, 5, 80), quality.classify(none, labels), toxicity.classify(none, labels),
-        bpe.encode(none, VOCABULARY, public_tokenizers.PATTERN), neighbours.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")),
+        bpe.digests(bpe.encode(none, VOCABULARY, public_tokenizers.PATTERN), VOCABULARY), neighbours.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")),
     ):
         assert out.count() == 0
 
