@@ -42,7 +42,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the digests of ids and decoded bytes."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.digests(bpe.encode(docs, path, public_tokenizers.PATTERN, with_decoded=True))
+    return bpe.digests(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
 
 
 STAGES = [
