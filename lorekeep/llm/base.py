@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task handles at once.
 PIECE_BYTES = 2 << 20
+#: So many ids, of some 24 bytes each in a hashed relation, are sent to all tasks rather than shuffled with whole texts.
+BROADCAST_IDS = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +65,12 @@ def discard(*tables: DataFrame | None) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def only(docs: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
+    """The rows of docs whose doc_id is among n_ids ids (id): by broadcast up to BROADCAST_IDS of them, else by a shuffle."""
+    side = ids.select(F.col("id").alias("wanted_id"))
+    return docs.join(F.broadcast(side) if n_ids <= BROADCAST_IDS else side, F.col("doc_id") == F.col("wanted_id"), "left_semi")
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts, to size shards and buckets by."""
     return docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0

@@ -1,7 +1,7 @@
 """MinHash near-dedup of whole documents.
 
 Method. A document's set is its distinct word shingles as 64-bit hashes. One permutation is
-hashed into BANDS * ROWS bins, each keeping its least value; an empty bin borrows from a
+hashed into BINS bins, each keeping its least value; an empty bin borrows from a
 non-empty one by optimal densification (a hash of bin and attempt picks the lender). ROWS bins
 make a band; documents that agree on a band share a bucket. Equal sets are first folded into
 one representative, whatever their number. Each bucket then offers star-shaped edges, centre to
@@ -12,11 +12,12 @@ components are gathered into groups, and all pairs of a group are compared block
 every colliding pair is either tested or already joined, while a bucket that its star joins
 costs no more than that.
 
-At a similarity of 0.85 a pair shares no bucket with probability (1 - 0.85^8)^36, about 1e-5;
-for exact copies never. Defined results: null or wordless text has an empty set, is linked with
-nothing and kept; a text of fewer words than a shingle has its whole sequence as one; a repeated
-doc_id gives repeated rows of one component; rows with a null doc_id are left out; other columns
-are ignored.
+A band takes as many ROWS as keep the chance that a pair at the threshold shares no bucket below
+MISSED: 36 bands of 8 at a similarity of 0.85 (1e-5), 48 of 6 at 0.80 (5e-7); exact copies always
+share one. Defined results: null or wordless text has an empty set, is linked with nothing and
+kept; a text of fewer words than a shingle has its whole sequence as one; rows of one doc_id are
+one document, linked by any of its texts, and each gives a row; rows with a null doc_id are left
+out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import checkpointed, pieces, texts
+from .base import checkpointed, discard, only, pieces, texts
 from .blocks import similar_inside
 from .graph import components
-from .words import SPACED, Words, mix, shingles
+from .words import SPACED, Words, distinct, mix, shingles
 
-BANDS, ROWS = 36, 8
-BINS = BANDS * ROWS
+BINS = 288
+MISSED = 2e-5
 #: Lenders tried by hash before an empty bin takes from the next non-empty bin to its right.
 ATTEMPTS = 192
 SALTS = 32
@@ -64,16 +65,25 @@ def densify(bins: np.ndarray) -> np.ndarray:
     return bins
 
 
-def band_keys(bins: np.ndarray) -> np.ndarray:
-    """A key for each row and band."""
-    grouped = bins.reshape(len(bins), BANDS, ROWS)
-    key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(bins), 1))
-    for r in range(ROWS):
+def band_rows(percent: int) -> int:
+    """Bins to a band: the most for which a pair at the threshold is missed at most MISSED times."""
+    fits = [r for r in range(1, 33) if BINS % r == 0 and (1 - (percent / 100) ** r) ** (BINS // r) <= MISSED]
+    if not fits:
+        raise ValueError(f"{BINS} bins find no pairs at a similarity of {percent} percent")
+    return max(fits)
+
+
+def band_keys(bins: np.ndarray, rows: int) -> np.ndarray:
+    """A key for each text and band of so many bins."""
+    bands = BINS // rows
+    grouped = bins.reshape(len(bins), bands, rows)
+    key = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(bins), 1))
+    for r in range(rows):
         key = mix(key * _U(0x9E3779B97F4A7C15) + grouped[:, :, r])
     return key
 
 
-def profile_texts(raws: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def profile_texts(raws: list[bytes], n: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each text: size of its set, two sums that name the set, band keys."""
     text, value = shingles(Words(raws, SPACED), n)
     hashed = mix(value)
@@ -95,19 +105,21 @@ def profile_texts(raws: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np
         at = np.searchsorted(owner, some)
         sums[0, some] = np.add.reduceat(mix(hashed + _U(1)), at)
         sums[1, some] = np.add.reduceat(mix(hashed ^ _U(0xA5A5A5A5A5A5A5A5)), at)
-    return size, sums[0], sums[1], band_keys(densify(bins.reshape(len(raws), BINS)))
+    return size, sums[0], sums[1], band_keys(densify(bins.reshape(len(raws), BINS)), rows)
 
 
 _PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
 
-def profiles(docs: DataFrame, n: int) -> DataFrame:
+def profiles(docs: DataFrame, n: int, rows: int) -> DataFrame:
+    bands = BINS // rows
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for first, raws in pieces(batch):
-                size, s1, s2, keys = profile_texts(raws, n)
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(0, len(raws) * BANDS + 1, BANDS), pa.int32()), pa.array(keys.view(np.int64).ravel()))
+                size, s1, s2, keys = profile_texts(raws, n, rows)
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(0, len(raws) * bands + 1, bands), pa.int32()), pa.array(keys.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([ids[first : first + len(raws)], pa.array(size.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), listed], schema=_PROFILE)
 
     return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys array<long>")
@@ -117,17 +129,16 @@ _SETS = pa.schema([("id", pa.int64()), ("grams", pa.binary())])
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(id, grams): the sorted distinct shingle hashes of each document."""
+    """(id, grams): the sorted distinct shingle hashes of each document, one row for each of its different sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, raws in pieces(batch):
-                text, value = shingles(Words(raws, SPACED), n)
-                cuts = np.searchsorted(text, np.arange(1, len(raws))) if (np.diff(text) >= 0).all() else None
-                parts = np.split(value, cuts) if cuts is not None else [value[text == i] for i in range(len(raws))]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[first : first + len(raws)], pa.array([np.unique(p).tobytes() for p in parts], pa.binary())], schema=_SETS)
+                text, value = distinct(*shingles(Words(raws, SPACED), n))
+                parts = np.split(value, np.searchsorted(text, np.arange(1, len(raws))))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[first : first + len(raws)], pa.array([p.tobytes() for p in parts], pa.binary())], schema=_SETS)
 
-    return docs.mapInArrow(run, "id long, grams binary")
+    return docs.mapInArrow(run, "id long, grams binary").dropDuplicates(["id", "grams"])
 
 
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -135,8 +146,8 @@ _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
-    wanted = pairs.select(F.col("a").alias("want")).union(pairs.select("b")).distinct()
-    sets = shingle_sets(docs.join(wanted, F.col("doc_id") == F.col("want"), "left_semi").dropDuplicates(["doc_id"]), n)
+    ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), F.count(F.lit(1)).alias("n"))
+    sets = checkpointed(shingle_sets(only(docs, ids, ids.seen["n"]), n))
     left = sets.select(F.col("id").alias("a"), F.col("grams").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
@@ -165,13 +176,16 @@ def near_groups(documents: DataFrame, n: int, percent: int) -> DataFrame:
     docs = texts(documents).filter("doc_id IS NOT NULL")
     named = ["n", "s1", "s2"]
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    profiled = checkpointed(profiles(docs, n).withColumn("salt", salt))
+    profiled = checkpointed(profiles(docs, n, band_rows(percent)).withColumn("salt", salt))
     some = profiled.filter("n > 0")
     dealt = some.groupBy(*named, "salt").agg(F.min("doc_id").alias("least"))
     rep = dealt.groupBy(*named).agg(F.min("least").alias("rep"))
     dealt = dealt.join(rep, named).select(*named, "salt", "rep")
     folded = some.join(dealt, [*named, "salt"])
     folded = checkpointed(folded.select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")))
+    # The texts of one doc_id hang together: each is tied to the representative of its set.
+    several = some.groupBy("doc_id").agg(F.min(F.struct(*named)).alias("x"), F.max(F.struct(*named)).alias("y")).filter("x <> y").select("doc_id")
+    own = folded.select("doc_id", "rep").join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
 
     bands = folded.filter("keys IS NOT NULL").select(F.col("rep").alias("id"), "n", F.explode("keys").alias("key"))
     centres = bands.groupBy("key").agg(F.min("id").alias("centre"), F.min_by("n", "id").alias("centre_n"), F.count("*").alias("members")).filter("members > 1")
@@ -179,15 +193,17 @@ def near_groups(documents: DataFrame, n: int, percent: int) -> DataFrame:
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     star = shared.filter((F.col("id") != F.col("centre")) & fits(F.col("n"), F.col("centre_n")))
     star = checkpointed(star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
-    edges = checkpointed(confirmed(star, docs, n, percent))
-    found = checkpointed(components(edges))
+    edges = checkpointed(confirmed(star, docs, n, percent).union(own))
+    found = components(edges)
 
-    open_ = checkpointed(unresolved(shared, found))
-    if open_.limit(1).count():
+    open_ = checkpointed(unresolved(shared, found), F.count(F.lit(1)).alias("n"))
+    discard(shared, star)
+    if open_.seen["n"]:
         groups = components(open_).withColumnRenamed("component", "grp")
-        sets = shingle_sets(docs.join(groups, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), n)
-        more = checkpointed(similar_inside(groups.join(sets, "id"), percent))
-        found = checkpointed(components(edges.union(more)))
+        ids = checkpointed(groups, F.count(F.lit(1)).alias("n"))
+        sets = shingle_sets(only(docs, ids, ids.seen["n"]), n)
+        more = checkpointed(similar_inside(ids.join(sets, "id"), percent))
+        found = components(edges.union(more))
 
     # Both sides are plain tables dealt by representative, so that a hot one is split at run time.
     linked = folded.join(found.withColumnRenamed("id", "rep"), "rep", "left")

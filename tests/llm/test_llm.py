@@ -201,6 +201,16 @@ def test_minhash_against_brute_force(spark):
     assert got == brute_groups(texts, 3, 85)
 
 
+def test_minhash_of_repeated_ids_and_by_either_join(spark, monkeypatch):
+    texts = [(1, "a b c d e f"), (1, "x y z w v u"), (2, "x y z w v u q"), (3, "a b c d e f"), (1, "a b c d e f"), (5, "k l m n"), (None, "k l m n"), (6, None), (6, "k l m n")]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    want = sorted([(1, 4, 1), (1, 4, 1), (1, 4, 1), (2, 5, 1), (3, 4, 1), (5, 2, 5), (6, 0, 6), (6, 2, 5)])
+    for most in (base.BROADCAST_IDS, 0):
+        monkeypatch.setattr(base, "BROADCAST_IDS", most)
+        assert sorted(tuple(x)[:3] for x in minhash.near_groups(table, 3, 75).collect()) == want
+    assert [minhash.band_rows(p) for p in (80, 85)] == [6, 8]
+
+
 def test_blocks_span_groups(monkeypatch):
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 60, 30).astype(np.uint64)) for _ in range(40)]
