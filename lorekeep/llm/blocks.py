@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import unique
+
 BLOCK = 256
 _COLUMNS = 2048
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -23,7 +25,7 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     out = np.zeros((len(left), len(right)))
     value = [np.concatenate(s) if s else np.zeros(0, np.uint64) for s in (left, right)]
     owner = [np.repeat(np.arange(len(s)), list(map(len, s))) for s in (left, right)]
-    common = np.intersect1d(np.unique(value[0]), np.unique(value[1]), assume_unique=True)
+    common = np.intersect1d(unique(value[0]), unique(value[1]), assume_unique=True)
     at = [np.minimum(np.searchsorted(common, v), max(0, len(common) - 1)) for v in value]
     for i in (0, 1):
         good = common[at[i]] == value[i] if len(common) else np.zeros(len(value[i]), bool)

@@ -4,8 +4,8 @@ Documents are dealt to shards of bounded size by a hash of their id. A shard sen
 distinct 64-bit keys once, as 4 bytes in a sorted block for the bucket that the key's upper bits
 name; a bucket compares its blocks and answers each with a bit for each key. Buckets are as many
 as the keys need, so that chance agreement of the 4 bytes stays as rare at any size; it only ever
-adds a candidate that an exact comparison then drops. A key that every document holds costs a
-shard one entry, so no bucket grows with a hot key.
+adds a candidate that an exact comparison then drops. A key that every document holds costs each
+shard one entry of 4 bytes; a bucket grows with the shards by no more than that for each such key.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from .base import parts_for, text_bytes
 
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 4 << 20
+#: Shards to a bucket of keys: a shard's row for a bucket holds keys enough to be worth its overhead.
+PER_BUCKET = 8
 _U = np.uint64
 
 
@@ -28,7 +30,7 @@ class Layout:
 
     def __init__(self, n_bytes: int):
         self.shards = parts_for(n_bytes, SHARD_BYTES, least=12)
-        self.buckets = max(12, self.shards // 2)
+        self.buckets = max(12, self.shards // PER_BUCKET)
 
     def bucket_of(self, keys: np.ndarray) -> np.ndarray:
         return ((keys >> _U(32)) % _U(self.buckets)).astype(np.int64)
@@ -78,8 +80,8 @@ def marks(shards: DataFrame, layout: Layout, keys_of: Callable[[np.ndarray, list
             out = []
             for _, x in blocks:
                 found = np.searchsorted(ordered, x, "right") - np.searchsorted(ordered, x, "left")
-                _, inverse, own = np.unique(x, return_inverse=True, return_counts=True)
-                out.append(np.packbits(found > own[inverse]).tobytes())
+                own = np.searchsorted(x, x, "right") - np.searchsorted(x, x, "left")
+                out.append(np.packbits(found > own).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in blocks], pa.int32()), pa.array([b] * len(blocks), pa.int32()), pa.array(out, pa.binary())], schema=_MARK)
 
     sent = shards.groupBy("shard").applyInArrow(send, "bucket int, shard int, block binary")

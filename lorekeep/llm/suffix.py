@@ -5,8 +5,10 @@ by Larsson-Sadakane refinement: ranks by the first 8 bytes, then doubled, only g
 still tied being sorted again. Kasai's common prefixes of neighbours, cut at that length, tell
 where one repeated string ends and the next begins; a string's least doc_id in the shard follows.
 Strings are then merged across shards by binary search: a shard sends those that may occur
-elsewhere to the bucket of the string's minimizer, each once, and the bucket finds them in the
-sorted strings of all shards, compares the bytes, and answers with the least doc_id's verdict.
+elsewhere to the bucket of the string's minimizer, each once; the bucket sorts each shard's strings
+by a hash, finds them by binary search among the sorted ones of all shards, compares the bytes, and
+answers with the least doc_id's verdict. (The order of the merge is that of the hashes, as 50 bytes
+are dear to compare; the order of the bytes decides inside a shard.)
 
 Before sorting, only the stretches whose minimizers (the least of the LENGTH - GRAM + 1 hashed
 grams of a string) occur in another document are kept, as equal strings have equal minimizers.
@@ -14,7 +16,8 @@ Nothing that can match is lost by that, and text that no other document shares i
 
 Defined results: null text is empty; texts shorter than LENGTH lose nothing; a doc_id that
 repeats is treated as one document for matching (its rows never remove each other) and gives a
-row each; NUL and any other bytes are ordinary; other columns are ignored.
+row each; rows with a null doc_id are left out; NUL and any other bytes are ordinary; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .base import texts
 from .shards import Layout, dealt, marked, marks, sorted_docs
-from .words import mix, powers
+from .words import mix, powers, unique
 
 LENGTH = 50
 GRAM = 26
@@ -203,7 +206,7 @@ def minimizer_runs(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def shard_keys(ids: np.ndarray, raws: list[bytes]) -> np.ndarray:
-    return np.unique(minimizer_runs(raws)[2])
+    return unique(minimizer_runs(raws)[2])
 
 
 def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -228,6 +231,11 @@ _SENT = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("runs", pa.bi
 _SPANS = pa.schema([("shard", pa.int32()), ("spans", pa.binary())])
 
 
+def string_bucket(layout: Layout, keys: np.ndarray) -> np.ndarray:
+    """Strings are longer than keys, so they are dealt to as many buckets as there are shards."""
+    return ((mix(keys) >> _U(20)) % _U(layout.shards)).astype(np.int64)
+
+
 def shard_strings(shard: int, ids: np.ndarray, raws: list[bytes], layout: Layout, mark_rows: pa.Table) -> pa.Table:
     """What a shard's suffix array decides by itself (bucket -1) and what its buckets must decide."""
     blob, begin = join_texts(raws)
@@ -235,7 +243,7 @@ def shard_strings(shard: int, ids: np.ndarray, raws: list[bytes], layout: Layout
     keys, key = np.unique(low, return_inverse=True)
     elsewhere = marked(layout, keys, mark_rows)
     text = np.searchsorted(begin, start, "right") - 1
-    pairs = np.unique(key * len(raws) + text)
+    pairs = unique(key * len(raws) + text)
     here = np.bincount(pairs // max(1, len(raws)), minlength=len(keys)) > 1
     chosen = (elsewhere | here)[key] if len(keys) else np.zeros(0, bool)
     start, n, key, text = start[chosen], n[chosen], key[chosen], text[chosen]
@@ -264,7 +272,7 @@ def shard_strings(shard: int, ids: np.ndarray, raws: list[bytes], layout: Layout
     runs = np.zeros(len(first), _RUN)
     runs["doc"], runs["n"], runs["id"] = text[first], n, ids[text[first]]
     runs["start"] = place[first] - begin[text[first]]
-    bucket = layout.bucket_of(keys[key[first]]) if len(first) else np.zeros(0, np.int64)
+    bucket = string_bucket(layout, keys[key[first]]) if len(first) else np.zeros(0, np.int64)
     by_bucket = np.argsort(bucket, kind="stable")
     for own in np.split(by_bucket, np.flatnonzero(np.diff(bucket[by_bucket])) + 1):
         if len(own):
@@ -283,29 +291,35 @@ def merge_bucket(blocks: list[tuple[int, np.ndarray, bytes]]) -> list[tuple[int,
     place = begin[run] + step
     name = gram_hashes(blob, LENGTH)[place]
     owner = runs["id"][run]
-    ordered, some = np.unique(name, return_index=True)
+    # A string's number in its shard's block rides in the low bits of its hash, so that sorting carries it.
+    sizes = [int(r["n"].sum()) for _, r, _ in blocks]
+    low = _U((1 << max(sizes, default=1).bit_length()) - 1)
+    edge = np.concatenate(([0], np.cumsum(sizes)))
+    sorted_names = [np.sort((name[a:b] & ~low) | np.arange(b - a, dtype=np.uint64)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    ordered = unique(np.concatenate(sorted_names) & ~low)
     group = np.empty(len(name), dtype=np.int64)
-    at = 0
-    for _, r, _ in blocks:  # each shard's strings are looked up among the sorted ones of all
-        k = int(r["n"].sum())
-        group[at : at + k] = np.searchsorted(ordered, name[at : at + k])
-        at += k
+    for a, mine in zip(edge[:-1], sorted_names, strict=True):  # binary search of each shard's strings among those of all
+        group[a + (mine & low).astype(np.int64)] = np.searchsorted(ordered, mine & ~low)
+    # Only strings that are not alone can have a smaller owner; their bytes are compared with one of their group.
+    several = np.flatnonzero(np.bincount(group, minlength=len(ordered))[group] > 1)
+    group, place, owner, run, step = group[several], place[several], owner[several], run[several], step[several]
+    some = np.zeros(len(ordered), dtype=np.int64)
+    some[group] = place
     words = first_eight(np.concatenate((blob, np.zeros(8, np.uint8))))
-    model = place[some][group]
+    model = some[group]
     equal = np.ones(len(place), dtype=bool)
     for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
         equal &= words[place + k] == words[model + k]
     if not equal.all():  # two strings with one hash: the group is told apart by the bytes themselves
-        odd = np.flatnonzero(np.isin(group, np.unique(group[~equal])))
+        odd = np.flatnonzero(np.isin(group, unique(group[~equal])))
         names: dict[tuple[int, bytes], int] = {}
         for i in odd.tolist():
             group[i] = names.setdefault((int(group[i]), blob[place[i] : place[i] + LENGTH].tobytes()), len(ordered) + len(names))
-        group = np.unique(group, return_inverse=True)[1]
     least = np.full(int(group.max(initial=-1)) + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, group, owner)
     gone = least[group] < owner
     index = np.flatnonzero(gone)
-    first, k = runs_of(index, run[index])
+    first, k = runs_of(place[index], run[index])
     spans = np.zeros(len(first), _SPAN)
     of = run[index[first]]
     spans["doc"] = runs["doc"][of]
@@ -337,8 +351,8 @@ def removed_spans(shards: DataFrame, layout: Layout) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], schema=_SPANS)
 
     found = shards.groupBy("shard").cogroup(marks(shards, layout, shard_keys).groupBy("shard")).applyInArrow(decide, "bucket int, shard int, runs binary, strings binary")
-    to = F.when(F.col("bucket") < 0, F.col("shard") % layout.buckets).otherwise(F.col("bucket"))
-    return found.repartition(layout.buckets, to).mapInArrow(merge, "shard int, spans binary")
+    to = F.when(F.col("bucket") < 0, F.col("shard")).otherwise(F.col("bucket"))
+    return found.repartition(layout.shards, to).mapInArrow(merge, "shard int, spans binary")
 
 
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kept", pa.binary())])

@@ -37,6 +37,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def unique(x: np.ndarray) -> np.ndarray:
+    """Distinct values in order. Sorting is several times faster here than numpy's hashing."""
+    x = np.sort(x, axis=None)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 @lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     def up(base: int) -> np.ndarray:
