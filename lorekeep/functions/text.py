@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -87,6 +88,20 @@ def json_or_text(raw: Column) -> Column:
     return F.coalesce(F.try_parse_json(text), text.cast("variant"))
 
 
+def json_fields(text: Column) -> Column:
+    """The fields of a JSON object as MAP<STRING, VARIANT>; of anything else, none."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+
+
+def json_merged(*fields: Column) -> Column:
+    """One JSON object of several field maps, later ones before earlier ones; keys sorted at every level, as a VARIANT holds them."""
+
+    def before(earlier: Column, later: Column) -> Column:
+        return F.map_concat(F.map_filter(earlier, lambda k, v: ~F.map_contains_key(later, k)), later)
+
+    return F.to_json(F.parse_json(F.to_json(reduce(before, fields))))
+
+
 def external_ref(vault: Column, path: Column) -> Column:
     return F.concat(F.lit("obsidian:"), vault, F.lit("/"), F.regexp_replace(F.translate(path, "\\", "/"), "^/+", ""))
 

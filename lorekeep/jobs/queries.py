@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..functions import validation as va
 from ..functions import vectors as vx
 from ..functions.visibility import resolve
-from ..operators import export, formation, index, ingest, retrieval, versions
+from ..operators import candidates, export, formation, importing, index, ingest, retrieval, store, versions
 from ..sources import tables as t
 
 QUERY = "that and the hand of thing"
@@ -119,7 +119,7 @@ def phrase_hits(spark: SparkSession, sf: str) -> DataFrame:
 def document_frequencies(spark: SparkSession, sf: str) -> DataFrame:
     """SK12, A8: the rebuilt postings of memories, summed per term."""
     postings = retrieval.build_index(t.memories(spark, sf), (("content", 1.0), ("subject", 0.5))).postings
-    return postings.groupBy("term").agg(F.count("*").alias("df"), F.round(F.sum("tf"), 6).alias("total")).filter("df >= 5")
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.round(F.sum("tf"), 6).alias("total"))
 
 
 @query
@@ -179,7 +179,7 @@ def folded_status(spark: SparkSession, sf: str) -> DataFrame:
     changes = t.table(spark, sf, "labels").select(
         F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"), F.when(F.col("toxic") == 1, "deleted").when(F.col("quality") == 0, "archived").otherwise("active").alias("status"), F.lit(None).cast("long").alias("superseded_by")
     )
-    return versions.fold_changes(t.memories(spark, sf), changes).groupBy("status", "revision").agg(F.count("*").alias("n"), F.sum("id").alias("id_sum"))
+    return versions.fold_changes(t.memories(spark, sf), changes).select("id", "status", "revision")
 
 
 @query
@@ -187,14 +187,31 @@ def key_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """SK9, SK10: the vectors of rows divisible by 4 written again under a new model, keyed by id."""
     have = t.vectors(spark, sf).select("memory_id", "model_id")
     new = have.filter(F.col("memory_id") % 4 == 0).withColumn("model_id", F.lit("second")).withColumn("seq", F.col("memory_id"))
-    return versions.upsert(have, new, ("memory_id",)).groupBy("model_id").agg(F.count("*").alias("n"), F.sum("memory_id").alias("id_sum"))
+    return versions.upsert(have, new, ("memory_id",)).select("memory_id", "model_id")
 
 
 @query
 def hard_delete(spark: SparkSession, sf: str) -> DataFrame:
     """SK6: what is left once toxic documents are deleted."""
     gone = t.table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
-    return versions.without(t.memories(spark, sf), gone).groupBy("scope").agg(F.count("*").alias("n"))
+    return versions.without(t.memories(spark, sf), gone).select("id", "scope")
+
+
+@query
+def superseded_memories(spark: SparkSession, sf: str) -> DataFrame:
+    """SK4: every labelled document's memory superseded by a successor; the table after both changes."""
+    rows = t.memories(spark, sf).select(F.col("id").cast("string").alias("id"), "content", "status")
+    next_ = t.table(spark, sf, "labels").select(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("id"), F.lit("new").alias("content"), F.lit("active").alias("status"), F.col("doc_id").cast("string").alias("supersedes"))
+    changes, added = store.superseded(rows, next_)
+    folded = versions.fold_changes(rows, changes.withColumn("seq", F.lit(0))).select("id", "status", "superseded_by", "revision")
+    return folded.unionByName(added.select("id", "status", F.lit(None).cast("string").alias("superseded_by"), F.lit(1).alias("revision")))
+
+
+@query
+def meta_values(spark: SparkSession, sf: str) -> DataFrame:
+    """SC20, SK9: what was last written of each key."""
+    e = t.table(spark, sf, "events")
+    return store.meta(e.select(F.struct("ts", "event_id").alias("seq"), F.concat_ws(".", "event_type", (F.col("user_id") % 50).cast("string")).alias("key"), F.col("event_id").alias("value")))
 
 
 # -- scans, counts, sets -----------------------------------------------------
@@ -352,7 +369,7 @@ def glob_matches(spark: SparkSession, sf: str) -> DataFrame:
     """F8: document paths under globs."""
     path = F.concat_ws("/", F.lit("Notes"), F.col("subject"), F.array_join("tags", "-"), F.concat(F.col("id").cast("string"), F.lit(".md")))
     rows = t.memories(spark, sf).select("id", path.alias("path"))
-    globs = {"any_md": "**/*.md", "german": "notes/de/**", "teens": "1?.md", "digits": "Notes/*/src[1-3]/*"}
+    globs = {"not_md": "**/*.txt", "german": "notes/de/**", "teens": "1?.md", "digits": "Notes/*/src[1-3]/*"}
     return rows.select("id", *[tx.matches_glob(F.col("path"), g).alias(n) for n, g in globs.items()])
 
 
@@ -362,31 +379,68 @@ def _notes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def scope_mapping(spark: SparkSession, sf: str) -> DataFrame:
-    """P9, IG4: scopes by path."""
-    return _notes(spark, sf).select("doc_id", ingest.mapped_scope(F.col("rel_path")).alias("scope"))
+    """P9, IG4: scopes by path, the first pattern that fits."""
+    path = F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
+    rules = (("DE/*/*", "persona:{name}"), ("*/src1/**", "project:{name}"), ("fr/**", "global"), ("*/*/?.md", "project:short"))
+    return t.table(spark, sf, "documents").select("doc_id", ingest.mapped_scope(path, rules).alias("scope"))
+
+
+def _typed_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as notes: of five, one declares a preference, one a project state, and one begins with a marker."""
+    n = F.col("doc_id") % 5
+    head = (
+        F.when(n == 1, F.concat(F.lit("---\ntype: preference # declared\nkey: tone"), (F.col("doc_id") % 3).cast("string"), F.lit("\nvalue: 'v"), F.col("doc_id").cast("string"), F.lit("'\n---\n")))
+        .when(n == 2, F.concat(F.lit("---\ntitle: State\ntype: project-state\nproject: "), F.split("rel_path", "/")[1], F.lit("\nphase: two\nopen:\n- a\n---\n"))).when(n == 3, "remember: ").otherwise("")
+    )
+    return _notes(spark, sf).select("rel_path", F.concat(head, F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def _planned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(parsed, plan, seen) of the typed notes, where the labelled documents' notes are known."""
+    parsed = ingest.parse(_typed_notes(spark, sf))
+    chunks = ingest.routed(ingest.chunked(parsed))
+    known = t.table(spark, sf, "labels").select(F.concat(F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("name")).distinct()
+    seen = chunks.join(known, F.col("name") == F.regexp_extract("rel_path", r"(/\d+\.md)$", 1), "left_semi").select("rel_path", "body_hash", "content_hash")
+    return parsed, ingest.plan(chunks, seen), seen
 
 
 @query
 def chunk_notes(spark: SparkSession, sf: str) -> DataFrame:
     """IG1, P1, P2, P10, W4, W5, W6, SC17, X13: every document parsed and chunked as a note."""
-    chunks = ingest.chunked(ingest.parse(_notes(spark, sf)))
+    chunks = ingest.chunked(ingest.parse(_typed_notes(spark, sf)))
     return chunks.select("rel_path", "title", "ordinal", "line_start", "line_end", "content_hash")
 
 
 @query
 def route_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """IG2, IG3, IG5, P6, J-3: chunks by route and scope."""
-    routed = ingest.routed(ingest.chunked(ingest.parse(_notes(spark, sf))))
-    return routed.groupBy("route", "scope").agg(F.count("*").alias("n"))
+    return ingest.routed(ingest.chunked(ingest.parse(_typed_notes(spark, sf)))).select("rel_path", "ordinal", "route", "scope", "key", "value")
 
 
 @query
 def import_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """J8, J9, IG6, IG7, IG8, A10, A12: what an import of all documents would do where the labelled ones are known."""
-    chunks = ingest.chunked(ingest.parse(_notes(spark, sf)))
-    known = t.table(spark, sf, "labels").select(F.concat(F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("name")).distinct()
-    seen = chunks.join(known, F.col("name") == F.regexp_extract("rel_path", r"(/\d+\.md)$", 1), "left_semi").select("rel_path", "body_hash", "content_hash")
-    return ingest.plan(chunks, seen).groupBy("status", "action").agg(F.count("*").alias("n"), F.countDistinct("rel_path").alias("n_notes"))
+    """J8, J9, IG6, IG8, A12: the status of each note, and what an import would do with its chunks."""
+    return importing.documents(*_planned(spark, sf)).select("rel_path", "status", "n_chunks", "n_ingest", "n_skipped")
+
+
+@query
+def import_records(spark: SparkSession, sf: str) -> DataFrame:
+    """IG7, IG9, J-2, FM7, SK1, SK2: the rows that an import appends, with their provenance."""
+    made = importing.records(_planned(spark, sf)[1], "vault", t.memories(spark, sf))
+    none, source = F.lit(None).cast("string"), lambda p: F.get_json_object("source", p)
+    event = made["event"].select(F.lit("event").alias("relation"), "id", "scope", none.alias("key"), none.alias("value"), F.col("session_id").alias("ref"), F.get_json_object("metadata", "$.content_hash").alias("content_hash"), F.col("id").alias("event_id"))
+    parts = [
+        made[name].select(F.lit(name).alias("relation"), "id", "scope", F.col(key).alias("key"), value.alias("value"), source("$.external_ref").alias("ref"), source("$.content_hash").alias("content_hash"), source("$.event_ids[0]").alias("event_id"))
+        for name, key, value in (("memory", "kind", F.sha2("content", 256)), ("preference", "key", F.col("value")), ("project_state", "project_id", F.col("state")))
+    ]
+    return event.unionByName(parts[0]).unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def import_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """One import summed up."""
+    parsed, planned, seen = _planned(spark, sf)
+    return importing.counters(importing.documents(parsed, planned, seen), importing.records(planned, "vault", t.memories(spark, sf)))
 
 
 # -- formation ---------------------------------------------------------------
@@ -396,7 +450,7 @@ def _utterances(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations, every third turn made an explicit instruction."""
     c = t.table(spark, sf, "conversations")
     n = F.col("conv_id") + F.col("turn")
-    head = F.substring("text", 1, 60)
+    head = F.coalesce("text", F.lit(""))
     text = (
         F.when(n % 9 == 0, F.concat(F.lit("Remember: "), head)).when(n % 9 == 3, F.concat(F.lit("preference: tone"), F.col("turn").cast("string"), F.lit(" = calm")))
         .when(n % 9 == 6, F.concat(F.lit("note that project p"), F.col("conv_id").cast("string"), F.lit(' = {"turn": '), F.col("turn").cast("string"), F.lit("}"))).otherwise(F.col("text"))
@@ -421,8 +475,8 @@ def _candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def policy_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    """FM5, FM6, F12, J11: verdicts on candidates against half of the stored documents."""
-    stored = t.table(spark, sf, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.concat(F.lit("project:"), F.col("source")).alias("scope"), F.col("text").alias("content"))
+    """FM5, FM6, F12, J11: verdicts on candidates against all stored documents, of which the active ones can be duplicated."""
+    stored = t.memories(spark, sf).withColumn("scope", F.concat(F.lit("project:"), F.get("tags", 0)))
     return formation.judge(_candidates(spark, sf), stored).select("id", "verdict", "accepted")
 
 
@@ -434,14 +488,38 @@ def candidate_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def commit_routes(spark: SparkSession, sf: str) -> DataFrame:
-    """FM7: accepted candidates by the log they go to."""
-    formed = formation.dedupe(formation.extract(_utterances(spark, sf)).filter("target IS NOT NULL"))
-    parts = formation.routed(formed.withColumn("accepted", F.lit(True)))
-    out = None
-    for name, rows in parts.items():
-        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("log"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """FM3, FM7, FM8, FM9: every turn an event, and the rules' accepted candidates in the log they go to."""
+    turns = _utterances(spark, sf).withColumns({"event_id": F.concat(F.lit("evt_"), F.col("id").cast("string")), "given": F.lit(None).cast("string")})
+    found, _ = formation.collect(formation.rule_candidates(turns))
+    made = formation.formed(turns, found, t.memories(spark, sf))
+    none = F.lit(None).cast("string")
+    event = made["event"].select(F.lit("event").alias("log"), F.col("id").alias("event_id"), "scope", none.alias("key"), F.sha2("content", 256).alias("value"))
+    of = F.get_json_object("source", "$.event_ids[0]").alias("event_id")
+    return (
+        event.unionByName(made["memory"].select(F.lit("memory").alias("log"), of, "scope", F.col("kind").alias("key"), F.sha2("content", 256).alias("value")))
+        .unionByName(made["preference"].select(F.lit("preference").alias("log"), of, "scope", "key", "value")).unionByName(made["project_state"].select(F.lit("project_state").alias("log"), of, "scope", F.col("project_id").alias("key"), F.col("state").alias("value")))
+    )
+
+
+@query
+def parsed_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """P7, P8, U3, J-5: model responses made of conversation turns, parsed strictly; broken ones give their reason."""
+    c = t.table(spark, sf, "conversations")
+    n = F.col("turn") % 6
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r'[\\"\x00-\x1F]', " ")
+    item = F.concat(F.lit('{"operation": "'), F.when(n == 1, "UPDATE").when(n == 2, "skip").when(n == 3, "guess").otherwise("add"), F.lit('", "content": "'), text, F.lit('"'), F.when(n == 1, F.concat(F.lit(', "supersedes_id": "'), F.col("conv_id").cast("string"), F.lit('"'))).otherwise(""), F.when(n == 4, ', "extra": 1').otherwise(""), F.lit("}"))
+    raw = F.concat(F.when(n == 5, "Here you are: ").otherwise("```json\n"), F.lit('{"memories": ['), item, F.lit("]}"), F.when(n == 5, " - done").otherwise("\n```"))
+    rows = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.lit("global").alias("scope"), raw.alias("raw"), F.array((F.col("conv_id") - F.col("conv_id") % 2).cast("string")).alias("context_ids"))
+    return candidates.extract(rows).select("id", "target", "operation", "kind", "supersedes", "reason", F.sha2("content", 256).alias("content_sha"))
+
+
+@query
+def prompt_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """The memory context of each benchmark text's prompt (the model call is the caller's)."""
+    rows, asked = t.memories(spark, sf), t.benchmark_queries(spark, sf)
+    found = retrieval.merge(retrieval.memory_keyword(rows, asked, 5, resolve(), kinds=("semantic", "episodic")), k=5)
+    full = found.join(rows.select(F.col("id").cast("string").alias("id"), "kind", "content"), "id").withColumns({"key": F.lit(None).cast("string"), "value": F.lit(None).cast("string")})
+    return export.prompt_context(full, asked).select("qid", F.sha2("context", 256).alias("sha"))
 
 
 # -- export ------------------------------------------------------------------
@@ -456,9 +534,12 @@ def export_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def mirror_files(spark: SparkSession, sf: str) -> DataFrame:
-    """SK15, A15: the mirror's blocks, counted and digested by file."""
-    rows = t.memories(spark, sf).filter("status = 'active'").select("id", "scope", F.col("subject").alias("title"), tx.preview(F.col("content")).alias("body"))
-    return export.mirror_blocks(rows).select("file", F.col("position").alias("id"), F.sha2("block", 256).alias("sha"))
+    """SK15, A15: every block of the mirror, whole contents, by file."""
+    rows = t.memories(spark, sf).withColumns({"salience": F.lit(0.5), "confidence": F.lit(1.0)})
+    now = versions.current(t.preferences(spark, sf), ("scope", "key"))
+    now = now.select("id", "scope", "key", F.concat(F.lit('"'), F.substring_index("statement", " = ", -1), F.lit('"')).alias("value"), "confidence", F.col("id").alias("created_at"))
+    states = versions.current(t.states(spark, sf), ("project_id", "scope")).withColumn("created_at", F.col("id"))
+    return export.mirror_blocks(rows, now, states, "2024-01-01").select("file", "kind_no", "id", F.sha2("block", 256).alias("sha"))
 
 
 @query

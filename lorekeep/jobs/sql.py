@@ -87,8 +87,34 @@ def vector_list(extra: str, before: str = "", ids: str = QV) -> str:
 
 V_OUT = "SELECT qid, id, item_type, round(score, 6) AS score, matched_on, position FROM v_list WHERE position <= 10"
 NOTES = "notes AS (SELECT 'Projects/' || source || '/' || doc_id || '.md' AS rel_path, text, doc_id, source FROM documents)"
-HASH = r"sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(content, ''), '\r\n?', chr(10), 'g'), '[^\S\n]+(\n|\z)', '\1', 'g'), '\A\n+', ''), '\n+\z', ''))"
-UTTERANCES = """utt AS (SELECT conv_id * 1000 + turn AS id, 'session:' || conv_id AS scope, conv_id, turn, (conv_id + turn) % 9 AS n, text, substr(text, 1, 60) AS head FROM conversations)"""
+
+
+
+def norm(column: str) -> str:
+    """The form of a text that is hashed."""
+    return rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce({column}, ''), '\r\n?', chr(10), 'g'), '[^\S\n]+(\n|\z)', '\1', 'g'), '\A\n+', ''), '\n+\z', '')"
+
+
+HASH = f"sha256({norm('content')})"
+UTTERANCES = """utt AS (SELECT conv_id * 1000 + turn AS id, 'session:' || conv_id AS scope, conv_id, turn, (conv_id + turn) % 9 AS n, text, coalesce(text, '') AS head FROM conversations)"""
+#: Notes of queries._typed_notes as their one chunk: the driver's documents have no blank lines and no headings.
+TYPED = rf"""typed AS (SELECT doc_id, source, doc_id % 5 AS n, 'Projects/' || source || '/' || doc_id || '.md' AS rel_path, {norm("CASE WHEN doc_id % 5 = 3 THEN 'remember: ' ELSE '' END || coalesce(text, '')")} AS text FROM documents),
+  chunks AS (SELECT *, 'sha256:' || sha256(text) AS content_hash, 'project:' || source AS scope, CASE WHEN n = 2 THEN 'State' ELSE doc_id::VARCHAR END AS title,
+    CASE n WHEN 1 THEN 'preference' WHEN 2 THEN 'project_state' WHEN 3 THEN 'declaration' ELSE 'knowledge' END AS route, CASE n WHEN 1 THEN 'tone' || doc_id % 3 WHEN 2 THEN source END AS key,
+    CASE n WHEN 1 THEN 'v' || doc_id WHEN 2 THEN '{{"open":"[\"a\"]","phase":"two"}}' END AS value, doc_id IN (SELECT doc_id FROM labels) AS known
+    FROM typed WHERE n = 3 OR length(text) >= 40)"""
+
+
+def sortable(prefix: str, *parts: str) -> str:
+    return f"{prefix} || '_0000000000' || substr(sha256({' || chr(31) || '.join(parts)}), 1, 16)"
+
+
+def imported() -> str:
+    """CTEs of what an import appends: ev (each new chunk with its event's id), pick (declarations with content and verdict)."""
+    body = r"regexp_replace(regexp_replace(text, '\Aremember: *', ''), '\A[：:,，、;；= \t\n\s]+|\s+\z', '', 'g')"
+    return rf"""{M}, {TYPED}, ev AS (SELECT *, 'obsidian:vault/' || rel_path AS ref, {sortable("'evt'", "'obsidian:vault/' || rel_path", "content_hash", "'0'")} AS event_id FROM chunks WHERE NOT known),
+    said AS (SELECT *, {body} AS body FROM ev WHERE n = 3), held AS (SELECT DISTINCT scope, {dup('content')} AS form FROM memories WHERE status = 'active'),
+    pick AS (SELECT s.*, length({dup('body')}) >= 4 AND h.form IS NULL AS accepted FROM said s LEFT JOIN held h ON h.scope = s.scope AND h.form = {dup('s.body')} WHERE body <> '')"""
 CANDIDATES = """cand AS (SELECT doc_id + 10000000 AS id, 'project:' || source AS scope, CASE WHEN doc_id % 5 = 4 THEN 'preference' ELSE 'memory' END AS target,
   CASE WHEN doc_id % 17 = 0 THEN 'noop' WHEN doc_id % 4 = 1 THEN 'supersede' ELSE 'add' END AS operation, (doc_id % 20) / 20.0 AS confidence,
   CASE WHEN doc_id % 29 = 0 THEN 'ab' ELSE '  ' || text || ' ' || chr(10) END AS content, CASE WHEN doc_id % 10 = 4 THEN 'tone' END AS key, (doc_id * 3)::VARCHAR AS supersedes FROM documents)"""
@@ -119,7 +145,7 @@ SQL = {
       UNION ALL SELECT qid, id, item_type, round(score, 6), matched_on, position FROM both_lists JOIN sides USING (qid) WHERE sides = 1 AND position <= 10""",
     "phrase_hits": f"WITH {M} SELECT id, length({form('content')})::BIGINT AS n_chars FROM memories WHERE contains({form('content')}, 'of the')",
     "document_frequencies": f"""WITH {M}, t AS (SELECT id, unnest({terms('content')}) AS term, 1.0 AS w FROM memories UNION ALL SELECT id, unnest({terms('subject')}), 0.5 FROM memories)
-      SELECT term, count(DISTINCT id) AS df, round(sum(w::DOUBLE), 6) AS total FROM t GROUP BY term HAVING count(DISTINCT id) >= 5""",
+      SELECT term, count(DISTINCT id) AS df, round(sum(w::DOUBLE), 6) AS total FROM t GROUP BY term""",
     "corpus_statistics": f"WITH {M} SELECT count(*) AS n, round(avg(len({terms('content')}) + len({terms('subject')})), 6) AS avglen FROM memories",
     "current_preferences": f"WITH {P} SELECT scope, key, id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY scope, key ORDER BY created_at DESC, id DESC) AS v FROM prefs) WHERE v = 1",
     "preference_history": f"WITH {P} SELECT scope, key, id, row_number() OVER w AS version, lead(id) OVER w AS superseded_by FROM prefs WINDOW w AS (PARTITION BY scope, key ORDER BY created_at, id)",
@@ -128,10 +154,9 @@ SQL = {
     "version_counts": """SELECT 'preferences' AS log, count(*) AS all_rows, count(DISTINCT (user_id, event_type)) AS current_rows FROM events
       UNION ALL SELECT 'states', count(*), count(DISTINCT user_id) FROM events""",
     "dangling_links": f"WITH {P}, h AS (SELECT id, lead(id) OVER (PARTITION BY scope, key ORDER BY created_at, id) AS superseded_by FROM prefs) SELECT id, superseded_by FROM h WHERE id % 50 <> 0 AND superseded_by % 50 = 0",
-    "folded_status": f"""WITH {M}, {changes()} SELECT coalesce(ch.status, m.status) AS status, (1 + CASE WHEN ch.id IS NULL THEN 0 ELSE 1 END)::INTEGER AS revision, count(*) AS n, sum(m.id)::BIGINT AS id_sum
-      FROM memories m LEFT JOIN ch ON m.id = ch.id GROUP BY ALL""",
-    "key_upsert": "SELECT CASE WHEN vec_id % 4 = 0 THEN 'second' ELSE 'given:64' END AS model_id, count(*) AS n, sum(vec_id)::BIGINT AS id_sum FROM embeddings GROUP BY ALL",
-    "hard_delete": f"WITH {M} SELECT scope, count(*) AS n FROM memories WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY scope",
+    "folded_status": f"WITH {M}, {changes()} SELECT m.id, coalesce(ch.status, m.status) AS status, (1 + CASE WHEN ch.id IS NULL THEN 0 ELSE 1 END)::INTEGER AS revision FROM memories m LEFT JOIN ch ON m.id = ch.id",
+    "key_upsert": "SELECT vec_id AS memory_id, CASE WHEN vec_id % 4 = 0 THEN 'second' ELSE 'given:64' END AS model_id FROM embeddings",
+    "hard_delete": f"WITH {M} SELECT id, scope FROM memories WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "memory_page": f"WITH {M} SELECT id, scope, kind FROM memories WHERE {ACTIVE} AND kind IN ('semantic', 'identity') ORDER BY created_at DESC, id LIMIT 25 OFFSET 20",
     "session_events": f"WITH {L} SELECT id, role, content FROM log WHERE session_id = 5",
     "event_by_id": f"WITH {L} SELECT id, role, content FROM log WHERE session_id = 3 AND created_at = 0",
@@ -163,27 +188,58 @@ SQL = {
     "previews": rf"""WITH {M}, f AS (SELECT id, scope, trim(regexp_replace(coalesce(content, ''), '\s+', ' ', 'g')) AS flat FROM memories)
       SELECT id, replace(scope, ':', '-') AS slug, CASE WHEN length(flat) <= 120 THEN flat ELSE substr(flat, 1, 120) || '...' END AS preview FROM f""",
     "external_refs": f"WITH {M} SELECT id, 'obsidian:vault/' || subject || '/' || id || '.md' AS ref, subject || '/' || id || '.md' AS rel_path FROM memories",
-    "glob_matches": f"""WITH {M} SELECT id, true AS any_md, subject = 'de' AS german, id BETWEEN 10 AND 19 AS teens, tag IN ('src1', 'src2', 'src3') AS digits FROM memories""",
-    "scope_mapping": "SELECT doc_id, 'project:' || source AS scope FROM documents",
+    "glob_matches": f"""WITH {M} SELECT id, false AS not_md, subject = 'de' AS german, id BETWEEN 10 AND 19 AS teens, tag IN ('src1', 'src2', 'src3') AS digits FROM memories""",
+    "scope_mapping": "SELECT doc_id, CASE WHEN lang = 'de' THEN 'persona:' || source WHEN source = 'src1' THEN 'project:' || lang WHEN lang = 'fr' THEN 'global' WHEN doc_id < 10 THEN 'project:short' END AS scope FROM documents",
     "rule_extract": rf"""WITH {UTTERANCES}, h AS (SELECT *, regexp_replace(regexp_replace(head, '\A[：:,，、;；= \t\n\s]+', ''), '\s+\z', '') AS body FROM utt)
       SELECT id, CASE WHEN n = 0 THEN CASE WHEN body <> '' THEN 'memory' END WHEN n = 3 THEN 'preference' WHEN n = 6 THEN 'project_state' END AS target,
         CASE WHEN n = 0 AND body <> '' THEN 'semantic' END AS kind, CASE WHEN n = 3 THEN 'tone' || turn WHEN n = 6 THEN 'p' || conv_id END AS key,
         CASE WHEN n = 3 THEN 'calm' WHEN n = 6 THEN '{{"turn": ' || turn || '}}' END AS value,
         CASE WHEN n = 0 AND body = '' THEN 'nothing after the trigger' WHEN n IN (0, 3, 6) THEN NULL WHEN trim(coalesce(text, '')) = '' THEN 'empty utterance' ELSE 'no explicit instruction' END AS reason FROM h""",
-    "policy_verdicts": f"""WITH {CANDIDATES}, held AS (SELECT DISTINCT 'project:' || source AS scope, {dup('text')} AS form FROM documents WHERE doc_id % 2 = 0),
+    "policy_verdicts": f"""WITH {CANDIDATES}, {M}, held AS (SELECT DISTINCT 'project:' || tag AS scope, {dup('content')} AS form FROM memories WHERE status = 'active'),
       v AS (SELECT c.id, CASE WHEN operation = 'noop' THEN 'not worth remembering' WHEN confidence < 0.35 THEN 'low confidence' WHEN target = 'memory' AND length({dup('content')}) < 4 THEN 'too short'
         WHEN target = 'memory' AND h.form IS NOT NULL THEN 'duplicate' WHEN target <> 'memory' AND coalesce(key, '') = '' THEN 'no key'
-        WHEN operation = 'supersede' AND supersedes::BIGINT NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) THEN 'unknown supersede target' ELSE 'accepted' END AS verdict
+        WHEN operation = 'supersede' AND supersedes::BIGINT NOT IN (SELECT doc_id FROM documents) THEN 'unknown supersede target' ELSE 'accepted' END AS verdict
         FROM cand c LEFT JOIN held h ON h.scope = c.scope AND h.form = {dup('c.content')})
       SELECT id, verdict, verdict = 'accepted' AS accepted FROM v""",
-    "candidate_dedupe": f"WITH {CANDIDATES} SELECT id, target FROM (SELECT *, row_number() OVER (PARTITION BY target, scope, {dup('content')}, lower(coalesce(key, '')) ORDER BY id) AS r FROM cand) WHERE r = 1",
-    "commit_routes": rf"""WITH {UTTERANCES}, h AS (SELECT *, regexp_replace(regexp_replace(head, '\A[：:,，、;；= \t\n\s]+', ''), '\s+\z', '') AS body FROM utt)
-      SELECT 'memory' AS log, count(DISTINCT (scope, {dup('body')})) AS n FROM h WHERE n = 0 AND body <> ''
-      UNION ALL SELECT 'preference', count(DISTINCT (scope, turn)) FROM h WHERE n = 3 UNION ALL SELECT 'project_state', count(DISTINCT scope) FROM h WHERE n = 6""",
+    "candidate_dedupe": f"WITH {CANDIDATES} SELECT id, target FROM (SELECT *, row_number() OVER (PARTITION BY scope, target, operation, supersedes, {dup("coalesce(nullif(content, ''), key)")} ORDER BY id) AS r FROM cand) WHERE r = 1",
+    "commit_routes": rf"""WITH {M}, {UTTERANCES}, h AS (SELECT *, 'evt_' || id AS event_id, regexp_replace(regexp_replace(head, '\A[：:,，、;；= \t\n\s]+', ''), '\s+\z', '') AS body FROM utt),
+      held AS (SELECT DISTINCT scope, {dup('content')} AS form FROM memories WHERE status = 'active')
+      SELECT 'event' AS log, event_id, scope, NULL::VARCHAR AS key, sha256(CASE n WHEN 0 THEN 'Remember: ' || head WHEN 3 THEN 'preference: tone' || turn || ' = calm' WHEN 6 THEN 'note that project p' || conv_id || ' = {{"turn": ' || turn || '}}' ELSE text END) AS value FROM h
+      UNION ALL SELECT 'memory', event_id, h.scope, 'semantic', sha256(body) FROM h LEFT JOIN held ON held.scope = h.scope AND held.form = {dup('body')} WHERE n = 0 AND length({dup('body')}) >= 4 AND held.form IS NULL
+      UNION ALL SELECT 'preference', event_id, scope, 'tone' || turn, 'calm' FROM h WHERE n = 3
+      UNION ALL SELECT 'project_state', event_id, 'project:p' || conv_id, 'p' || conv_id, '{{"turn": ' || turn || '}}' FROM h WHERE n = 6""",
     "export_lines": f"""WITH {M}, {L} SELECT 'memories' AS "table", id::VARCHAR AS key, '{{"id":' || id || ',"kind":"' || kind || '","scope":"' || scope || '","status":"' || status || '","subject":"' || subject || '"}}' AS line FROM memories
       UNION ALL SELECT 'events', id, '{{"id":"' || id || '","role":"' || role || '","session_id":' || session_id || '}}' FROM log""",
-    "mirror_files": rf"""WITH {M}, f AS (SELECT *, trim(regexp_replace(coalesce(content, ''), '\s+', ' ', 'g')) AS flat FROM memories WHERE status = 'active')
-      SELECT replace(scope, ':', '-') || '.md' AS file, id, sha256('## ' || subject || chr(10) || chr(10) || CASE WHEN length(flat) <= 120 THEN flat ELSE substr(flat, 1, 120) || '...' END || chr(10) || chr(10) || '<!-- id: ' || id || ' -->' || chr(10)) AS sha FROM f""",
+    "mirror_files": f"""WITH {M}, {P}, {S}, nowp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope, key ORDER BY created_at DESC, id DESC) AS v FROM prefs) WHERE v = 1),
+      nows AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, scope ORDER BY created_at DESC, id DESC) AS v FROM states) WHERE v = 1),
+      b AS (SELECT scope, 1 AS kind_no, id::VARCHAR AS id, '<!-- memory id=' || id || ' kind=' || kind || ' confidence=1.0 salience=0.5 created=' || created_at || ' scope=' || scope || ' -->' || chr(10) || coalesce(content, '') || chr(10) || chr(10) || 'tags: ' || tag || chr(10) || '<!-- /memory -->' || chr(10) AS block FROM memories WHERE status = 'active'
+        UNION ALL SELECT scope, 2, id::VARCHAR, '<!-- preference id=' || id || ' key=' || key || ' confidence=1.0 created=' || id || ' scope=' || scope || ' -->' || chr(10) || key || ' = "' || substr(statement, length(key) + 4) || '"' || chr(10) || '<!-- /preference -->' || chr(10) FROM nowp
+        UNION ALL SELECT scope, 3, id::VARCHAR, '<!-- project-state id=' || id || ' project=' || project_id || ' created=' || id || ' scope=' || scope || ' -->' || chr(10) || coalesce(state, 'null') || chr(10) || '<!-- /project-state -->' || chr(10) FROM nows),
+      h AS (SELECT scope, 0 AS kind_no, '' AS id, '---' || chr(10) || 'generated: true' || chr(10) || 'generator: lorekeep-export' || chr(10) || 'scope: ' || scope || chr(10) || 'exported_at: 2024-01-01' || chr(10) || 'memory_count: ' || count(*) FILTER (kind_no = 1) || chr(10)
+        || 'preference_count: ' || count(*) FILTER (kind_no = 2) || chr(10) || 'project_state_count: ' || count(*) FILTER (kind_no = 3) || chr(10) || '---' || chr(10) AS block FROM b GROUP BY scope)
+      SELECT replace(scope, ':', '-') || '.md' AS file, kind_no::INTEGER AS kind_no, id, sha256(block) AS sha FROM (SELECT * FROM h UNION ALL SELECT * FROM b)""",
     "stale_files": f"""WITH {M} SELECT DISTINCT replace(scope, ':', '-') || '.md' AS path FROM memories WHERE starts_with(scope, 'project:')
       AND scope NOT IN (SELECT scope FROM memories WHERE status = 'active' AND kind = 'identity' AND subject = 'de')""",
+    "superseded_memories": f"""WITH {M}, l AS (SELECT DISTINCT doc_id FROM labels WHERE doc_id IN (SELECT doc_id FROM documents))
+      SELECT id::VARCHAR AS id, CASE WHEN l.doc_id IS NULL THEN status ELSE 'superseded' END AS status, CASE WHEN l.doc_id IS NOT NULL THEN 'n' || id END AS superseded_by, (CASE WHEN l.doc_id IS NULL THEN 1 ELSE 2 END)::INTEGER AS revision
+      FROM memories LEFT JOIN l ON l.doc_id = id UNION ALL SELECT 'n' || doc_id, 'active', NULL, 1 FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)""",
+    "meta_values": "SELECT event_type || '.' || (user_id % 50) AS key, arg_max(event_id, (ts, event_id)) AS value FROM events GROUP BY 1",
+    "parsed_responses": rf"""WITH c AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn % 6 AS n, trim(regexp_replace(coalesce(text, ''), '["\\\x00-\x1F]', ' ', 'g')) AS t FROM conversations),
+      e AS (SELECT *, CASE WHEN n = 3 THEN 'memories[0]: unknown operation' WHEN n = 4 THEN 'memories[0]: unknown key' WHEN n <> 2 AND t = '' THEN 'memories[0]: content is missing' WHEN n <> 2 AND length(t) > 20000 THEN 'memories[0]: content is too long'
+        WHEN n = 1 AND conv_id % 2 = 1 THEN 'memories[0]: supersedes_id was not among the memories shown' END AS error FROM c)
+      SELECT id, CASE WHEN error IS NULL THEN 'memory' END AS target, CASE WHEN error IS NULL THEN CASE n WHEN 1 THEN 'supersede' WHEN 2 THEN 'noop' ELSE 'add' END END AS operation, CASE WHEN error IS NULL AND n <> 2 THEN 'semantic' END AS kind,
+        CASE WHEN error IS NULL AND n = 1 THEN conv_id::VARCHAR END AS supersedes, CASE WHEN error IS NOT NULL THEN error WHEN n = 2 THEN 'not worth remembering' END AS reason, CASE WHEN error IS NULL AND n <> 2 THEN sha256(t) END AS content_sha FROM e""",
+    "prompt_contexts": f"""WITH {M}, asked AS (SELECT item_id AS qid, text AS query FROM benchmark), {memory_hits('asked', 5, ACTIVE + " AND kind IN ('semantic', 'episodic')")},
+      b AS ({best('m_hits', 5)}), l AS (SELECT qid, string_agg('- [' || kind || '] ' || coalesce(content, ''), chr(10) ORDER BY position) AS context FROM b JOIN memories m ON m.id::VARCHAR = b.id GROUP BY qid)
+      SELECT asked.qid, sha256(coalesce(context, '(no relevant memories)')) AS sha FROM asked LEFT JOIN l ON l.qid = asked.qid""",
+    "chunk_notes": f"WITH {TYPED} SELECT rel_path, title, 0::INTEGER AS ordinal, 1::INTEGER AS line_start, (length(text) - length(replace(text, chr(10), '')) + 1)::INTEGER AS line_end, content_hash FROM chunks",
+    "route_chunks": f"WITH {TYPED} SELECT rel_path, 0::INTEGER AS ordinal, route, scope, key, value FROM chunks",
+    "import_plan": f"""WITH {TYPED}, p AS (SELECT t.rel_path, c.rel_path IS NOT NULL AS has, coalesce(known, false) AS known FROM typed t LEFT JOIN chunks c USING (rel_path))
+      SELECT rel_path, CASE WHEN known THEN 'unchanged' WHEN has THEN 'new' ELSE 'empty' END AS status, CASE WHEN has AND NOT known THEN 1 ELSE 0 END::BIGINT AS n_chunks, CASE WHEN has AND NOT known THEN 1 ELSE 0 END::BIGINT AS n_ingest, 0::BIGINT AS n_skipped FROM p""",
+    "import_records": f"""WITH {imported()} SELECT 'event' AS relation, event_id AS id, scope, NULL::VARCHAR AS key, NULL::VARCHAR AS value, ref, content_hash, event_id FROM ev
+      UNION ALL SELECT 'memory', {sortable("'memory'", 'event_id', "'add'", "''", dup('body'))}, scope, 'semantic', sha256(body), ref, content_hash, event_id FROM pick WHERE accepted
+      UNION ALL SELECT route, {sortable('route', 'event_id')}, scope, key, value, ref, content_hash, event_id FROM ev WHERE n IN (1, 2)""",
+    "import_counters": f"""WITH {imported()} SELECT (SELECT count(*) FROM typed) AS documents_scanned, (SELECT count(*) FROM chunks WHERE known) AS documents_unchanged, count(*) AS documents_new, 0::BIGINT AS documents_changed,
+      count(*) AS chunks_planned, 0::BIGINT AS chunks_skipped_seen, count(*) AS chunks_ingested, count(*) AS events_created, (SELECT count(*) FROM pick WHERE accepted) AS memories_created,
+      count(*) FILTER (n = 1) AS preferences_set, count(*) FILTER (n = 2) AS project_states_set, (SELECT count(*) FROM pick WHERE accepted) AS candidates_accepted, (SELECT count(*) FROM pick WHERE NOT accepted) AS candidates_rejected FROM ev""",
 }

@@ -1,4 +1,4 @@
-"""From utterances to candidate records: rules, de-duplication, acceptance, routing.
+"""From utterances to records: rules, proposals of several extractors, acceptance, provenance, routing.
 
 Everything is Column expressions over a table of utterances, so extraction is a projection and
 the duplicate check an anti join instead of a search per candidate.
@@ -7,6 +7,7 @@ the duplicate check an anti join instead of a search per candidate.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,7 +68,7 @@ def _with(df: DataFrame, **columns: Column) -> DataFrame:
 def extract(utterances: DataFrame) -> DataFrame:
     """utterances (id, text, scope) with target, kind, key, value, content and the reason where nothing forms."""
     names = tuple(t for t, _ in TRIGGERS)
-    df = _with(utterances, stripped=_strip(F.coalesce(F.col("text"), F.lit(""))))
+    df = _with(utterances.select("id", "text", "scope"), stripped=_strip(F.coalesce(F.col("text"), F.lit(""))))
     df = _with(df, verb=_first(F.col("stripped"), VERBS))
     df = _with(df, payload=_strip(_after(F.col("stripped"), F.col("verb"), VERBS)))
     df = _with(df, trigger=_first(F.col("payload"), names))
@@ -92,22 +93,47 @@ def extract(utterances: DataFrame) -> DataFrame:
     )
 
 
-def dedupe(candidates: DataFrame) -> DataFrame:
-    """The first of equal candidates (by id): same target, scope and normalised content or key."""
-    name = F.coalesce(tx.duplicate_form(F.col("content")), F.lit("")), F.coalesce(F.lower("key"), F.lit(""))
-    named = candidates.withColumns({"_content": name[0], "_key": name[1]})
-    w = Window.partitionBy("target", "scope", "_content", "_key").orderBy("id")
-    return named.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_content", "_key", "_n")
+def rule_candidates(utterances: DataFrame) -> DataFrame:
+    """The rules' proposals in the columns of candidates.extract, at full confidence; a row without a target says why nothing forms."""
+    e = extract(utterances)
+    none = F.lit(None)
+    return e.select(
+        "id", "scope", F.lit(0).alias("ordinal"), "target", F.when(F.col("target").isNotNull(), F.lit("add")).alias("operation"), "kind", "key", "value", "content", F.when(F.col("target") == "memory", F.lit("user:self")).alias("subject"),
+        none.cast("array<string>").alias("tags"), F.when(F.col("target") == "memory", F.lit(0.5)).alias("salience"), F.when(F.col("target").isNotNull(), F.lit(1.0)).alias("confidence"), none.cast("string").alias("supersedes"), "reason", F.lit("rules").alias("origin"),
+    )
+
+
+def collect(*proposals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidates, reasons): the proposals of several extractors, in the order given, without repeats in an utterance.
+
+    An extractor that found nothing, or failed, has left a row with a reason; the others count all the same.
+    """
+    every = None
+    for rank, rows in enumerate(proposals):
+        ranked = rows.withColumn("extractor", F.lit(rank))
+        every = ranked if every is None else every.unionByName(ranked)
+    reasons = every.filter("target IS NULL AND reason IS NOT NULL").select("id", "extractor", "origin", "reason")
+    return dedupe(every.filter("target IS NOT NULL"), within=("id",), order=("extractor", "ordinal")), reasons
+
+
+def dedupe(candidates: DataFrame, within: Sequence[str] = ("scope",), order: Sequence[str] = ("id",)) -> DataFrame:
+    """The first of equal candidates: same target, operation, superseded id and normalised content, or key where there is none."""
+    name = tx.duplicate_form(F.coalesce(F.when(F.col("content") != "", F.col("content")), F.col("key")))
+    named = candidates.withColumn("_name", F.sha2(name, 256))
+    w = Window.partitionBy(*within, "target", "operation", "supersedes", "_name").orderBy(*order)
+    return named.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_name", "_n")
 
 
 def judge(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """candidates with accepted and verdict; the first rule that refuses is the verdict.
 
     candidates: id, scope, target, operation, confidence, content, key, supersedes. existing:
-    id, scope, content of stored memories. Both look-ups are joins on a hash of the content and
-    on the id, so no candidate searches the store.
+    id, scope, content and maybe status of stored memories: only active ones are duplicates, and
+    any may be superseded. Both look-ups are joins, on the content and on the id, so no candidate
+    searches the store.
     """
-    held = existing.select(F.col("scope").alias("held_scope"), tx.duplicate_form(F.col("content")).alias("held")).distinct().withColumn("is_held", F.lit(True))
+    active = existing.filter("status = 'active'") if "status" in existing.columns else existing
+    held = active.select(F.col("scope").alias("held_scope"), tx.duplicate_form(F.col("content")).alias("held")).distinct().withColumn("is_held", F.lit(True))
     known = existing.select(F.col("id").cast("string").alias("known")).distinct().withColumn("is_known", F.lit(True))
     form = tx.duplicate_form(F.col("content"))
     df = candidates.withColumn("_form", form).join(held, (F.col("scope") == F.col("held_scope")) & (F.col("_form") == F.col("held")), "left").join(known, F.col("supersedes") == F.col("known"), "left")
@@ -120,12 +146,41 @@ def judge(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     return df.withColumn("verdict", verdict).withColumn("accepted", F.col("verdict") == "accepted").drop("_form", "held_scope", "held", "is_held", "known", "is_known")
 
 
-def parse_response(raw: Column) -> Column:
-    """The JSON object inside a noisy model response as a VARIANT, or null."""
-    return F.try_parse_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0))
-
-
 def routed(judged: DataFrame) -> dict[str, DataFrame]:
     """The accepted candidates by the log they are appended to."""
     good = judged.filter("accepted")
     return {target: good.filter(F.col("target") == target) for target in ("memory", "preference", "project_state")}
+
+
+def provenance() -> Column:
+    """A record's source as a JSON object: how it was formed, its event, and then what the caller gives (column `given`).
+
+    What is given replaces the record's own fields; an origin that it replaces stays as formed_by.
+    """
+    own = tx.json_fields(F.to_json(F.struct("origin", "reason", F.array("event_id").alias("event_ids"))))
+    given = tx.json_fields(F.col("given"))
+    formed_by = tx.json_fields(F.when(F.map_contains_key(given, "origin"), F.to_json(F.struct(F.col("origin").alias("formed_by")))))
+    return tx.json_merged(own, formed_by, given)
+
+
+def formed(utterances: DataFrame, candidates: DataFrame, existing: DataFrame) -> dict[str, DataFrame]:
+    """event, outcome, memory, preference and project_state rows of utterances (id, event_id, text, scope, and given: JSON or null).
+
+    Every utterance is an event, whatever comes of it. Candidates are judged; accepted ones become
+    rows of their log with the event as provenance. Writing the tables is the caller's choice:
+    what a dry run shows and what is committed are the same rows.
+    """
+    from .store import sortable_id
+
+    events = utterances.select(F.col("event_id").alias("id"), "scope", F.col("text").alias("content"), F.col("given").alias("metadata"))
+    judged = judge(candidates, existing).join(utterances.select("id", "event_id", "given"), "id")
+    name = tx.duplicate_form(F.coalesce("content", "key"))
+    rows = judged.withColumn("item_id", sortable_id(F.col("target"), F.col("event_id"), F.col("operation"), F.coalesce("supersedes", F.lit("")), name)).withColumn("source", provenance())
+    outcome = rows.select("id", "target", "operation", "accepted", F.when(F.col("accepted"), F.col("reason")).otherwise(F.col("verdict")).alias("reason"), F.when(F.col("accepted"), F.col("item_id")).alias("item_id"))
+    good = routed(rows)
+    return {
+        "event": events, "outcome": outcome,
+        "memory": good["memory"].select(F.col("item_id").alias("id"), "scope", "content", "kind", "subject", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("salience", F.lit(0.5)).alias("salience"), "confidence", "supersedes", F.lit("active").alias("status"), "source"),
+        "preference": good["preference"].select(F.col("item_id").alias("id"), "scope", "key", "value", "confidence", "source"),
+        "project_state": good["project_state"].select(F.col("item_id").alias("id"), F.concat(F.lit("project:"), "key").alias("scope"), F.col("key").alias("project_id"), F.col("value").alias("state"), "source"),
+    }

@@ -19,10 +19,16 @@ def scan(spark: SparkSession, root: str, include: Sequence[str] = INCLUDE, exclu
     base = root.rstrip("/") + "/"
     path = F.url_decode(F.regexp_replace("path", r"\+", "%2B"))
     rel = F.substring_index(path, base, -1)
-    found = files.select(rel.alias("rel_path"), F.decode("content", "UTF-8").alias("text"), tx.iso_millis(F.col("modificationTime")).alias("modified"), F.col("length").alias("size"))
+    found = files.select(rel.alias("rel_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), tx.iso_millis(F.col("modificationTime")).alias("modified"), F.col("length").alias("size"))
     wanted = F.lit(False)
     for p in include:
         wanted = wanted | tx.matches_glob(F.col("rel_path"), p)
     for p in exclude:
         wanted = wanted & ~tx.matches_glob(F.col("rel_path"), p)
+    # A byte that is no UTF-8 becomes U+FFFD rather than an end of the job.
     return found.filter(wanted & ~F.col("rel_path").rlike(r"(^|/)\.(?!obsidian)[^/]*/"))
+
+
+def in_order(notes: DataFrame) -> DataFrame:
+    """Notes by path, case left aside, for reports."""
+    return notes.orderBy(F.lower("rel_path"), "rel_path")

@@ -4,8 +4,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from lorekeep.functions import validation
 from lorekeep.functions.visibility import resolve
-from lorekeep.operators import export, formation, index, ingest, retrieval, versions
+from lorekeep.operators import candidates, export, formation, importing, index, ingest, retrieval, store, versions
 from lorekeep.sources import vault
 
 MEMORY = "id long, content string, scope string, subject string, tags array<string>, kind string, status string, salience double, created_at long"
@@ -149,16 +150,131 @@ def test_ingest_plan_is_idempotent(spark, tmp_path):
 
 
 def test_export(spark, tmp_path):
-    rows = spark.createDataFrame([(2, "project:a-b", "t", "x"), (1, "project:a:b", "t", "y")], "id long, scope string, title string, body string")
+    rows = spark.createDataFrame([(2, "project:a-b", "t", "x"), (1, "project:a:b", "t", None)], "id long, scope string, title string, body string")
     assert sorted(r["file"] for r in export.scope_names(rows).collect()) == ["project-a-b-2.md", "project-a-b.md"]
     lines = export.json_lines({"m": (rows, "id")})
-    assert lines.filter("key = '1'").first()["line"] == '{"body":"y","id":1,"scope":"project:a:b","title":"t"}'
+    assert lines.filter("key = '1'").first()["line"] == '{"body":null,"id":1,"scope":"project:a:b","title":"t"}'
+    nested = spark.createDataFrame([(1, (2, [(3, None)]), {"z": 1, "b": None})], "id long, s struct<y:int,a:array<struct<q:int,c:int>>>, m map<string,int>")
+    assert nested.select(export.canonical(nested).alias("j")).first()["j"] == '{"id":1,"m":{"b":null,"z":1},"s":{"a":[{"c":null,"q":3}],"y":2}}'
     export.write_json_lines(lines, str(tmp_path / "a"))
     assert spark.read.text(str(tmp_path / "a")).count() == 2
     existing = spark.createDataFrame([("old.md", f"<!-- {export.MARKER} -->"), ("mine.md", "# mine")], "path string, head string")
     assert [r["path"] for r in export.stale(existing, existing.limit(0)).collect()] == ["old.md"]
 
 
+def test_mirror(spark, tmp_path):
+    rows = memories(spark, (10, "ten", "global", "active"), (9, "nine\nlines", "global", "active"), (3, "gone", "global", "deleted")).withColumn("confidence", F.lit(1.0))
+    prefs = spark.createDataFrame([("p1", "user:1", "tone", '"calm"', 0.5, 7)], "id string, scope string, key string, value string, confidence double, created_at long")
+    states = spark.createDataFrame([("s1", "global", "pr", '{"a":1}', 7)], "id string, scope string, project_id string, state string, created_at long")
+    blocks = export.mirror_blocks(rows, prefs, states, "now")
+    export.write_mirror(blocks, str(tmp_path / "m"))
+    text = lambda f: "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "m" / f"file={f}")).collect())
+    whole = text("global.md")
+    assert whole.index("generated: true") < whole.index("nine\nlines") < whole.index("\nten") < whole.index('{"a":1}') and "gone" not in whole and "memory_count: 2" in whole
+    assert 'tone = "calm"' in text("user-1.md") and export.MARKER in text("README.md")
+    hits = spark.createDataFrame([(1, 2, "memory", "semantic", "b", None, None), (1, 1, "preference", None, None, "k", "v")], "qid long, position long, item_type string, kind string, content string, key string, value string")
+    assert [tuple(r) for r in export.prompt_context(hits, asked(spark, "none", "some")).orderBy("qid").collect()] == [(0, "(no relevant memories)"), (1, "- preference k = v\n- [semantic] b")]
+
+
+def test_scan_keeps_notes_with_bad_bytes(spark, tmp_path):
+    (tmp_path / "b.md").write_bytes(b"caf\xe9 ok")
+    (tmp_path / "A.md").write_text("é")
+    assert [(r["rel_path"], r["text"]) for r in vault.in_order(vault.scan(spark, str(tmp_path))).collect()] == [("A.md", "é"), ("b.md", "caf\ufffd ok")]
+
+
+def responses(spark, *raws):
+    return spark.createDataFrame([(i, "global", r, ["7"]) for i, r in enumerate(raws)], "id long, scope string, raw string, context_ids array<string>")
+
+
+@pytest.mark.parametrize(
+    "raw, error",
+    [
+        (None, "no content"), ("hello", "no JSON object"), ("{broken", "not valid JSON"), ('{"memories": []} and more', "not valid JSON"), ('{"m": []}', "unknown top-level key"), ("{}", "memories is missing"), ('{"memories": 1}', "memories is no list"),
+        ('{"memories": [1]}', "memories[0]: an entry is no object"), ('{"memories": [{"operation": "noop"}, {"operation": "zap"}]}', "memories[1]: unknown operation"), ('{"memories": [{"operation": "add", "content": " "}]}', "memories[0]: content is missing"),
+        ('{"memories": [{"operation": "add", "content": "x", "more": 1}]}', "memories[0]: unknown key"), ('{"memories": [{"operation": "add", "content": "x", "confidence": true}]}', "memories[0]: confidence is no number"),
+        ('{"memories": [{"operation": "add", "content": "x", "salience": 2}]}', "memories[0]: salience is not within 0 and 1"), ('{"memories": [{"operation": "add", "content": "x", "tags": ["a", " "]}]}', "memories[0]: a tag is no string"),
+        ('{"memories": [{"operation": "update", "content": "x", "supersedes_id": "8"}]}', "memories[0]: supersedes_id was not among the memories shown"), ('{"memories": [{"operation": "add", "content": "x", "supersedes_id": "7"}]}', "memories[0]: supersedes_id without supersede"),
+        ('{"memories": [' + ",".join(['{"operation": "noop"}'] * 6) + "]}", "too many candidates"),
+    ],
+)
+def test_responses_that_break_a_rule_give_nothing(spark, raw, error):
+    r = candidates.parse(responses(spark, raw)).first()
+    assert (r["error"], r["items"]) == (error, None)
+
+
+def test_responses_give_candidates(spark):
+    raw = 'Sure:\n{"memories": [{"operation": "ADD", "content": " tea ", "tags": ["a ", "b"], "confidence": 0.9}, {"operation": "replace", "content": "x", "supersedes_id": "7", "kind": "Identity"}, {"operation": "skip"}]}'
+    rows = candidates.extract(responses(spark, raw, "```json\n{\"memories\": []}\n```")).orderBy("ordinal").collect()
+    assert [(r["operation"], r["content"], r["kind"], r["supersedes"], r["confidence"]) for r in rows] == [("add", "tea", "semantic", None, 0.9), ("supersede", "x", "identity", "7", 0.6), ("noop", None, None, None, 0.6)]
+    assert rows[0]["tags"] == ["a", "b"] and rows[0]["salience"] == 0.5
+
+
+def test_dedupe_tells_operations_and_targets_apart(spark):
+    rows = [(1, "s", "memory", "add", None, "A b", None), (2, "s", "memory", "add", None, "a  B", None), (3, "s", "memory", "supersede", "9", "a b", None), (4, "s", "preference", "add", None, None, "K"), (5, "s", "preference", "add", None, "", "k")]
+    table = spark.createDataFrame(rows, "id long, scope string, target string, operation string, supersedes string, content string, key string")
+    assert sorted(r["id"] for r in formation.dedupe(table).collect()) == [1, 3, 4]
+
+
+def test_formation_keeps_every_event_and_prefers_rules(spark):
+    said = spark.createDataFrame([(1, "e1", "remember: likes tea", "global", None), (2, "e2", "hello", "global", '{"origin": "import", "ref": "r"}'), (3, "e3", None, "global", None)], "id long, event_id string, text string, scope string, given string")
+    model = spark.createDataFrame([(1, "global", '{"memories": [{"operation": "add", "content": "Likes  tea"}]}', []), (2, "global", '{"memories": [{"operation": "add", "content": "says hello", "reason": "why"}]}', []), (3, "global", "no idea", [])], "id long, scope string, raw string, context_ids array<string>")
+    found, reasons = formation.collect(formation.rule_candidates(said), candidates.extract(model))
+    made = formation.formed(said, found, memories(spark))
+    assert made["event"].count() == 3 and {(r["id"], r["origin"]) for r in reasons.collect()} == {(2, "rules"), (3, "rules"), (3, "model")}
+    got = {r["content"]: json.loads(r["source"]) for r in made["memory"].collect()}
+    assert got == {"likes tea": {"origin": "rules", "event_ids": ["e1"]}, "says hello": {"origin": "import", "formed_by": "model", "reason": "why", "ref": "r", "event_ids": ["e2"]}}
+
+
+def test_store_appends_all_or_nothing(spark, tmp_path):
+    root, schema = str(tmp_path / "s"), "id long, scope string"
+    rows = lambda *x: spark.createDataFrame(list(x), schema)
+    gate = {"m": F.array_compact(F.array(validation.scope(F.col("scope"))))}
+    assert store.append(spark, root, "one", {"m": rows((1, "global")), "p": rows((5, "x"))}, gate)
+    assert not store.append(spark, root, "one", {"m": rows((2, "global"))}, gate)
+    with pytest.raises(store.Refused):
+        store.append(spark, root, "two", {"p": rows((6, "y")), "m": rows((3, "global"), (4, "nowhere"))}, gate)
+    rows((9, "global")).write.parquet(f"{root}/m/batch=died")  # written, never committed
+    assert store.append(spark, root, "three", {"m": rows((7, "user:a"))}, gate)
+    assert sorted((r["id"], r["seq"]) for r in store.read(spark, root, "m", schema).collect()) == [(1, 1), (7, 2)] and [r["id"] for r in store.read(spark, root, "p", schema).collect()] == [5]
+    assert store.read(spark, root, "none", schema).count() == 0
+    store.snapshot(spark, root, str(tmp_path / "copy"), {"m": schema, "p": schema})
+    assert sorted(r["id"] for r in store.read(spark, str(tmp_path / "copy"), "m", schema).collect()) == [1, 7]
+    with pytest.raises(LookupError):
+        store.required(rows((1, "x")).filter("id = 2"), "row 2")
+    ids = [r["i"] for r in spark.sql("SELECT explode(array(timestamp'2024-01-01', timestamp'2030-01-01', timestamp'1999-01-01')) AS ts").select("ts", store.sortable_id(F.lit("m"), F.lit("a"), at=F.col("ts")).alias("i")).orderBy("ts").collect()]
+    assert ids == sorted(ids) and len(set(ids)) == 3
+
+
+def test_import_twice_adds_nothing(spark, tmp_path):
+    notes, root = tmp_path / "vault" / "Projects" / "p1", str(tmp_path / "store")
+    notes.mkdir(parents=True)
+    (notes / "State.md").write_text("---\ntype: project-state\nproject: p1\nphase: two\n---\nThe project is in its second phase, which is going well.\n")
+    (notes / "Tone.md").write_text("---\ntype: pref\nkey: tone\nvalue: calm\n---\nThe tone of all that is written here shall be calm.\n")
+    (notes / "Note.md").write_text("# Title\n\n" + "Some knowledge about things. " * 5 + "\n\n记住：本地优先 always\n")
+    (notes / "Short.md").write_text("too short")
+
+    def run(batch, raws=None):
+        parsed = ingest.parse(vault.scan(spark, str(tmp_path / "vault")))
+        seen = importing.seen(spark, root)
+        planned = ingest.plan(ingest.routed(ingest.chunked(parsed)), seen)
+        made = importing.records(planned, "v", memories(spark), raws)
+        told = importing.counters(importing.documents(parsed, planned, seen), made).first().asDict()
+        importing.apply(spark, root, batch, made)
+        return {k: v for k, v in told.items() if v}
+
+    first = run("a")
+    assert first == {"documents_scanned": 4, "documents_new": 3, "chunks_planned": 4, "chunks_ingested": 4, "events_created": 4, "memories_created": 1, "preferences_set": 1, "project_states_set": 1, "candidates_accepted": 1}
+    rows = {n: store.read(spark, root, n, s).collect() for n, s in importing.SCHEMAS.items()}
+    assert [r["content"] for r in rows["memory"]] == ["本地优先 always"] and json.loads(rows["memory"][0]["source"])["formed_by"] == "rules"
+    assert [(r["key"], r["value"], r["scope"]) for r in rows["preference"]] == [("tone", "calm", "project:p1")] and json.loads(rows["project_state"][0]["state"]) == {"phase": "two"}
+    assert {json.loads(rows["preference"][0]["source"])["event_ids"][0], rows["memory"][0]["source"] and json.loads(rows["memory"][0]["source"])["event_ids"][0]} <= {r["id"] for r in rows["event"]}
+    assert run("b") == {"documents_scanned": 4, "documents_unchanged": 3}
+    (notes / "Note.md").write_text("# Title\n\n" + "Some knowledge about things. " * 5 + "\n\n" + "Something else that is quite new to the store. " * 2)
+    changed = run("c")
+    assert changed == {"documents_scanned": 4, "documents_unchanged": 2, "documents_changed": 1, "chunks_planned": 1, "chunks_ingested": 1, "events_created": 1}
+    assert {n: store.read(spark, root, n, s).count() for n, s in importing.SCHEMAS.items()} == {"event": 5, "memory": 1, "preference": 1, "project_state": 1}
+
+
 def test_streaming_index(spark, tmp_path):
     from lorekeep.streaming import increment
 
