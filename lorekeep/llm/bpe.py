@@ -19,7 +19,7 @@ import base64
 import heapq
 import json
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import checkpointed, discard, texts
+from .base import checkpointed, discard, pieces, texts
 
 #: Pieces of at most so many bytes are folded by Spark; longer ones need more steps than a fold should take.
 FOLD_BYTES = 48
@@ -80,6 +80,52 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Merger:
+    """The same merges for many short pieces at once: those of one length are rows of a matrix, from which each step takes a column."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs = [(ranks[p[:i]], ranks[p[i:]], r) for p, r in ranks.items() for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks]
+        left, right, rank = np.array(pairs, dtype=np.int64).reshape(-1, 3).T
+        key = (left << 32) | right
+        order = np.argsort(key)
+        self.keys, self.ranks = key[order], rank[order]
+        self.byte = np.array([ranks.get(bytes([i]), _NO_RANK) for i in range(256)], dtype=np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+        return np.where(self.keys[at] == key, self.ranks[at], _NO_RANK) if len(self.keys) else np.full(key.shape, _NO_RANK)
+
+    def code(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece as little-endian bytes."""
+        out = [b""] * len(pieces)
+        sizes = np.array([len(p) for p in pieces])
+        for size in np.unique(sizes):
+            row = np.flatnonzero(sizes == size)
+            part = self.byte[np.frombuffer(b"".join([pieces[i] for i in row.tolist()]), np.uint8)].reshape(len(row), size)
+            pair = self.rank(part[:, :-1], part[:, 1:])
+            while len(row):
+                low = pair.min(axis=1, initial=_NO_RANK)
+                done = low == _NO_RANK
+                for i, ids in zip(row[done].tolist(), part[done].astype("<u4"), strict=True):
+                    out[i] = ids.tobytes()
+                row, part, pair, low = row[~done], part[~done], pair[~done], low[~done]
+                if not len(row):
+                    break
+                n, at = np.arange(len(row)), pair.argmin(axis=1)
+                part[n, at] = low
+                keep = np.ones(part.shape, dtype=bool)
+                keep[n, at + 1] = False
+                part = part[keep].reshape(len(row), -1)
+                keep = np.ones(pair.shape, dtype=bool)
+                keep[n, at] = False
+                pair = pair[keep].reshape(len(row), -1)
+                before, after = np.flatnonzero(at > 0), np.flatnonzero(at < pair.shape[1])
+                pair[before, at[before] - 1] = self.rank(part[before, at[before] - 1], part[before, at[before]])
+                pair[after, at[after]] = self.rank(part[after, at[after]], part[after, at[after] + 1])
+        return out
+
+
 def rank_literal(ranks: dict[bytes, int]) -> Column:
     """The rank map as one literal: buckets by xxhash64 of arrays of (piece, rank)."""
     buckets: list[list[dict]] = [[] for _ in range(_BUCKETS)]
@@ -133,9 +179,12 @@ def piece_counts(docs: DataFrame, pattern: str) -> DataFrame:
 
     def out(seen: Counter, find) -> pa.RecordBatch:
         pieces: dict[str, int] = {}
-        for word, n in seen.items():
-            for p in find(f" {word}"):
-                pieces[p] = pieces.get(p, 0) + n
+        counts = iter(seen.values())
+        n = 0
+        for p in find("".join([f" {word}" for word in seen])):
+            if p[0] == " ":
+                n = next(counts, n)
+            pieces[p] = pieces.get(p, 0) + n
         return pa.RecordBatch.from_arrays([pa.array([p.encode() for p in pieces], pa.binary()), pa.array(pieces.values(), pa.int64())], names=["piece", "n"])
 
     return docs.select("text").mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
@@ -161,39 +210,48 @@ class Coder:
     """
 
     def __init__(self, pattern: str, ranks: dict[bytes, int], known: dict[str, bytes]):
-        self.find, self.ranks, self.known = regex.compile(pattern).findall, ranks, known
+        self.find, self.ranks, self.known, self.merger = regex.compile(pattern).findall, ranks, known, Merger(ranks)
         self.words: dict[str, bytes] = {}
         self.rare: dict[str, bytes] = {}
 
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Make the ids of pieces that the table lacks."""
+        if len(self.rare) >= REMEMBERED:
+            self.rare.clear()
+        new = [p for p in set(pieces) if p not in self.known and p not in self.rare]
+        raws = [p.encode() for p in new]
+        short = [i for i, r in enumerate(raws) if len(r) <= FOLD_BYTES and r not in self.ranks]
+        for i, ids in zip(short, self.merger.code([raws[i] for i in short]), strict=True):
+            self.rare[new[i]] = ids
+        for p, raw in zip(new, raws, strict=True):
+            if p not in self.rare:
+                self.rare[p] = np.array(merge(raw, self.ranks), "<u4").tobytes()
+
     def piece(self, piece: str) -> bytes:
-        ids = self.known.get(piece) or self.rare.get(piece)
-        if ids is None:
-            ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
-            if len(piece) <= FOLD_BYTES:
-                if len(self.rare) >= REMEMBERED:
-                    self.rare.clear()
-                self.rare[piece] = ids
-        return ids
-
-    def cut(self, text: str) -> bytes:
-        return b"".join(map(self.piece, self.find(text)))
-
-    def code(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        codes = list(map(self.words.get, rest))
-        if None in codes:
-            for i, word in enumerate(rest):
-                if codes[i] is None:
-                    if not word or word[0].isspace() or word[-1].isspace():
-                        return self.cut(text)
-                    codes[i] = self.cut(f" {word}")
-                    if len(word) <= FOLD_BYTES:
-                        if len(self.words) >= REMEMBERED:
-                            self.words.clear()
-                        self.words[word] = codes[i]
-        if rest and (not first or first[-1].isspace()):
-            return self.cut(text)
-        return self.cut(first) + b"".join(codes)
+        return self.known.get(piece) or self.rare[piece]
+
+    def code(self, texts: list[str]) -> list[bytes]:
+        split = [t.split(" ") for t in texts]
+        if len(self.words) >= REMEMBERED:
+            self.words.clear()
+        new = {w for first, *rest in split for w in rest} - self.words.keys()
+        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+        cut: dict[int, list[str]] = {}
+        for i, (first, *rest) in enumerate(split):
+            if rest and (not first or first[-1].isspace() or not odd.isdisjoint(rest)):
+                cut[i] = self.find(texts[i])
+                split[i] = [""]
+            else:
+                cut[i] = self.find(first)
+        listed = [w for w in new if w not in odd]
+        pieces = self.find("".join([f" {w}" for w in listed]))
+        self.learn(p for some in (pieces, *cut.values()) for p in some)
+        starts = [i for i, p in enumerate(pieces) if p[0] == " "]
+        codes = list(map(self.piece, pieces))
+        for w, a, b in zip(listed, starts, [*starts[1:], len(pieces)][: len(listed)], strict=True):
+            self.words[w] = codes[a] if b == a + 1 else b"".join(codes[a:b])
+        get = self.words.__getitem__
+        return [b"".join([*map(self.piece, cut[i]), *map(get, rest)]) for i, (_, *rest) in enumerate(split)]
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, table_pieces: int = TABLE_PIECES) -> DataFrame:
@@ -211,14 +269,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, table_pieces: int = T
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(pattern, read_ranks(vocabulary), sent.value)
         for batch in batches:
-            codes, size, at = [], 0, 0
-            for text in batch.column(1):
-                codes.append(coder.code(text.as_py()))
-                size += len(codes[-1])
-                if size > 8 << 20:
-                    yield rows(batch.column(0)[at : at + len(codes)], codes)
-                    at, codes, size = at + len(codes), [], 0
-            yield rows(batch.column(0)[at : at + len(codes)], codes)
+            for first, raws in pieces(batch):
+                yield rows(batch.column(0)[first : first + len(raws)], coder.code([r.decode() for r in raws]))
 
     def rows(doc_ids: pa.Array, codes: list[bytes]) -> pa.RecordBatch:
         sizes = np.array([len(x) // 4 for x in codes], dtype=np.int64)
