@@ -60,8 +60,8 @@ def forest(n: int, x: np.ndarray, y: np.ndarray) -> list[int]:
     return kept
 
 
-def similar_inside(members: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that span the similar members (id, grp, grams binary) of each group."""
+def similar_inside(members: DataFrame, percent: int, kind: type = np.uint64) -> DataFrame:
+    """Edges (a, b) that span the similar members (id, grp, grams: a set of numbers of a kind) of each group."""
     counts = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("grp", "of_grp")
     placed = members.join(counts, F.col("grp") == F.col("of_grp")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -70,7 +70,7 @@ def similar_inside(members: DataFrame, percent: int) -> DataFrame:
     def compare(rows: pa.Table) -> pa.Table:
         p, q = rows.column("p")[0].as_py(), rows.column("q")[0].as_py()
         block, ids = rows.column("block").to_numpy(), rows.column("id").to_numpy()
-        sets = [np.frombuffer(g.as_buffer(), np.uint64) for c in rows.column("grams").chunks for g in c]
+        sets = [np.frombuffer(g.as_buffer(), kind) for c in rows.column("grams").chunks for g in c]
         x, y = np.flatnonzero(block == p), np.flatnonzero(block == q)
         both = intersections([sets[i] for i in x], [sets[j] for j in y])
         size = np.array([len(s) for s in sets], dtype=float)

@@ -1,18 +1,22 @@
 """Substring dedup by paragraph MinHash banding.
 
-Method. A paragraph starts at each anchor word, the first of least hash among its ANCHOR
-neighbours on either side, and spans PARAGRAPH words: so equal passages have equal paragraphs wherever they
-stand, with or without line breaks. A paragraph's set is its five-word shingles; BANDS bands of
-ROWS independent minima catch a similarity of 0.8 with probability 0.9997. Shards of documents
-first tell each other, 4 bytes a key, which paragraphs collide anywhere; only those become rows.
-Equal paragraphs are folded into one text; texts that share a band are joined star-wise to the
-band's centre and, in buckets that then still hold several components, compared block by block;
-exact Jaccard of the shingle sets decides. Components of texts cluster the removals: the first paragraph of a component, by
-doc_id and place, stays, the words under the others go.
-
-Defined results: null text is empty; texts of fewer words than PARAGRAPH have no paragraph and
-lose nothing; a passage that repeats inside one document goes there too; rows of one doc_id are
-one document's copies and are ordered by text; other columns are ignored.
+Method. A document's units are its paragraphs (lines of WINDOW words or more, and the whole text if
+it is shorter), and, as a repeated passage may begin and end inside a line, windows of WINDOW words:
+one at each anchor word, which has the least hash among ANCHOR neighbours on either side, and one at
+either end of the text. A unit's set is its five-word shingles, told apart by 32 bits of their hash;
+BANDS bands of ROWS minima find a similarity of 0.8 with probability 0.998. Shards of documents
+first tell each other, 4 bytes a key, which units collide anywhere; only those become rows. Equal
+units are folded; different ones that share a band are joined star-wise to the band's centre and,
+in buckets that then still hold several components, compared block by block; exact Jaccard of the
+shingle sets decides. Components cluster the removals: a component's first unit, by doc_id and
+place, stays, and the words under the others go. Where a run of removed units ends, the removal goes
+on word by word, over one changed word too, as long as the words are those beside the unit that
+stays (CONTEXT words at most on a side).
+
+Defined results: null text is empty; texts of fewer than five words lose nothing; a passage that
+repeats inside one document goes there too, unless it overlaps the unit that stays; rows of one
+doc_id are one document's copies and are ordered by text; rows with a null doc_id are left out;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,80 +28,113 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import checkpointed, texts
+from .base import BROADCAST_IDS, checkpointed, discard, texts
 from .blocks import similar_inside
-from .graph import components
+from .graph import components, looked_up
 from .minhash import unresolved
 from .shards import Layout, dealt, marked, marks, sorted_docs
-from .words import SPACED, Words, mix, runs
+from .words import SPACED, Words, mix, powers, runs, unique
 
-PARAGRAPH = 20
-ANCHOR = 4
+WINDOW = 16
+ANCHOR = 5
 SHINGLE = 5
-BANDS, ROWS = 8, 2
+CONTEXT = 16
+BANDS, ROWS = 6, 2
 PERCENT = 80
-SALTS = 32
 PIECE = 1 << 18
 _U = np.uint64
+_LAST = _U(0xFFFFFFFFFFFFFFFF)
 _HASHES = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _U(0x9E37)) | _U(1)
 
 
-class Paragraphs:
-    """The paragraphs of a run of texts: text, first word, byte range, name, shingles, band keys."""
+def places(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, number of words) of the units of a run of texts."""
+    owner, n = words.text_of(), len(words.hash)
+    line = np.cumsum(words.blob == 10)[words.start] if n else np.zeros(0, np.int64)
+    cut = np.flatnonzero((np.diff(owner) != 0) | (np.diff(line) != 0)) + 1
+    first = np.concatenate(([0], cut))[: max(n, 0)] if n else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, n)) if n else first
+    long = size >= WINDOW
+    texts_ = np.flatnonzero((words.count >= SHINGLE) & (words.count < WINDOW))
+    found = [(first[long], size[long]), (words.first[texts_], words.count[texts_])]
+    if n >= WINDOW:
+        edge = np.full(ANCHOR, _LAST)
+        padded = np.concatenate((edge, mix(words.hash), edge))
+        low = np.min(np.lib.stride_tricks.sliding_window_view(padded, 2 * ANCHOR + 1), axis=1)
+        left = np.min(np.lib.stride_tricks.sliding_window_view(padded[: n + ANCHOR - 1], ANCHOR), axis=1)
+        own = padded[ANCHOR : ANCHOR + n]
+        at = np.flatnonzero((own == low) & (own < left))
+        at = at[at + WINDOW <= n]
+        at = at[owner[at] == owner[at + WINDOW - 1]]
+        whole = np.flatnonzero(words.count >= WINDOW)
+        ends = unique(np.concatenate((words.first[whole], words.first[whole] + words.count[whole] - WINDOW)))
+        # Two windows a few words apart are nearly the same set; the anchor's then stands for both.
+        near = np.searchsorted(at, ends + SHINGLE) > np.searchsorted(at, ends - SHINGLE, "right")
+        at = np.sort(np.concatenate((at, ends[~near])))
+        found.append((at, np.full(len(at), WINDOW)))
+    start, size = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
+    keys = unique((start.astype(np.uint64) << _U(32)) | size.astype(np.uint64))
+    return (keys >> _U(32)).astype(np.int64), (keys & _U(0xFFFFFFFF)).astype(np.int64)
+
+
+class Units:
+    """The units of a run of texts: text, first word in it, number of words, name, band keys."""
 
     def __init__(self, raws: list[bytes]):
-        words = Words(raws, SPACED)
-        n = len(words.hash)
-        owner = words.text_of()
-        place = np.zeros(0, dtype=np.int64)
-        if n >= PARAGRAPH:
-            padded = np.concatenate((np.full(ANCHOR, _U(0xFFFFFFFFFFFFFFFF)), mix(words.hash), np.full(ANCHOR, _U(0xFFFFFFFFFFFFFFFF))))
-            low = np.min(np.lib.stride_tricks.sliding_window_view(padded, 2 * ANCHOR + 1), axis=1)
-            left = np.min(np.lib.stride_tricks.sliding_window_view(padded[: n + ANCHOR - 1], ANCHOR), axis=1)
-            own = padded[ANCHOR : ANCHOR + n]
-            place = np.flatnonzero((own == low) & (own < left))
-            place = place[place + PARAGRAPH <= n]
-            place = place[owner[place] == owner[place + PARAGRAPH - 1]]
-        self.text = owner[place]
-        self.word = place - words.first[self.text]
-        begin = words.text_start[self.text]
-        self.start, self.end = words.start[place] - begin, words.end[place + PARAGRAPH - 1] - begin
-        grams = runs(words.hash, SHINGLE)
-        k = PARAGRAPH - SHINGLE + 1
-        self.grams = grams[place[:, None] + np.arange(k)] if len(place) else np.zeros((0, k), dtype=np.uint64)
-        self.name = runs(words.hash, PARAGRAPH)[place]
-        self.keys = np.zeros((len(place), BANDS), dtype=np.uint64)
+        words = self.words = Words(raws, SPACED)
+        self.place, self.n = places(words)
+        self.text = words.text_of()[self.place]
+        self.word = self.place - words.first[self.text]
+        up, down = powers(len(words.hash) + 1)
+        total = np.zeros(len(words.hash) + 1, dtype=np.uint64)
+        np.cumsum(mix(words.hash) * up[: len(words.hash)], out=total[1:])
+        self.name = mix((total[self.place + self.n] - total[self.place]) * down[self.place] + self.n.astype(np.uint64))
+        self.grams = runs(words.hash, SHINGLE) >> _U(32)
+        self.keys = np.zeros((len(self.place), BANDS), dtype=np.uint64)
+        if not len(self.place):
+            return
+        k = self.n - SHINGLE + 1
+        begin = np.cumsum(k) - k
+        value = self.grams[np.repeat(self.place - begin, k) + np.arange(int(k.sum()))]
         for b in range(BANDS):
-            key = np.full(len(place), b + 1, dtype=np.uint64)
+            key = np.full(len(self.place), b + 1, dtype=np.uint64)
             for r in range(ROWS):
-                key = mix(key * _U(0x9E3779B97F4A7C15) + mix(self.grams * _HASHES[b * ROWS + r]).min(axis=1, initial=_U(0xFFFFFFFFFFFFFFFF)))
+                key = mix(key * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat(value * _HASHES[b * ROWS + r], begin))
             self.keys[:, b] = key
 
+    def set_of(self, i: int) -> bytes:
+        return unique(self.grams[self.place[i] : self.place[i] + self.n[i] - SHINGLE + 1]).astype(np.uint32).tobytes()
 
-def portions(raws: list[bytes]) -> Iterator[tuple[int, Paragraphs]]:
+    def beside(self, i: int, before: bool) -> bytes:
+        """Hashes of up to CONTEXT words of the text beside a unit, the nearest first."""
+        t, h = self.text[i], self.words.hash
+        if before:
+            part = h[max(self.words.first[t], self.place[i] - CONTEXT) : self.place[i]][::-1]
+        else:
+            part = h[self.place[i] + self.n[i] : min(self.words.first[t + 1], self.place[i] + self.n[i] + CONTEXT)]
+        return (part >> _U(32)).astype(np.uint32).tobytes()
+
+
+def portions(raws: list[bytes]) -> Iterator[tuple[int, Units]]:
     first, size = 0, 0
     for i, raw in enumerate(raws):
         size += len(raw) + 1
         if size >= PIECE or i == len(raws) - 1:
-            yield first, Paragraphs(raws[first : i + 1])
+            yield first, Units(raws[first : i + 1])
             first, size = i + 1, 0
 
 
 def colliding_keys(ids: np.ndarray, raws: list[bytes]) -> np.ndarray:
-    found = [np.unique(p.keys) for _, p in portions(raws)]
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
-
-
-_ROWS = pa.schema([("shard", pa.int32()), ("doc", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("name", pa.int64()), ("grams", pa.binary()), ("keys", pa.list_(pa.int64()))])
-_ROWS_SQL = "shard int, doc int, doc_id long, start int, end int, name long, grams binary, keys array<long>"
+    found = [unique(u.keys) for _, u in portions(raws)]
+    return unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
 
 
-def apart(key: np.ndarray, text: np.ndarray, word: np.ndarray, n_keys: int) -> np.ndarray:
-    """For each key: whether paragraphs of two texts, or two that don't overlap, have it."""
+def apart(key: np.ndarray, text: np.ndarray, word: np.ndarray, n: np.ndarray, n_keys: int) -> np.ndarray:
+    """For each key: whether units of two texts, or two that don't overlap, have it."""
     bands = key.shape[1]
-    flat, text, word = key.ravel(), np.repeat(text, bands), np.repeat(word, bands)
+    flat, text, word, n = key.ravel(), np.repeat(text, bands), np.repeat(word, bands), np.repeat(n, bands)
     order = np.lexsort((word, text, flat))
-    flat, text, word = flat[order], text[order], word[order]
+    flat, text, word, n = flat[order], text[order], word[order], n[order]
     same = flat[1:] == flat[:-1]
     out = np.zeros(n_keys, dtype=bool)
     if not len(flat):
@@ -105,36 +142,85 @@ def apart(key: np.ndarray, text: np.ndarray, word: np.ndarray, n_keys: int) -> n
     out[flat[1:][same & (text[1:] != text[:-1])]] = True
     first = np.flatnonzero(np.concatenate(([True], ~same | (text[1:] != text[:-1]))))
     last = np.append(first[1:], len(flat)) - 1
-    out[flat[first][word[last] - word[first] >= PARAGRAPH]] = True
+    out[flat[first][word[last] >= np.minimum.reduceat(word + n, first)]] = True
     return out
 
 
+_ROWS = pa.schema([("shard", pa.int32()), ("doc", pa.int32()), ("doc_id", pa.int64()), ("word", pa.int32()), ("n", pa.int32()), ("name", pa.int64()), ("mask", pa.int32()), ("grams", pa.binary()), ("before", pa.binary()), ("after", pa.binary())])
+_ROWS_SQL = "shard int, doc int, doc_id long, word int, n int, name long, mask int, grams binary, before binary, after binary"
+UNIT = ("shard", "doc", "word", "n")
+
+
 def candidates(shards: DataFrame, layout: Layout) -> DataFrame:
-    """The paragraphs with a band key that another paragraph of the corpus has; equal texts of a shard carry sets once."""
+    """The units with a band key that another unit of the corpus has.
+
+    mask: the bands that collide. Of equal units a shard gives the set once. before, after: the
+    words beside a run of units that collide in every band, with its first and its last.
+    """
 
     def pick(rows: pa.Table, mark_rows: pa.Table) -> pa.Table:
         shard = rows.column("shard")[0].as_py()
         ids, raws = sorted_docs(rows)
         parts = list(portions(raws))
-        text = np.concatenate([p.text + first for first, p in parts])
-        all_keys = np.concatenate([p.keys for _, p in parts])
-        word = np.concatenate([p.word for _, p in parts])
+        text = np.concatenate([u.text + first for first, u in parts])
+        word, n, name = (np.concatenate([getattr(u, f) for _, u in parts]) for f in ("word", "n", "name"))
+        all_keys = np.concatenate([u.keys for _, u in parts])
         keys, at = np.unique(all_keys, return_inverse=True)
         at = at.reshape(all_keys.shape)
-        shared = marked(layout, keys, mark_rows) | apart(at, text, word, len(keys))
-        here = shared[at] if len(keys) else np.zeros(at.shape, bool)
+        here = (marked(layout, keys, mark_rows) | apart(at, text, word, n, len(keys)))[at] if len(keys) else np.zeros(at.shape, bool)
         use = np.flatnonzero(here.any(axis=1))
-        name, start, end, grams = (np.concatenate([getattr(p, f) for _, p in parts])[use] for f in ("name", "start", "end", "grams"))
+        mask = here[use] @ (1 << np.arange(BANDS))
         once = np.zeros(len(use), dtype=bool)
-        once[np.unique(name, return_index=True)[1]] = True
-        sets = [np.unique(g).tobytes() if first else None for g, first in zip(grams, once, strict=True)]
-        listed = [k[m].view(np.int64).tolist() if first else None for k, m, first in zip(all_keys[use], here[use], once, strict=True)]
-        columns = [np.full(len(use), shard), text[use], ids[text[use]], start, end, name.view(np.int64), sets, listed]
+        once[np.unique(name[use], return_index=True)[1]] = True
+        # Runs of units that collide in every band, as equal ones do; in order of text and word.
+        full = np.flatnonzero(here[use].all(axis=1))
+        line = text[use][full] * (1 << 32)
+        begin, end = line + word[use][full], line + word[use][full] + n[use][full]
+        reach = np.maximum.accumulate(end) if len(full) else end
+        fresh = np.ones(len(full), dtype=bool)
+        fresh[1:] = begin[1:] > reach[:-1]
+        run = np.cumsum(fresh) - 1
+        far = reach[np.flatnonzero(np.append(fresh[1:], True))] if len(full) else reach
+        opens, closes = np.zeros((2, len(use)), dtype=bool)
+        opens[full[fresh]] = True
+        closes[full[end == far[run]]] = True
+        edge = np.cumsum([0] + [len(u.place) for _, u in parts])
+        owner = np.searchsorted(edge, use, "right") - 1
+        grams, before, after = [], [], []
+        for i, o, first, a, b in zip(use.tolist(), owner.tolist(), once.tolist(), opens.tolist(), closes.tolist(), strict=True):
+            unit, k = parts[o][1], i - int(edge[o])
+            grams.append(unit.set_of(k) if first else None)
+            before.append(unit.beside(k, True) if a else None)
+            after.append(unit.beside(k, False) if b else None)
+        columns = [np.full(len(use), shard), text[use], ids[text[use]], word[use], n[use], name[use].view(np.int64), mask, grams, before, after]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, _ROWS, strict=True)], schema=_ROWS)
 
     return shards.groupBy("shard").cogroup(marks(shards, layout, colliding_keys).groupBy("shard")).applyInArrow(pick, _ROWS_SQL)
 
 
+_BAND_ROWS = pa.schema([("name", pa.int64()), ("key", pa.int64())])
+
+
+def band_rows(sets: DataFrame) -> DataFrame:
+    """(name, key) of the colliding bands of sets (name, mask, grams)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            name, mask, raws = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2).to_pylist()
+            size = np.array([len(r) // 4 for r in raws])
+            value, begin = np.frombuffer(b"".join(raws), np.uint32).astype(np.uint64), np.cumsum(size) - size
+            for b in range(BANDS):
+                key = np.full(len(name), b + 1, dtype=np.uint64)
+                for r in range(ROWS):
+                    key = mix(key * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat(value * _HASHES[b * ROWS + r], begin))
+                some = (mask >> b) & 1 > 0
+                yield pa.RecordBatch.from_arrays([pa.array(name[some]), pa.array(key[some].view(np.int64))], schema=_BAND_ROWS)
+
+    return sets.select("name", "mask", "grams").mapInArrow(run, "name long, key long")
+
+
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -149,8 +235,8 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             sides = []
             for c in batch.columns[2:]:
                 raws = c.to_pylist()
-                sizes = np.array([len(r) // 8 for r in raws])
-                sides.append((sizes, np.repeat(np.arange(len(raws)), sizes), np.frombuffer(b"".join(raws), np.uint64)))
+                sizes = np.array([len(r) // 4 for r in raws])
+                sides.append((sizes, np.repeat(np.arange(len(raws)), sizes), np.frombuffer(b"".join(raws), np.uint32)))
             order = np.lexsort((value := np.concatenate([s[2] for s in sides]), row := np.concatenate([s[1] for s in sides])))
             value, row = value[order], row[order]
             twice = (value[1:] == value[:-1]) & (row[1:] == row[:-1])
@@ -162,34 +248,76 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def text_components(found: DataFrame, percent: int) -> DataFrame:
-    """(name, component) of the texts that are similar to another text."""
-    sets = checkpointed(found.groupBy("name").agg(F.first("grams", ignorenulls=True).alias("grams"), F.first("keys", ignorenulls=True).alias("keys"), F.count("*").alias("copies")))
-    bands = sets.select("name", F.explode("keys").alias("key"))
+    """(name, component) of the unit texts that are similar to another one."""
+    sets = checkpointed(found.filter("grams IS NOT NULL").groupBy("name").agg(F.first("grams").alias("grams"), F.bit_or("mask").alias("mask"), F.first("n").alias("n")))
+    bands = band_rows(sets)
     centres = bands.groupBy("key").agg(F.min("name").alias("centre"), F.count("*").alias("members")).filter("members > 1")
     shared = checkpointed(bands.join(centres, "key"))
+    size = lambda side: F.octet_length(side)
     star = checkpointed(shared.filter("name <> centre").select(F.least("name", "centre").alias("a"), F.greatest("name", "centre").alias("b")).distinct())
+    sized = sets.select("name", size("grams").alias("bytes"))
+    # Sets whose sizes alone rule the similarity out needn't meet.
+    fit = star.join(sized.select(F.col("name").alias("a"), F.col("bytes").alias("i")), "a").join(sized.select(F.col("name").alias("b"), F.col("bytes").alias("j")), "b")
+    star = fit.filter(100 * F.least("i", "j") >= percent * F.greatest("i", "j")).select("a", "b")
     edges = checkpointed(similar(star, sets, percent))
     labels = components(edges)
-    open_ = checkpointed(unresolved(shared.withColumnRenamed("name", "id"), labels))
-    if open_.limit(1).count():
+    open_ = checkpointed(unresolved(shared.withColumnRenamed("name", "id"), labels), F.count(F.lit(1)).alias("n"))
+    discard(shared)
+    if open_.seen["n"]:
         groups = components(open_).select(F.col("id").alias("name"), F.col("component").alias("grp"))
-        more = checkpointed(similar_inside(groups.join(sets, "name").select(F.col("name").alias("id"), "grp", "grams"), percent))
+        more = checkpointed(similar_inside(groups.join(sets, "name").select(F.col("name").alias("id"), "grp", "grams"), percent, np.uint32))
         labels = components(edges.union(more))
-    return labels.withColumnRenamed("id", "name")
+    discard(sets)
+    return checkpointed(labels.withColumnRenamed("id", "name"), F.count(F.lit(1)).alias("n"))
+
+
+_GROWN = pa.schema([("shard", pa.int32()), ("doc", pa.int32()), ("word", pa.int32()), ("n", pa.int32()), ("component", pa.int64())])
+_GROWN_SQL = "shard int, doc int, word int, n int, component long"
+
+
+def agreeing(x: bytes | None, y: bytes | None) -> int:
+    """Words in common beside two units, over one changed word if three agree behind it."""
+    if not x or not y:
+        return 0
+    size = min(len(x), len(y)) // 4
+    differ = np.flatnonzero(np.frombuffer(x, np.uint32)[:size] != np.frombuffer(y, np.uint32)[:size])
+    first, second = (int(differ[i]) if len(differ) > i else size for i in (0, 1))
+    return second if second - first > 3 else first
+
+
+def grown(gone: DataFrame) -> DataFrame:
+    """Units (shard, doc, word, n, component, before, after, kept_before, kept_after) made longer by the words in common beside them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard, doc, word, n, component, *sides = (c.to_pylist() for c in batch.columns)
+            left = [agreeing(x, y) for x, y in zip(sides[0], sides[2], strict=True)]
+            right = [agreeing(x, y) for x, y in zip(sides[1], sides[3], strict=True)]
+            columns = [shard, doc, [w - a for w, a in zip(word, left, strict=True)], [k + a + b for k, a, b in zip(n, left, right, strict=True)], component]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _GROWN, strict=True)], schema=_GROWN)
+
+    return gone.select(*UNIT, "component", "before", "after", "kept_before", "kept_after").mapInArrow(run, _GROWN_SQL)
 
 
 def removals(shards: DataFrame, layout: Layout, percent: int) -> DataFrame:
-    """(shard, doc, start, end, component): the paragraphs that go, with their class."""
+    """(shard, doc, word, n, component): the runs of words that go, with their class."""
     found = checkpointed(candidates(shards, layout))
     labels = text_components(found, percent)
-    salt = F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int")
-    placed = found.select("shard", "doc", "doc_id", "start", "end", "name").join(labels, "name", "left").withColumn("component", F.coalesce("component", "name")).withColumn("salt", salt)
-    placed = checkpointed(placed.drop("name"))
-    at = F.struct("doc_id", "shard", "doc", "start")
-    kept = placed.groupBy("component", "salt").agg(F.min(at).alias("least"), F.count("*").alias("k")).groupBy("component").agg(F.min("least").alias("kept"), F.sum("k").alias("k")).filter("k > 1")
-    kept = kept.select(F.col("component").alias("of_component"), "kept", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("of_salt"))
-    gone = placed.join(kept, (F.col("component") == F.col("of_component")) & (F.col("salt") == F.col("of_salt"))).filter(at != F.col("kept"))
-    return gone.select("shard", "doc", "start", "end", "component")
+    near = F.broadcast(labels) if labels.seen["n"] <= BROADCAST_IDS else labels
+    edge = F.col("before").isNotNull() | F.col("after").isNotNull()
+    placed = found.select("doc_id", *UNIT, "name", edge.alias("edge")).join(near, "name", "left").withColumn("component", F.coalesce("component", "name")).drop("name")
+    placed = checkpointed(placed, F.count(F.lit(1)).alias("n"))
+    kept = placed.groupBy(F.col("component").alias("id")).agg(F.min(F.struct("doc_id", *UNIT)).alias("least"), F.count("*").alias("k")).filter("k > 1")
+    kept = checkpointed(kept.select("id", "least", F.col("k").alias("n")))
+    joined = looked_up(placed.withColumnRenamed("n", "size"), "component", kept, placed.seen["n"]).filter("least IS NOT NULL")
+    same = (F.col("shard") == F.col("least.shard")) & (F.col("doc") == F.col("least.doc"))
+    over = same & (F.col("word") < F.col("least.word") + F.col("least.n")) & (F.col("least.word") < F.col("word") + F.col("size"))
+    gone = joined.filter(~over).select("shard", "doc", "word", F.col("size").alias("n"), "component", "edge", *[F.col(f"least.{c}").alias(f"kept_{c}") for c in UNIT])
+    gone = checkpointed(gone)
+    sides = found.filter(edge).select(*UNIT, "before", "after")
+    other = sides.select(*[F.col(c).alias(f"kept_{c}") for c in UNIT], F.col("before").alias("kept_before"), F.col("after").alias("kept_after"))
+    ends = gone.filter("edge").join(sides, list(UNIT)).join(other, [f"kept_{c}" for c in UNIT], "left")
+    return gone.filter("NOT edge").select(*UNIT, "component").unionByName(grown(ends))
 
 
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("classes", pa.list_(pa.int64())), ("kept", pa.string())])
@@ -203,13 +331,15 @@ def without_repeats(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     def cut(rows: pa.Table, spans: pa.Table) -> pa.Table:
         ids, raws = sorted_docs(rows)
         by: dict[int, list[tuple[int, int, int]]] = {}
-        for doc, s, e, c in zip(*(spans.column(k).to_pylist() for k in ("doc", "start", "end", "component")), strict=True):
-            by.setdefault(doc, []).append((s, e, c))
+        for doc, w, n, c in zip(*(spans.column(k).to_pylist() for k in ("doc", "word", "n", "component")), strict=True):
+            by.setdefault(doc, []).append((w, n, c))
         out = []
         for i, raw in enumerate(raws):
             starts, ends, kept, at = [], [], [], 0
             own = sorted(by.get(i, []))
-            for s, e, _ in own:
+            words = Words([raw], SPACED) if own else None
+            for w, n, _ in own:
+                s, e = int(words.start[w]), int(words.end[w + n - 1])
                 if ends and s <= ends[-1]:
                     ends[-1] = max(ends[-1], e)
                 else:

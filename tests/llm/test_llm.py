@@ -166,15 +166,44 @@ def test_line_dedup_keeps_one_text_of_many_copies(spark):
 
 def test_paragraph_dedup(spark):
     r = random.Random(6)
-    passage, near = sentence(r, 70), sentence(r, 60).split()
+    passage, near = sentence(r, 70, 10**6), sentence(r, 60, 10**6).split()
     edited = near[:30] + ["changed"] + near[31:]
-    texts = [f"{sentence(r, 40)} {p} {sentence(r, 40)}" for p in (passage, passage, passage, " ".join(near), " ".join(edited))] + [sentence(r, 120), *odd_texts()[:7]]
+    texts = [f"{sentence(r, 40, 10**6)} {p} {sentence(r, 40, 10**6)}" for p in (passage, passage, passage, " ".join(near), " ".join(edited))] + [sentence(r, 120), *odd_texts(), "one two three four five six", "One two three  four five six"]
     got = {x["doc_id"]: x for x in passages.without_repeats(docs(spark, *texts)).collect()}
-    assert {i for i in got if got[i]["n_removed"]} == {1, 2, 4}
+    assert {i for i in got if got[i]["n_removed"]} == {1, 2, 4, len(texts) - 1}
     for i in (1, 2):
-        removed = len(texts[i].encode()) - len(got[i]["kept"].encode())
-        assert removed == got[i]["n_removed"] and removed > 0.6 * len(passage)
-    assert set(got[1]["classes"]) & set(got[2]["classes"])
+        assert got[i]["n_removed"] == len(passage) and set(got[i]["classes"]) & set(got[1]["classes"])
+    assert got[4]["n_removed"] == len(" ".join(edited)) and got[len(texts) - 1]["kept"] == ""
+
+
+def test_paragraph_dedup_against_brute_force(spark):
+    """Every word of a passage of 51 words or more that a smaller document has must go, and no other word."""
+    r = random.Random(16)
+    shared = [sentence(r, r.randrange(51, 90), 100_000).split() for _ in range(40)]
+    rows = []
+    for _ in range(150):
+        words = []
+        for _ in range(2):
+            words += sentence(r, r.randrange(0, 60), 100_000).split()
+            part = r.choice(shared)
+            words += [w if r.random() < 0.9 else w + "\n" for w in part] if r.random() < 0.7 else []
+        rows.append(" ".join(words + sentence(r, 5, 100_000).split()))
+    got = {x["doc_id"]: x["kept"] for x in passages.without_repeats(docs(spark, *rows)).collect()}
+    seen, wanted, lost, wrong, alone = set(), 0, 0, 0, 0
+    for i, text in enumerate(rows):
+        words = text.split()
+        again = set()
+        for k in range(len(words) - 50):
+            if tuple(words[k : k + 51]) in seen:
+                again.update(range(k, k + 51))
+        seen.update(tuple(words[k : k + 51]) for k in range(len(words) - 50))
+        kept = got[i].split()
+        unique_words = [w for k, w in enumerate(words) if k not in again]
+        wanted += len(again)
+        lost += max(0, len(kept) - len(unique_words))
+        wrong += max(0, len(unique_words) - len(kept))
+        alone += len(unique_words)
+    assert wanted > 3000 and lost / wanted < 0.05 and wrong / alone < 0.01
 
 
 def brute_groups(texts, n, percent):
