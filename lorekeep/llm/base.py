@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,5 +98,14 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES
         yield start, run
 
 
-def batch_of(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t.type) if not isinstance(c, pa.Array) else c for c, t in zip(columns, schema, strict=True)], schema=schema)
+def runs_of_bytes(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows) of runs of up to limit bytes of a string column; a longer text is a run alone."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
+    first, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > first and held + size > limit:
+            yield first, i - first
+            first, held = i, 0
+        held += size
+    if len(sizes):
+        yield first, len(sizes) - first

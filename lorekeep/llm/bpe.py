@@ -18,24 +18,24 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import checkpointed, discard, pieces, texts
+from .base import PIECE_BYTES, checkpointed, discard, runs_of_bytes, texts
 
 #: Pieces of at most so many bytes are folded by Spark; longer ones need more steps than a fold should take.
 FOLD_BYTES = 48
 #: At most so many frequent pieces are sent to the tasks.
 TABLE_PIECES = 1 << 17
-#: Words that a task counts before it passes them on, and words whose ids it remembers.
-COUNTED, REMEMBERED = 200_000, 200_000
+#: Bytes of words that a task counts at once, rows of texts split at once, and words whose ids a task remembers.
+COUNTED, ROWS, REMEMBERED = 32 << 20, 256, 200_000
 _BUCKETS = 16_384
 _NO_RANK = 2**31 - 1
 
@@ -168,24 +168,28 @@ def piece_counts(docs: DataFrame, pattern: str) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen = regex.compile(pattern).findall, Counter()
+        find = regex.compile(pattern).findall
+        held, size = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                seen.update((" " + text.as_py()).split(" ")[1:])
-                if len(seen) > COUNTED:
-                    yield out(seen, find)
-                    seen = Counter()
-        yield out(seen, find)
-
-    def out(seen: Counter, find) -> pa.RecordBatch:
-        pieces: dict[str, int] = {}
-        counts = iter(seen.values())
-        n = 0
-        for p in find("".join([f" {word}" for word in seen])):
-            if p[0] == " ":
-                n = next(counts, n)
-            pieces[p] = pieces.get(p, 0) + n
-        return pa.RecordBatch.from_arrays([pa.array([p.encode() for p in pieces], pa.binary()), pa.array(pieces.values(), pa.int64())], names=["piece", "n"])
+            column = batch.column(0).cast(pa.large_string())
+            for at in range(0, len(column), ROWS):
+                held.append(pc.split_pattern(column[at : at + ROWS], " ").flatten())
+                size += held[-1].nbytes
+                if size > COUNTED:
+                    yield out(held, find)
+                    held, size = [], 0
+        if held:
+            yield out(held, find)
+
+    def out(held: list[pa.Array], find) -> pa.RecordBatch:
+        words = pc.value_counts(pa.chunked_array(held).combine_chunks())
+        pieces = find("".join([f" {w}" for w in words.field("values").to_pylist()]))
+        starts = np.fromiter((p[0] == " " for p in pieces), bool, len(pieces))
+        counts = words.field("counts").to_numpy()
+        coded = pa.array(pieces, pa.string()).dictionary_encode()
+        per_piece = counts[np.clip(np.cumsum(starts) - 1, 0, max(0, len(counts) - 1))] if len(pieces) else counts[:0]
+        total = np.bincount(coded.indices.to_numpy(), weights=per_piece, minlength=len(coded.dictionary)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.binary()), pa.array(total)], names=["piece", "n"])
 
     return docs.select("text").mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
@@ -230,28 +234,46 @@ class Coder:
     def piece(self, piece: str) -> bytes:
         return self.known.get(piece) or self.rare[piece]
 
-    def code(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
+    def word_codes(self, words: list[str]) -> list[bytes | None]:
+        """Ids of a space and each word; None where the word doesn't stand alone, as white space is beside its space."""
         if len(self.words) >= REMEMBERED:
             self.words.clear()
-        new = {w for first, *rest in split for w in rest} - self.words.keys()
-        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
-        cut: dict[int, list[str]] = {}
-        for i, (first, *rest) in enumerate(split):
-            if rest and (not first or first[-1].isspace() or not odd.isdisjoint(rest)):
-                cut[i] = self.find(texts[i])
-                split[i] = [""]
-            else:
-                cut[i] = self.find(first)
-        listed = [w for w in new if w not in odd]
-        pieces = self.find("".join([f" {w}" for w in listed]))
-        self.learn(p for some in (pieces, *cut.values()) for p in some)
-        starts = [i for i, p in enumerate(pieces) if p[0] == " "]
-        codes = list(map(self.piece, pieces))
-        for w, a, b in zip(listed, starts, [*starts[1:], len(pieces)][: len(listed)], strict=True):
-            self.words[w] = codes[a] if b == a + 1 else b"".join(codes[a:b])
-        get = self.words.__getitem__
-        return [b"".join([*map(self.piece, cut[i]), *map(get, rest)]) for i, (_, *rest) in enumerate(split)]
+        codes = list(map(self.words.get, words))
+        new = [i for i, c in enumerate(codes) if c is None and (w := words[i]) and not w[0].isspace() and not w[-1].isspace()]
+        pieces = self.find("".join([f" {words[i]}" for i in new]))
+        self.learn(pieces)
+        starts = [k for k, p in enumerate(pieces) if p[0] == " "]
+        ids = list(map(self.piece, pieces))
+        for i, a, b in zip(new, starts, [*starts[1:], len(pieces)][: len(new)], strict=True):
+            self.words[words[i]] = codes[i] = ids[a] if b == a + 1 else b"".join(ids[a:b])
+        return codes
+
+    def code(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids)."""
+        split = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        edge = split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        at, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        first = edge[:-1]
+        codes = self.word_codes(words)
+        odd = np.fromiter((c is None for c in codes), bool, len(codes))
+        bad = odd[at]
+        bad[first] = False
+        head = [words[k] for k in at[first].tolist()]
+        loose = np.fromiter((not w or w[-1].isspace() for w in head), bool, len(head)) & (np.diff(edge) > 1)
+        whole = loose | (np.add.reduceat(bad.astype(np.int64), first) > 0 if len(first) else loose)
+        cut = [self.find(texts[i].as_py() if w else head[i]) for i, w in enumerate(whole.tolist())]
+        self.learn(p for pieces in cut for p in pieces)
+        # The table of codes: the words', an empty one, and what each text begins with, or is if it is cut whole.
+        table = [c or b"" for c in codes] + [b""] + [b"".join(map(self.piece, pieces)) for pieces in cut]
+        at[np.repeat(whole, np.diff(edge))] = len(codes)
+        at[first] = len(codes) + 1 + np.arange(len(first))
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        begin = np.cumsum(size) - size
+        n = size[at]
+        place = np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        ids = np.frombuffer(b"".join(table), "<u4")[place]
+        return (np.add.reduceat(n, first) if len(first) else n), ids
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, table_pieces: int = TABLE_PIECES) -> DataFrame:
@@ -269,13 +291,12 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, table_pieces: int = T
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(pattern, read_ranks(vocabulary), sent.value)
         for batch in batches:
-            for first, raws in pieces(batch):
-                yield rows(batch.column(0)[first : first + len(raws)], coder.code([r.decode() for r in raws]))
-
-    def rows(doc_ids: pa.Array, codes: list[bytes]) -> pa.RecordBatch:
-        sizes = np.array([len(x) // 4 for x in codes], dtype=np.int64)
-        ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.frombuffer(b"".join(codes), "<i4")))
-        return pa.RecordBatch.from_arrays([doc_ids, pa.array(sizes), ids, pa.array(codes, pa.binary())], schema=schema)
+            for at, n in runs_of_bytes(batch.column(1), PIECE_BYTES):
+                sizes, ids = coder.code(batch.column(1)[at : at + n])
+                edge = np.concatenate(([0], np.cumsum(sizes)))
+                listed = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids.view("<i4")))
+                raw = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(4 * edge), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + n], pa.array(sizes), listed, raw], schema=schema)
 
     return docs.mapInArrow(assemble, "doc_id long, n_tokens long, ids array<int>, ids_bytes binary")
 
