@@ -13,12 +13,16 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task handles at once.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
+#: Bytes of an Arrow batch on its way to a Python task; the default of 64 MB is dear where tasks hold whole texts.
+BATCH_BYTES = 8 << 20
 #: So many ids, of some 24 bytes each in a hashed relation, are sent to all tasks rather than shuffled with whole texts.
 BROADCAST_IDS = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver's; Python tasks of the session get its rows in batches of BATCH_BYTES."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

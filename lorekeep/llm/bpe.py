@@ -84,9 +84,8 @@ class Merger:
     """The same merges for many short pieces at once: those of one length are rows of a matrix, from which each step takes a column."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        pairs = [(ranks[p[:i]], ranks[p[i:]], r) for p, r in ranks.items() for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks]
-        left, right, rank = np.array(pairs, dtype=np.int64).reshape(-1, 3).T
-        key = (left << 32) | right
+        pairs = ((ranks[p[:i]] << 32 | ranks[p[i:]], r) for p, r in ranks.items() for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks)
+        key, rank = np.fromiter(pairs, np.dtype((np.int64, 2))).reshape(-1, 2).T
         order = np.argsort(key)
         self.keys, self.ranks = key[order], rank[order]
         self.byte = np.array([ranks.get(bytes([i]), _NO_RANK) for i in range(256)], dtype=np.int64)
