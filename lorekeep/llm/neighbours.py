@@ -27,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import checkpointed
+from .base import BROADCAST_IDS, checkpointed
 from .blocks import forest
 from .graph import components
 
@@ -51,17 +52,43 @@ _U = np.uint64
 log = logging.getLogger(__name__)
 
 
+_UNITS = pa.schema([("vec_id", pa.int64()), ("label", pa.string()), ("v", pa.list_(pa.float64()))])
+
+
+def unit_vectors(rows: DataFrame) -> DataFrame:
+    """(vec_id, label, v) of rows: usable vectors at unit length; the label tells the length of the vector too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+            use = np.flatnonzero((size > 0) & np.asarray(pc.is_valid(batch.column(1))))
+            lists, size = lists.take(pa.array(use)), size[use]
+            for d in np.unique(size):
+                own = np.flatnonzero(size == d)
+                m = np.asarray(pc.fill_null(lists.take(pa.array(own)).flatten(), float("nan")), dtype=np.float64).reshape(-1, d)
+                largest = np.abs(m).max(axis=1)
+                good = np.isfinite(largest) & (largest > 0)
+                m = m[good] / largest[good, None]
+                m /= np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+                take = pa.array(use[own[good]])
+                labels = pa.array([f"{d}:{x}" for x in batch.column(1).take(take).to_pylist()], pa.string())
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, d), pa.int32()), pa.array(m.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), labels, vectors], schema=_UNITS)
+
+    return rows.mapInArrow(run, "vec_id long, label string, v array<double>")
+
+
 def usable(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(every vec_id once, the usable vectors: vec_id, label, unit array<double>)."""
+    """(every vec_id once, the usable vectors: vec_id, label, v at unit length). Of a repeated id the least row counts."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v")).filter("vec_id IS NOT NULL")
-    rows = rows.groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("row")).select("vec_id", "row.label", "row.v")
-    finite = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
-    good = rows.filter(F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & finite)
-    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    good = good.withColumn("m", largest).filter("m > 0").withColumn("v", F.transform("v", lambda x: x / F.col("m")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    good = good.withColumn("norm", norm).select("vec_id", F.concat_ws(":", F.size("v").cast("string"), "label").alias("label"), F.transform("v", lambda x: x / F.col("norm")).alias("v"))
-    return rows.select("vec_id"), good
+    ids = checkpointed(rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")), F.count_if(F.col("n") > 1).alias("repeated"))
+    # Ids alone are counted; only the rows of repeated ones are compared as wholes.
+    again = ids.filter("n > 1").select(F.col("vec_id").alias("again_id"))
+    again = F.broadcast(again) if ids.seen["repeated"] <= BROADCAST_IDS else again
+    once = rows.join(again, F.col("vec_id") == F.col("again_id"), "left_anti")
+    least = rows.join(again, F.col("vec_id") == F.col("again_id"), "left_semi").groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("row")).select("vec_id", "row.label", "row.v")
+    return ids.select("vec_id"), unit_vectors(once.unionByName(least))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -124,8 +151,18 @@ def sorted_candidates(vectors: DataFrame, tables: range) -> DataFrame:
     return ordered.mapInArrow(compare, "a long, b long, cos double").groupBy("a", "b").agg(F.max("cos").alias("cos"))
 
 
-def dot(x: str, y: str):
-    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+def cosines(pairs: DataFrame) -> DataFrame:
+    """(a, b, cos) of pairs (a, b, x, y) of unit vectors whose cosine is FLOOR at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, x in by_dimension(batch, 2):
+                take = pa.array(rows)
+                cos = np.einsum("ij,ij->i", x, matrix(batch.column(3).take(take)))
+                good = pa.array(cos >= FLOOR)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take).filter(good), batch.column(1).take(take).filter(good), pa.array(cos[cos >= FLOOR])], schema=_EDGES)
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, cos double")
 
 
 def refined(edges: DataFrame, vectors: DataFrame, threshold: float, size: int) -> DataFrame:
@@ -138,8 +175,7 @@ def refined(edges: DataFrame, vectors: DataFrame, threshold: float, size: int) -
     pairs = pairs.join(edges, ["a", "b"], "left_anti")
     left = vectors.select(F.col("id").alias("a"), F.col("v").alias("x"))
     right = vectors.select(F.col("id").alias("b"), F.col("v").alias("y"))
-    new = pairs.join(left, "a").join(right, "b").select("a", "b", dot("x", "y").alias("cos")).filter(F.col("cos") >= FLOOR)
-    return edges.unionByName(new)
+    return edges.unionByName(cosines(pairs.join(left, "a").join(right, "b")))
 
 
 def audited(vectors: DataFrame, component: DataFrame, threshold: float) -> DataFrame:
