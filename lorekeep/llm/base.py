@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task handles at once.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 #: Bytes of an Arrow batch on its way to a Python task; the default of 64 MB is dear where tasks hold whole texts.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: So many ids, of some 24 bytes each in a hashed relation, are sent to all tasks rather than shuffled with whole texts.
 BROADCAST_IDS = 1 << 21
 

@@ -35,7 +35,7 @@ FOLD_BYTES = 48
 #: At most so many frequent pieces are sent to the tasks.
 TABLE_PIECES = 1 << 17
 #: Bytes of words that a task counts at once, rows of texts split at once, and words whose ids a task remembers.
-COUNTED, ROWS, REMEMBERED = 32 << 20, 256, 200_000
+COUNTED, ROWS, REMEMBERED = 8 << 20, 256, 150_000
 _BUCKETS = 16_384
 _NO_RANK = 2**31 - 1
 

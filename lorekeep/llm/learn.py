@@ -1,16 +1,21 @@
 """Small linear models on hashed words and text statistics, for the classifiers.
 
-Models are fitted on the driver from a bounded sample of labelled rows; features are computed
-in the tasks, many texts at a time, and every document is scored there.
+Features are computed in the tasks, many texts at a time; the driver sees feature rows of a bounded
+sample of labelled documents, and sums, but no text. Every document is scored in the tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .words import SPACED, Words, distinct
+from .base import checkpointed, pieces
+from .words import SPACED, Words, distinct, mix
 
 #: Words are told apart by so many bits of their hash.
 BITS = 20
@@ -27,24 +32,6 @@ def word_features(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return distinct(words.text_of(), (words.hash >> _U(64 - BITS)).astype(np.int64))
 
 
-def portions(raws: list[bytes], limit: int = 1 << 20):
-    """(first row, texts) of runs of up to limit bytes, so that no array spans a whole sample."""
-    first, size = 0, 0
-    for i, raw in enumerate(raws):
-        size += len(raw) + 1
-        if size >= limit or i == len(raws) - 1:
-            yield first, raws[first : i + 1]
-            first, size = i + 1, 0
-
-
-def sample_features(raws: list[bytes], kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """word_features of a whole sample."""
-    found = [(first, *word_features(Words(part, kind))) for first, part in portions(raws)]
-    if not found:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate([first + o for first, o, _ in found]), np.concatenate([b for _, _, b in found])
-
-
 def text_stats(raws: list[bytes]) -> np.ndarray:
     """A row of STATS for each text."""
     words = Words(raws, SPACED)
@@ -85,9 +72,10 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 300, standardise: bool = True) -> Linear:
-    """Logistic regression by accelerated gradient steps; one class alone gives a constant model."""
+def fit(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 300, standardise: bool = True, weight: np.ndarray | None = None) -> Linear:
+    """Logistic regression by accelerated gradient steps, rows weighted; one class alone gives a constant model."""
     n, k = x.shape
+    root = np.sqrt(np.ones(n) if weight is None else weight)
     mean = x.mean(axis=0) if n and standardise else np.zeros(k)
     scale = x.std(axis=0) if n and standardise else np.ones(k)
     scale = np.where(scale > 1e-9, scale, 1.0)
@@ -99,13 +87,13 @@ def fit(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 300, standar
     penalty = np.append(np.full(k, l2), 0.0)
     v = np.ones(z.shape[1]) / np.sqrt(z.shape[1])
     for _ in range(30):  # the largest curvature, by power steps
-        v = z.T @ (z @ v)
+        v = z.T @ (root * root * (z @ v))
         v /= np.linalg.norm(v) or 1.0
-    step = 1 / (0.25 * float(np.linalg.norm(z.T @ (z @ v))) + l2)
+    step = 1 / (0.25 * float(np.linalg.norm(z.T @ (root * root * (z @ v)))) + l2)
     w = np.append(np.zeros(k), bias)
     ahead, t = w.copy(), 1.0
     for _ in range(steps):
-        grad = z.T @ (sigmoid(z @ ahead) - y) + penalty * ahead
+        grad = z.T @ (root * root * (sigmoid(z @ ahead) - y)) + penalty * ahead
         new = ahead - step * grad
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, w, t = new + (t - 1) / t2 * (new - w), new, t2
@@ -114,29 +102,61 @@ def fit(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 300, standar
 
 def folds(ids: np.ndarray, k: int) -> np.ndarray:
     """The fold of each row, by its id alone."""
-    from .words import mix
-
     return (mix(ids.astype(np.int64).view(np.uint64) + _U(17)) % _U(k)).astype(np.int64)
 
 
-def out_of_fold(x: np.ndarray, y: np.ndarray, fold: np.ndarray, **how) -> np.ndarray:
-    """For each row, the prediction of a model fitted without the row's fold."""
+def out_of_fold(x: np.ndarray, y: np.ndarray, fold: np.ndarray, more: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, **how) -> np.ndarray:
+    """For each row, the prediction of a model fitted without the row's fold; more: (x, y, weight) rows that every model sees."""
     out = np.zeros(len(y))
     for f in np.unique(fold):
         inside = fold == f
-        out[inside] = fit(x[~inside], y[~inside], **how).predict(x[inside])
+        x_in, y_in, w = x[~inside], y[~inside], np.ones(int((~inside).sum()))
+        if more is not None and len(more[1]):
+            x_in, y_in, w = np.vstack([x_in, more[0]]), np.append(y_in, more[1]), np.append(w, more[2])
+        out[inside] = fit(x_in, y_in, weight=w, **how).predict(x[inside])
     return out
 
 
-def chosen_words(owner: np.ndarray, bucket: np.ndarray, y: np.ndarray, most: int, least_texts: int = 3, least_score: float = 4.0) -> np.ndarray:
-    """The buckets whose rate differs most between the classes, by least_score standard deviations at least; sorted."""
-    names, inverse, held = np.unique(bucket, return_inverse=True, return_counts=True)
-    hits = np.bincount(inverse, weights=y[owner], minlength=len(names)) if len(names) else np.zeros(0)
-    rate = y.mean() if len(y) else 0.0
-    spread = np.sqrt(np.maximum(held * rate * (1 - rate), 1e-9))
-    score = np.where(held >= least_texts, np.abs(hits - held * rate) / spread, 0.0)
-    best = np.argsort(-score, kind="stable")[:most]
-    return np.sort(names[best[score[best] >= least_score]])
+_WORDS = pa.schema([("doc_id", pa.int64()), ("label", pa.float64()), ("buckets", pa.list_(pa.int64()))])
+
+
+def labelled_ids(labels: DataFrame, column: str, most: int) -> DataFrame:
+    """(of_id, label) of at most so many labelled ids, the least by hash; several labels of an id count once, the largest."""
+    ids = labels.select(F.col("doc_id").cast("long").alias("of_id"), F.col(column).cast("int").alias("label")).dropna().groupBy("of_id").agg(F.max("label").alias("label"))
+    return ids.orderBy(F.xxhash64("of_id"), "of_id").limit(most)
+
+
+def sample_words(docs: DataFrame, ids: DataFrame, kind: np.ndarray) -> DataFrame:
+    """(doc_id, label, buckets): the distinct words of the documents of ids (of_id, label), whose number is bounded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, raws in pieces(batch):
+                owner, bucket = word_features(Words(raws, kind))
+                edge = np.searchsorted(owner, np.arange(len(raws) + 1))
+                rows = batch.slice(first, len(raws))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(bucket))], schema=_WORDS)
+
+    known = docs.join(F.broadcast(ids), docs["doc_id"] == ids["of_id"]).select("doc_id", "text", F.col("label").cast("double").alias("label"))
+    return checkpointed(known.mapInArrow(run, "doc_id long, label double, buckets array<long>"), F.count(F.lit(1)).alias("n"), F.coalesce(F.avg((F.col("label") > 0).cast("int")), F.lit(0.0)).alias("rate"))
+
+
+def choose(words: DataFrame, most: int, least_texts: int = 3, least_score: float = 4.0) -> np.ndarray:
+    """The buckets of sample_words() whose rate differs most between the classes, by least_score standard deviations at least; sorted."""
+    rate = float(words.seen["rate"])
+    held, hits = F.count(F.lit(1)), F.sum((F.col("label") > 0).cast("int"))
+    counts = words.select("label", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(held.alias("held"), hits.alias("hits")).filter(F.col("held") >= least_texts)
+    score = F.abs(F.col("hits") - F.col("held") * rate) / F.sqrt(F.greatest(F.col("held") * rate * (1 - rate), F.lit(1e-9)))
+    best = counts.select("bucket", score.alias("score")).filter(F.col("score") >= least_score).orderBy(F.desc("score"), "bucket").limit(most)
+    return np.sort(np.array([r["bucket"] for r in best.collect()], dtype=np.int64))
+
+
+def sample_presence(words: DataFrame, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_id, label 0/1, presence of the chosen words) of a sample, in the order of ids."""
+    rows = words.select("doc_id", "label", F.array_intersect("buckets", F.array(*[F.lit(int(c)) for c in columns]).cast("array<long>")).alias("b")).orderBy("doc_id", "label").collect()
+    owner = np.repeat(np.arange(len(rows)), [len(r["b"]) for r in rows]).astype(np.int64)
+    bucket = np.array([b for r in rows for b in r["b"]], dtype=np.int64)
+    return np.array([r["doc_id"] for r in rows], dtype=np.int64), np.array([float(r["label"] > 0) for r in rows]), presence(owner, bucket, len(rows), columns)
 
 
 def presence(owner: np.ndarray, bucket: np.ndarray, n_texts: int, columns: np.ndarray) -> np.ndarray:

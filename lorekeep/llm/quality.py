@@ -1,22 +1,26 @@
 """Quality classifier by co-training of a text view and a metadata view.
 
 Method. One linear model sees the text (statistics and the presence of chosen words), the other
-the page's metadata (language, source, length). Both start from the labelled rows; over ROUNDS
-rounds each labels the unlabelled pool, and the rows that it is confident of join the other's
-training set. Their log-odds, calibrated on out-of-fold predictions of the labelled rows, are
-then combined into one score for every document.
-
-The models are fitted on SAMPLE labelled rows and POOL unlabelled rows at most (the least by a
-hash of doc_id). A document is rejected below a cut that is set so that REJECT_AT_MOST of the
-good labelled rows fall below it out of fold, and never above one half: a filter should rather
-let junk pass than lose clean text. Defined results: null or wordless text scores 0 and is
-rejected; without labels, or with one class alone, the score is the base rate and nothing that
-has words is rejected; several labels of a doc_id count once, the largest; repeated rows give
-repeated rows; other columns are ignored.
+the page's metadata (language, source, length). Both start from the labelled rows. Over ROUNDS
+rounds each scores every unlabelled document, and the documents that it is confident of teach the
+other: they are summed up, class by class, in CELLS means of feature rows (by a hash of doc_id),
+which join the other's training set with the weight of the labelled rows at most. The views'
+log-odds are calibrated singly on out-of-fold predictions of the co-trained models, and then
+combined into one score for every document.
+
+Texts are read once for the features, which all rounds share. The labelled rows are a sample of
+SAMPLE at most (the least by a hash of doc_id). A document is rejected below a cut that is set so
+that REJECT_AT_MOST of the good labelled rows fall below it out of fold, and never above one half: a
+filter should rather let junk pass than lose clean text. Defined results: null or wordless text
+scores 0 and is rejected; without labels, or with one class alone, the score is the base rate and
+nothing that has words is rejected; several labels of a doc_id count once, the largest; rows without
+a doc_id are scored, and teach nothing; repeated rows give repeated rows, and
+keep_good drops a doc_id when all its rows are rejected; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import learn
-from .base import pieces
+from .base import checkpointed, pieces
 from .words import SPACED, Words, mix
 
 SAMPLE = 4000
-POOL = 2000
 WORDS = 128
 META_BITS = 8
 ROUNDS = 3
+CELLS = 64
 CONFIDENT = 0.97
 FOLDS = 5
 REJECT_AT_MOST = 0.005
@@ -47,34 +51,55 @@ def meta_columns(documents: DataFrame) -> DataFrame:
     return documents.select(*[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]).withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def meta_features(lang: list, source: list, n_chars: list) -> np.ndarray:
-    """Hashed language and source (0/1 each) and the length's logarithm."""
-    n = len(lang)
-    out = np.zeros((n, (1 << META_BITS) + 1))
-    for values in (lang, source):
-        raws = [f"{'l' if values is lang else 's'}:{v}".encode() if v is not None else b"none" for v in values]
-        h = np.array([int.from_bytes(r[-8:].rjust(8, b"\0"), "little") + 131 * len(r) + r[0] for r in raws], dtype=np.uint64)
-        out[np.arange(n), (mix(h) >> _U(64 - META_BITS)).astype(np.int64)] = 1.0
-    out[:, -1] = np.log1p(np.array([max(0, v or 0) for v in n_chars], dtype=float)) / 10
-    return out
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("worded", pa.bool_()), ("x", pa.binary()), ("lang", pa.int32()), ("source", pa.int32()), ("size", pa.float64())])
+_FEATURES_SQL = "doc_id long, worded boolean, x binary, lang int, source int, size double"
+
+
+def _buckets(values: list, tag: str) -> np.ndarray:
+    """A bucket of META_BITS for each value, nulls in one of their own."""
+    seen: dict = {}
+    for v in values:
+        if v not in seen:
+            seen[v] = int.from_bytes(hashlib.blake2b(f"{tag}{v!r}".encode("utf-8", "surrogatepass"), digest_size=2).digest(), "little") >> (16 - META_BITS)
+    return np.array([seen[v] for v in values], dtype=np.int32)
+
+
+def features(documents: DataFrame, columns: np.ndarray) -> DataFrame:
+    """Both views' features of every document, as a table: the only pass over the texts of all."""
+    sent = documents.sparkSession.sparkContext.broadcast(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, raws in pieces(batch):
+                rows = batch.slice(first, len(raws))
+                x = np.column_stack([learn.text_stats(raws), learn.presence(*learn.word_features(Words(raws, SPACED)), len(raws), sent.value)]).astype(np.float32)
+                size = np.log1p(np.array([max(0, v or 0) for v in rows.column(4).to_pylist()], dtype=float)) / 10
+                lang, source = (_buckets(rows.column(i).to_pylist(), t) for i, t in ((2, "l"), (3, "s")))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([bool(r.strip()) for r in raws]), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(lang), pa.array(source), pa.array(size)], schema=_FEATURES)
+
+    return checkpointed(meta_columns(documents).mapInArrow(run, _FEATURES_SQL))
+
+
+def views(batch: pa.RecordBatch, width: int = 0) -> dict[str, np.ndarray]:
+    """The text and meta matrices of feature rows; width: that of the text's, which no rows can't tell."""
+    n = batch.num_rows
+    x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float32).reshape(n, -1).astype(np.float64) if n else np.zeros((0, width))
+    meta = np.zeros((n, (2 << META_BITS) + 1))
+    meta[np.arange(n), np.asarray(batch.column(3))] = 1.0
+    meta[np.arange(n), np.asarray(batch.column(4)) + (1 << META_BITS)] = 1.0
+    meta[:, -1] = np.asarray(batch.column(5))
+    return {"text": x, "meta": meta}
 
 
 @dataclass
 class CoModel:
-    columns: np.ndarray
-    text: learn.Linear
-    meta: learn.Linear
+    view: dict[str, learn.Linear]
+    single: dict[str, learn.Linear]
     both: learn.Linear
     threshold: float
 
-    def text_features(self, raws: list[bytes]) -> np.ndarray:
-        return np.column_stack([learn.text_stats(raws), learn.presence(*learn.word_features(Words(raws, SPACED)), len(raws), self.columns)])
-
-    def sample_features(self, raws: list[bytes]) -> np.ndarray:
-        return np.vstack([np.zeros((0, len(learn.STATS) + len(self.columns))), *(self.text_features(part) for _, part in learn.portions(raws))])
-
-    def combine(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
-        return self.both.predict(np.column_stack([text, meta]))
+    def calibrated(self, logits: dict[str, np.ndarray]) -> np.ndarray:
+        return np.column_stack([self.single[v].logit(np.clip(logits[v], -13.8, 13.8)[:, None]) for v in ("text", "meta")])
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -82,76 +107,112 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def train(labelled: list[tuple], pool: list[tuple]) -> CoModel:
-    """Rows are (doc_id, text bytes, lang, source, n_chars[, label])."""
-    labelled, pool = sorted(labelled, key=lambda r: r[0]), sorted(pool, key=lambda r: r[0])
-    y = np.array([float(r[5] > 0) for r in labelled])
-    raws = [r[1] for r in labelled]
-    model = CoModel(learn.chosen_words(*learn.sample_features(raws, SPACED), y, WORDS), None, None, None, 0.5)
-    view = {"text": model.sample_features(raws), "meta": meta_features(*([r[i] for r in labelled] for i in (2, 3, 4)))}
-    free = {"text": model.sample_features([r[1] for r in pool]), "meta": meta_features(*([r[i] for r in pool] for i in (2, 3, 4)))}
-    added: dict[str, tuple[np.ndarray, np.ndarray]] = {v: (np.zeros(0, dtype=int), np.zeros(0)) for v in view}
-    fitted = {}
-    for r in range(ROUNDS + 1):
-        fitted = {v: learn.fit(np.vstack([view[v], free[v][added[v][0]]]), np.append(y, added[v][1])) for v in view}
-        if r == ROUNDS or not pool or not len(y) or y.min() == y.max():
-            break
-        for v, other in (("text", "meta"), ("meta", "text")):
-            p = fitted[v].predict(free[v])
-            sure = np.flatnonzero((p >= CONFIDENT) | (p <= 1 - CONFIDENT))
-            added[other] = (sure, (p[sure] > 0.5).astype(float))
-    fold = learn.folds(np.array([r[0] for r in labelled], dtype=np.int64), FOLDS)
-    stacked = np.column_stack([_logit(learn.out_of_fold(view[v], y, fold)) for v in ("text", "meta")])
-    model.text, model.meta, model.both = fitted["text"], fitted["meta"], learn.fit(stacked, y)
-    if len(y) and y.min() < y.max():
+_CELL = pa.schema([("view", pa.string()), ("cell", pa.int32()), ("n", pa.int64()), ("total", pa.binary())])
+_CELL_SQL = "view string, cell int, n long, total binary"
+Taught = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def taught(unlabelled: DataFrame, models: dict[str, learn.Linear]) -> dict[str, Taught]:
+    """What each view is taught by the other's confident documents: (mean feature rows, labels, documents) by cell.
+
+    Tasks add up their documents first, so no more than 4 * CELLS sums of a task are shuffled, and as many reach the driver.
+    """
+    sent = unlabelled.sparkSession.sparkContext.broadcast(models)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[str, int], list] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = views(batch)
+            cell = (mix(np.asarray(batch.column(0)).view(np.uint64) + _U(5)) % _U(CELLS)).astype(np.int64)
+            for v, other in (("text", "meta"), ("meta", "text")):
+                p = sent.value[v].predict(x[v])
+                key = np.where(p >= CONFIDENT, cell + CELLS, np.where(p <= 1 - CONFIDENT, cell, -1))
+                for k in np.unique(key[key >= 0]).tolist():
+                    own = x[other][key == k]
+                    held = total.setdefault((other, k), [0, np.zeros(own.shape[1])])
+                    held[0] += len(own)
+                    held[1] += own.sum(axis=0)
+        rows = [(v, k, n, t.tobytes()) for (v, k), (n, t) in total.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_CELL)], schema=_CELL)
+
+    def whole(rows: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(t) for t in rows.column("total").to_pylist()], axis=0)
+        return pa.table([[rows.column("view")[0].as_py()], pa.array([rows.column("cell")[0].as_py()], pa.int32()), [sum(rows.column("n").to_pylist())], pa.array([total.tobytes()], pa.binary())], schema=_CELL)
+
+    rows = sorted(unlabelled.mapInArrow(add, _CELL_SQL).groupBy("view", "cell").applyInArrow(whole, _CELL_SQL).collect())
+    out = {}
+    for v in models:
+        own = [r for r in rows if r["view"] == v]
+        n = np.array([r["n"] for r in own], dtype=float)
+        x = np.array([np.frombuffer(bytes(r["total"])) / r["n"] for r in own]).reshape(len(own), len(models[v].weight))
+        out[v] = (x, np.array([float(r["cell"] >= CELLS) for r in own]), n)
+    return out
+
+
+def train(sample: DataFrame, unlabelled: DataFrame, width: int) -> CoModel:
+    """The model of feature rows: sample has a label each, and its number is bounded."""
+    rows = sample.orderBy("doc_id", "x").toArrow().combine_chunks()
+    batch = rows.to_batches()[0] if rows.num_rows else pa.RecordBatch.from_pylist([], schema=rows.schema)
+    x, y = views(batch, width), np.asarray(rows.column("label")).astype(float) > 0
+    y = y.astype(float)
+    two = len(y) > 0 and y.min() < y.max()
+    more: dict[str, Taught] = {v: (np.zeros((0, x[v].shape[1])), np.zeros(0), np.zeros(0)) for v in x}
+
+    def fitted() -> dict[str, learn.Linear]:
+        return {v: learn.fit(np.vstack([x[v], more[v][0]]), np.append(y, more[v][1]), weight=np.append(np.ones(len(y)), more[v][2])) for v in x}
+
+    models = fitted()
+    for _ in range(ROUNDS if two else 0):
+        for v, (means, labels, n) in taught(unlabelled, models).items():
+            more[v] = (means, labels, n * min(1.0, len(y) / n.sum()) if len(n) else n)
+        models = fitted()
+    fold = learn.folds(np.asarray(rows.column("doc_id")).astype(np.int64), FOLDS)
+    logits = {v: _logit(learn.out_of_fold(x[v], y, fold, more[v])) for v in x}
+    model = CoModel(models, {v: learn.fit(logits[v][:, None], y) for v in x}, None, 0.0)
+    stacked = model.calibrated(logits) if len(y) else np.zeros((0, 2))
+    model.both = learn.fit(stacked, y)
+    if two:
         good = np.sort(learn.out_of_fold(stacked, y, fold)[y > 0])
         model.threshold = float(min(0.5, good[int(REJECT_AT_MOST * len(good))]))
-    else:
-        model.threshold = 0.0
     return model
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("p_text", pa.float64()), ("p_meta", pa.float64()), ("score", pa.float64()), ("keep", pa.bool_())])
 
 
-def score(documents: DataFrame, model: CoModel) -> DataFrame:
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+def score(feature_rows: DataFrame, model: CoModel) -> DataFrame:
+    sent = feature_rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            for first, raws in pieces(batch):
-                rows = batch.slice(first, len(raws))
-                text = m.text.logit(m.text_features(raws))
-                meta = m.meta.logit(meta_features(*(rows.column(i).to_pylist() for i in (2, 3, 4))))
-                p = m.combine(np.clip(text, -13.8, 13.8), np.clip(meta, -13.8, 13.8))
-                wordless = np.array([not r.strip() for r in raws])
-                p[wordless] = 0.0
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(learn.sigmoid(text)), pa.array(learn.sigmoid(meta)), pa.array(p), pa.array((p >= m.threshold) & ~wordless)], schema=_OUT)
+            if not batch.num_rows:
+                continue
+            x, worded = views(batch), np.asarray(batch.column(1))
+            single = m.calibrated({v: m.view[v].logit(x[v]) for v in x})
+            p = np.where(worded, m.both.predict(single), 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(learn.sigmoid(single[:, i]))) for i in (0, 1)), pa.array(p), pa.array((p >= m.threshold) & worded)], schema=_OUT)
 
-    return meta_columns(documents).mapInArrow(run, "doc_id long, p_text double, p_meta double, score double, keep boolean")
+    return feature_rows.mapInArrow(run, "doc_id long, p_text double, p_meta double, score double, keep boolean")
 
 
-def fitted(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> CoModel:
-    """The model, from bounded samples whose ids are chosen by hash before any text is read."""
-    docs = meta_columns(documents)
-    known = labels.select(F.col("doc_id").cast("long").alias("of_id"), F.col("quality").cast("int").alias("label")).dropna().groupBy("of_id").agg(F.max("label").alias("label"))
-    known = known.orderBy(F.xxhash64("of_id"), "of_id").limit(sample)
-    others = docs.select(F.col("doc_id").alias("of_id")).dropna().orderBy(F.xxhash64("of_id", F.lit(3)), "of_id").limit(pool).withColumn("label", F.lit(None).cast("int"))
-    wanted = known.unionByName(others)
-    rows = docs.join(F.broadcast(wanted), docs["doc_id"] == wanted["of_id"]).select(*docs.columns, "label")
-    got = [(r["doc_id"], r["text"].encode(), r["lang"], r["source"], r["n_chars"], r["label"]) for r in rows.toLocalIterator()]
-    labelled = [r for r in got if r[5] is not None]
-    taken = {r[0] for r in labelled}
-    return train(labelled, [r for r in got if r[5] is None and r[0] not in taken])
-
-
-def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def classify(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, p_text, p_meta, score, keep) of every document."""
-    return score(documents, fitted(documents, labels))
+    docs = meta_columns(documents)
+    ids = learn.labelled_ids(labels, "quality", sample)
+    columns = learn.choose(learn.sample_words(docs, ids, SPACED), WORDS)
+    rows = features(documents, columns)
+    known = rows.join(F.broadcast(ids), rows["doc_id"] == ids["of_id"]).select(*rows.columns, "label")
+    every = labels.select(F.col("doc_id").cast("long").alias("known_id")).filter(F.col("quality").isNotNull() & F.col("known_id").isNotNull()).distinct()
+    free = rows.filter("doc_id IS NOT NULL AND worded").join(every, F.col("doc_id") == F.col("known_id"), "left_anti")
+    return score(rows, train(known, free, len(learn.STATS) + len(columns)))
 
 
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that the classifier doesn't reject."""
-    rejected = classify(documents, labels).filter("NOT keep").select(F.col("doc_id").alias("rejected_id")).distinct()
-    return documents.join(rejected, documents["doc_id"] == rejected["rejected_id"], "left_anti")
+    """The documents, with all their columns, that the classifier doesn't reject; a doc_id goes when all its rows are rejected."""
+    told = classify(documents, labels)
+    ids = told.groupBy(F.col("doc_id").alias("judged_id")).agg(F.bool_or("keep").alias("some"))
+    gone = ids.filter("NOT some AND judged_id IS NOT NULL").select("judged_id")
+    return documents.join(gone, documents["doc_id"] == gone["judged_id"], "left_anti")

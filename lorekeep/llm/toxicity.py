@@ -1,15 +1,17 @@
 """Toxicity by a classifier chain.
 
-Method. The categories are predicted in order (insult, contempt, pile_on, toxic); each linear
-model sees the presence of chosen words and the earlier categories' probabilities. A later model
-is trained on out-of-fold probabilities of the earlier ones, so it meets them as they are for
-new documents. Only `toxic` is labelled by hand; the three earlier categories are weak labels:
-a toxic document with a word of the category's list, or with several.
-
-The models are fitted on SAMPLE labelled rows at most (the least by a hash of doc_id); every
-document is scored on its whole text. Defined results: null or wordless text has probability 0
-and isn't toxic; with no labels or one class alone every probability is the base rate and nothing is called toxic; a doc_id
-with several labels counts once, with the largest; other columns are ignored.
+Method. The categories are predicted in order (three kinds of toxic text, then toxic at all); each
+linear model sees the presence of chosen words and the earlier categories' probabilities. A later
+model is trained on out-of-fold probabilities of the earlier ones, so it meets them as they are for
+new documents. Only `toxic` is labelled by hand. The kinds are learnt: the words that mark toxic
+rows of the sample are clustered by the rows they stand in, and a toxic row with a word of a cluster
+is of its kind.
+
+The models are fitted on SAMPLE labelled rows at most (the least by a hash of doc_id), of which the
+driver sees chosen words alone; every document is scored on its whole text. Defined results: null or
+wordless text has probability 0 and isn't toxic; with no labels or one class alone every probability
+is the base rate and nothing is called toxic; a doc_id with several labels counts once, with the
+largest; repeated rows give repeated rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import learn
 from .base import pieces, texts
@@ -29,18 +30,8 @@ from .words import ALNUM, Words
 SAMPLE = 4000
 WORDS = 256
 FOLDS = 5
-CATEGORIES = ("insult", "contempt", "pile_on", "toxic")
-#: The word lists of the weak labels.
-INSULT = ("idiot", "moron", "loser", "clown", "scum", "trash")
-CONTEMPT = ("stupid", "pathetic", "worthless", "disgusting")
-
-
-def sampled(documents: DataFrame, labels: DataFrame, column: str, most: int) -> DataFrame:
-    """(doc_id, text, label) of at most so many labelled documents; the sample's size bounds the broadcast."""
-    ids = labels.select(F.col("doc_id").cast("long").alias("of_id"), F.col(column).cast("int").alias("label")).dropna()
-    ids = ids.groupBy("of_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("of_id"), "of_id").limit(most)
-    docs = texts(documents)
-    return docs.join(F.broadcast(ids), docs["doc_id"] == ids["of_id"]).select("doc_id", "text", "label")
+KINDS = 3
+CATEGORIES = (*(f"kind_{k + 1}" for k in range(KINDS)), "toxic")
 
 
 @dataclass
@@ -56,45 +47,52 @@ class Chain:
         return np.column_stack(found)
 
 
-def weak_labels(words: Words, toxic: np.ndarray) -> np.ndarray:
-    """0/1 for each text and category."""
-    owner, value = words.text_of(), words.hash
-    hits = []
-    for listed in (INSULT, CONTEMPT):
-        own = Words([" ".join(listed).encode()], ALNUM).hash
-        hits.append(np.bincount(owner[np.isin(value, own)], minlength=len(toxic)))
-    insult, contempt = hits
-    return np.column_stack([toxic * (insult > 0), toxic * (contempt > 0), toxic * (insult + contempt >= 3), toxic]).astype(float)
+def kinds(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """The cluster of each column of x that marks toxic rows, or -1: by k-means of the columns' directions over the toxic rows."""
+    out = np.full(x.shape[1], -1)
+    bad = x[toxic > 0]
+    if not len(bad) or not len(toxic) - len(bad):
+        return out
+    marks = np.flatnonzero(bad.mean(axis=0) > x[toxic == 0].mean(axis=0))
+    rows = bad[:, marks].T / np.maximum(1e-9, np.linalg.norm(bad[:, marks], axis=0))[:, None]
+    if not len(marks):
+        return out
+    centre = [int(rows.sum(axis=1).argmax())]
+    for _ in range(min(KINDS, len(marks)) - 1):  # each further centre is the column least like those before
+        centre.append(int((rows @ rows[centre].T).max(axis=1).argmin()))
+    centres = rows[centre]
+    for _ in range(20):
+        own = (rows @ centres.T).argmax(axis=1)
+        centres = np.array([rows[own == k].sum(axis=0) if (own == k).any() else centres[k] for k in range(len(centres))])
+        centres /= np.maximum(1e-9, np.linalg.norm(centres, axis=1))[:, None]
+    out[marks] = own
+    return out
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The cut of best F1, in the middle of the gap it lies in."""
+    """The cut of best F-score with precision at double weight, as clean text should rather be left alone; in the middle of the gap it lies in."""
     cuts = np.unique(np.round(p, 6))
     if len(cuts) < 2 or y.min() == y.max():
         return 0.5
     middle = (cuts[1:] + cuts[:-1]) / 2
     if len(middle) > 400:
         middle = middle[np.linspace(0, len(middle) - 1, 400).astype(int)]
-    score = [2 * (y * (p >= c)).sum() / max(1.0, y.sum() + (p >= c).sum()) for c in middle]
+    score = [1.25 * (y * (p >= c)).sum() / max(1.0, 0.25 * y.sum() + (p >= c).sum()) for c in middle]
     top = np.flatnonzero(np.isclose(score, max(score)))
     return float(np.clip(middle[top[len(top) // 2]], 0.05, 0.95))
 
 
-def train(rows: list[tuple[int, bytes, int]]) -> Chain:
-    rows = sorted(rows)
-    raws = [r[1] for r in rows]
-    toxic = np.array([float(r[2] > 0) for r in rows])
-    owner, bucket = learn.sample_features(raws, ALNUM)
-    columns = learn.chosen_words(owner, bucket, toxic, WORDS)
-    x = learn.presence(owner, bucket, len(rows), columns)
-    y = np.vstack([weak_labels(Words(part, ALNUM), toxic[first : first + len(part)]) for first, part in learn.portions(raws)] or [np.zeros((0, len(CATEGORIES)))])
-    fold = learn.folds(np.array([r[0] for r in rows], dtype=np.int64), FOLDS)
+def train(columns: np.ndarray, ids: np.ndarray, x: np.ndarray, toxic: np.ndarray) -> Chain:
+    """The chain of a sample's chosen words (presence x) and labels."""
+    of = kinds(x, toxic)
+    y = np.column_stack([*(toxic * (x[:, of == k].sum(axis=1) > 0) for k in range(KINDS)), toxic]).astype(float)
+    fold = learn.folds(ids, FOLDS)
     models, earlier = [], []
     for k in range(len(CATEGORIES)):
-        features = np.column_stack([x, *earlier])
-        models.append(learn.fit(features, y[:, k], standardise=False))
-        earlier.append(learn.out_of_fold(features, y[:, k], fold, standardise=False))
-    return Chain(columns, models, best_threshold(earlier[-1], toxic) if 0 < toxic.sum() < len(rows) else 2.0)
+        seen = np.column_stack([x, *earlier])
+        models.append(learn.fit(seen, y[:, k], standardise=False))
+        earlier.append(learn.out_of_fold(seen, y[:, k], fold, standardise=False))
+    return Chain(columns, models, best_threshold(earlier[-1], toxic) if 0 < toxic.sum() < len(toxic) else 2.0)
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), *((f"p_{c}", pa.float64()) for c in CATEGORIES), ("toxic", pa.bool_())])
@@ -116,6 +114,8 @@ def score(documents: DataFrame, chain: Chain) -> DataFrame:
 
 
 def classify(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, p_insult, p_contempt, p_pile_on, p_toxic, toxic) of every document."""
-    rows = [(r["doc_id"], r["text"].encode(), r["label"]) for r in sampled(documents, labels, "toxic", sample).toLocalIterator()]
-    return score(documents, train(rows))
+    """(doc_id, p_kind_1.., p_toxic, toxic) of every document."""
+    words = learn.sample_words(texts(documents), learn.labelled_ids(labels, "toxic", sample), ALNUM)
+    columns = learn.choose(words, WORDS)
+    ids, toxic, x = learn.sample_presence(words, columns)
+    return score(documents, train(columns, ids, x, toxic))

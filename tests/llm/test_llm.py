@@ -287,13 +287,52 @@ def test_classifiers_on_held_out_rows(spark):
     assert quality.keep_good(table, labels).columns == DOCS.replace(",", "").split()[::2]
 
 
-def test_classifiers_without_labels():
-    chain, model = toxicity.train([]), quality.train([], [])
-    assert chain.threshold > 1 and model.threshold == 0.0
-    assert chain.predict(np.zeros((2, 0))).shape == (2, 4)
+def test_classifiers_without_labels(spark):
+    table = docs(spark, "some words", None, "x " * 20000)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {x["doc_id"]: x["keep"] for x in quality.classify(table, labels).collect()} == {0: True, 1: False, 2: True}
+    assert not any(x["toxic"] for x in toxicity.classify(table, labels).collect())
+    one = spark.createDataFrame([(0, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.keep_good(table, one).count() == 2 and not any(x["toxic"] for x in toxicity.classify(table, one).collect())
     assert learn.fit(np.zeros((3, 1)), np.ones(3)).predict(np.zeros((1, 1)))[0] > 0.5
 
 
+def test_choice_of_words_and_taught_cells_against_brute_force(spark):
+    r = random.Random(18)
+    rows = list(labelled(r, 120))
+    table, labels = docs(spark, *(x[1] for x in rows)), spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, quality int")
+    words = learn.sample_words(quality.meta_columns(table), learn.labelled_ids(labels, "quality", 4000), learn.SPACED)
+    sets = [set(learn.word_features(learn.Words([x[1].encode()], learn.SPACED))[1].tolist()) for x in rows]
+    y = np.array([x[2] for x in rows])
+    scores = {}
+    for b in set().union(*sets):
+        has = np.array([b in s for s in sets])
+        if has.sum() >= 3:
+            scores[b] = abs((has * y).sum() - has.sum() * y.mean()) / np.sqrt(has.sum() * y.mean() * (1 - y.mean()))
+    want = sorted(sorted((b for b in scores if scores[b] >= 4), key=lambda b: (-scores[b], b))[:20])
+    assert learn.choose(words, 20).tolist() == want
+    feats = quality.features(table, np.array(want, dtype=np.int64))
+    batch = feats.orderBy("doc_id").toArrow().combine_chunks().to_batches()[0]
+    x = quality.views(batch)
+    models = {v: learn.fit(x[v], y.astype(float)) for v in x}
+    got = quality.taught(feats, models)
+    for v, other in (("text", "meta"), ("meta", "text")):
+        p = models[other].predict(x[other])
+        for label in (0.0, 1.0):
+            sure = p >= quality.CONFIDENT if label else p <= 1 - quality.CONFIDENT
+            own = got[v][1] == label
+            assert got[v][2][own].sum() == sure.sum()
+            if sure.any():
+                assert np.allclose((got[v][0][own] * got[v][2][own][:, None]).sum(axis=0), x[v][sure].sum(axis=0))
+
+
+def test_kinds_of_toxic_words():
+    x = np.array([[1, 1, 0, 0, 0], [1, 1, 0, 0, 1], [0, 0, 1, 1, 0], [0, 0, 1, 1, 1], [0, 0, 0, 0, 1], [0, 0, 0, 0, 1]], dtype=float)
+    of = toxicity.kinds(x, np.array([1, 1, 1, 1, 0, 0]))
+    assert of[0] == of[1] != of[2] == of[3] and of[4] == -1
+    assert toxicity.kinds(x, np.zeros(6)).tolist() == [-1] * 5
+
+
 def test_bpe_round_trip_and_ids(spark):
     import tiktoken
 
