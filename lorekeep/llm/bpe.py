@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +28,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import PIECE_BYTES, checkpointed, discard, runs_of_bytes, texts
+from .base import BATCH_BYTES, checkpointed, discard, runs_of_bytes, texts
 
 #: Pieces of at most so many bytes are folded by Spark; longer ones need more steps than a fold should take.
 FOLD_BYTES = 48
 #: At most so many frequent pieces are sent to the tasks.
 TABLE_PIECES = 1 << 17
-#: Bytes of words that a task counts at once, rows of texts split at once, and words whose ids a task remembers.
+#: Bytes of words that a task counts at once, rows of texts split at once, and rare pieces whose ids a task remembers.
 COUNTED, ROWS, REMEMBERED = 8 << 20, 256, 150_000
 _BUCKETS = 16_384
+#: Every character that some engine takes for white space.
+_SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 _NO_RANK = 2**31 - 1
 
 
@@ -182,10 +184,10 @@ def piece_counts(docs: DataFrame, pattern: str) -> DataFrame:
 
     def out(held: list[pa.Array], find) -> pa.RecordBatch:
         words = pc.value_counts(pa.chunked_array(held).combine_chunks())
-        pieces = find("".join([f" {w}" for w in words.field("values").to_pylist()]))
-        starts = np.fromiter((p[0] == " " for p in pieces), bool, len(pieces))
+        pieces = pa.array(find(" " + " ".join(words.field("values").to_pylist())), pa.string())
+        starts = pc.starts_with(pieces, " ").to_numpy(zero_copy_only=False)
         counts = words.field("counts").to_numpy()
-        coded = pa.array(pieces, pa.string()).dictionary_encode()
+        coded = pieces.dictionary_encode()
         per_piece = counts[np.clip(np.cumsum(starts) - 1, 0, max(0, len(counts) - 1))] if len(pieces) else counts[:0]
         total = np.bincount(coded.indices.to_numpy(), weights=per_piece, minlength=len(coded.dictionary)).astype(np.int64)
         return pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.binary()), pa.array(total)], names=["piece", "n"])
@@ -204,24 +206,29 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.filter(level >= least)
 
 
+def gathered(begin: np.ndarray, size: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The runs of values that start at begin and have the sizes, one after the other."""
+    return values[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+
 class Coder:
-    """Ids of whole texts in a task, as little-endian bytes.
+    """Ids of whole texts in a task.
 
     A piece may hold a space only as its first character or among other white space. So a single
     space between other characters always starts a piece, and what stands between two such spaces
-    is coded as a whole and remembered. A text with other white space next to a space is cut whole.
+    is cut and coded once for a batch of texts. A text with other white space next to a space is
+    cut whole.
     """
 
     def __init__(self, pattern: str, ranks: dict[bytes, int], known: dict[str, bytes]):
         self.find, self.ranks, self.known, self.merger = regex.compile(pattern).findall, ranks, known, Merger(ranks)
-        self.words: dict[str, bytes] = {}
         self.rare: dict[str, bytes] = {}
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Make the ids of pieces that the table lacks."""
+    def piece_codes(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces as little-endian bytes: from the table, or merged here and remembered."""
         if len(self.rare) >= REMEMBERED:
             self.rare.clear()
-        new = [p for p in set(pieces) if p not in self.known and p not in self.rare]
+        new = [p for p in pieces if p not in self.known and p not in self.rare]
         raws = [p.encode() for p in new]
         short = [i for i, r in enumerate(raws) if len(r) <= FOLD_BYTES and r not in self.ranks]
         for i, ids in zip(short, self.merger.code([raws[i] for i in short]), strict=True):
@@ -229,50 +236,49 @@ class Coder:
         for p, raw in zip(new, raws, strict=True):
             if p not in self.rare:
                 self.rare[p] = np.array(merge(raw, self.ranks), "<u4").tobytes()
-
-    def piece(self, piece: str) -> bytes:
-        return self.known.get(piece) or self.rare[piece]
-
-    def word_codes(self, words: list[str]) -> list[bytes | None]:
-        """Ids of a space and each word; None where the word doesn't stand alone, as white space is beside its space."""
-        if len(self.words) >= REMEMBERED:
-            self.words.clear()
-        codes = list(map(self.words.get, words))
-        new = [i for i, c in enumerate(codes) if c is None and (w := words[i]) and not w[0].isspace() and not w[-1].isspace()]
-        pieces = self.find("".join([f" {words[i]}" for i in new]))
-        self.learn(pieces)
-        starts = [k for k, p in enumerate(pieces) if p[0] == " "]
-        ids = list(map(self.piece, pieces))
-        for i, a, b in zip(new, starts, [*starts[1:], len(pieces)][: len(new)], strict=True):
-            self.words[words[i]] = codes[i] = ids[a] if b == a + 1 else b"".join(ids[a:b])
-        return codes
+        return [self.known.get(p) or self.rare[p] for p in pieces]
 
     def code(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text, all ids)."""
+        if not len(texts):
+            return np.zeros(0, np.int64), np.zeros(0, "<u4")
         split = pc.split_pattern(texts.cast(pa.large_string()), " ")
         edge = split.offsets.to_numpy() - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
-        at, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        at, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        odd = pc.match_substring_regex(words, f"^$|^{_SPACE}|{_SPACE}$").to_numpy(zero_copy_only=False)
         first = edge[:-1]
-        codes = self.word_codes(words)
-        odd = np.fromiter((c is None for c in codes), bool, len(codes))
         bad = odd[at]
         bad[first] = False
-        head = [words[k] for k in at[first].tolist()]
+        head = words.take(pa.array(at[first])).to_pylist()
         loose = np.fromiter((not w or w[-1].isspace() for w in head), bool, len(head)) & (np.diff(edge) > 1)
-        whole = loose | (np.add.reduceat(bad.astype(np.int64), first) > 0 if len(first) else loose)
-        cut = [self.find(texts[i].as_py() if w else head[i]) for i, w in enumerate(whole.tolist())]
-        self.learn(p for pieces in cut for p in pieces)
-        # The table of codes: the words', an empty one, and what each text begins with, or is if it is cut whole.
-        table = [c or b"" for c in codes] + [b""] + [b"".join(map(self.piece, pieces)) for pieces in cut]
-        at[np.repeat(whole, np.diff(edge))] = len(codes)
-        at[first] = len(codes) + 1 + np.arange(len(first))
-        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        begin = np.cumsum(size) - size
-        n = size[at]
-        place = np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        ids = np.frombuffer(b"".join(table), "<u4")[place]
-        return (np.add.reduceat(n, first) if len(first) else n), ids
+        whole = loose | (np.add.reduceat(bad.astype(np.int64), first) > 0)
+        # Entries: the words that stand alone, an empty one, and what each text begins with, or is if it is cut whole.
+        alone = np.flatnonzero(~odd)
+        pieces = self.find(" " + " ".join(words.take(pa.array(alone)).to_pylist())) if len(alone) else []
+        n_alone, n_pieces = len(pieces), [0]
+        for i, w in enumerate(whole.tolist()):
+            cut = self.find(texts[i].as_py() if w else head[i])
+            n_pieces.append(len(cut))
+            pieces += cut
+        entry = np.full(len(words), len(alone))
+        entry[alone] = np.arange(len(alone))
+        every = pa.array(pieces, pa.large_string())
+        starts = np.flatnonzero(pc.starts_with(every[:n_alone], " ").to_numpy(zero_copy_only=False))
+        n_pieces = np.append(np.diff(np.append(starts, n_alone)), n_pieces)
+        distinct = every.dictionary_encode()
+        codes = self.piece_codes(distinct.dictionary.to_pylist())
+        size = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        of_piece = distinct.indices.to_numpy().astype(np.int64)
+        ids = gathered((np.cumsum(size) - size)[of_piece], size[of_piece], np.frombuffer(b"".join(codes), "<u4"))
+        total = np.concatenate(([0], np.cumsum(size[of_piece])))
+        stop = total[np.cumsum(n_pieces)]
+        begin = np.concatenate(([0], stop[:-1]))
+        at = entry[at]
+        at[np.repeat(whole, np.diff(edge))] = len(alone)
+        at[first] = len(alone) + 1 + np.arange(len(first))
+        n = (stop - begin)[at]
+        return np.add.reduceat(n, first), gathered(begin[at], n, ids)
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, table_pieces: int = TABLE_PIECES) -> DataFrame:
@@ -290,7 +296,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, table_pieces: int = T
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(pattern, read_ranks(vocabulary), sent.value)
         for batch in batches:
-            for at, n in runs_of_bytes(batch.column(1), PIECE_BYTES):
+            for at, n in runs_of_bytes(batch.column(1), BATCH_BYTES):
                 sizes, ids = coder.code(batch.column(1)[at : at + n])
                 edge = np.concatenate(([0], np.cumsum(sizes)))
                 listed = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids.view("<i4")))
