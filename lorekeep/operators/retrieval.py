@@ -26,6 +26,8 @@ K1, B, FLOOR_IDF = 1.2, 0.75, 1e-6
 RRF_K = 60
 PHRASE_BONUS, PHRASE_MULTIPLIER = 1.0, 1.25
 OVERFETCH = 3
+#: Query vectors that are sent to the tasks at once.
+QUERY_BLOCK = 4096
 DEFAULT_LIMIT, MAX_LIMIT = 10, 100
 
 
@@ -141,13 +143,17 @@ def preference_keyword(rows: DataFrame, current_ids: DataFrame, queries: DataFra
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, memory_id, score): exact cosine of unit vectors against each query's vector, best k.
 
-    The query set is stated and sent to every task in one broadcast; it is checked to be small,
-    and taken in blocks beyond that.
+    The stated query set is sent to the tasks in blocks of about QUERY_BLOCK vectors, each a
+    broadcast of bounded size that meets all vectors. k of 0 or less gives nothing.
     """
-    if not _small(queries, 10_000):
-        raise ValueError("more than 10000 query vectors: call vector_top once per block of queries")
-    scored = vectors.crossJoin(F.broadcast(queries.select("qid", "query_vector"))).select("qid", "memory_id", vx.dot(F.col("vector"), F.col("query_vector")).alias("score"))
-    return top(scored, k, F.desc("score"), F.col("memory_id"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    out = None
+    for b in range(blocks):
+        part = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).select("qid", "query_vector")
+        scored = vectors.crossJoin(F.broadcast(part)).select("qid", "memory_id", vx.dot(F.col("vector"), F.col("query_vector")).alias("score"))
+        best = top(scored, k, F.desc("score"), F.col("memory_id"))
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def semantic(rows: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int, seen: Visibility, kinds: Sequence[str] | None = None, filter_first: bool = False) -> DataFrame:

@@ -149,6 +149,15 @@ def test_ingest_plan_is_idempotent(spark, tmp_path):
     assert {(r["status"], r["action"]) for r in again.collect()} == {("unchanged", "skip")}
 
 
+def test_query_vectors_in_blocks(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "memory_id long, vector array<double>")
+    queries = spark.createDataFrame([(i, [1.0, float(i), 0.5]) for i in range(9)], "qid long, query_vector array<double>")
+    whole = sorted(map(tuple, retrieval.vector_top(vectors, queries, 3).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    assert len(whole) == 27 and sorted(map(tuple, retrieval.vector_top(vectors, queries, 3).collect())) == whole
+    assert retrieval.vector_top(vectors, queries, 0).count() == 0
+
+
 def test_export(spark, tmp_path):
     rows = spark.createDataFrame([(2, "project:a-b", "t", "x"), (1, "project:a:b", "t", None)], "id long, scope string, title string, body string")
     assert sorted(r["file"] for r in export.scope_names(rows).collect()) == ["project-a-b-2.md", "project-a-b.md"]
