@@ -16,13 +16,16 @@ from pyspark.sql import functions as F
 PIECE_BYTES = 1 << 19
 #: Bytes of an Arrow batch on its way to a Python task; the default of 64 MB is dear where tasks hold whole texts.
 BATCH_BYTES = 4 << 20
+PLAN_CHARS = 20_000
 #: So many ids, of some 24 bytes each in a hashed relation, are sent to all tasks rather than shuffled with whole texts.
 BROADCAST_IDS = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the driver's; Python tasks of the session get its rows in batches of BATCH_BYTES."""
+    """A table of the driver's. Python tasks of the session get rows in batches of BATCH_BYTES from here on,
+    and the driver remembers PLAN_CHARS of a plan's text: an operator runs many, some with large literals."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_CHARS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -33,7 +33,7 @@ from .base import BATCH_BYTES, checkpointed, discard, runs_of_bytes, texts
 #: Pieces of at most so many bytes are folded by Spark; longer ones need more steps than a fold should take.
 FOLD_BYTES = 48
 #: At most so many frequent pieces are sent to the tasks.
-TABLE_PIECES = 1 << 17
+TABLE_PIECES = 1 << 16
 #: Bytes of words that a task counts at once, rows of texts split at once, and rare pieces whose ids a task remembers.
 COUNTED, ROWS, REMEMBERED = 8 << 20, 256, 150_000
 _BUCKETS = 16_384
@@ -289,7 +289,12 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, table_pieces: int = T
     chosen = frequent(counts, table_pieces)
     coded = chosen.repartition(spark.sparkContext.defaultParallelism, "piece").select("piece", fold(F.col("piece"), rank_literal(ranks)).alias("ids")).toArrow()
     discard(counts)
-    known = {p.decode(): np.array(ids, "<u4").tobytes() for batch in coded.to_batches() for p, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)}
+    known: dict[str, bytes] = {}
+    for batch in coded.to_batches():
+        ids, edge = batch.column(1).flatten().to_numpy().astype("<u4").tobytes(), batch.column(1).offsets.to_numpy()
+        edge = 4 * (edge - edge[0]).astype(np.int64)
+        known |= {p.decode(): ids[i:j] for p, i, j in zip(batch.column(0).to_pylist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True)}
+    del coded
     sent = spark.sparkContext.broadcast(known)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_bytes", pa.binary())])
 
