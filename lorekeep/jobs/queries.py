@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..functions import validation as va
 from ..functions import vectors as vx
 from ..functions.visibility import resolve
-from ..operators import candidates, export, formation, importing, index, ingest, retrieval, store, versions
+from ..operators import candidates, export, formation, importing, index, ingest, postings, retrieval, scratch, store, versions
 from ..sources import tables as t
 
 QUERY = "that and the hand of thing"
@@ -28,6 +28,31 @@ def _asked(spark: SparkSession, text: str) -> DataFrame:
     return spark.range(1).select(F.lit(0).cast("long").alias("qid"), F.lit(text).alias("query"))
 
 
+_INDEXES: dict[tuple[str, str, str], postings.Index] = {}
+
+
+def _index(spark: SparkSession, sf: str, relation: str) -> postings.Index:
+    """The written index of memories or preferences, built by the first query of a session that asks it."""
+    key = (spark.sparkContext.applicationId, sf, relation)
+    if key not in _INDEXES or not store.exists(spark, _INDEXES[key].root):
+        made = postings.Index(scratch.shared_folder(spark, "index"))
+        if relation == "memories":
+            made.extend(spark, "all", retrieval.indexed_memories(t.memories(spark, sf)), retrieval.MEMORY_FIELDS)
+        else:
+            made.extend(spark, "all", t.preferences(spark, sf), retrieval.PREFERENCE_FIELDS)
+        _INDEXES[key] = made
+    return _INDEXES[key]
+
+
+def _memory_hits(spark: SparkSession, sf: str, asked: DataFrame, limit: int, seen=resolve(), kinds=None) -> DataFrame:
+    return retrieval.memory_keyword(t.memories(spark, sf), asked, limit, seen, kinds, index=_index(spark, sf, "memories"))
+
+
+def _preference_hits(spark: SparkSession, sf: str, asked: DataFrame) -> DataFrame:
+    log = t.preferences(spark, sf)
+    return retrieval.preference_keyword(log, versions.current(log, ("scope", "key")), asked, 10, resolve(), _index(spark, sf, "preferences"))
+
+
 def _out(hits: DataFrame) -> DataFrame:
     return hits.select("qid", "id", "item_type", F.round("score", 6).alias("score"), "matched_on", F.col("position").cast("long").alias("position"))
 
@@ -35,43 +60,68 @@ def _out(hits: DataFrame) -> DataFrame:
 # -- retrieval ---------------------------------------------------------------
 
 
+@query
+def memory_index(spark: SparkSession, sf: str) -> DataFrame:
+    """SK12, A8: the written index of memories: each term's frequency by its posting lists."""
+    return _index(spark, sf, "memories").frequencies(spark)
+
+
 @query
 def keyword_recall(spark: SparkSession, sf: str) -> DataFrame:
     """The ten best memories for one query, persona scopes hidden."""
-    found = retrieval.memory_keyword(t.memories(spark, sf), _asked(spark, QUERY), 10, resolve())
-    return _out(retrieval.merge(found, k=10))
+    return _out(retrieval.merge(_memory_hits(spark, sf, _asked(spark, QUERY), 10), k=10))
 
 
 @query
 def keyword_recall_persona(spark: SparkSession, sf: str) -> DataFrame:
     """R1 under a persona's visibility: statistics of all rows, hits of the visible ones."""
-    found = retrieval.memory_keyword(t.memories(spark, sf), _asked(spark, QUERY), 10, resolve(persona=PERSONA))
-    return _out(retrieval.merge(found, k=10))
+    return _out(retrieval.merge(_memory_hits(spark, sf, _asked(spark, QUERY), 10, resolve(persona=PERSONA)), k=10))
 
 
 @query
 def keyword_recall_batch(spark: SparkSession, sf: str) -> DataFrame:
     """R1 for the benchmark texts as a batch of queries."""
-    found = retrieval.memory_keyword(t.memories(spark, sf), t.benchmark_queries(spark, sf), 5, resolve(), kinds=("semantic", "episodic"))
-    return _out(retrieval.merge(found, k=5))
+    return _out(retrieval.merge(_memory_hits(spark, sf, t.benchmark_queries(spark, sf), 5, kinds=("semantic", "episodic")), k=5))
 
 
 @query
 def preference_search(spark: SparkSession, sf: str) -> DataFrame:
     """R2, M5: keyword search over current preferences."""
-    log = t.preferences(spark, sf)
-    found = retrieval.preference_keyword(log, versions.current(log, ("scope", "key")), _asked(spark, PREFERENCE_QUERY), 10, resolve())
-    return _out(retrieval.merge(found, k=10))
+    return _out(retrieval.merge(_preference_hits(spark, sf, _asked(spark, PREFERENCE_QUERY)), k=10))
 
 
 @query
 def mixed_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Memories and preferences in one ranking."""
-    log = t.preferences(spark, sf)
     asked = _asked(spark, f"{QUERY} purchase")
-    memory = retrieval.memory_keyword(t.memories(spark, sf), asked, 10, resolve())
-    preference = retrieval.preference_keyword(log, versions.current(log, ("scope", "key")), asked, 10, resolve())
-    return _out(retrieval.merge(memory, preference, k=10))
+    return _out(retrieval.merge(_memory_hits(spark, sf, asked, 10), _preference_hits(spark, sf, asked), k=10))
+
+
+def _changed_index(spark: SparkSession, sf: str) -> tuple[DataFrame, postings.Index]:
+    """(memories, their index) after three batches: a third of the rows, then the rest; of rows divisible by 5 the text changed to the one of their neighbour's language; rows divisible by 31 gone."""
+    rows = retrieval.indexed_memories(t.memories(spark, sf))
+    made = postings.Index(scratch.shared_folder(spark, "index"))
+    third = F.col("id") % 3 == 0
+    made.extend(spark, "first", rows.filter(third), retrieval.MEMORY_FIELDS)
+    made.extend(spark, "second", rows.filter(~third), retrieval.MEMORY_FIELDS)
+    rows = rows.withColumn("content", F.when(F.col("id") % 5 == 0, F.concat(F.lit("changed hand "), F.coalesce("content", F.lit("")))).otherwise(F.col("content")))
+    made.extend(spark, "changes", rows.filter(F.col("id") % 5 == 0), retrieval.MEMORY_FIELDS)
+    made.drop(spark, "gone", rows.filter(F.col("id") % 31 == 0))
+    return rows.filter(F.col("id") % 31 != 0), made
+
+
+@query
+def index_increments(spark: SparkSession, sf: str) -> DataFrame:
+    """SK12: the terms' frequencies of an index that was extended, changed and cut batch by batch: those of one built at once."""
+    return _changed_index(spark, sf)[1].frequencies(spark)
+
+
+@query
+def keyword_recall_after_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """R1 over an index that was extended, changed and cut batch by batch."""
+    rows, made = _changed_index(spark, sf)
+    found = retrieval.memory_keyword(rows, t.benchmark_queries(spark, sf), 5, resolve(), index=made)
+    return _out(retrieval.merge(found, k=5))
 
 
 def _query_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,7 +153,7 @@ def hybrid_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Keyword and vector lists fused by reciprocal ranks."""
     rows, vectors = t.memories(spark, sf), t.vectors(spark, sf)
     asked = spark.createDataFrame([(QUERY_VECTORS[0], QUERY), (QUERY_VECTORS[1], "er thing inges the")], "qid long, query string")
-    keyword = retrieval.merge(retrieval.memory_keyword(rows, asked, 10, resolve()), k=30)
+    keyword = retrieval.merge(_memory_hits(spark, sf, asked, 10), k=30)
     by_vector = _query_vectors(spark, sf).filter(F.col("qid").isin(*QUERY_VECTORS[:2]))
     return _out(retrieval.fuse(keyword, retrieval.semantic(rows, vectors, by_vector, 10, resolve()), 10))
 
@@ -517,7 +567,7 @@ def parsed_responses(spark: SparkSession, sf: str) -> DataFrame:
 def prompt_contexts(spark: SparkSession, sf: str) -> DataFrame:
     """The memory context of each benchmark text's prompt (the model call is the caller's)."""
     rows, asked = t.memories(spark, sf), t.benchmark_queries(spark, sf)
-    found = retrieval.merge(retrieval.memory_keyword(rows, asked, 5, resolve(), kinds=("semantic", "episodic")), k=5)
+    found = retrieval.merge(_memory_hits(spark, sf, asked, 5, kinds=("semantic", "episodic")), k=5)
     full = found.join(rows.select(F.col("id").cast("string").alias("id"), "kind", "content"), "id").withColumns({"key": F.lit(None).cast("string"), "value": F.lit(None).cast("string")})
     return export.prompt_context(full, asked).select("qid", F.sha2("context", 256).alias("sha"))
 

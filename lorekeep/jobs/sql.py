@@ -124,7 +124,17 @@ def changes() -> str:
     return "ch AS (SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'deleted' WHEN quality = 0 THEN 'archived' ELSE 'active' END AS status FROM labels)"
 
 
+CHANGED = f"""{M.replace('memories AS', 'before AS')}, memories AS (SELECT * REPLACE (CASE WHEN id % 5 = 0 THEN 'changed hand ' || coalesce(content, '') ELSE content END AS content) FROM before WHERE id % 31 <> 0)"""
+
+
+def frequencies(rows: str) -> str:
+    return f"SELECT term, count(DISTINCT id) AS df FROM (SELECT id, unnest({terms('content')}) AS term FROM {rows} UNION ALL SELECT id, unnest({terms('subject')}) FROM {rows} UNION ALL SELECT id, unnest({terms('tag')}) FROM {rows}) GROUP BY term"
+
+
 SQL = {
+    "memory_index": f"WITH {M} {frequencies('memories')}",
+    "index_increments": f"WITH {CHANGED} {frequencies('memories')}",
+    "keyword_recall_after_changes": f"WITH {CHANGED}, asked AS (SELECT item_id AS qid, text AS query FROM benchmark), {memory_hits('asked', 5, ACTIVE)} {best('m_hits', 5)}",
     "keyword_recall": f"WITH {M}, {asked(q.QUERY)}, {memory_hits('asked', 10, ACTIVE)} {best('m_hits', 10)}",
     "keyword_recall_persona": f"WITH {M}, {asked(q.QUERY)}, {memory_hits('asked', 10, f"status = 'active' AND scope IN ('global', 'persona:{q.PERSONA}')")} {best('m_hits', 10)}",
     "keyword_recall_batch": f"WITH {M}, asked AS (SELECT item_id AS qid, text AS query FROM benchmark), {memory_hits('asked', 5, ACTIVE + " AND kind IN ('semantic', 'episodic')")} {best('m_hits', 5)}",

@@ -3,10 +3,11 @@
 A query is a row (qid, query). Corpus statistics come from all rows, visible or not; filters
 hold afterwards. Every order is total and ends in the id.
 
-Scale: documents are cut into (id, term, tf) postings once per job; query terms are few and meet
-the postings by a join on the term, so only matching postings are shuffled. Per document and
-query, partial sums are combined before the shuffle. Top-k per query is a row_number filter,
-which Spark evaluates with a limit per partition before the shuffle.
+Scale: with a written index (postings.py) a query reads the lists of its terms, and texts only of
+the best few, for the phrase check. Without one, documents are cut into (id, term, tf) postings in
+the job itself; query terms are few and meet them by a join on the term, so only matching postings
+are shuffled. Top-k per query is a row_number filter, which Spark evaluates with a limit per
+partition before the shuffle.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..functions.visibility import Visibility
+from . import postings as pt
+from .postings import FLOOR_IDF, K1, B
 
-# BM25 and fusion constants.
-K1, B, FLOOR_IDF = 1.2, 0.75, 1e-6
+# Fusion constants.
 RRF_K = 60
 PHRASE_BONUS, PHRASE_MULTIPLIER = 1.0, 1.25
 OVERFETCH = 3
@@ -51,15 +53,10 @@ class Index:
     stats: DataFrame  # one row: n, avglen
 
 
-def _weighed(terms: Column, weight: float) -> Column:
-    return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
-
-
 def build_index(rows: DataFrame, fields: Sequence[tuple[str, float]]) -> Index:
     """fields: text columns with their weights; rows need an id."""
-    parts = [_weighed(tx.index_terms(F.col(c)), w) for c, w in fields]
-    terms = rows.select("id", F.concat(*parts).alias("terms")).withColumn("len", F.size("terms"))
-    exploded = terms.select("id", "len", F.explode("terms").alias("t")).select("id", "len", "t.term", "t.w")
+    terms = rows.select("id", pt.weighed_terms(fields).alias("terms")).withColumn("len", F.size("terms"))
+    exploded = terms.select("id", "len", F.inline("terms"))
     # A document's terms leave one task, so this sum is complete before the shuffle in all but split rows.
     postings = exploded.groupBy("id", "len", "term").agg(F.sum("w").alias("tf"))
     stats = terms.agg(F.count("*").alias("n"), F.avg("len").alias("avglen"))
@@ -92,11 +89,17 @@ def top(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).filter(F.col("position") <= k)
 
 
-def keyword_candidates(rows: DataFrame, index: Index, queries: DataFrame, k: int, keep: Column, phrase_of: Column) -> DataFrame:
+def keyword_candidates(rows: DataFrame, index: Index | pt.Index, queries: DataFrame, k: int, keep: Column, phrase_of: Column) -> DataFrame:
     """(qid, id, rank, phrase, and rows' columns): the best k matches by BM25 alone, of the rows that keep holds for."""
     needles = queries.select("qid", tx.search_form(F.col("query")).alias("needle"))
-    ranked = bm25(index, queries).join(rows.filter(keep), "id")
-    best = top(ranked, k, F.col("rank"), F.col("created_at"), F.col("id")).drop("position")
+    if isinstance(index, pt.Index):
+        found = index.best(queries, rows.filter(keep).select("id", "created_at"), k)
+        best = top(found, k, F.col("rank"), F.col("created_at"), F.col("id")).select("qid", F.col("id").alias("of"), "rank")
+        # A few rows a query: the texts are read for them alone.
+        best = rows.join(F.broadcast(best) if _small(best) else best, F.col("id") == F.col("of")).drop("of")
+    else:
+        ranked = bm25(index, queries).join(rows.filter(keep), "id")
+        best = top(ranked, k, F.col("rank"), F.col("created_at"), F.col("id")).drop("position")
     return best.join(needles, "qid").withColumn("phrase", tx.phrase_hit(phrase_of, F.col("needle"))).drop("needle")
 
 
@@ -121,20 +124,28 @@ def merge(*lists: DataFrame, k: int) -> DataFrame:
     return top(all_hits, k, F.desc("score"), F.col("item_type"), F.col("created_at"), F.col("id"))
 
 
-def memory_keyword(rows: DataFrame, queries: DataFrame, limit: int, seen: Visibility, kinds: Sequence[str] | None = None, statuses: Sequence[str] = ("active",)) -> DataFrame:
-    """Keyword hits among memories: cut to 3 * limit by BM25 before any bonus, then scored."""
+#: The text columns of memories and preferences in their indexes, and their weights.
+MEMORY_FIELDS = (("content", 1.0), ("subject", 0.5), ("tag_text", 0.3))
+PREFERENCE_FIELDS = (("key", 1.0), ("statement", 0.5))
+
+
+def indexed_memories(rows: DataFrame) -> DataFrame:
+    """Memories with the columns of MEMORY_FIELDS."""
+    return rows.withColumn("tag_text", F.array_join("tags", " "))
+
+
+def memory_keyword(rows: DataFrame, queries: DataFrame, limit: int, seen: Visibility, kinds: Sequence[str] | None = None, statuses: Sequence[str] = ("active",), index: pt.Index | None = None) -> DataFrame:
+    """Keyword hits among memories: cut to 3 * limit by BM25 before any bonus, then scored. index: a written one of the same rows."""
     keep = seen.predicate(F.col("scope")) & F.col("status").isin(*statuses)
     if kinds:
         keep = keep & F.col("kind").isin(*kinds)
-    indexed = rows.withColumn("tag_text", F.array_join("tags", " "))
-    index = build_index(indexed, (("content", 1.0), ("subject", 0.5), ("tag_text", 0.3)))
-    found = keyword_candidates(rows, index, queries, OVERFETCH * limit, keep, F.col("content"))
+    found = keyword_candidates(rows, index or build_index(indexed_memories(rows), MEMORY_FIELDS), queries, OVERFETCH * limit, keep, F.col("content"))
     return hits(found, "memory", memory_score())
 
 
-def preference_keyword(rows: DataFrame, current_ids: DataFrame, queries: DataFrame, limit: int, seen: Visibility) -> DataFrame:
+def preference_keyword(rows: DataFrame, current_ids: DataFrame, queries: DataFrame, limit: int, seen: Visibility, index: pt.Index | None = None) -> DataFrame:
     """Keyword hits among current preferences; statistics count superseded rows too."""
-    index = build_index(rows, (("key", 1.0), ("statement", 0.5)))
+    index = index or build_index(rows, PREFERENCE_FIELDS)
     current = rows.join(current_ids.select("id"), "id", "left_semi")
     found = keyword_candidates(current, index, queries, OVERFETCH * limit, seen.predicate(F.col("scope")), F.concat_ws(" ", "key", "statement"))
     return hits(found, "preference", preference_score())

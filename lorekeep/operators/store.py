@@ -1,20 +1,31 @@
-"""Writing a store of append-only relations: checked first, all of a batch or none, published last.
+"""A store of append-only relations: checked first, all of a batch or none, published last.
 
-A batch's relations are written to a folder of their own; a row in the table of commits makes them
-visible, so a job that dies before leaves nothing that a reader sees. Readers name the committed
-folders. Parquet files are never changed; what changes is told by later rows.
+A batch's relations are written to folders of their own, whose names nobody else has; one file in
+the table of commits, named by the commit's number and created only if it isn't there, makes them
+visible together. So two writers can't take one number: the later one reads the commits again and
+takes the next. A job that dies leaves nothing that a reader sees. Parquet files are never changed;
+a delete names the folders that it takes back and those that stand in their place.
+
+Readers get the rows of the committed folders as of any commit, each with the number of the commit
+that brought it (seq). The creation of a commit relies on a file system whose rename or link does
+not replace a file.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
-from functools import reduce
+import json
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-COMMITS = "_commits"
-_COMMIT = "seq long, batch string, relation string"
+COMMITS, PINS = "_commits", "_pins"
+_FOLDER = "struct<relation:string,folder:string,seq:bigint>"
+_COMMIT = f"seq long, batch string, adds array<{_FOLDER}>, drops array<{_FOLDER}>"
+#: Commits that one writer loses to others before it gives up.
+TRIES = 20
 
 
 def sortable_id(prefix: Column, *parts: Column, at: Column | None = None) -> Column:
@@ -30,45 +41,207 @@ class Refused(ValueError):
     """Rows that the checks refuse; nothing of their batch was written."""
 
 
-def _commits(spark: SparkSession, root: str) -> DataFrame:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{COMMITS}")
-    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.schema(_COMMIT).parquet(f"{root}/{COMMITS}") if there else spark.createDataFrame([], _COMMIT)
+class Conflict(RuntimeError):
+    """Another batch was committed after what this one was made from."""
+
+
+# -- files ---------------------------------------------------------------------
+
+
+def _at(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop's."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _at(spark, path)
+    return fs.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, where = _at(spark, path)
+    fs.delete(where, True)
+
+
+def create(spark: SparkSession, folder: str, name: str, value: Mapping) -> bool:
+    """Create a file of one JSON line, whole or not at all; False if the name is taken."""
+    fs, where = _at(spark, folder)
+    fs.mkdirs(where)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    draft, target = path(where, f".{uuid.uuid4().hex}"), path(where, name)
+    out = fs.create(draft, False)
+    out.write(bytearray(json.dumps(value, ensure_ascii=False) + "\n", "utf-8"))
+    out.close()
+    if fs.getUri().getScheme() != "file":
+        made = fs.rename(draft, target)
+    else:  # here a rename would replace the file, a link doesn't
+        file = spark._jvm.java.io.File
+        try:
+            spark._jvm.java.nio.file.Files.createLink(file(target.toUri().getPath()).toPath(), file(draft.toUri().getPath()).toPath())
+            made = True
+        except Py4JJavaError as problem:
+            if "FileAlreadyExists" not in str(problem.java_exception):
+                raise
+            made = False
+    fs.delete(draft, False)
+    return made
+
+
+# -- commits -------------------------------------------------------------------
+
+
+def commits(spark: SparkSession, root: str) -> DataFrame:
+    """(seq, batch, adds, drops) of every commit."""
+    if not exists(spark, f"{root}/{COMMITS}"):
+        return spark.createDataFrame([], _COMMIT)
+    return spark.read.schema(_COMMIT).json(f"{root}/{COMMITS}")
+
+
+def last(spark: SparkSession, root: str) -> int:
+    """The number of the last commit, 0 without one."""
+    return commits(spark, root).agg(F.max("seq").alias("s")).first()["s"] or 0
+
+
+def _has(spark: SparkSession, root: str, batch: str) -> bool:
+    return bool(commits(spark, root).filter(F.col("batch") == batch).limit(1).count())
 
 
-def append(spark: SparkSession, root: str, batch: str, relations: Mapping[str, DataFrame], checks: Mapping[str, Column] | None = None) -> bool:
+def _commit(spark: SparkSession, root: str, batch: str, entry: Callable[[int], Mapping], since: int | None) -> bool:
+    """Take the next free number for a batch; False if another writer committed the batch meanwhile."""
+    for _ in range(TRIES):
+        seq = last(spark, root)
+        if since is not None and seq != since:
+            raise Conflict(f"{batch}: made from commit {since}, but {seq} is committed")
+        if _has(spark, root, batch):
+            return False
+        if create(spark, f"{root}/{COMMITS}", f"{seq + 1:020d}.json", {"seq": seq + 1, "batch": batch, **entry(seq + 1)}):
+            return True
+    raise Conflict(f"{batch}: {TRIES} other commits came first")
+
+
+def append(spark: SparkSession, root: str, batch: str, relations: Mapping[str, DataFrame], checks: Mapping[str, Column] | None = None, since: int | None = None, partition: Mapping[str, Sequence[str]] | None = None) -> bool:
     """Write relations as one batch; False if a batch of that name is committed already.
 
     checks: for a relation, an ARRAY<STRING> Column of the reasons to refuse a row. One refused
-    row anywhere refuses the batch before anything is written.
+    row anywhere refuses the batch before anything is written. since: the commit that the rows were
+    made from; a later one is a Conflict. partition: columns by which a relation's files are parted.
     """
-    commits = _commits(spark, root)
-    if commits.filter(F.col("batch") == batch).limit(1).count():
+    if _has(spark, root, batch):
         return False
     for name, reasons in (checks or {}).items():
         bad = relations[name].select(reasons.alias("r")).filter(F.size("r") > 0).agg(F.count("*").alias("n"), F.first(F.get("r", 0)).alias("why")).first()
         if bad["n"]:
             raise Refused(f"{name}: {bad['n']} rows refused, first because {bad['why']}")
+    folder = uuid.uuid4().hex
     for name, rows in relations.items():
-        rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch}")
-    seq = (commits.agg(F.max("seq").alias("s")).first()["s"] or 0) + 1
-    spark.createDataFrame([(seq, batch, name) for name in relations], _COMMIT).coalesce(1).write.mode("append").parquet(f"{root}/{COMMITS}")
-    return True
+        writer = rows.write.partitionBy(*partition[name]) if partition and name in partition else rows.write
+        writer.parquet(f"{root}/{name}/batch={folder}")
+    done = _commit(spark, root, batch, lambda seq: {"adds": [{"relation": n, "folder": folder, "seq": seq} for n in relations], "drops": []}, since)
+    if not done:
+        for name in relations:
+            remove(spark, f"{root}/{name}/batch={folder}")
+    return done
+
+
+def _folders(spark: SparkSession, root: str, relation: str, upto: int | None, since: int = 0) -> DataFrame:
+    """(folder, of_seq) that a reader sees."""
+    known = commits(spark, root)
+    known = known if upto is None else known.filter(F.col("seq") <= upto)
+    of = lambda c: known.select(F.explode(c).alias("x")).select("x.*").filter(F.col("relation") == relation)
+    gone = of("drops").select(F.col("folder").alias("gone"))
+    adds = of("adds").filter(F.col("seq") > since).select("folder", F.col("seq").alias("of_seq"))
+    return adds.join(gone, F.col("folder") == F.col("gone"), "left_anti")
+
+
+def read(spark: SparkSession, root: str, relation: str, schema: str, upto: int | None = None, since: int = 0, with_batch: bool = False) -> DataFrame:
+    """The committed rows of a relation up to a commit, and seq: the number of the commit that brought them.
+
+    The relation is one scan; its partitions meet the table of commits by a join on their name. No
+    column may be called batch.
+    """
+    extra = ["batch"] if with_batch else []
+    if not exists(spark, f"{root}/{relation}"):
+        return spark.createDataFrame([], ", ".join([schema, "seq long", *(f"{c} string" for c in extra)]))
+    rows = spark.read.schema(f"{schema}, batch string").parquet(f"{root}/{relation}")
+    names = [c for c in rows.columns if c != "batch"]
+    seen = rows.join(_folders(spark, root, relation, upto, since), F.col("batch") == F.col("folder"))
+    return seen.select(*[F.col(f"`{c}`") for c in names], F.col("of_seq").alias("seq"), *extra)
+
+
+def delete(spark: SparkSession, root: str, batch: str, ids: DataFrame, schemas: Mapping[str, str], keys: Mapping[str, str], pointers: Mapping[str, str] | None = None) -> bool:
+    """Take the rows of ids (id) out of several relations at once, as one batch; False if it is committed already.
+
+    keys: of each relation that loses rows, the column that holds the id. Only the folders that
+    hold such a row are written again, without it and under the number they had; vacuum() then
+    removes the old ones. pointers: relations with a column that names rows; a row that stays and
+    points to one that goes is Refused.
+    """
+    if _has(spark, root, batch):
+        return False
+    at = last(spark, root)
+    doomed = ids.select(F.col("id").alias("doomed")).distinct()
+    for relation, column in (pointers or {}).items():
+        rows = read(spark, root, relation, schemas[relation], at)
+        staying = rows.join(doomed, F.col(keys[relation]) == F.col("doomed"), "left_anti") if relation in keys else rows
+        held = staying.join(doomed, F.col(column) == F.col("doomed")).select(column).limit(1).collect()
+        if held:
+            raise Refused(f"{relation}: a row that stays points to {held[0][0]} by {column}")
+    mark, adds, drops = uuid.uuid4().hex, [], []
+    for relation, key in keys.items():
+        rows = read(spark, root, relation, schemas[relation], at, with_batch=True)
+        touched = rows.join(doomed, F.col(key) == F.col("doomed"), "left_semi").select(F.col("batch").alias("touched"), F.col("seq").alias("was")).distinct()
+        found = [(r["touched"], r["was"]) for r in touched.collect()]  # folders, not rows: one a batch at most
+        if not found:
+            continue
+        left = rows.filter(F.col("batch").isin([f for f, _ in found])).join(doomed, F.col(key) == F.col("doomed"), "left_anti")
+        left.drop("seq").withColumn("batch", F.concat("batch", F.lit(f"-{mark}"))).write.mode("append").partitionBy("batch").parquet(f"{root}/{relation}")
+        adds += [{"relation": relation, "folder": f"{f}-{mark}", "seq": was} for f, was in found]
+        drops += [{"relation": relation, "folder": f, "seq": was} for f, was in found]
+    return _commit(spark, root, batch, lambda _: {"adds": adds, "drops": drops}, since=at)
+
+
+def vacuum(spark: SparkSession, root: str) -> int:
+    """Remove the folders that a later commit has taken back; reads as of earlier commits end. Gives how many."""
+    gone = [(r["relation"], r["folder"]) for r in commits(spark, root).select(F.explode("drops").alias("x")).select("x.relation", "x.folder").distinct().collect()]
+    for relation, folder in gone:
+        remove(spark, f"{root}/{relation}/batch={folder}")
+    return len(gone)
+
+
+def pin(spark: SparkSession, root: str, name: str, upto: int | None = None) -> int:
+    """A named snapshot: the commit up to which it reads, the last one by default. A name is given once."""
+    seq = last(spark, root) if upto is None else upto
+    if not create(spark, f"{root}/{PINS}", f"{name}.json", {"name": name, "seq": seq}):
+        raise Refused(f"snapshot {name} exists")
+    return seq
+
+
+def pinned(spark: SparkSession, root: str, name: str) -> int:
+    """The commit of a named snapshot, for read(upto=...)."""
+    found = spark.read.schema("name string, seq long").json(f"{root}/{PINS}").filter(F.col("name") == name) if exists(spark, f"{root}/{PINS}") else spark.createDataFrame([], "name string, seq long")
+    return required(found, f"snapshot {name}").first()["seq"]
 
 
-def read(spark: SparkSession, root: str, relation: str, schema: str) -> DataFrame:
-    """All committed rows of a relation, and seq: the number of the commit that brought them.
+def snapshot(spark: SparkSession, root: str, target: str, schemas: Mapping[str, str], upto: int | None = None) -> int:
+    """A consistent copy in another store, as of a commit; gives its number.
 
-    One list of folder names comes to the driver, a name a batch; batches are few and large.
+    Each call adds, as one batch, what was committed since the copy's last one, so it can be
+    repeated. After a delete the copy must be begun anew: a folder of the copy's that the delete
+    took back is Refused.
     """
-    found = [(r["seq"], r["batch"]) for r in _commits(spark, root).filter(F.col("relation") == relation).orderBy("seq").collect()]
-    parts = [spark.read.schema(schema).parquet(f"{root}/{relation}/batch={batch}").withColumn("seq", F.lit(seq).cast("long")) for seq, batch in found]
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"{schema}, seq long")
+    seq = last(spark, root) if upto is None else upto
+    name = "snapshot-{:020d}".format
+    held = commits(spark, target).filter(F.col("batch").startswith("snapshot-")).agg(F.max(F.substring("batch", 10, 20).cast("long")).alias("s")).first()["s"] or 0
+    if seq > held:
+        back = commits(spark, root).filter((F.col("seq") > held) & (F.col("seq") <= seq)).select(F.explode("drops").alias("x")).filter(F.col("x.seq") <= held)
+        if held and back.limit(1).count():
+            raise Refused("rows of the copy were deleted since; copy to a new folder")
+        append(spark, target, name(seq), {n: read(spark, root, n, schema, seq, held).drop("seq") for n, schema in schemas.items()})
+    return seq
 
 
-def snapshot(spark: SparkSession, root: str, target: str, schemas: Mapping[str, str]) -> None:
-    """A consistent copy: the committed rows of all relations as one batch of another store."""
-    append(spark, target, "snapshot", {name: read(spark, root, name, schema).drop("seq") for name, schema in schemas.items()})
+# -- rows ----------------------------------------------------------------------
 
 
 def superseded(rows: DataFrame, successors: DataFrame) -> tuple[DataFrame, DataFrame]:
