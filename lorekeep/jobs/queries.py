@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..functions import validation as va
 from ..functions import vectors as vx
 from ..functions.visibility import resolve
-from ..operators import candidates, export, formation, importing, index, ingest, postings, retrieval, scratch, store, versions
+from ..operators import candidates, export, formation, importing, index, ingest, postings, records, retrieval, scratch, store, versions
 from ..sources import tables as t
 
 QUERY = "that and the hand of thing"
@@ -447,11 +447,11 @@ def _typed_notes(spark: SparkSession, sf: str) -> DataFrame:
 
 def _planned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(parsed, plan, seen) of the typed notes, where the labelled documents' notes are known."""
-    parsed = ingest.parse(_typed_notes(spark, sf))
-    chunks = ingest.routed(ingest.chunked(parsed))
+    parsed = scratch.written(ingest.parse(_typed_notes(spark, sf)), "notes")
+    chunks = scratch.written(ingest.routed(ingest.chunked(parsed)), "routed")
     known = t.table(spark, sf, "labels").select(F.concat(F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("name")).distinct()
     seen = chunks.join(known, F.col("name") == F.regexp_extract("rel_path", r"(/\d+\.md)$", 1), "left_semi").select("rel_path", "body_hash", "content_hash")
-    return parsed, ingest.plan(chunks, seen), seen
+    return parsed, scratch.written(ingest.plan(chunks, seen), "plan"), seen
 
 
 @query
@@ -493,6 +493,99 @@ def import_counters(spark: SparkSession, sf: str) -> DataFrame:
     return importing.counters(importing.documents(parsed, planned, seen), importing.records(planned, "vault", t.memories(spark, sf)))
 
 
+# -- one store, from import to mirror ----------------------------------------
+
+_STORES: dict[tuple[str, str], str] = {}
+COMMIT_TIMES = ("2024-01-01 00:00:00", "2024-02-01 00:00:00")
+
+
+def _imported(spark: SparkSession, sf: str) -> str:
+    """The folder of a store into which the typed notes were imported by two runs: those of odd ids, then all, some of them changed."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORES or not store.exists(spark, _STORES[key]):
+        root = scratch.shared_folder(spark, "store")
+        notes, number = _typed_notes(spark, sf), F.regexp_extract("rel_path", r"/(\d+)\.md$", 1).cast("long")
+        changed = notes.withColumn("text", F.when(number % 30 == 1, F.concat("text", F.lit("\n\nA last word that is said for the first time.\n"))).otherwise(F.col("text")))
+        for name, rows, at in (("first", notes.filter(number % 2 == 1), COMMIT_TIMES[0]), ("second", changed, COMMIT_TIMES[1])):
+            importing.run(spark, root, name, rows, "vault", F.lit(at).cast("timestamp"))
+        _STORES[key] = root
+    return _STORES[key]
+
+
+def _stored(spark: SparkSession, sf: str, relation: str, upto: int | None = None) -> DataFrame:
+    return store.read(spark, _imported(spark, sf), relation, records.SCHEMAS[relation], upto)
+
+
+@query
+def store_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """SK7, SK8, SC9, SC11, W2: every version of the imported preferences and states, in the order of commit and place."""
+    out = None
+    for relation, key, value in (("preference", "key", "value"), ("project_state", "project_id", "state")):
+        linked = versions.history(_stored(spark, sf, relation), records.KEYS[relation], records.VERSION_ORDER)
+        part = linked.select(F.lit(relation).alias("relation"), "id", "scope", F.col(key).alias("key"), F.col(value).alias("value"), "seq", "version", "superseded_by")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def store_current(spark: SparkSession, sf: str) -> DataFrame:
+    """SC6, SC8, SC10, W1: what holds now of the imported preferences and states, and what held after the first commit."""
+    out = None
+    for seq in (1, 2):
+        for relation, key in (("preference", "key"), ("project_state", "project_id")):
+            now = versions.current(_stored(spark, sf, relation, seq), records.KEYS[relation], records.VERSION_ORDER)
+            part = now.select(F.lit(seq).alias("as_of"), F.lit(relation).alias("relation"), "scope", F.col(key).alias("key"), "id")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def store_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """R1 over imported memories: rows of the store go into retrieval as they are."""
+    rows = _stored(spark, sf, "memory")
+    made = postings.Index(scratch.shared_folder(spark, "index"), "string")
+    made.extend(spark, "all", retrieval.indexed_memories(rows), retrieval.MEMORY_FIELDS)
+    return _out(retrieval.merge(retrieval.memory_keyword(rows, t.benchmark_queries(spark, sf), 5, resolve(), index=made), k=5))
+
+
+@query
+def store_mirror(spark: SparkSession, sf: str) -> DataFrame:
+    """SK15, A15, J-2: the mirror of the imported store, with the origin of every record."""
+    now = {r: versions.current(_stored(spark, sf, r), records.KEYS[r], records.VERSION_ORDER) for r in records.KEYS}
+    preference = now["preference"].withColumn("value", records.json_value(F.col("value")))
+    blocks = export.mirror_blocks(_stored(spark, sf, "memory"), preference, now["project_state"], "2024-03-01")
+    return blocks.select("file", "kind_no", "id", F.sha2("block", 256).alias("sha"))
+
+
+@query
+def store_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """SK14: rows by relation of a copy made after the first commit, and of the same copy brought up to the second."""
+    root, copy = _imported(spark, sf), scratch.shared_folder(spark, "copy")
+    out = None
+    for seq in (1, 2):
+        store.snapshot(spark, root, copy, records.SCHEMAS, seq)
+        for relation, schema in records.SCHEMAS.items():
+            part = store.read(spark, copy, relation, schema, seq).agg(F.count("*").alias("n"), F.sum(F.length("id")).alias("chars")).select(F.lit(seq).alias("copied"), F.lit(relation).alias("relation"), "n", F.coalesce("chars", F.lit(0)).cast("long").alias("chars"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def store_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """SK6, SK10, SK11: memories and their vectors by model, once the memories of one source are deleted with what hangs on them."""
+    root, copy = _imported(spark, sf), scratch.shared_folder(spark, "copy")
+    schemas = {"memory": records.SCHEMAS["memory"], "vector": "memory_id string, model_id string, vector array<double>"}
+    store.snapshot(spark, root, copy, {"memory": schemas["memory"]})
+    held = store.read(spark, copy, "memory", schemas["memory"])
+    made = vx.hash_embeddings(index.document_text(held), 8).select(F.col("id").alias("memory_id"), F.explode(F.array(F.lit("one"), F.lit("two"))).alias("model_id"), "vector")
+    store.append(spark, copy, "vectors", {"vector": made})
+    gone = held.filter(F.col("scope") == "project:src1").select("id")
+    store.delete(spark, copy, "gone", gone, schemas, {"memory": "id", "vector": "memory_id"}, {"memory": "superseded_by"})
+    store.vacuum(spark, copy)
+    left = store.read(spark, copy, "memory", schemas["memory"]).select("id", F.lit("memory").alias("relation"))
+    return left.unionByName(store.read(spark, copy, "vector", schemas["vector"]).select(F.col("memory_id").alias("id"), F.concat(F.lit("vector "), "model_id").alias("relation")))
+
+
 # -- formation ---------------------------------------------------------------
 
 

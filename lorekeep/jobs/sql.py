@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from ..functions.text import FOLD_FROM, FOLD_TO
 from . import queries as q
 
@@ -115,6 +117,40 @@ def imported() -> str:
     return rf"""{M}, {TYPED}, ev AS (SELECT *, 'obsidian:vault/' || rel_path AS ref, {sortable("'evt'", "'obsidian:vault/' || rel_path", "content_hash", "'0'")} AS event_id FROM chunks WHERE NOT known),
     said AS (SELECT *, {body} AS body FROM ev WHERE n = 3), held AS (SELECT DISTINCT scope, {dup('content')} AS form FROM memories WHERE status = 'active'),
     pick AS (SELECT s.*, length({dup('body')}) >= 4 AND h.form IS NULL AS accepted FROM said s LEFT JOIN held h ON h.scope = s.scope AND h.form = {dup('s.body')} WHERE body <> '')"""
+
+
+def _digits(at: str) -> str:
+    """A time as the ten base-32 digits of an id."""
+    millis, out = int(datetime.fromisoformat(at).replace(tzinfo=timezone.utc).timestamp() * 1000), ""
+    while millis:
+        millis, rest = divmod(millis, 32)
+        out = "0123456789abcdefghijklmnopqrstuv"[rest] + out
+    return out.rjust(10, "0")
+
+
+def stored() -> str:
+    """CTEs of the store that two runs of an import made: s_ev, s_mem, s_pref and s_state, each with b, the run."""
+    stamp = " ".join(f"WHEN {b} THEN '{_digits(at)}'" for b, at in enumerate(q.COMMIT_TIMES, 1))
+    made = lambda prefix, *parts: f"{prefix} || '_' || CASE b {stamp} END || substr(sha256({' || chr(31) || '.join(parts)}), 1, 16)"
+    body = r"regexp_replace(regexp_replace(text, '\Aremember: *', ''), '\A[：:,，、;；= \t\n\s]+|\s+\z', '', 'g')"
+    whole = "CASE WHEN doc_id % 5 = 3 THEN 'remember: ' ELSE '' END || coalesce(text, '')"
+    return rf"""notes AS (SELECT 1 AS b, doc_id, source, {whole} AS raw FROM documents WHERE doc_id % 2 = 1 UNION ALL SELECT 2, doc_id, source, {whole} FROM documents WHERE doc_id % 2 = 0
+        UNION ALL SELECT 2, doc_id, source, {whole} || chr(10) || chr(10) || 'A last word that is said for the first time.' || chr(10) FROM documents WHERE doc_id % 30 = 1),
+      cut AS (SELECT b, doc_id, source, doc_id % 5 AS n, 'Projects/' || source || '/' || doc_id || '.md' AS rel_path, 'project:' || source AS scope, {norm('raw')} AS text FROM notes),
+      s_ch AS (SELECT *, 'obsidian:vault/' || rel_path AS ref, 'sha256:' || sha256(text) AS content_hash, rel_path || '#000000' AS place, CASE b {' '.join(f"WHEN {b} THEN '{at}'" for b, at in enumerate(q.COMMIT_TIMES, 1))} END AS stamp FROM cut WHERE (n = 3 OR length(text) >= 40) AND length(text) <= 20000 AND trim(regexp_replace(text, '\s+', ' ', 'g')) <> '' AND NOT regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]')),
+      s_ev AS (SELECT *, {made("'evt'", 'ref', 'content_hash', "'0'")} AS event_id FROM s_ch),
+      s_said AS (SELECT *, {body} AS body FROM s_ev WHERE n = 3),
+      s_one AS (SELECT * FROM s_said WHERE b = 1 AND body <> '' AND length({dup('body')}) >= 4),
+      s_mem AS (SELECT *, {made("'memory'", 'event_id', "'add'", "''", dup('body'))} AS id FROM (SELECT * FROM s_one UNION ALL SELECT s.* FROM s_said s WHERE b = 2 AND body <> '' AND length({dup('body')}) >= 4 AND NOT EXISTS (SELECT 1 FROM s_one o WHERE o.scope = s.scope AND {dup('o.body')} = {dup('s.body')}))),
+      s_pref AS (SELECT *, 'tone' || doc_id % 3 AS key, 'v' || doc_id AS value, {made("'preference'", 'event_id')} AS id FROM s_ev WHERE n = 1),
+      s_state AS (SELECT *, source AS key, '{{"open":"[\"a\"]","phase":"two"}}' AS value, {made("'project_state'", 'event_id')} AS id FROM s_ev WHERE n = 2)"""
+
+
+def provenance() -> str:
+    return "' origin=notes source_ref=' || ref || ' events=' || event_id || ' content_hash=' || content_hash"
+
+
+BOTH_LOGS = "both_logs AS (SELECT 'preference' AS relation, id, scope, key, value, b, place FROM s_pref UNION ALL SELECT 'project_state', id, scope, key, value, b, place FROM s_state)"
 CANDIDATES = """cand AS (SELECT doc_id + 10000000 AS id, 'project:' || source AS scope, CASE WHEN doc_id % 5 = 4 THEN 'preference' ELSE 'memory' END AS target,
   CASE WHEN doc_id % 17 = 0 THEN 'noop' WHEN doc_id % 4 = 1 THEN 'supersede' ELSE 'add' END AS operation, (doc_id % 20) / 20.0 AS confidence,
   CASE WHEN doc_id % 29 = 0 THEN 'ab' ELSE '  ' || text || ' ' || chr(10) END AS content, CASE WHEN doc_id % 10 = 4 THEN 'tone' END AS key, (doc_id * 3)::VARCHAR AS supersedes FROM documents)"""
@@ -132,6 +168,22 @@ def frequencies(rows: str) -> str:
 
 
 SQL = {
+    "store_versions": f"""WITH {stored()}, {BOTH_LOGS} SELECT relation, id, scope, key, value, b::BIGINT AS seq, row_number() OVER w AS version, lead(id) OVER w AS superseded_by FROM both_logs
+      WINDOW w AS (PARTITION BY relation, scope, key ORDER BY b, place, id)""",
+    "store_current": f"""WITH {stored()}, {BOTH_LOGS}, seen AS (SELECT as_of, l.* FROM both_logs l JOIN (VALUES (1), (2)) v(as_of) ON b <= as_of)
+      SELECT as_of, relation, scope, key, arg_max(id, (b, place, id)) AS id FROM seen GROUP BY as_of, relation, scope, key""",
+    "store_recall": f"""WITH {stored()}, memories AS (SELECT id, body AS content, 'user:self' AS subject, '' AS tag, scope, 'active' AS status, 'semantic' AS kind, 0.5::DOUBLE AS salience, stamp AS created_at FROM s_mem),
+      asked AS (SELECT item_id AS qid, text AS query FROM benchmark), {memory_hits('asked', 5, ACTIVE)} {best('m_hits', 5)}""",
+    "store_snapshot": f"""WITH {stored()}, r AS (SELECT 'event' AS relation, event_id AS id, b FROM s_ev UNION ALL SELECT 'memory', id, b FROM s_mem UNION ALL SELECT 'preference', id, b FROM s_pref UNION ALL SELECT 'project_state', id, b FROM s_state)
+      SELECT copied, relation, count(id) FILTER (b <= copied) AS n, coalesce(sum(length(id)) FILTER (b <= copied), 0)::BIGINT AS chars FROM r, (VALUES (1), (2)) v(copied) GROUP BY copied, relation""",
+    "store_delete": f"""WITH {stored()}, l AS (SELECT id FROM s_mem WHERE scope <> 'project:src1') SELECT id, unnest(['memory', 'vector one', 'vector two']) AS relation FROM l""",
+    "store_mirror": f"""WITH {stored()}, nowp AS (SELECT * FROM s_pref QUALIFY row_number() OVER (PARTITION BY scope, key ORDER BY b DESC, place DESC, id DESC) = 1), nows AS (SELECT * FROM s_state QUALIFY row_number() OVER (PARTITION BY scope, key ORDER BY b DESC, place DESC, id DESC) = 1),
+      b AS (SELECT scope, 1 AS kind_no, id, '<!-- memory id=' || id || ' kind=semantic confidence=1.0 salience=0.5 created=' || stamp || ' scope=' || scope || {provenance()} || ' -->' || chr(10) || body || chr(10) || '<!-- /memory -->' || chr(10) AS block FROM s_mem
+        UNION ALL SELECT scope, 2, id, '<!-- preference id=' || id || ' key=' || key || ' confidence=1.0 created=' || stamp || ' scope=' || scope || {provenance()} || ' -->' || chr(10) || key || ' = "' || value || '"' || chr(10) || '<!-- /preference -->' || chr(10) FROM nowp
+        UNION ALL SELECT scope, 3, id, '<!-- project-state id=' || id || ' project=' || key || ' created=' || stamp || ' scope=' || scope || {provenance()} || ' -->' || chr(10) || value || chr(10) || '<!-- /project-state -->' || chr(10) FROM nows),
+      h AS (SELECT scope, 0 AS kind_no, '' AS id, '---' || chr(10) || 'generated: true' || chr(10) || 'generator: lorekeep-export' || chr(10) || 'scope: ' || scope || chr(10) || 'exported_at: 2024-03-01' || chr(10) || 'memory_count: ' || count(*) FILTER (kind_no = 1) || chr(10)
+        || 'preference_count: ' || count(*) FILTER (kind_no = 2) || chr(10) || 'project_state_count: ' || count(*) FILTER (kind_no = 3) || chr(10) || '---' || chr(10) AS block FROM b GROUP BY scope)
+      SELECT replace(scope, ':', '-') || '.md' AS file, kind_no::INTEGER AS kind_no, id, sha256(block) AS sha FROM (SELECT * FROM h UNION ALL SELECT * FROM b)""",
     "memory_index": f"WITH {M} {frequencies('memories')}",
     "index_increments": f"WITH {CHANGED} {frequencies('memories')}",
     "keyword_recall_after_changes": f"WITH {CHANGED}, asked AS (SELECT item_id AS qid, text AS query FROM benchmark), {memory_hits('asked', 5, ACTIVE)} {best('m_hits', 5)}",

@@ -82,7 +82,7 @@ def _item(item: Column, i: Column, context_ids: Column, default: float) -> Colum
     kept = lambda c: F.when(~noop, c)
     return F.struct(
         F.when(reason.isNotNull(), F.concat(F.lit("memories["), i.cast("string"), F.lit("]: "), reason)).alias("error"), operation.alias("operation"), kept(kind).alias("kind"), kept(_text(v["content"])).alias("content"),
-        kept(F.coalesce(_text(v["subject"]), F.lit(SUBJECT))).alias("subject"), kept(F.coalesce(F.transform(tags, _text), F.array().cast("array<string>"))).alias("tags"), kept(F.coalesce(_number(v["salience"]), F.lit(SALIENCE))).alias("salience"),
+        kept(F.coalesce(_text(v["subject"]), F.lit(SUBJECT))).alias("subject"), kept(F.coalesce(tx.tags(F.transform(tags, _text)), F.array().cast("array<string>"))).alias("tags"), kept(F.coalesce(_number(v["salience"]), F.lit(SALIENCE))).alias("salience"),
         F.coalesce(_number(v["confidence"]), F.lit(default)).alias("confidence"), F.when(supersede, _text(v["supersedes_id"])).alias("supersedes"), F.coalesce(_text(v["reason"]), F.when(noop, F.lit("not worth remembering"))).alias("reason"),
     )
 

@@ -64,9 +64,9 @@ def provenance_bits(source: Column) -> list[Column]:
     return [_bit("origin", given("$.origin")), _bit("source_ref", given("$.external_ref")), _bit("events", events), _bit("content_hash", given("$.content_hash"))]
 
 
-def memory_block(source: Column | None = None) -> Column:
+def memory_block(source: Column | None = None, generated_by: Column | None = None) -> Column:
     """id, kind, confidence, salience, created_at, scope, content, tags (columns) as one block."""
-    head = _head("memory", *[_bit(n, F.col(c)) for n, c in (("id", "id"), ("kind", "kind"), ("confidence", "confidence"), ("salience", "salience"), ("created", "created_at"), ("scope", "scope"))], *(provenance_bits(source) if source is not None else []))
+    head = _head("memory", *[_bit(n, F.col(c)) for n, c in (("id", "id"), ("kind", "kind"), ("confidence", "confidence"), ("salience", "salience"), ("created", "created_at"), ("scope", "scope"))], *([_bit("generated_by", generated_by)] if generated_by is not None else []), *(provenance_bits(source) if source is not None else []))
     tags = F.when(F.size("tags") > 0, F.concat(F.lit("\ntags: "), F.array_join("tags", ", ")))
     return F.concat_ws("\n", head, F.coalesce("content", F.lit("")), tags, F.lit("<!-- /memory -->\n"))
 
@@ -97,12 +97,14 @@ def mirror_blocks(memories: DataFrame, preferences: DataFrame, states: DataFrame
     """(file, scope, kind_no, place, id, block): a row for each block of the mirror, so that no scope is held whole.
 
     Active memories by id, current preferences by key, current states by project; each file begins
-    with a head that counts them. Scopes without any row have no file.
+    with a head that counts them. Scopes without any row have no file. Rows with a source (JSON), or
+    with generated_by, tell it in their block.
     """
+    of = lambda rows, c="source": F.col(c) if c in rows.columns else None
     parts = [
-        memories.filter("status = 'active'").select("scope", F.lit(1).alias("kind_no"), F.lpad(F.col("id").cast("string"), 20, "0").alias("place"), F.col("id").cast("string").alias("id"), memory_block().alias("block")),
-        preferences.select("scope", F.lit(2).alias("kind_no"), F.col("key").alias("place"), F.col("id").cast("string").alias("id"), preference_block().alias("block")),
-        states.select("scope", F.lit(3).alias("kind_no"), F.col("project_id").alias("place"), F.col("id").cast("string").alias("id"), state_block().alias("block")),
+        memories.filter("status = 'active'").select("scope", F.lit(1).alias("kind_no"), F.lpad(F.col("id").cast("string"), 20, "0").alias("place"), F.col("id").cast("string").alias("id"), memory_block(of(memories), of(memories, "generated_by")).alias("block")),
+        preferences.select("scope", F.lit(2).alias("kind_no"), F.col("key").alias("place"), F.col("id").cast("string").alias("id"), preference_block(of(preferences)).alias("block")),
+        states.select("scope", F.lit(3).alias("kind_no"), F.col("project_id").alias("place"), F.col("id").cast("string").alias("id"), state_block(of(states)).alias("block")),
     ]
     body = parts[0].unionByName(parts[1]).unionByName(parts[2])
     counts = body.groupBy("scope").agg(*[F.count_if(F.col("kind_no") == i).alias(f"n{i}") for i in (1, 2, 3)])

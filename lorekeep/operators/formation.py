@@ -163,24 +163,31 @@ def provenance() -> Column:
     return tx.json_merged(own, formed_by, given)
 
 
-def formed(utterances: DataFrame, candidates: DataFrame, existing: DataFrame) -> dict[str, DataFrame]:
+def formed(utterances: DataFrame, candidates: DataFrame, existing: DataFrame, once: bool = False) -> dict[str, DataFrame]:
     """event, outcome, memory, preference and project_state rows of utterances (id, event_id, text, scope, and given: JSON or null).
 
     Every utterance is an event, whatever comes of it. Candidates are judged; accepted ones become
     rows of their log with the event as provenance. Writing the tables is the caller's choice:
-    what a dry run shows and what is committed are the same rows.
+    what a dry run shows and what is committed are the same rows. With `once`, what is judged is
+    written to a table that all of them read. utterances may have a place and an `at`: the order of
+    their records in a commit, and the time in their ids.
     """
+    from .scratch import written
     from .store import sortable_id
 
     events = utterances.select(F.col("event_id").alias("id"), "scope", F.col("text").alias("content"), F.col("given").alias("metadata"))
-    judged = judge(candidates, existing).join(utterances.select("id", "event_id", "given"), "id")
+    judged = judge(candidates, existing).join(utterances.select("id", "event_id", "given", *[c for c in ("place", "at") if c in utterances.columns]), "id")
     name = tx.duplicate_form(F.coalesce("content", "key"))
-    rows = judged.withColumn("item_id", sortable_id(F.col("target"), F.col("event_id"), F.col("operation"), F.coalesce("supersedes", F.lit("")), name)).withColumn("source", provenance())
+    at = F.col("at") if "at" in judged.columns else None
+    rows = judged.withColumn("item_id", sortable_id(F.col("target"), F.col("event_id"), F.col("operation"), F.coalesce("supersedes", F.lit("")), name, at=at)).withColumn("source", provenance())
+    place = F.concat("place", F.lit("-"), F.lpad(F.col("ordinal").cast("string"), 6, "0")) if "place" in rows.columns else F.lit("")
+    rows = rows.drop("at").withColumn("place", place)
+    rows = written(rows, "formed") if once else rows
     outcome = rows.select("id", "target", "operation", "accepted", F.when(F.col("accepted"), F.col("reason")).otherwise(F.col("verdict")).alias("reason"), F.when(F.col("accepted"), F.col("item_id")).alias("item_id"))
     good = routed(rows)
     return {
         "event": events, "outcome": outcome,
-        "memory": good["memory"].select(F.col("item_id").alias("id"), "scope", "content", "kind", "subject", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("salience", F.lit(0.5)).alias("salience"), "confidence", "supersedes", F.lit("active").alias("status"), "source"),
-        "preference": good["preference"].select(F.col("item_id").alias("id"), "scope", "key", "value", "confidence", "source"),
-        "project_state": good["project_state"].select(F.col("item_id").alias("id"), F.concat(F.lit("project:"), "key").alias("scope"), F.col("key").alias("project_id"), F.col("value").alias("state"), "source"),
+        "memory": good["memory"].select(F.col("item_id").alias("id"), "scope", "content", "kind", "subject", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("salience", F.lit(0.5)).alias("salience"), "confidence", "supersedes", F.lit("active").alias("status"), "source", "place"),
+        "preference": good["preference"].select(F.col("item_id").alias("id"), "scope", "key", "value", "confidence", "source", "place"),
+        "project_state": good["project_state"].select(F.col("item_id").alias("id"), F.concat(F.lit("project:"), "key").alias("scope"), F.col("key").alias("project_id"), F.col("value").alias("state"), "source", "place"),
     }

@@ -15,15 +15,10 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import validation as va
 from . import candidates as cd
-from . import formation, store
+from . import formation, ingest, records as rc, scratch, store
 
 ORIGIN, SOURCE = "notes", "note-import"
-SCHEMAS: Mapping[str, str] = {
-    "event": "id string, session_id string, scope string, kind string, role string, content string, source string, metadata string",
-    "memory": "id string, scope string, content string, kind string, subject string, tags array<string>, salience double, confidence double, supersedes string, status string, source string",
-    "preference": "id string, scope string, key string, value string, confidence double, source string",
-    "project_state": "id string, scope string, project_id string, state string, source string",
-}
+SCHEMAS = rc.SCHEMAS
 
 
 def documents(parsed: DataFrame, planned: DataFrame, seen: DataFrame) -> DataFrame:
@@ -53,30 +48,33 @@ def _given(vault_id: str) -> Column:
     return F.to_json(F.struct(*[c.alias(n) for n, c in names.items()]))
 
 
-def records(planned: DataFrame, vault_id: str, existing: DataFrame, responses: DataFrame | None = None, ingested_at: str | None = None) -> dict[str, DataFrame]:
-    """The rows of a plan's `ingest` chunks by relation, and the outcome of each candidate.
+def records(planned: DataFrame, vault_id: str, existing: DataFrame, responses: DataFrame | None = None, ingested_at: str | None = None, at: Column | None = None) -> dict[str, DataFrame]:
+    """The complete rows of a plan's `ingest` chunks by relation, and the outcome of each candidate.
 
     Preferences and project states are written as declared; a declaration is formed by the rules,
     and a model isn't asked again; knowledge is formed from responses (event_id, raw, context_ids)
-    where a model gave any, and is an event alone where none did.
+    where a model gave any, and is an event alone where none did. at: the commit's time, which the
+    rows and their ids bear. What the chunks give, and what is judged, are written once.
     """
     ref = tx.external_ref(F.lit(vault_id), F.col("rel_path"))
-    todo = planned.filter("action = 'ingest'").withColumn("ref", ref)
-    todo = todo.withColumn("event_id", store.sortable_id(F.lit("evt"), F.col("ref"), F.col("content_hash"), F.col("ordinal").cast("string"))).withColumn("given", _given(vault_id))
-    event = todo.select(F.col("event_id").alias("id"), F.col("ref").alias("session_id"), "scope", F.lit("document").alias("kind"), F.lit("user").alias("role"), F.col("text").alias("content"), F.lit(SOURCE).alias("source"), _metadata(vault_id, ingested_at).alias("metadata"))
+    todo = planned.filter("action = 'ingest'").withColumns({"ref": ref, "at": F.lit(None).cast("timestamp") if at is None else at})
+    todo = todo.withColumn("event_id", store.sortable_id(F.lit("evt"), F.col("ref"), F.col("content_hash"), F.col("ordinal").cast("string"), at=None if at is None else F.col("at"))).withColumn("given", _given(vault_id))
+    todo = scratch.written(todo.withColumn("place", F.concat("rel_path", F.lit("#"), F.lpad(F.col("ordinal").cast("string"), 6, "0"))), "chunks")
+    event = todo.select(F.col("event_id").alias("id"), F.col("ref").alias("session_id"), "scope", F.lit("document").alias("kind"), F.lit("user").alias("role"), F.col("text").alias("content"), F.lit(SOURCE).alias("source"), _metadata(vault_id, ingested_at).alias("metadata"), "place")
     source = tx.json_merged(tx.json_fields(F.col("given")), tx.json_fields(F.to_json(F.struct(F.array("event_id").alias("event_ids")))))
     typed = todo.withColumn("source", source)
-    said = todo.filter(F.col("route").isin("declaration", "knowledge")).select(F.col("event_id").alias("id"), "event_id", "text", "scope", "given", "route")
+    said = todo.filter(F.col("route").isin("declaration", "knowledge")).select(F.col("event_id").alias("id"), "event_id", "text", "scope", "given", "route", "place", *(["at"] if at is not None else []))
     proposals = [formation.rule_candidates(said.filter("route = 'declaration'"))]
     if responses is not None:
         asked = said.filter("route = 'knowledge'").join(responses.select(F.col("event_id").alias("of_event"), "raw", "context_ids"), F.col("id") == F.col("of_event"))
         proposals.append(cd.extract(asked))
     found, _ = formation.collect(*proposals)
-    made = formation.formed(said, found, existing)
-    preference = typed.filter("route = 'preference'").select(store.sortable_id(F.lit("preference"), F.col("event_id")).alias("id"), "scope", "key", "value", F.lit(1.0).alias("confidence"), "source")
-    state = typed.filter("route = 'project_state'").select(store.sortable_id(F.lit("project_state"), F.col("event_id")).alias("id"), "scope", F.col("key").alias("project_id"), F.col("value").alias("state"), "source")
+    made = formation.formed(said, found, existing, once=True)
+    own_id = lambda name: store.sortable_id(F.lit(name), F.col("event_id"), at=None if at is None else F.col("at")).alias("id")
+    preference = typed.filter("route = 'preference'").select(own_id("preference"), "scope", "key", "value", F.lit(1.0).alias("confidence"), "source", "place")
+    state = typed.filter("route = 'project_state'").select(own_id("project_state"), "scope", F.col("key").alias("project_id"), F.col("value").alias("state"), "source", "place")
     out = {"event": event, "memory": made["memory"], "preference": preference.unionByName(made["preference"]), "project_state": state.unionByName(made["project_state"])}
-    return {"outcome": made["outcome"]} | {name: rows.select(*[c.split()[0] for c in SCHEMAS[name].split(", ")]) for name, rows in out.items()}
+    return {"outcome": made["outcome"]} | {name: rc.completed(name, rows, at) for name, rows in out.items()}
 
 
 def counters(docs: DataFrame, made: Mapping[str, DataFrame]) -> DataFrame:
@@ -93,11 +91,29 @@ def counters(docs: DataFrame, made: Mapping[str, DataFrame]) -> DataFrame:
     return out.crossJoin(F.broadcast(verdicts))
 
 
-def apply(spark: SparkSession, root: str, batch: str, made: Mapping[str, DataFrame]) -> bool:
+def apply(spark: SparkSession, root: str, batch: str, made: Mapping[str, DataFrame], since: int | None = None) -> bool:
     """Append a run's rows to the store at root, all or none; False if the batch is there already."""
-    content = F.array_compact(F.array(va.text(F.col("content"), "content"), va.scope(F.col("scope"))))
-    checks = {"event": content, "memory": content, "preference": F.array_compact(F.array(va.text(F.col("key"), "key", va.MAX_SHORT), va.scope(F.col("scope")))), "project_state": F.array_compact(F.array(va.json_object(F.col("state"), "state")))}
-    return store.append(spark, root, batch, {name: made[name] for name in SCHEMAS}, checks)
+    return store.append(spark, root, batch, {name: made[name] for name in SCHEMAS}, {name: rc.reasons(name) for name in SCHEMAS}, since)
+
+
+def run(spark: SparkSession, root: str, batch: str, notes: DataFrame, vault_id: str, at: Column | None = None, responses: DataFrame | None = None) -> DataFrame:
+    """Import notes (rel_path, text) into the store at root as one batch; gives the run's counters.
+
+    The plan is made from the store as it is; a batch that another writer commits meanwhile is a
+    Conflict, and the run is then repeated by the caller. A chunk that the store's gate would refuse
+    stays out, with all it would give, and counts as skipped. A batch that is there already counts as
+    it would now: all unchanged.
+    """
+    since = store.last(spark, root)
+    known = scratch.written(seen(spark, root), "seen")
+    parsed = scratch.written(ingest.parse(notes), "notes")
+    planned = ingest.plan(ingest.routed(ingest.chunked(parsed)), known)
+    refused = (F.col("action") == "ingest") & va.text(F.col("text"), "content").isNotNull()
+    planned = scratch.written(planned.withColumn("action", F.when(refused, "refuse").otherwise(F.col("action"))), "plan")
+    made = records(planned, vault_id, store.read(spark, root, "memory", SCHEMAS["memory"], since), responses, at=at)
+    told = scratch.written(counters(documents(parsed, planned, known), made), "counters")
+    apply(spark, root, batch, made, since)
+    return told
 
 
 def seen(spark: SparkSession, root: str) -> DataFrame:

@@ -86,11 +86,12 @@ def _marked(text: str) -> bool:
     return text.strip().lower().startswith(MARKERS)
 
 
-def paragraphs(text: str, with_code: bool = False) -> Iterator[tuple[tuple[str, ...], int, list[str]]]:
-    """(heading path, line number from 0, lines) of each run of non-blank lines under one heading."""
+def paragraphs(text: str, with_code: bool = False) -> Iterator[tuple[tuple[str, ...], list[int], list[str]]]:
+    """(heading path, line numbers from 1, lines) of each run of non-blank lines under one heading."""
     path: list[str] = []
     own: list[str] = []
-    fence, first = "", 0
+    at: list[int] = []
+    fence = ""
     for i, line in enumerate([*text.split("\n"), ""]):
         bare = line.strip()
         heading = None if fence else _HEADING.match(bare)
@@ -102,16 +103,16 @@ def paragraphs(text: str, with_code: bool = False) -> Iterator[tuple[tuple[str,
         if hidden and not with_code:
             continue
         if own and (heading or not bare):
-            yield tuple(path), first, own
-            own = []
+            yield tuple(path), at, own
+            own, at = [], []
         if heading:
             path = [*path[: len(heading[1]) - 1], heading[2].strip()]
-            yield tuple(path), -1, []  # a new section: nothing is joined across it
+            yield tuple(path), [], []  # a new section: nothing is joined across it
         elif bare:
-            first = first if own else i
             own.append(line)
+            at.append(i + 1)
     if own:
-        yield tuple(path), first, own
+        yield tuple(path), at, own
 
 
 def chunks(body: str, least: int = MIN_CHARS, most: int = MAX_CHARS, with_code: bool = False) -> list[tuple[int, list[str], str, int, int]]:
@@ -121,25 +122,25 @@ def chunks(body: str, least: int = MIN_CHARS, most: int = MAX_CHARS, with_code:
     and may be short; other chunks under `least` characters are dropped.
     """
     out: list[tuple[int, list[str], str, int, int]] = []
-    held: list[tuple[int, list[str]]] = []
+    held: list[tuple[list[int], list[str]]] = []
     where: tuple[str, ...] = ()
 
     def close() -> None:
         lines = [line for _, p in held for line in p]
         text = normal("\n".join(lines))
         if held and len(text) >= (1 if _marked(text) else least):
-            out.append((len(out), list(where), text, held[0][0] + 1, held[-1][0] + len(held[-1][1])))
+            out.append((len(out), list(where), text, held[0][0][0], held[-1][0][-1]))
         held.clear()
 
     size = 0
-    for path, first, lines in paragraphs(normal(body), with_code):
+    for path, at, lines in paragraphs(normal(body), with_code):
         length = len("\n".join(lines)) + 2
         alone = bool(lines) and _marked("\n".join(lines))
         if not lines or path != where or alone or (held and 0 < most < size + length):
             close()
             size, where = 0, path
         if lines:
-            held.append((first, lines))
+            held.append((at, lines))
             size += length
         if alone:
             close()

@@ -1,6 +1,6 @@
 """Versioned tables as append-only logs: current rows, history, supersede links, counts.
 
-"Current" is what was written last: the latest (created_at, id) of a key. The window needs one
+"Current" is what was written last: the latest (created_at, id) of a key, or by the order given. The window needs one
 shuffle by key; a key's versions are sorted, not held in memory. Where only the current row is
 wanted, max_by is combined before the shuffle, so that a hot key stays cheap.
 """
@@ -15,16 +15,16 @@ from pyspark.sql import functions as F
 ORDER = ("created_at", "id")
 
 
-def current(log: DataFrame, key: Sequence[str]) -> DataFrame:
+def current(log: DataFrame, key: Sequence[str], order: Sequence[str] = ORDER) -> DataFrame:
     """The last written row of each key."""
     rest = [c for c in log.columns if c not in key]
-    last = log.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*ORDER)).alias("row"))
+    last = log.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("row"))
     return last.select(*key, *[F.col(f"row.`{c}`").alias(c) for c in rest]).select(*log.columns)
 
 
-def history(log: DataFrame, key: Sequence[str]) -> DataFrame:
+def history(log: DataFrame, key: Sequence[str], order: Sequence[str] = ORDER) -> DataFrame:
     """Every version with its number and the id that superseded it (null: current)."""
-    w = Window.partitionBy(*key).orderBy(*ORDER)
+    w = Window.partitionBy(*key).orderBy(*order)
     return log.withColumn("version", F.row_number().over(w).cast("long")).withColumn("superseded_by", F.lead("id").over(w))
 
 
@@ -48,7 +48,7 @@ def fold_changes(rows: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def without(rows: DataFrame, deleted: DataFrame) -> DataFrame:
-    """Hard delete: the rows whose id isn't listed. Deleting a row that another points to is an error."""
+    """The rows whose id isn't listed. A store's delete (store.py) refuses rows that others point to."""
     return rows.join(deleted.select("id").distinct(), "id", "left_anti")
 
 
