@@ -17,6 +17,7 @@ PIECE_BYTES = 1 << 19
 #: Bytes of an Arrow batch on its way to a Python task; the default of 64 MB is dear where tasks hold whole texts.
 BATCH_BYTES = 4 << 20
 PLAN_CHARS = 20_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: So many ids, of some 24 bytes each in a hashed relation, are sent to all tasks rather than shuffled with whole texts.
 BROADCAST_IDS = 1 << 21
 
@@ -59,7 +60,12 @@ def checkpointed(df: DataFrame, *seen: Column) -> DataFrame:
     """
     spark, at = df.sparkSession, shared_folder(df.sparkSession)
     watch = Observation() if seen else None
-    (df.observe(watch, *seen) if watch else df).write.parquet(at)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # what the write shuffled is of no use once the table is there
+    try:
+        (df.observe(watch, *seen) if watch else df).write.parquet(at)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(at)
     out.at, out.seen = at, watch.get if watch else {}
     return out
