@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,6 +75,17 @@ def prefix_index(items: list[tuple[int, list[bytes]]], counts: dict[bytes, int],
     return dict(index)
 
 
+def occurrences(own: list[bytes], index: dict[bytes, list], keys: frozenset[bytes]) -> Iterator[tuple[int, int, list[int]]]:
+    """(first word, end, items) of each window of the index that stands in a document's words."""
+    if keys.isdisjoint(own):
+        return
+    for at in [i for i, w in enumerate(own) if w in keys]:
+        for offset, window, holders in index[own[at]]:
+            start = at - offset
+            if start >= 0 and own[start : start + len(window)] == window:
+                yield start, start + len(window), holders
+
+
 def find_windows(docs: DataFrame, items: list[tuple[int, list[bytes]]], n: int, only_hits: bool) -> DataFrame:
     """Places of one block's windows in each document (doc_id, text, copy, rows): word spans and the items found."""
     counts = corpus_counts(docs, {w for _, item in items for w in item})
@@ -88,13 +99,9 @@ def find_windows(docs: DataFrame, items: list[tuple[int, list[bytes]]], n: int,
             for doc_id, text, copy, rows in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 own = words(raw_text(text))
                 spans, items = set(), set()
-                if not keys.isdisjoint(own):
-                    for at in [i for i, w in enumerate(own) if w in keys]:
-                        for offset, window, holders in index[own[at]]:
-                            start = at - offset
-                            if start >= 0 and own[start : start + len(window)] == window:
-                                spans.add((start, start + len(window)))
-                                items.update(holders)
+                for start, end, holders in occurrences(own, index, keys):
+                    spans.add((start, end))
+                    items.update(holders)
                 if spans or not only_hits:
                     ordered = sorted(spans)
                     out.append((doc_id, len(own), [s for s, _ in ordered], [e for _, e in ordered], sorted(items), copy, rows))
@@ -128,16 +135,18 @@ def report(found: DataFrame) -> DataFrame:
     return found.mapInArrow(digest, _REPORT)
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row for each document: n_words, n_hit, n_items, items_sha256, contaminated."""
-    docs = texts(documents)
+def _blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Callable[[int], list[tuple[int, list[bytes]]]]]:
+    """How many blocks of bounded size the items make, and what gives the items of one: (item_id, words)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("item_id IS NOT NULL")
     n_bytes = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-n_bytes // block_bytes))
+    return blocks, lambda b: [(r["item_id"], words(r["text"].encode())) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toLocalIterator()]
 
-    def block(b: int) -> list[tuple[int, list[bytes]]]:
-        return [(r["item_id"], words(r["text"].encode())) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toLocalIterator()]
 
+def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row for each document: n_words, n_hit, n_items, items_sha256, contaminated."""
+    docs = texts(documents)
+    blocks, block = _blocks(benchmark, block_bytes)
     if blocks == 1:
         single = docs.withColumns({"copy": F.lit(None).cast("string"), "rows": F.lit(1).cast("long")})
         return report(find_windows(single, block(0), window, only_hits=False).drop("copy", "rows"))
@@ -155,7 +164,22 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     return report(merged)
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents, with all their columns, that hold no window of any item."""
-    bad = contamination(documents, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return documents.join(bad, documents["doc_id"] == bad["bad_id"], "left_anti")
+def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, with all their columns, that hold no window of any item: each row is judged by its own text, whatever its doc_id."""
+    docs = texts(documents)
+    blocks, block = _blocks(benchmark, block_bytes)
+    kept, schema, column = documents, documents.schema, documents.columns.index("text")
+    for b in range(blocks):
+        items = block(b)
+        counts = corpus_counts(docs, {w for _, item in items for w in item})
+        sent = docs.sparkSession.sparkContext.broadcast(prefix_index(items, counts, window))
+
+        def free(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = sent.value
+            keys = frozenset(index)
+            for batch in batches:
+                clear = [next(occurrences(words(raw_text(text)), index, keys), None) is None for text in batch.column(column)]
+                yield batch.filter(pa.array(clear, pa.bool_()))
+
+        kept = kept.mapInArrow(free, schema)
+    return kept

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import checkpointed, discard, only, pieces, texts
+from .base import BROADCAST_IDS, checkpointed, discard, only, pieces, texts
 from .blocks import similar_inside
 from .graph import components
 from .words import SPACED, Words, distinct, mix, shingles
@@ -210,3 +210,28 @@ def near_groups(documents: DataFrame, n: int, percent: int) -> DataFrame:
     linked = linked.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     alone = profiled.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def without_near_copies(documents: DataFrame, n: int, percent: int) -> DataFrame:
+    """The documents, with all their columns, less all but one of each group that near_groups() finds.
+
+    Here a document is a doc_id with a text: other texts of a doc_id, and texts without one, are judged
+    by themselves, and of rows with equal doc_id and text one stays. Of a group the least doc_id stays; those
+    that several texts share, or that are null, come after all others.
+    """
+    ids = documents.groupBy(F.col("doc_id").cast("long").alias("odd_id")).agg(F.count(F.lit(1)).alias("n"))
+    odd = checkpointed(ids.filter("n > 1 OR odd_id IS NULL").select("odd_id"), F.count(F.lit(1)).alias("n"))
+    if not odd.seen["n"]:
+        gone = near_groups(documents, n, percent).filter("NOT kept").select(F.col("doc_id").alias("gone_id"))
+        return documents.join(gone, documents["doc_id"] == gone["gone_id"], "left_anti")
+    side = F.broadcast(odd) if odd.seen["n"] <= BROADCAST_IDS else odd
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("odd_id"))
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    own = rows.join(side, same, "left_anti").withColumn("own_id", F.col("row.doc_id").cast("long"))
+    # An id of their own in the upper half of the positive numbers, by what they hold; equal rows meet by it.
+    name = F.xxhash64("row.doc_id", "row.text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    shared = rows.join(side, same, "left_semi").withColumn("own_id", name)
+    first = shared.groupBy("own_id", F.col("row.text").alias("of_text"), F.col("row.doc_id").alias("of_id")).agg(F.min("row").alias("row"))
+    every = own.unionByName(checkpointed(first.select("row", "own_id")))
+    gone = near_groups(every.select(F.col("own_id").alias("doc_id"), F.col("row.text").alias("text")), n, percent).filter("NOT kept").select(F.col("doc_id").alias("gone_id"))
+    return every.join(gone, F.col("own_id") == F.col("gone_id"), "left_anti").select("row.*")

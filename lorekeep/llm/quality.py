@@ -14,8 +14,8 @@ that REJECT_AT_MOST of the good labelled rows fall below it out of fold, and nev
 filter should rather let junk pass than lose clean text. Defined results: null or wordless text
 scores 0 and is rejected; without labels, or with one class alone, the score is the base rate and
 nothing that has words is rejected; several labels of a doc_id count once, the largest; rows without
-a doc_id are scored, and teach nothing; repeated rows give repeated rows, and
-keep_good drops a doc_id when all its rows are rejected; other columns are ignored.
+a doc_id are scored, and teach nothing; repeated rows give repeated rows; keep_good judges each row
+by what it holds, so rows of one doc_id, or of none, stay or go by themselves; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import learn
@@ -44,15 +44,23 @@ REJECT_AT_MOST = 0.005
 _U = np.uint64
 
 
+_KINDS = {"text": "string", "lang": "string", "source": "string", "n_chars": "long"}
+
+
+def _own(documents: DataFrame) -> dict[str, Column]:
+    """The columns that a verdict follows from; missing ones are null."""
+    own = {c: (documents[c] if c in documents.columns else F.lit(None)).cast(t) for c, t in _KINDS.items()}
+    return own | {"text": F.coalesce(own["text"], F.lit(""))}
+
+
 def meta_columns(documents: DataFrame) -> DataFrame:
-    """doc_id, text, lang, source, n_chars, whatever else the table holds; missing ones are null."""
-    have = set(documents.columns)
-    kinds = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
-    return documents.select(*[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]).withColumn("text", F.coalesce("text", F.lit("")))
+    """doc_id, text, lang, source, n_chars, whatever else the table holds, and held: a hash of what a verdict follows from."""
+    own = _own(documents)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(n) for n, c in own.items()], F.xxhash64(*own.values()).alias("held"))
 
 
-_FEATURES = pa.schema([("doc_id", pa.int64()), ("worded", pa.bool_()), ("x", pa.binary()), ("lang", pa.int32()), ("source", pa.int32()), ("size", pa.float64())])
-_FEATURES_SQL = "doc_id long, worded boolean, x binary, lang int, source int, size double"
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("worded", pa.bool_()), ("x", pa.binary()), ("lang", pa.int32()), ("source", pa.int32()), ("size", pa.float64()), ("held", pa.int64())])
+_FEATURES_SQL = "doc_id long, worded boolean, x binary, lang int, source int, size double, held long"
 
 
 def _buckets(values: list, tag: str) -> np.ndarray:
@@ -75,7 +83,7 @@ def features(documents: DataFrame, columns: np.ndarray) -> DataFrame:
                 x = np.column_stack([learn.text_stats(raws), learn.presence(*learn.word_features(Words(raws, SPACED)), len(raws), sent.value)]).astype(np.float32)
                 size = np.log1p(np.array([max(0, v or 0) for v in rows.column(4).to_pylist()], dtype=float)) / 10
                 lang, source = (_buckets(rows.column(i).to_pylist(), t) for i, t in ((2, "l"), (3, "s")))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([bool(r.strip()) for r in raws]), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(lang), pa.array(source), pa.array(size)], schema=_FEATURES)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([bool(r.strip()) for r in raws]), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(lang), pa.array(source), pa.array(size), rows.column(5)], schema=_FEATURES)
 
     return checkpointed(meta_columns(documents).mapInArrow(run, _FEATURES_SQL))
 
@@ -179,7 +187,7 @@ def train(sample: DataFrame, unlabelled: DataFrame, width: int) -> CoModel:
     return model
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("p_text", pa.float64()), ("p_meta", pa.float64()), ("score", pa.float64()), ("keep", pa.bool_())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("p_text", pa.float64()), ("p_meta", pa.float64()), ("score", pa.float64()), ("keep", pa.bool_()), ("held", pa.int64())])
 
 
 def score(feature_rows: DataFrame, model: CoModel) -> DataFrame:
@@ -193,13 +201,18 @@ def score(feature_rows: DataFrame, model: CoModel) -> DataFrame:
             x, worded = views(batch), np.asarray(batch.column(1))
             single = m.calibrated({v: m.view[v].logit(x[v]) for v in x})
             p = np.where(worded, m.both.predict(single), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(learn.sigmoid(single[:, i]))) for i in (0, 1)), pa.array(p), pa.array((p >= m.threshold) & worded)], schema=_OUT)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(learn.sigmoid(single[:, i]))) for i in (0, 1)), pa.array(p), pa.array((p >= m.threshold) & worded), batch.column(6)], schema=_OUT)
 
-    return feature_rows.mapInArrow(run, "doc_id long, p_text double, p_meta double, score double, keep boolean")
+    return feature_rows.mapInArrow(run, "doc_id long, p_text double, p_meta double, score double, keep boolean, held long")
 
 
 def classify(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, p_text, p_meta, score, keep) of every document."""
+    return judged(documents, labels, sample).drop("held")
+
+
+def judged(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """classify() with held, the hash by which a row of a doc_id is known again."""
     docs = meta_columns(documents)
     ids = learn.labelled_ids(labels, "quality", sample)
     columns = learn.choose(learn.sample_words(docs, ids, SPACED), WORDS)
@@ -211,8 +224,7 @@ def classify(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that the classifier doesn't reject; a doc_id goes when all its rows are rejected."""
-    told = classify(documents, labels)
-    ids = told.groupBy(F.col("doc_id").alias("judged_id")).agg(F.bool_or("keep").alias("some"))
-    gone = ids.filter("NOT some AND judged_id IS NOT NULL").select("judged_id")
-    return documents.join(gone, documents["doc_id"] == gone["judged_id"], "left_anti")
+    """The documents, with all their columns, that the classifier doesn't reject, each row judged by what it holds."""
+    gone = judged(documents, labels).filter("NOT keep").select(F.col("doc_id").alias("gone_id"), F.col("held").alias("gone_held")).distinct()
+    same = documents["doc_id"].cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(*_own(documents).values()) == F.col("gone_held"))
+    return documents.join(gone, same, "left_anti")
