@@ -199,7 +199,7 @@ class Page:
     # -- scoring
 
     def _settle(self) -> None:
-        """Which blocks are out, with all inside them. One that holds the article is not, nor is a form around most of the page."""
+        """Which blocks are out, with all inside them. One that holds the page's only article is not, nor is a form around most of the page."""
         n = len(self.tag)
         holds = [k in ("article", "main") and not o for k, o in zip(self.kind, self.out, strict=True)]
         for i in range(n - 1, 0, -1):
@@ -209,6 +209,11 @@ class Page:
             chars[o] += len(t) - linked
         for i in range(n - 1, 0, -1):
             chars[self.parent[i]] += chars[i]
+        named = list(self.out)  # out, or inside what is
+        for i in range(1, n):
+            named[i] |= named[self.parent[i]]
+        if any(k == "article" and c and not o for k, c, o in zip(self.kind, chars, named, strict=True)):
+            holds = [False] * n
         self.gone, in_article = [False] * n, [False] * n
         self.in_header = [False] * n
         for i in range(1, n):
