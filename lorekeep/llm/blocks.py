@@ -10,35 +10,67 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .words import unique
 
-BLOCK = 256
+#: Members of a block, and bytes of their sets; a pair of blocks is one task's work, and a member is sent once for each block of its group.
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
 _COLUMNS = 2048
+#: A number that one in so many pairs of sets share is worth a column of a matrix; pairs listed at once.
+_DENSE, _LISTED = 150, 1 << 22
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the pairwise intersections of two lists of sets of 64-bit values."""
-    out = np.zeros((len(left), len(right)))
+    """Sizes of the pairwise intersections of two lists of sets of numbers.
+
+    Numbers that many sets hold are counted by matrix products; those of few sets, most of them, by
+    listing the pairs of sets that share one.
+    """
+    shape = (len(left), len(right))
+    out = np.zeros(shape)
     value = [np.concatenate(s) if s else np.zeros(0, np.uint64) for s in (left, right)]
     owner = [np.repeat(np.arange(len(s)), list(map(len, s))) for s in (left, right)]
     common = np.intersect1d(unique(value[0]), unique(value[1]), assume_unique=True)
-    at = [np.minimum(np.searchsorted(common, v), max(0, len(common) - 1)) for v in value]
+    if not len(common):
+        return out
+    at, held = [], []
     for i in (0, 1):
-        good = common[at[i]] == value[i] if len(common) else np.zeros(len(value[i]), bool)
-        order = np.argsort(at[i][good], kind="stable")
-        at[i], owner[i] = at[i][good][order], owner[i][good][order]
-    for first in range(0, len(common), _COLUMNS):
+        place = np.minimum(np.searchsorted(common, value[i]), len(common) - 1)
+        good = common[place] == value[i]
+        place, own = place[good], owner[i][good]
+        order = np.argsort(place, kind="stable")
+        at.append(place[order])
+        held.append(own[order])
+    count = [np.bincount(p, minlength=len(common)) for p in at]
+    often = _DENSE * count[0] * count[1] >= shape[0] * shape[1]
+
+    column = np.cumsum(often) - 1
+    dense = [(column[p[often[p]]], h[often[p]]) for p, h in zip(at, held, strict=True)]
+    for first in range(0, int(often.sum()), _COLUMNS):
         m = []
-        for i, s in ((0, left), (1, right)):
-            a, b = np.searchsorted(at[i], [first, first + _COLUMNS])
-            m.append(np.zeros((len(s), min(_COLUMNS, len(common) - first)), dtype=np.float32))
-            m[-1][owner[i][a:b], at[i][a:b] - first] = 1
+        for (c, h), n in zip(dense, shape, strict=True):
+            x, y = np.searchsorted(c, [first, first + _COLUMNS])
+            m.append(np.zeros((n, min(_COLUMNS, int(often.sum()) - first)), dtype=np.float32))
+            m[-1][h[x:y], c[x:y] - first] = 1
         out += m[0] @ m[1].T
-    return out
+
+    # Each entry on the left meets the entries on the right that have its number.
+    few = ~often[at[0]]
+    number, row = at[0][few], held[0][few]
+    begin, size = (np.cumsum(count[1]) - count[1])[number], count[1][number]
+    upto = np.cumsum(size)
+    total, first = np.zeros(shape[0] * shape[1]), 0
+    while first < len(size):
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + _LISTED, "right")))
+        k = size[first:last]
+        inside = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+        pair = np.repeat(row[first:last], k) * shape[1] + held[1][np.repeat(begin[first:last], k) + inside]
+        total += np.bincount(pair, minlength=len(total))
+        first = last
+    return out + total.reshape(shape)
 
 
 def forest(n: int, x: np.ndarray, y: np.ndarray) -> list[int]:
@@ -60,12 +92,22 @@ def forest(n: int, x: np.ndarray, y: np.ndarray) -> list[int]:
     return kept
 
 
+def in_blocks(members: DataFrame, group: str, size: Column) -> DataFrame:
+    """members with a block each and a row for every pair of blocks (p, q) of their group that theirs is in; size: the bytes of one.
+
+    Only groups of several blocks are looked up, one in BLOCK members or in BLOCK_BYTES, from a
+    broadcast table; so members never meet by their group alone, however many one group holds.
+    """
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(size) / BLOCK_BYTES)).cast("int")
+    large = members.groupBy(F.col(group).alias("of_group")).agg(blocks.alias("blocks")).filter("blocks > 1")
+    placed = members.join(F.broadcast(large), F.col(group) == F.col("of_group"), "left").drop("of_group").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")}).drop("blocks", "other")
+
+
 def similar_inside(members: DataFrame, percent: int, kind: type = np.uint64) -> DataFrame:
     """Edges (a, b) that span the similar members (id, grp, grams: a set of numbers of a kind) of each group."""
-    counts = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("grp", "of_grp")
-    placed = members.join(counts, F.col("grp") == F.col("of_grp")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sent = sent.select("grp", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "grams")
+    sent = in_blocks(members, "grp", F.octet_length("grams")).select("grp", "p", "q", "block", "id", "grams")
 
     def compare(rows: pa.Table) -> pa.Table:
         p, q = rows.column("p")[0].as_py(), rows.column("q")[0].as_py()

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import BROADCAST_IDS, checkpointed
-from .blocks import forest
+from .blocks import forest, in_blocks
 from .graph import components
 
 FLOOR = 0.9
@@ -44,8 +44,7 @@ AUDIT = 200
 SEEN, GROW = 100, 4
 WANTED = 0.97
 TRIES = 3
-BLOCK = 256
-#: Vectors of a block where a label is held against samples or compared whole.
+#: Vectors of a block where a label is held against samples.
 SIDE = 2048
 SALTS = 16
 _U = np.uint64
@@ -226,10 +225,7 @@ _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def compared(vectors: DataFrame, threshold: float) -> DataFrame:
     """Edges (a, b) that span the linked vectors of each label: every pair is compared, block by block."""
-    sizes = vectors.groupBy("label").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("blocks"))
-    placed = vectors.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sent = sent.select("label", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "v")
+    sent = in_blocks(vectors, "label", 8 * F.size("v")).select("label", "p", "q", "block", "id", "v")
 
     def compare(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
@@ -255,10 +251,7 @@ def links_inside(members: DataFrame, threshold: float) -> DataFrame:
 
     A component is cut into blocks; each pair of blocks is compared in one matrix product.
     """
-    blocks = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("component", "of_component")
-    placed = members.join(blocks, F.col("component") == F.col("of_component")).drop("of_component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    sent = placed.withColumn("other", other).select("component", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "size", "v")
+    sent = in_blocks(members, "component", 8 * F.size("v")).select("component", "p", "q", "block", "id", "size", "v")
 
     def count(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
