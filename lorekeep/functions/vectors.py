@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,37 +34,57 @@ def normalised(x: Column) -> Column:
     return let(x, lambda v: let(norm(v), lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda e: e / n))))
 
 
-def features(text: Column) -> Column:
-    """Words and their letter pairs, CJK characters and their pairs, each with a prefix of its kind."""
-    joined = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"[^\p{{L}}\p{{N}}{_CJK}]", "")
-    runs = F.regexp_extract_all(joined, F.lit(rf"[{_CJK}]+|[\p{{L}}\p{{N}}&&[^{_CJK}]]+"), F.lit(0))
-
-    def letters(run: Column) -> Column:
-        return F.regexp_extract_all(run, F.lit("(?s)."), F.lit(0))  # one pass; substrings would count from the start each time
+def letters(text: Column) -> Column:
+    """A text's letters, digits and CJK characters in lower case, joined."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"[^\p{{L}}\p{{N}}{_CJK}]", "")
 
-    def pairs(chars: Column, prefix: str) -> Column:
-        return F.zip_with(F.slice(chars, 1, F.size(chars) - 1), F.slice(chars, 2, F.size(chars)), lambda x, y: F.concat(F.lit(prefix), x, F.coalesce(y, F.lit(""))))
 
-    def of(run: Column) -> Column:
-        def both(chars: Column) -> Column:
-            cjk = F.concat(F.transform(chars, lambda c: F.concat(F.lit("c:"), c)), pairs(chars, "b:"))
-            return F.when(run.rlike(f"^[{_CJK}]"), cjk).otherwise(F.concat(F.array(F.concat(F.lit("w:"), run)), pairs(chars, "g:")))
+_RUNS = re.compile(r"[{0}]+|[^{0}]+".format(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), _CJK)))
+#: Features whose bucket a task remembers.
+_REMEMBERED = 1 << 18
 
-        return let(letters(run), both)
 
-    return F.flatten(F.transform(runs, of))
+def features(joined: str) -> Counter:
+    """How often each feature stands in letters(): words and their letter pairs, CJK characters and their pairs, each with a prefix of its kind."""
+    found: Counter = Counter()
+    for run in _RUNS.findall(joined):
+        cjk = _RUNS.match(run[0] + "a").end() == 1
+        if cjk:
+            found.update("c:" + c for c in run)
+        else:
+            found["w:" + run] += 1
+        for pair, n in Counter(map("".join, zip(run, run[1:], strict=False))).items():
+            found[("b:" if cjk else "g:") + pair] += n
+    return found
 
 
-def bucket_and_sign(feature: Column, dim: int, salt: str = "") -> Column:
-    value = F.conv(F.substring(F.sha1(F.concat(F.lit(salt), feature)), 1, 12), 16, 10).cast("long")
-    return F.struct((value % dim).cast("int").alias("bucket"), F.when(F.shiftright(value, 40) % 2 == 1, 1.0).otherwise(-1.0).alias("sign"))
+def bucket_and_sign(feature: str, dim: int, salt: str = "") -> tuple[int, float]:
+    value = int(hashlib.sha1((salt + feature).encode()).hexdigest()[:12], 16)
+    return value % dim, 1.0 if value >> 40 & 1 else -1.0
 
 
 def hash_embeddings(rows: DataFrame, dim: int = 64, salt: str = "") -> DataFrame:
     """(id, vector) of rows (id, text): signed feature counts in `dim` buckets at unit length, zero without features.
 
-    Counts are summed per row before the shuffle, so `dim` numbers a row are what moves.
+    A text's features are counted first and hashed once each, in one Arrow pass without a shuffle.
     """
-    placed = rows.select("id", F.inline_outer(F.transform(features(F.col("text")), lambda f: bucket_and_sign(f, dim, salt))))
-    counts = placed.groupBy("id").agg(*[F.sum(F.when(F.col("bucket") == i, F.col("sign")).otherwise(0.0)).alias(f"b{i}") for i in range(dim)])
-    return counts.select("id", normalised(F.array(*[f"b{i}" for i in range(dim)])).alias("vector"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, float]] = {}
+        for batch in batches:
+            out = np.zeros((batch.num_rows, dim))
+            for own, joined in zip(out, batch.column(1).to_pylist(), strict=True):
+                for feature, n in features(joined).items():
+                    if feature not in known:
+                        if len(known) >= _REMEMBERED:
+                            known.clear()
+                        known[feature] = bucket_and_sign(feature, dim, salt)
+                    bucket, sign = known[feature]
+                    own[bucket] += sign * n
+            length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+            out /= np.where(length > 0, length, 1.0)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dim), pa.int32()), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "vector"])
+
+    return rows.select("id", letters(F.col("text")).alias("joined")).mapInArrow(run, f"id {kind}, vector array<double>")

@@ -48,6 +48,11 @@ def resolve(scope: str | None = None, scopes: Sequence[str] | None = None, perso
     return Visibility(None, (PERSONA,))
 
 
+def written_into(scope: Column) -> Column:
+    """when_writing() for a column of scopes: the scopes that may be read, as an array."""
+    return F.when(scope.startswith(PERSONA), F.array(F.lit(GLOBAL), scope)).when(scope.isNotNull(), F.array(scope)).otherwise(F.array().cast("array<string>"))
+
+
 def when_writing(scope: str) -> Visibility:
     """What may be read as context of a write into a scope: for a persona the global scope too, else the scope alone."""
     return resolve(persona=scope) if scope.startswith(PERSONA) else resolve(scope=scope)

@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..functions import validation as va
 from ..functions import vectors as vx
 from ..functions.visibility import resolve
-from ..operators import candidates, export, formation, importing, index, ingest, postings, records, retrieval, scratch, store, versions
+from ..operators import candidates, export, formation, importing, index, ingest, postings, quantiles, records, retrieval, scratch, store, versions
 from ..sources import tables as t
 
 QUERY = "that and the hand of thing"
@@ -341,12 +341,10 @@ def validation_report(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     """Nearest-rank percentiles, mean and maximum of event values by type."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("event_type")
-    ranked = t.table(spark, sf, "events").select("event_type", "value", F.row_number().over(w.orderBy("value", "event_id")).alias("r"), F.count("*").over(w).alias("n"))
-    at = lambda p: F.max(F.when(F.col("r") == F.greatest(F.lit(1), F.ceil(F.col("n") * p)), F.col("value")))
-    return ranked.groupBy("event_type").agg(F.round(at(0.5), 6).alias("p50"), F.round(at(0.95), 6).alias("p95"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("highest"))
+    events = t.table(spark, sf, "events").select("event_type", "value")
+    ranks = quantiles.nearest_rank(events, "event_type", "value", {"p50": 0.5, "p95": 0.95})
+    sums = events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("highest"))
+    return ranks.join(sums, "event_type").select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "mean", "highest")
 
 
 # -- index maintenance -------------------------------------------------------
@@ -377,6 +375,25 @@ def built_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("memory_id", *[F.round(F.get("vector", i), 6).alias(f"v{i}") for i in range(8)])
 
 
+def _limited(texts: list[str]) -> list[list[float]]:
+    """An embedder with a limit on its input, as providers have: lengths and a letter's count."""
+    if any(len(x) > 4000 for x in texts):
+        raise ValueError("input is too long")
+    return [[len(x), x.count("e")] for x in texts]
+
+
+@query
+def embedded_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Two builds by an embedder that fails on long inputs: the first of 300 memories, the second of what is left, by batches of 16 ids."""
+    rows, batch = t.memories(spark, sf), F.floor(F.col("id") / 16)
+    held = t.vectors(spark, sf).limit(0)
+    first, _ = index.build_by(rows, held, "limited", _limited, batch, 16, limit=300)
+    second, failed = index.build_by(rows, first, "limited", _limited, batch, 16)
+    shown = lambda made, run: made.select("memory_id", F.lit(run).alias("run"), F.get("vector", 0).cast("long").alias("chars"), F.get("vector", 1).cast("long").alias("es"), F.lit(None).cast("string").alias("error"))
+    none = F.lit(None).cast("long")
+    return shown(first, 1).unionByName(shown(second, 2)).unionByName(failed.select("memory_id", F.lit(2).alias("run"), none.alias("chars"), none.alias("es"), "error"))
+
+
 # -- text and ingestion ------------------------------------------------------
 
 
@@ -616,6 +633,17 @@ def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def formation_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """FM10, F4: the memories that a model is shown with each turn: those its own scope may see, a persona's, a project's or a session's."""
+    c, n = t.table(spark, sf, "conversations"), F.col("conv_id") % 3
+    source = F.concat(F.lit("src"), (F.col("conv_id") % 5).cast("string"))
+    scope = F.when(n == 0, F.concat(F.lit("persona:"), source)).when(n == 1, F.concat(F.lit("project:"), source)).otherwise(F.concat(F.lit("session:"), F.col("conv_id").cast("string")))
+    said = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", scope.alias("scope"))
+    found = retrieval.formation_context(t.memories(spark, sf), said, 4, _index(spark, sf, "memories"))
+    return found.select("id", "memory_id", F.col("position").cast("long").alias("position"))
+
+
 @query
 def policy_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     """FM5, FM6, F12, J11: verdicts on candidates against all stored documents, of which the active ones can be duplicated."""

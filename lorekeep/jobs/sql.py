@@ -184,6 +184,17 @@ SQL = {
       h AS (SELECT scope, 0 AS kind_no, '' AS id, '---' || chr(10) || 'generated: true' || chr(10) || 'generator: lorekeep-export' || chr(10) || 'scope: ' || scope || chr(10) || 'exported_at: 2024-03-01' || chr(10) || 'memory_count: ' || count(*) FILTER (kind_no = 1) || chr(10)
         || 'preference_count: ' || count(*) FILTER (kind_no = 2) || chr(10) || 'project_state_count: ' || count(*) FILTER (kind_no = 3) || chr(10) || '---' || chr(10) AS block FROM b GROUP BY scope)
       SELECT replace(scope, ':', '-') || '.md' AS file, kind_no::INTEGER AS kind_no, id, sha256(block) AS sha FROM (SELECT * FROM h UNION ALL SELECT * FROM b)""",
+    "embedded_batches": f"""WITH {M}, d AS (SELECT id, id // 16 AS batch, concat_ws(chr(10), content, CASE WHEN subject <> '' THEN subject END, tag) AS text FROM memories WHERE status = 'active'),
+      one AS (SELECT * FROM d ORDER BY id LIMIT 300), r1 AS (SELECT *, bool_or(length(text) > 4000) OVER (PARTITION BY batch) AS bad FROM one),
+      r2 AS (SELECT *, bool_or(length(text) > 4000) OVER (PARTITION BY batch) AS bad FROM d WHERE id NOT IN (SELECT id FROM r1 WHERE NOT bad)),
+      runs AS (SELECT *, 1 AS run FROM r1 WHERE NOT bad UNION ALL SELECT *, 2 FROM r2)
+      SELECT id AS memory_id, run, CASE WHEN NOT bad THEN length(text)::BIGINT END AS chars, CASE WHEN NOT bad THEN (length(text) - length(replace(text, 'e', '')))::BIGINT END AS es, CASE WHEN bad THEN 'ValueError: input is too long' END AS error FROM runs""",
+    "formation_contexts": f"""WITH {M}, asked AS (SELECT conv_id * 1000 + turn AS qid, text AS query, CASE conv_id % 3 WHEN 0 THEN 'persona:src' || conv_id % 5 WHEN 1 THEN 'project:src' || conv_id % 5 ELSE 'session:' || conv_id END AS own FROM conversations WHERE trim(coalesce(text, '')) <> ''),
+      {bm25('memories', [('content', 1.0), ('subject', 0.5), ('tag', 0.3)], 'asked', 'm')},
+      cand AS (SELECT r.qid, m.*, rank, query, row_number() OVER (PARTITION BY r.qid ORDER BY rank, created_at, m.id) AS c FROM m_rank r JOIN memories m USING (id) JOIN asked a ON a.qid = r.qid
+        WHERE status = 'active' AND (scope = own OR (starts_with(own, 'persona:') AND scope = 'global'))),
+      hit AS (SELECT qid, id::VARCHAR AS memory_id, created_at, -rank * (1 + 0.15 * salience) + CASE WHEN contains({form('content')}, {form('query')}) THEN 1 ELSE 0 END AS score FROM cand WHERE c <= 12),
+      best AS (SELECT qid AS id, memory_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, created_at::VARCHAR, memory_id) AS position FROM hit) SELECT * FROM best WHERE position <= 4""",
     "memory_index": f"WITH {M} {frequencies('memories')}",
     "index_increments": f"WITH {CHANGED} {frequencies('memories')}",
     "keyword_recall_after_changes": f"WITH {CHANGED}, asked AS (SELECT item_id AS qid, text AS query FROM benchmark), {memory_hits('asked', 5, ACTIVE)} {best('m_hits', 5)}",

@@ -131,7 +131,8 @@ class Index:
         """(qid, id, rank, created_at): each query's k best eligible documents of each shard by BM25, ties by created_at and id.
 
         queries: (qid, query); eligible: (id, created_at). rank is minus the score, to nine digits. The
-        best k of all shards are the best k of these.
+        best k of all shards are the best k of these. Where queries have `visible`, an array of scopes,
+        and eligible has a scope, a query finds the documents of its own scopes alone.
         """
         spark = queries.sparkSession
         asked = queries.select("qid", F.explode(tx.index_terms(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("m")).withColumn("bucket", _bucket(F.col("term")))
@@ -140,11 +141,13 @@ class Index:
         out = None
         for b in range(blocks):
             part = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else asked
-            found = self._best(spark, part.toArrow(), eligible, k, n, average, shards, queries.schema["qid"].dataType.simpleString())
+            own = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else queries
+            scopes = {r["qid"]: r["visible"] or [] for r in own.select("qid", "visible").collect()} if "visible" in queries.columns else None
+            found = self._best(spark, part.toArrow(), scopes, eligible, k, n, average, shards, queries.schema["qid"].dataType.simpleString())
             out = found if out is None else out.unionByName(found)
         return out
 
-    def _best(self, spark: SparkSession, asked: pa.Table, eligible: DataFrame, k: int, n: int, average: float, shards: int, qid_type: str) -> DataFrame:
+    def _best(self, spark: SparkSession, asked: pa.Table, scopes: dict | None, eligible: DataFrame, k: int, n: int, average: float, shards: int, qid_type: str) -> DataFrame:
         created = eligible.schema["created_at"].dataType.simpleString()
         names = sorted(set(asked["term"].to_pylist()))
         out_schema = f"qid {qid_type}, id {self.id_type}, rank double, created_at {created}"
@@ -165,8 +168,9 @@ class Index:
         void = self.read(spark, "void")
         none = lambda c, t: F.lit(None).cast(t).alias(c)
         sent = lists.filter(F.size("ids") > 0).select("shard", "term", "seq", "ids", "tfs", "lens").unionByName(void.select("shard", none("term", "string"), "seq", F.array("id").alias("ids"), none("tfs", "array<double>"), none("lens", "array<int>")))
-        held = eligible.select(_shard(F.col("id"), shards).alias("shard"), "id", "created_at")
+        held = eligible.select(_shard(F.col("id"), shards).alias("shard"), "id", "created_at", *(["scope"] if scopes is not None else []))
         asked_of = pa.array(qids, asked["qid"].type)
+        allowed = None if scopes is None else [scopes.get(q, []) for q in asked_of.to_pylist()]
 
         def score(left: pa.Table, right: pa.Table) -> pa.Table:
             left, right = left.combine_chunks(), right.combine_chunks()
@@ -201,9 +205,14 @@ class Index:
                 for term, pieces in by_term.items():
                     for q, w in weights.get(term, ()):
                         by_query.setdefault(q, []).extend((p, w * part) for p, part in pieces)
+                if allowed is not None:
+                    coded = right["scope"].combine_chunks().dictionary_encode()
+                    names, code_of = {s: i for i, s in enumerate(coded.dictionary.to_pylist())}, np.asarray(pc.fill_null(coded.indices, -1))
                 for q, pieces in by_query.items():
                     total = np.bincount(np.concatenate([p for p, _ in pieces]), np.concatenate([w for _, w in pieces]), right.num_rows)
                     hit = np.flatnonzero(total > 0)
+                    if allowed is not None:
+                        hit = hit[np.isin(code_of[hit], [names[s] for s in allowed[q] if s in names])]
                     rank = np.round(total[hit], 9)
                     if len(hit) > k:
                         least = np.partition(rank, len(hit) - k)[len(hit) - k]

@@ -12,15 +12,17 @@ partition before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions import vectors as vx
-from ..functions.visibility import Visibility
+from ..functions.visibility import Visibility, written_into
 from . import postings as pt
 from .postings import FLOOR_IDF, K1, B
 
@@ -92,13 +94,16 @@ def top(rows: DataFrame, k: int, *order: Column) -> DataFrame:
 def keyword_candidates(rows: DataFrame, index: Index | pt.Index, queries: DataFrame, k: int, keep: Column, phrase_of: Column) -> DataFrame:
     """(qid, id, rank, phrase, and rows' columns): the best k matches by BM25 alone, of the rows that keep holds for."""
     needles = queries.select("qid", tx.search_form(F.col("query")).alias("needle"))
+    own = "visible" in queries.columns  # each query sees its own scopes
     if isinstance(index, pt.Index):
-        found = index.best(queries, rows.filter(keep).select("id", "created_at"), k)
+        found = index.best(queries, rows.filter(keep).select("id", "created_at", *(["scope"] if own else [])), k)
         best = top(found, k, F.col("rank"), F.col("created_at"), F.col("id")).select("qid", F.col("id").alias("of"), "rank")
         # A few rows a query: the texts are read for them alone.
         best = rows.join(F.broadcast(best) if _small(best) else best, F.col("id") == F.col("of")).drop("of")
     else:
         ranked = bm25(index, queries).join(rows.filter(keep), "id")
+        if own:
+            ranked = ranked.join(queries.select("qid", "visible"), "qid").filter(F.array_contains("visible", F.col("scope"))).drop("visible")
         best = top(ranked, k, F.col("rank"), F.col("created_at"), F.col("id")).drop("position")
     return best.join(needles, "qid").withColumn("phrase", tx.phrase_hit(phrase_of, F.col("needle"))).drop("needle")
 
@@ -129,14 +134,23 @@ MEMORY_FIELDS = (("content", 1.0), ("subject", 0.5), ("tag_text", 0.3))
 PREFERENCE_FIELDS = (("key", 1.0), ("statement", 0.5))
 
 
+def _seen(seen: Visibility | None, queries: DataFrame) -> Column:
+    if seen is None and "visible" not in queries.columns:
+        raise ValueError("without a reader, queries need their visible scopes")
+    return F.col("scope").isNotNull() if seen is None else seen.predicate(F.col("scope"))
+
+
 def indexed_memories(rows: DataFrame) -> DataFrame:
     """Memories with the columns of MEMORY_FIELDS."""
     return rows.withColumn("tag_text", F.array_join("tags", " "))
 
 
-def memory_keyword(rows: DataFrame, queries: DataFrame, limit: int, seen: Visibility, kinds: Sequence[str] | None = None, statuses: Sequence[str] = ("active",), index: pt.Index | None = None) -> DataFrame:
-    """Keyword hits among memories: cut to 3 * limit by BM25 before any bonus, then scored. index: a written one of the same rows."""
-    keep = seen.predicate(F.col("scope")) & F.col("status").isin(*statuses)
+def memory_keyword(rows: DataFrame, queries: DataFrame, limit: int, seen: Visibility | None, kinds: Sequence[str] | None = None, statuses: Sequence[str] = ("active",), index: pt.Index | None = None) -> DataFrame:
+    """Keyword hits among memories: cut to 3 * limit by BM25 before any bonus, then scored. index: a written one of the same rows.
+
+    Without a reader (seen), each query names the scopes it sees in a column `visible`.
+    """
+    keep = _seen(seen, queries) & F.col("status").isin(*statuses)
     if kinds:
         keep = keep & F.col("kind").isin(*kinds)
     found = keyword_candidates(rows, index or build_index(indexed_memories(rows), MEMORY_FIELDS), queries, OVERFETCH * limit, keep, F.col("content"))
@@ -151,33 +165,99 @@ def preference_keyword(rows: DataFrame, current_ids: DataFrame, queries: DataFra
     return hits(found, "preference", preference_score())
 
 
+#: What two ways of adding up a score may differ by; candidates this near the k-th best are added up again in one order.
+_SLACK = 1e-9
+
+
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, memory_id, score): exact cosine of unit vectors against each query's vector, best k.
+    """(qid, memory_id, score, position): exact cosine of unit vectors against each query's vector, best k, ties by memory_id.
 
-    The stated query set is sent to the tasks in blocks of about QUERY_BLOCK vectors, each a
-    broadcast of bounded size that meets all vectors. k of 0 or less gives nothing.
+    The stated query set is sent to the tasks in blocks of about QUERY_BLOCK vectors. A task multiplies its
+    vectors with them by batches and hands on the best k of each, so the shuffle holds no row for a pair. Vectors of
+    another length than the query's never meet it. k of 0 or less gives nothing.
     """
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    types = {c: d.schema[c].dataType.simpleString() for d, c in ((queries, "qid"), (vectors, "memory_id"))}
     out = None
     for b in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).select("qid", "query_vector")
-        scored = vectors.crossJoin(F.broadcast(part)).select("qid", "memory_id", vx.dot(F.col("vector"), F.col("query_vector")).alias("score"))
-        best = top(scored, k, F.desc("score"), F.col("memory_id"))
+        part = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).select("qid", F.col("query_vector").cast("array<double>").alias("v")).filter("v IS NOT NULL").toArrow().combine_chunks()
+        found = vectors.select("memory_id", F.col("vector").cast("array<double>").alias("v")).filter("v IS NOT NULL").mapInArrow(_best_of(part, k), f"qid {types['qid']}, memory_id {types['memory_id']}, score double")
+        best = top(found, k, F.desc("score"), F.col("memory_id"))
         out = best if out is None else out.unionByName(best)
     return out
 
 
-def semantic(rows: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int, seen: Visibility, kinds: Sequence[str] | None = None, filter_first: bool = False) -> DataFrame:
+def _by_length(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rows and matrix of the vectors of each length; a null component makes a score of nothing."""
+    size = np.asarray(column.value_lengths())
+    flat = column.take(pa.array(order := np.argsort(size, kind="stable"))).flatten()
+    values, size = np.asarray(pc.fill_null(flat, float("nan"))), size[order]
+    out, at = {}, 0
+    for d in np.unique(size):
+        n = int((size == d).sum())
+        out[int(d)] = order[np.flatnonzero(size == d)], values[at : at + n * d].reshape(n, d)
+        at += n * d
+    return out
+
+
+def _best_of(asked: pa.Table, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over (memory_id, v): each query's k best of a batch."""
+    wanted = _by_length(asked["v"].combine_chunks()) if asked.num_rows else {}
+    qids = asked["qid"].combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.take(pc.sort_indices(batch, [("memory_id", "ascending")])) if batch.num_rows else batch
+            for d, (rows, m) in (_by_length(batch.column(1)) if batch.num_rows and k > 0 else {}).items():
+                if d not in wanted:
+                    continue
+                rows, m = rows[order := np.argsort(rows)], m[order]
+                of, q = wanted[d]
+                score = np.nan_to_num(m @ q.T, nan=-np.inf)
+                least = np.partition(score, len(m) - min(k, len(m)), axis=0)[len(m) - min(k, len(m))]
+                i, j = np.nonzero((score >= least - _SLACK) & (score > -np.inf))
+                exact = np.zeros(len(i))
+                for x in range(d):
+                    exact += m[i, x] * q[j, x]
+                order = np.lexsort((i, -exact, j))
+                i, j, exact = i[order], j[order], exact[order]
+                good = np.arange(len(j)) - np.searchsorted(j, j) < k
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(of[j[good]])), batch.column(0).take(pa.array(rows[i[good]])), pa.array(exact[good])], names=["qid", "memory_id", "score"])
+
+    return run
+
+
+def semantic(rows: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int, seen: Visibility | None, kinds: Sequence[str] | None = None, filter_first: bool = False) -> DataFrame:
     """Vector hits: the best 3 * limit of all vectors, then filtered (or filtered first), then the best limit."""
-    keep = seen.predicate(F.col("scope")) & (F.col("status") == "active")
+    keep = _seen(seen, queries) & (F.col("status") == "active")
     if kinds:
         keep = keep & F.col("kind").isin(*kinds)
-    eligible = rows.filter(keep).select("id", "created_at")
+    eligible = rows.filter(keep).select("id", "created_at", "scope")
     if filter_first:
         vectors = vectors.join(eligible.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
     found = vector_top(vectors, queries, OVERFETCH * limit).drop("position").join(eligible, F.col("memory_id") == F.col("id"))
-    found = found.select("qid", F.col("id").cast("string").alias("id"), F.lit("memory").alias("item_type"), "score", F.lit("vector").alias("matched_on"), F.col("created_at").cast("string").alias("created_at"))
-    return top(found, limit, F.desc("score"), F.col("id").cast("long"), F.col("id"))
+    if "visible" in queries.columns:
+        found = found.join(queries.select("qid", "visible"), "qid").filter(F.array_contains("visible", F.col("scope")))
+    ranked = found.select("qid", F.col("id").alias("by_id"), F.col("id").cast("string").alias("id"), F.lit("memory").alias("item_type"), "score", F.lit("vector").alias("matched_on"), F.col("created_at").cast("string").alias("created_at"))
+    return top(ranked, limit, F.desc("score"), F.col("by_id")).drop("by_id")
+
+
+def formation_context(rows: DataFrame, utterances: DataFrame, limit: int, index: pt.Index | None = None, vectors: DataFrame | None = None, utterance_vectors: DataFrame | None = None) -> DataFrame:
+    """(id, memory_id, position): the memories that are shown to a model along with each utterance (id, text, scope).
+
+    What an utterance may see follows from the scope it is written into: a persona's sees that persona's
+    memories and the global ones, any other scope its own alone. Keyword and vector hits are fused where
+    vectors (memory_id, vector) and the utterances' own (id, query_vector) are given. A blank utterance,
+    and a limit of 0 or less, get none.
+    """
+    asked = utterances.filter(F.trim(F.coalesce("text", F.lit(""))) != "").select(F.col("id").alias("qid"), F.col("text").alias("query"), written_into(F.col("scope")).alias("visible"))
+    if limit <= 0:
+        asked = asked.limit(0)
+    found = merge(memory_keyword(rows, asked, max(1, limit), None, index=index), k=OVERFETCH * max(1, limit))
+    if vectors is not None and utterance_vectors is not None:
+        near = asked.join(utterance_vectors.select(F.col("id").alias("qid"), "query_vector"), "qid")
+        found = fuse(found, semantic(rows, vectors, near, max(1, limit), None), max(1, limit))
+    return found.filter(F.col("position") <= limit).select(F.col("qid").alias("id"), F.col("id").alias("memory_id"), F.col("position"))
 
 
 def fuse(keyword: DataFrame, vector: DataFrame, limit: int, w: Weights = Weights(), k: int = RRF_K) -> DataFrame:
