@@ -478,6 +478,24 @@ def chunk_notes(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.select("rel_path", "title", "ordinal", "line_start", "line_end", "content_hash")
 
 
+def _sectioned_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as notes of several sections: two paragraphs around a code fence (without blank lines where the id is odd), a marker, a short line, and both inline forms."""
+    flat = F.trim(F.concat(F.lit("A: "), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))))
+    gap = F.when(F.col("doc_id") % 2 == 1, "\n").otherwise("\n\n")
+    text = F.concat(
+        F.lit("# Doc "), F.col("doc_id").cast("string"), F.lit("\n\n"), flat, gap, F.lit("```\n# not a heading\n```"), gap, F.lit("Second paragraph of "), "lang", F.lit(" from "), "source", F.lit(", which is long enough to be kept.\n\n## Part\n\n记住："), "source",
+        F.lit(" matters\n\nshort\n\n## Pref\n\nOur preference: tone"), (F.col("doc_id") % 3).cast("string"), F.lit(" = calm and clear from now on, in all texts\n\n## State\n\nThe project state: p"), F.col("doc_id").cast("string"), F.lit(' = {"phase": 2, "next": "the third phase"}\n'),
+    )
+    return _notes(spark, sf).join(t.table(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id").select("rel_path", text.alias("text"))
+
+
+@query
+def sectioned_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """IG1, P1, P2, P6, P10, W4, W5, W6: notes with headings, fences, blank lines, markers and inline forms, several chunks each."""
+    rows = ingest.routed(ingest.chunked(ingest.parse(_sectioned_notes(spark, sf))))
+    return rows.select("rel_path", "ordinal", F.array_join("heading_path", "/").alias("heading"), "line_start", "line_end", "content_hash", "route", "scope", "key", "value")
+
+
 @query
 def route_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """IG2, IG3, IG5, P6, J-3: chunks by route and scope."""

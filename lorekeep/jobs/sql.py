@@ -195,6 +195,15 @@ SQL = {
         WHERE status = 'active' AND (scope = own OR (starts_with(own, 'persona:') AND scope = 'global'))),
       hit AS (SELECT qid, id::VARCHAR AS memory_id, created_at, -rank * (1 + 0.15 * salience) + CASE WHEN contains({form('content')}, {form('query')}) THEN 1 ELSE 0 END AS score FROM cand WHERE c <= 12),
       best AS (SELECT qid AS id, memory_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, created_at::VARCHAR, memory_id) AS position FROM hit) SELECT * FROM best WHERE position <= 4""",
+    "sectioned_chunks": f"""WITH d AS (SELECT doc_id, source, 'Projects/' || source || '/' || doc_id || '.md' AS rel_path, trim('A: ' || trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS a,
+        'Second paragraph of ' || lang || ' from ' || source || ', which is long enough to be kept.' AS b, CASE WHEN doc_id % 2 = 1 THEN 0 ELSE 2 END AS o FROM documents),
+      e AS (SELECT *, o = 2 AND length(a) + length(b) + 4 > 2000 AS apart FROM d),
+      c AS (SELECT rel_path, source, 0 AS ordinal, '' AS sub, 3 AS line_start, CASE WHEN apart THEN 3 ELSE 7 + o END AS line_end, CASE WHEN apart THEN a ELSE a || chr(10) || b END AS text, 'knowledge' AS route, NULL AS key, NULL AS value, doc_id FROM e
+        UNION ALL SELECT rel_path, source, 1, '', 7 + o, 7 + o, b, 'knowledge', NULL, NULL, doc_id FROM e WHERE apart
+        UNION ALL SELECT rel_path, source, 1 + apart::INTEGER, '/Part', 11 + o, 11 + o, '记住：' || source || ' matters', 'declaration', NULL, NULL, doc_id FROM e
+        UNION ALL SELECT rel_path, source, 2 + apart::INTEGER, '/Pref', 17 + o, 17 + o, 'Our preference: tone' || doc_id % 3 || ' = calm and clear from now on, in all texts', 'preference', 'tone' || doc_id % 3, 'calm and clear from now on, in all texts', doc_id FROM e
+        UNION ALL SELECT rel_path, source, 3 + apart::INTEGER, '/State', 21 + o, 21 + o, 'The project state: p' || doc_id || ' = {{"phase": 2, "next": "the third phase"}}', 'project_state', 'p' || doc_id, '{{"phase": 2, "next": "the third phase"}}', doc_id FROM e)
+      SELECT rel_path, ordinal::INTEGER AS ordinal, 'Doc ' || doc_id || sub AS heading, line_start::INTEGER AS line_start, line_end::INTEGER AS line_end, 'sha256:' || sha256(text) AS content_hash, route, 'project:' || source AS scope, key, value FROM c""",
     "memory_index": f"WITH {M} {frequencies('memories')}",
     "index_increments": f"WITH {CHANGED} {frequencies('memories')}",
     "keyword_recall_after_changes": f"WITH {CHANGED}, asked AS (SELECT item_id AS qid, text AS query FROM benchmark), {memory_hits('asked', 5, ACTIVE)} {best('m_hits', 5)}",

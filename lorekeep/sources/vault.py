@@ -15,7 +15,16 @@ INCLUDE, EXCLUDE = ("**/*.md",), (".obsidian/**", ".trash/**", ".git/**", "AI Me
 
 def scan(spark: SparkSession, root: str, include: Sequence[str] = INCLUDE, exclude: Sequence[str] = EXCLUDE) -> DataFrame:
     """(rel_path, text, modified, size) of the notes under root that a pattern includes and none excludes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return _notes(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), root, include, exclude)
+
+
+def stream(spark: SparkSession, root: str, include: Sequence[str] = INCLUDE, exclude: Sequence[str] = EXCLUDE, files_a_batch: int = 1000) -> DataFrame:
+    """scan() as a stream: each micro-batch has the files that came since. A file is read once, by its path; a note that changes must come as a new file."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", str(files_a_batch)).load(root)
+    return _notes(files, root, include, exclude)
+
+
+def _notes(files: DataFrame, root: str, include: Sequence[str], exclude: Sequence[str]) -> DataFrame:
     base = root.rstrip("/") + "/"
     path = F.url_decode(F.regexp_replace("path", r"\+", "%2B"))
     rel = F.substring_index(path, base, -1)
