@@ -164,11 +164,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     return joined.mapInArrow(test, "a long, b long")
 
 
-def unresolved(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """Edges (a, b) from the centre to each member of the buckets (key, id, centre, members) whose members lie in several components."""
+def mixed(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, id, centre) of the buckets (key, id, centre, members) whose members lie in several components."""
     grouped = shared.filter("members > 2").join(found, "id", "left").select("key", "id", "centre", F.coalesce("component", "id").alias("component"))
-    mixed = grouped.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    return grouped.join(mixed, "key").filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    several = grouped.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
+    return grouped.join(several, "key").select("key", "id", "centre")
+
+
+def unresolved(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Edges (a, b) from the centre to each member of the mixed buckets."""
+    return mixed(shared, found).filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def near_groups(documents: DataFrame, n: int, percent: int) -> DataFrame:

@@ -7,11 +7,11 @@ either end of the text. A unit's set is its five-word shingles, told apart by 32
 BANDS bands of ROWS minima find a similarity of 0.8 with probability 0.998. Shards of documents
 first tell each other, 4 bytes a key, which units collide anywhere; only those become rows. Equal
 units are folded; different ones that share a band are joined star-wise to the band's centre and,
-in buckets that then still hold several components, compared block by block; exact Jaccard of the
-shingle sets decides. Components cluster the removals: a component's first unit, by doc_id and
-place, stays, and the words under the others go. Where a run of removed units ends, the removal goes
-on word by word, over one changed word too, as long as the words are those beside the unit that
-stays (CONTEXT words at most on a side).
+in buckets that then still hold several components, met again by their rarest shingles (prefix.py),
+star-wise and then block by block; exact Jaccard of the shingle sets decides. Components cluster the
+removals: a component's first unit, by doc_id and place, stays, and the words under the others go.
+Where a run of removed units ends, the removal goes on word by word, over one changed word too, as
+long as the words are those beside the unit that stays (CONTEXT words at most on a side).
 
 Defined results: null text is empty; texts of fewer than five words lose nothing; a passage that
 repeats inside one document goes there too, unless it overlaps the unit that stays; rows of one
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .base import BROADCAST_IDS, checkpointed, discard, texts
 from .blocks import similar_inside
 from .graph import components, looked_up
-from .minhash import unresolved
+from .minhash import mixed
+from .prefix import first_numbers
 from .shards import Layout, dealt, marked, marks, sorted_docs
 from .words import SPACED, Words, mix, powers, runs, unique
 
@@ -261,16 +262,40 @@ def text_components(found: DataFrame, percent: int) -> DataFrame:
     star = fit.filter(100 * F.least("i", "j") >= percent * F.greatest("i", "j")).select("a", "b")
     edges = checkpointed(similar(star, sets, percent))
     labels = components(edges)
-    open_ = checkpointed(unresolved(shared.withColumnRenamed("name", "id"), labels), F.count(F.lit(1)).alias("n"))
+    open_ = checkpointed(mixed(shared.withColumnRenamed("name", "id"), labels).select(F.col("id").alias("name")).distinct(), F.count(F.lit(1)).alias("n"))
     discard(shared)
     if open_.seen["n"]:
-        groups = components(open_).select(F.col("id").alias("name"), F.col("component").alias("grp"))
-        more = checkpointed(similar_inside(groups.join(sets, "name").select(F.col("name").alias("id"), "grp", "grams"), percent, np.uint32))
-        labels = components(edges.union(more))
+        edges = checkpointed(edges.union(rare_links(sets.join(open_, "name", "left_semi"), labels, percent)))
+        labels = components(edges)
     discard(sets)
     return checkpointed(labels.withColumnRenamed("id", "name"), F.count(F.lit(1)).alias("n"))
 
 
+def rare_links(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that join whatever sets (name, grams) are similar and not in one component of labels (id, component) yet.
+
+    The sets that share one of their rarest shingles meet as those of a band did: star-wise, and block by block
+    where a shingle's sets then still lie in several components.
+    """
+    sets = checkpointed(sets.select("name", "grams"))
+    first = checkpointed(first_numbers(sets.select(F.col("name").alias("id"), "grams"), percent, np.uint32).join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    centres = first.groupBy("key").agg(F.min(F.struct("id", "n", "component")).alias("c"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    shared = checkpointed(first.join(centres.select("key", F.col("c.id").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.component").alias("centre_component"), "members"), "key"))
+    fits = (F.col("component") != F.col("centre_component")) & (100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n"))
+    star = shared.filter(fits).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    edges = checkpointed(similar(star, sets, percent))
+    # Components that the new edges join, by what they were called before.
+    of = first.select("id", "component").distinct()
+    tied = edges.join(of.select(F.col("id").alias("a"), F.col("component").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("component").alias("y")), "b")
+    merged = components(tied.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("now"))
+    found = of.join(merged, "component", "left").select("id", F.coalesce("now", "component").alias("component"))
+    open_ = checkpointed(mixed(shared.select("key", "id", "centre", "members"), found), F.count(F.lit(1)).alias("n"))
+    if not open_.seen["n"]:
+        return edges
+    members = open_.select("key", F.col("id").alias("name")).join(sets, "name").select(F.col("name").alias("id"), F.col("key").alias("grp"), "grams")
+    return edges.union(checkpointed(similar_inside(members, percent, np.uint32)).distinct())
+
+
 _GROWN = pa.schema([("shard", pa.int32()), ("doc", pa.int32()), ("word", pa.int32()), ("n", pa.int32()), ("component", pa.int64())])
 _GROWN_SQL = "shard int, doc int, word int, n int, component long"
 
