@@ -2,11 +2,11 @@
 
 Method. One linear model sees the text (statistics and the presence of chosen words), the other
 the page's metadata (language, source, length). Both start from the labelled rows. Over ROUNDS
-rounds each scores every unlabelled document, and the documents that it is confident of teach the
-other: they are summed up, class by class, in CELLS means of feature rows (by a hash of doc_id),
-which join the other's training set with the weight of the labelled rows at most. The views'
-log-odds are calibrated singly on out-of-fold predictions of the co-trained models, and then
-combined into one score for every document.
+rounds each scores every unlabelled document, and the documents that it is confident of join the
+other's training set, with the weight of the labelled rows at most: each of at most STEPS steps of a
+round adds up loss, gradient and curvature over all of them in the tasks. A model for each fold of the
+labelled rows is co-trained beside, from the rows outside it alone; on their predictions for the
+fold left out the views' log-odds are calibrated singly, and then combined into one score.
 
 Texts are read once for the features, which all rounds share. The labelled rows are a sample of
 SAMPLE at most (the least by a hash of doc_id). A document is rejected below a cut that is set so
@@ -21,27 +21,31 @@ by what it holds, so rows of one doc_id, or of none, stay or go by themselves; o
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import learn
 from .base import checkpointed, pieces
-from .words import SPACED, Words, mix
+from .words import SPACED, Words
 
 SAMPLE = 4000
 WORDS = 128
 META_BITS = 8
 ROUNDS = 3
-CELLS = 64
+STEPS = 6
+#: A student rests for the round once its loss moves by no more than this share of it.
+SETTLED = 1e-6
+LEAST_CURVE = 0.02
+SALTS = 64
 CONFIDENT = 0.97
 FOLDS = 5
 REJECT_AT_MOST = 0.005
-_U = np.uint64
 
 
 _KINDS = {"text": "string", "lang": "string", "source": "string", "n_chars": "long"}
@@ -110,78 +114,149 @@ class CoModel:
         return np.column_stack([self.single[v].logit(np.clip(logits[v], -13.8, 13.8)[:, None]) for v in ("text", "meta")])
 
 
-def _logit(p: np.ndarray) -> np.ndarray:
-    p = np.clip(p, 1e-6, 1 - 1e-6)
-    return np.log(p / (1 - p))
+class Student:
+    """A view's model of one version, in the standardised columns of its own labelled rows, while it is taught.
 
+    It minimises the logistic loss of its labelled rows, that of the documents which the other view's model is sure
+    of, weighted to count no more than the labelled rows, and half the square of its weights.
+    """
 
-_CELL = pa.schema([("view", pa.string()), ("cell", pa.int32()), ("n", pa.int64()), ("total", pa.binary())])
-_CELL_SQL = "view string, cell int, n long, total binary"
-Taught = tuple[np.ndarray, np.ndarray, np.ndarray]
-
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.model = learn.fit(x, y)
+        self.learns = bool(len(y)) and y.min() < y.max()
+        self.z, self.y = np.column_stack([(x - self.model.mean) / self.model.scale, np.ones(len(y))]), y
+        self.w = np.append(self.model.weight, self.model.bias)
+        self.best: tuple[float, np.ndarray, np.ndarray] | None = None  # loss, weights, step
+        self.stride, self.done = 1.0, False
+
+    def raw(self, w: np.ndarray) -> np.ndarray:
+        """Weights and intercept for columns as they are."""
+        own = w[:-1] / self.model.scale
+        return np.append(own, w[-1] - own @ self.model.mean)
+
+    def restart(self) -> None:
+        self.best, self.stride, self.done = None, 1.0, not self.learns
+
+    def told(self, sums: np.ndarray) -> None:
+        """Take the sums over the sure documents at the weights w (`Sums`), and set w to the next weights to try."""
+        k = len(self.w) - 1
+        n, loss, residual, curve = sums[:4]
+        xr, xd, xxd = sums[4 : 4 + k], sums[4 + k : 4 + 2 * k], sums[4 + 2 * k :]
+        mean, scale = self.model.mean, self.model.scale
+        weight = min(1.0, len(self.y) / n) if n else 0.0
+        gradient = np.append((xr - mean * residual) / scale, residual) * weight
+        diagonal = np.append((xxd - 2 * mean * xd + mean * mean * curve) / scale**2, curve) * weight
+        logit = self.z @ self.w
+        p = learn.sigmoid(logit)
+        ridge = np.append(self.w[:-1], 0.0)
+        total = weight * loss + float(np.logaddexp(0, logit).sum() - self.y @ logit) + 0.5 * float(ridge @ ridge)
+        before = None if self.best is None else self.best[0]
+        self.done = before is not None and abs(total - before) <= SETTLED * max(1.0, abs(before))
+        if before is not None and total > before + 1e-9 * abs(before):
+            self.stride /= 2  # too far: nearer to where it came from
+        else:
+            gradient += self.z.T @ (p - self.y) + ridge
+            # The curvature of the labelled rows stands for the others' too, with their own on the diagonal.
+            curvature = (self.z.T * np.maximum(p * (1 - p), LEAST_CURVE)) @ self.z + np.diag(np.maximum(diagonal, 0) + np.append(np.ones(k), 1e-6))
+            self.best, self.stride = (total, self.w, np.linalg.solve(curvature, gradient)), min(1.0, 2 * self.stride)
+        self.w = self.best[1] - self.stride * self.best[2]
+
+    def settle(self) -> None:
+        """Keep the best weights tried."""
+        if self.best is not None:
+            self.w = self.best[1]
+            self.model = learn.Linear(self.model.mean, self.model.scale, self.w[:-1], float(self.w[-1]))
+
+
+Students = dict[str, list[Student]]
+#: Of a student: how many documents the other view is sure of; their loss, residuals and curvatures; and by column the
+#: sums of x * residual, x * curvature and x * x * curvature.
+_SUMS = pa.schema([("view", pa.string()), ("version", pa.int32()), ("salt", pa.int32()), ("sums", pa.binary())])
+_SUMS_SQL = "view string, version int, salt int, sums binary"
+
+
+def sums_of(x: dict[str, np.ndarray], sure: dict[str, np.ndarray], tried: dict[str, np.ndarray]) -> dict[tuple[str, int], np.ndarray]:
+    """The sums of a batch for each view and version: x by view, sure and tried (raw weights, a column a version) of teachers and students."""
+    out = {}
+    for v, other in (("text", "meta"), ("meta", "text")):
+        p = learn.sigmoid(x[other] @ sure[other][:-1] + sure[other][-1])
+        yes = p >= CONFIDENT
+        used = yes | (p <= 1 - CONFIDENT)
+        logit = x[v] @ tried[v][:-1] + tried[v][-1]
+        q = learn.sigmoid(logit)
+        r, d = np.where(used, q - yes, 0.0), np.where(used, q * (1 - q), 0.0)
+        loss = np.where(used, np.logaddexp(0, logit) - yes * logit, 0.0).sum(axis=0)
+        head = np.stack([used.sum(axis=0), loss, r.sum(axis=0), d.sum(axis=0)])
+        for i, column in enumerate(np.concatenate([head, x[v].T @ r, x[v].T @ d, (x[v] ** 2).T @ d]).T):
+            out[v, i] = column
+    return out
 
-def taught(unlabelled: DataFrame, models: dict[str, learn.Linear]) -> dict[str, Taught]:
-    """What each view is taught by the other's confident documents: (mean feature rows, labels, documents) by cell.
 
-    Tasks add up their documents first, so no more than 4 * CELLS sums of a task are shuffled, and as many reach the driver.
-    """
-    sent = unlabelled.sparkSession.sparkContext.broadcast(models)
+def pass_over(unlabelled: DataFrame, sure: dict[str, np.ndarray], tried: dict[str, np.ndarray]) -> dict[tuple[str, int], np.ndarray]:
+    """sums_of() all unlabelled documents: a few hundred numbers for each student from a task, added up in two levels."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[str, int], list] = {}
+        total: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = views(batch)
-            cell = (mix(np.asarray(batch.column(0)).view(np.uint64) + _U(5)) % _U(CELLS)).astype(np.int64)
-            for v, other in (("text", "meta"), ("meta", "text")):
-                p = sent.value[v].predict(x[v])
-                key = np.where(p >= CONFIDENT, cell + CELLS, np.where(p <= 1 - CONFIDENT, cell, -1))
-                for k in np.unique(key[key >= 0]).tolist():
-                    own = x[other][key == k]
-                    held = total.setdefault((other, k), [0, np.zeros(own.shape[1])])
-                    held[0] += len(own)
-                    held[1] += own.sum(axis=0)
-        rows = [(v, k, n, t.tobytes()) for (v, k), (n, t) in total.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_CELL)], schema=_CELL)
+            if batch.num_rows:
+                for key, sums in sums_of(views(batch), sure, tried).items():
+                    total[key] = total[key] + sums if key in total else sums
+        salt = TaskContext.get().partitionId() % SALTS
+        yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in total], pa.string()), pa.array([i for _, i in total], pa.int32()), pa.array([salt] * len(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], schema=_SUMS)
 
     def whole(rows: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(t) for t in rows.column("total").to_pylist()], axis=0)
-        return pa.table([[rows.column("view")[0].as_py()], pa.array([rows.column("cell")[0].as_py()], pa.int32()), [sum(rows.column("n").to_pylist())], pa.array([total.tobytes()], pa.binary())], schema=_CELL)
-
-    rows = sorted(unlabelled.mapInArrow(add, _CELL_SQL).groupBy("view", "cell").applyInArrow(whole, _CELL_SQL).collect())
-    out = {}
-    for v in models:
-        own = [r for r in rows if r["view"] == v]
-        n = np.array([r["n"] for r in own], dtype=float)
-        x = np.array([np.frombuffer(bytes(r["total"])) / r["n"] for r in own]).reshape(len(own), len(models[v].weight))
-        out[v] = (x, np.array([float(r["cell"] >= CELLS) for r in own]), n)
+        total = np.sum([np.frombuffer(t) for t in rows.column("sums").to_pylist()], axis=0)
+        first = rows.slice(0, 1)
+        return pa.table([first["view"], first["version"], first["salt"], pa.array([total.tobytes()], pa.binary())], schema=_SUMS)
+
+    parts = unlabelled.mapInArrow(add, _SUMS_SQL).groupBy("view", "version", "salt").applyInArrow(whole, _SUMS_SQL)
+    out: dict[tuple[str, int], np.ndarray] = {}
+    for r in sorted(parts.collect(), key=lambda r: r["salt"]):
+        sums, key = np.frombuffer(bytes(r["sums"])), (r["view"], r["version"])
+        out[key] = out[key] + sums if key in out else sums
     return out
 
 
+def co_trained(x: dict[str, np.ndarray], y: np.ndarray, fold: np.ndarray, look: Callable[..., dict[tuple[str, int], np.ndarray]]) -> Students:
+    """Both views' models after ROUNDS rounds: version 0 of all labelled rows, version f + 1 of those outside fold f.
+
+    The versions learn side by side and never from each other, so what teaches version f + 1 has seen nothing of
+    fold f. look(sure, tried): the sums over all unlabelled documents for the teachers' and the tried weights.
+    """
+    versions = [np.ones(len(y), bool), *(fold != f for f in range(FOLDS))]
+    students = {v: [Student(x[v][m], y[m]) for m in versions] for v in x}
+    weights = lambda: {v: np.column_stack([s.raw(s.w) for s in own]) for v, own in students.items()}
+    for _ in range(ROUNDS if students["text"][0].learns else 0):
+        sure = weights()
+        for s in (*students["text"], *students["meta"]):
+            s.restart()
+        for _ in range(STEPS):
+            still = {(v, i): s for v, own in students.items() for i, s in enumerate(own) if not s.done}
+            if not still:
+                break
+            sums = look(sure, weights())
+            for key, s in still.items():
+                if key in sums:
+                    s.told(sums[key])
+        for own in students.values():
+            for s in own:
+                s.settle()
+    return students
+
+
 def train(sample: DataFrame, unlabelled: DataFrame, width: int) -> CoModel:
     """The model of feature rows: sample has a label each, and its number is bounded."""
     rows = sample.orderBy("doc_id", "x").toArrow().combine_chunks()
     batch = rows.to_batches()[0] if rows.num_rows else pa.RecordBatch.from_pylist([], schema=rows.schema)
     x, y = views(batch, width), np.asarray(rows.column("label")).astype(float) > 0
     y = y.astype(float)
-    two = len(y) > 0 and y.min() < y.max()
-    more: dict[str, Taught] = {v: (np.zeros((0, x[v].shape[1])), np.zeros(0), np.zeros(0)) for v in x}
-
-    def fitted() -> dict[str, learn.Linear]:
-        return {v: learn.fit(np.vstack([x[v], more[v][0]]), np.append(y, more[v][1]), weight=np.append(np.ones(len(y)), more[v][2])) for v in x}
-
-    models = fitted()
-    for _ in range(ROUNDS if two else 0):
-        for v, (means, labels, n) in taught(unlabelled, models).items():
-            more[v] = (means, labels, n * min(1.0, len(y) / n.sum()) if len(n) else n)
-        models = fitted()
     fold = learn.folds(np.asarray(rows.column("doc_id")).astype(np.int64), FOLDS)
-    logits = {v: _logit(learn.out_of_fold(x[v], y, fold, more[v])) for v in x}
-    model = CoModel(models, {v: learn.fit(logits[v][:, None], y) for v in x}, None, 0.0)
+    students = co_trained(x, y, fold, lambda sure, tried: pass_over(unlabelled, sure, tried))
+    logits = {v: np.array([own[int(f) + 1].model.logit(row) for f, row in zip(fold, x[v], strict=True)]) for v, own in students.items()}
+    model = CoModel({v: own[0].model for v, own in students.items()}, {v: learn.fit(np.clip(logits[v], -13.8, 13.8)[:, None], y) for v in x}, None, 0.0)
     stacked = model.calibrated(logits) if len(y) else np.zeros((0, 2))
     model.both = learn.fit(stacked, y)
-    if two:
+    if len(y) and y.min() < y.max():
         good = np.sort(learn.out_of_fold(stacked, y, fold)[y > 0])
         model.threshold = float(min(0.5, good[int(REJECT_AT_MOST * len(good))]))
     return model
@@ -226,5 +301,6 @@ def judged(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dat
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, with all their columns, that the classifier doesn't reject, each row judged by what it holds."""
     gone = judged(documents, labels).filter("NOT keep").select(F.col("doc_id").alias("gone_id"), F.col("held").alias("gone_held")).distinct()
-    same = documents["doc_id"].cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(*_own(documents).values()) == F.col("gone_held"))
-    return documents.join(gone, same, "left_anti")
+    # A row's columns travel as one, so that no name of theirs can clash.
+    rows = documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("row"), documents["doc_id"].cast("long").alias("of_id"), F.xxhash64(*_own(documents).values()).alias("of_held"))
+    return rows.join(gone, F.col("of_id").eqNullSafe(F.col("gone_id")) & (F.col("of_held") == F.col("gone_held")), "left_anti").select("row.*")

@@ -297,7 +297,7 @@ def test_classifiers_without_labels(spark):
     assert learn.fit(np.zeros((3, 1)), np.ones(3)).predict(np.zeros((1, 1)))[0] > 0.5
 
 
-def test_choice_of_words_and_taught_cells_against_brute_force(spark):
+def test_choice_of_words_and_sums_over_sure_documents_against_brute_force(spark):
     r = random.Random(18)
     rows = list(labelled(r, 120))
     table, labels = docs(spark, *(x[1] for x in rows)), spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, quality int")
@@ -314,16 +314,54 @@ def test_choice_of_words_and_taught_cells_against_brute_force(spark):
     feats = quality.features(table, np.array(want, dtype=np.int64))
     batch = feats.orderBy("doc_id").toArrow().combine_chunks().to_batches()[0]
     x = quality.views(batch)
-    models = {v: learn.fit(x[v], y.astype(float)) for v in x}
-    got = quality.taught(feats, models)
+    sure = {v: np.column_stack([np.append(m.weight / m.scale, m.bias - (m.weight / m.scale) @ m.mean) for m in [learn.fit(x[v], y.astype(float))] * 2]) for v in x}
+    tried = {v: np.random.default_rng(1).standard_normal(w.shape) / 10 for v, w in sure.items()}
+    got = quality.pass_over(feats.repartition(5), sure, tried)
     for v, other in (("text", "meta"), ("meta", "text")):
-        p = models[other].predict(x[other])
-        for label in (0.0, 1.0):
-            sure = p >= quality.CONFIDENT if label else p <= 1 - quality.CONFIDENT
-            own = got[v][1] == label
-            assert got[v][2][own].sum() == sure.sum()
-            if sure.any():
-                assert np.allclose((got[v][0][own] * got[v][2][own][:, None]).sum(axis=0), x[v][sure].sum(axis=0))
+        for i in range(2):
+            p = learn.sigmoid(x[other] @ sure[other][:-1, i] + sure[other][-1, i])
+            q = learn.sigmoid(x[v] @ tried[v][:-1, i] + tried[v][-1, i])
+            want = np.zeros(4 + 3 * x[v].shape[1])
+            for row, a, b in zip(x[v], p, q, strict=True):
+                if a >= quality.CONFIDENT or a <= 1 - quality.CONFIDENT:
+                    label = float(a >= quality.CONFIDENT)
+                    want += np.concatenate([[1, -np.log(b if label else 1 - b), b - label, b * (1 - b)], row * (b - label), row * b * (1 - b), row * row * b * (1 - b)])
+            assert np.allclose(got[v, i], want) and want[0] > 0
+
+
+def test_co_training_reaches_the_least_loss_and_leaves_folds_out(spark):
+    r = np.random.default_rng(2)
+    n, m = 90, 400
+    clean = r.random(n + m) < 0.5
+    text = np.column_stack([clean + 0.4 * r.standard_normal(n + m), r.standard_normal((n + m, 2))])
+    meta = np.column_stack([clean + 0.5 * r.standard_normal(n + m), r.standard_normal(n + m)])
+    x, free = {"text": text[:n], "meta": meta[:n]}, {"text": text[n:], "meta": meta[n:]}
+    y, fold, taught = clean[:n].astype(float), np.arange(n) % quality.FOLDS, []
+
+    def look(sure, tried):
+        taught.append({v: w.copy() for v, w in sure.items()})
+        return quality.sums_of(free, sure, tried)
+
+    students = quality.co_trained(x, y, fold, look)
+    last = taught[-1]
+    for v, other in (("text", "meta"), ("meta", "text")):
+        for i, s in enumerate(students[v]):
+            rows = np.ones(n, bool) if i == 0 else fold != i - 1
+            p = learn.sigmoid(free[other] @ last[other][:-1, i] + last[other][-1, i])
+            sure = (p >= quality.CONFIDENT) | (p <= 1 - quality.CONFIDENT)
+            weight = min(1.0, rows.sum() / sure.sum())
+            z = np.column_stack([(np.vstack([x[v][rows], free[v][sure]]) - s.model.mean) / s.model.scale, np.ones(rows.sum() + sure.sum())])
+            labels, weights = np.append(y[rows], p[sure] >= quality.CONFIDENT), np.append(np.ones(rows.sum()), np.full(sure.sum(), weight))
+            w = np.append(s.model.weight, s.model.bias)
+            slope = z.T @ (weights * (learn.sigmoid(z @ w) - labels)) + np.append(w[:-1], 0.0)
+            assert np.abs(slope).max() < 0.05 * np.abs(z.T @ (weights * (0.5 - labels))).max()
+    # What a fold's version learns doesn't follow from the fold's labels.
+    other = y.copy()
+    other[fold == 2] = 1 - other[fold == 2]
+    again = quality.co_trained(x, other, fold, lambda sure, tried: quality.sums_of(free, sure, tried))
+    assert np.allclose(again["text"][3].w, students["text"][3].w) and not np.allclose(again["text"][0].w, students["text"][0].w)
+    one = quality.co_trained(x, np.ones(n), fold, lambda sure, tried: pytest.fail("one class alone teaches nothing"))
+    assert (one["text"][0].model.weight == 0).all()
 
 
 def test_kinds_of_toxic_words():
