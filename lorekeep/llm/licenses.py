@@ -1,14 +1,15 @@
 """Licence scans: tags, notice phrases and licence expressions in whole texts.
 
 Method. A text is lower-cased (A-Z) and cut into words; an Aho-Corasick automaton walks the
-words once and reports every notice phrase and every identifier tag. What follows a tag on its
-line is a licence expression: a shunting-yard parser puts it into postfix order and evaluates
-and/or/with over permissiveness (or: the better, and: the worse side; with: an exception lifts
-a copyleft licence to half). The score is the least permissiveness of all that was found, 0 if
+words once and reports every notice phrase and every identifier tag, and where. What follows a tag
+and its colon, or equals sign, on the line is a licence expression: a shunting-yard parser puts it
+into postfix order and evaluates and/or/with over permissiveness (or: the better, and: the worse
+side; with: an exception lifts a copyleft licence to half). The score is the least permissiveness of all that was found, 0 if
 nothing was.
 
 Defined results: null text is empty (no words, no labels, score 0); every row gives a row;
-expressions that don't parse add no label; other columns are ignored.
+expressions that don't parse add no label, but operators at the end of a line that lack a right side
+are left out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,7 +52,8 @@ FAMILIES = {
 OF_LABEL = {label: value for label, value in FAMILIES.values()} | {"reserved": 0.0}
 _OPERATORS = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
-_TAG_LINE = re.compile(r"(?i)(?:spdx-license-identifier|license-expression)\s*:[ \t]*([^\r\n]*)")
+_AFTER_TAG = re.compile(rb"[\"']?[ \t]*[:=][ \t]*([^\r\n]*)")
+_WORD = re.compile(rb"[^ ]+")
 
 
 def to_postfix(expression: str) -> list[str]:
@@ -83,6 +85,9 @@ def to_postfix(expression: str) -> list[str]:
                 break
             out.append(low)
             operand = False
+    while operand and out and stack and stack[-1] != "(":
+        stack.pop()  # an operator that the line's end cuts off
+        operand = bool(stack) and stack[-1] == "("
     if operand or "(" in stack:
         raise ValueError("expression isn't complete")
     return out + stack[::-1]
@@ -125,29 +130,32 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def scan_text(raw: bytes) -> tuple[int, int, int | None, int | None, str, str, float]:
-    own = raw.translate(ALNUM_SPACES).split()
+    spaced = raw.translate(ALNUM_SPACES)
+    own = spaced.split()
     line = f" {b' '.join(own).decode('utf-8', 'replace')} "
     starts: list[int] = []
     base: set[str] = set()
     labels: set[str] = set()
-    tagged, gaps = False, None
+    tags: list[int] = []
+    gaps = None
     for last, phrase in automaton().iter(line):
+        if gaps is None and (phrase in TAGS or phrase in BASE_PHRASES):
+            gaps = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), "<u4") == 32)
         if phrase in TAGS:
-            tagged = True
+            tags.append(int(np.searchsorted(gaps, last)) - 1)  # its last word
         if phrase in BASE_PHRASES:
-            if gaps is None:
-                gaps = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), "<u4") == 32)
             starts.append(int(np.searchsorted(gaps, last - len(phrase) - 1)))
             base.add(BASE_PHRASES[phrase])
         if phrase in NOTICE_PHRASES:
             labels.add(NOTICE_PHRASES[phrase])
     labels |= base
     values = [OF_LABEL[x] for x in labels if x in OF_LABEL]
-    if tagged:
-        for m in _TAG_LINE.finditer(raw.decode("utf-8", "replace")):
-            if result := evaluate(m[1]):
-                labels |= result[0]
-                values.append(result[1])
+    ends = [m.end() for m in _WORD.finditer(spaced)] if tags else []
+    for k in tags:
+        told = _AFTER_TAG.match(raw, ends[k])
+        if told and (result := evaluate(told[1].decode("utf-8", "replace"))):
+            labels |= result[0]
+            values.append(result[1])
     return (len(own), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), min(values, default=0.0))
 
 

@@ -64,6 +64,17 @@ def test_license_scan(spark):
     assert got[1]["labels"] == "apache,bsd,gpl" and got[1]["score"] == 1.0
 
 
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("SPDX License Identifier: Apache-2.0", "apache"), ("x\nspdx_license_identifier = MIT OR\nnext GPL-3.0", "mit"), ('"license-expression": "ISC and (MIT or BSD-2-Clause)"', "bsd,isc,mit"), ("SPDX-License-Identifier\nMIT", ""), ("the license expression of MIT", ""),
+        ("é SPDX-License-Identifier: MIT\n# SPDX-License-Identifier: EPL-2.0", "epl,mit"), ("SPDX-License-Identifier: MIT AND OR", ""), ("SPDX-License-Identifier: (MIT OR", ""), ("SPDX-License-Identifier: MIT OR AND GPL-2.0", ""),
+    ],
+)
+def test_tags_where_the_automaton_finds_them(text, labels):
+    assert licenses.scan_text(text.encode())[5] == labels
+
+
 @pytest.mark.parametrize(
     "text, value",
     [("MIT", 1.0), ("GPL-2.0 OR MIT", 1.0), ("GPL-2.0 AND MIT", 0.0), ("GPL-2.0 WITH Classpath-exception-2.0", 0.5), ("MIT AND (GPL-3.0 OR Apache-2.0)", 1.0), ("mit or gpl-2.0 and gpl-3.0", 1.0), ("AND MIT", None), ("(MIT", None), ("", None), ("unknown", None)],
