@@ -36,6 +36,7 @@ NAMED_TERMS = 400
 #: Terms, with repeats, of the queries that are sent to the tasks at once.
 ASKED_TERMS = 100_000
 _SIZES = "n long, length long, shards int"
+_SIZES_OF: dict[tuple[str, int], tuple[int, float, int]] = {}
 
 
 def _bucket(term: Column) -> Column:
@@ -69,7 +70,13 @@ class Index:
         return store.read(spark, self.root, relation, self._schemas()[relation])
 
     def sizes(self, spark: SparkSession) -> tuple[int, float, int]:
-        """(documents, their average length, shards)."""
+        """(documents, their average length, shards), looked up once a commit."""
+        key = (self.root, store.last(spark, self.root))
+        if key not in _SIZES_OF:
+            _SIZES_OF[key] = self._sizes(spark)
+        return _SIZES_OF[key]
+
+    def _sizes(self, spark: SparkSession) -> tuple[int, float, int]:
         r = self.read(spark, "sizes").agg(F.sum("n").alias("n"), F.sum("length").alias("length"), F.max("shards").alias("shards")).first()
         return r["n"] or 0, (r["length"] or 0) / (r["n"] or 1), r["shards"] or 0
 
@@ -92,16 +99,15 @@ class Index:
         """
         _, _, shards = self.sizes(spark)
         shards = shards or max(8, -(-rows.count() // SHARD_DOCS))
-        told = rows.select("id", _shard(F.col("id"), shards).alias("shard"), weighed_terms(fields).alias("terms")).withColumn("len", F.size("terms"))
-        told = scratch.written(told, "terms")  # texts are cut once, for the lists, the documents and the statistics
-        # Dealt by shard once: all that follows groups inside a task.
-        dealt = told.repartition(shards, "shard")
-        each = dealt.select("shard", "id", "len", F.inline("terms")).groupBy("shard", "id", "len", "term").agg(F.sum("w").alias("tf"))
+        own = rows.select("id", _shard(F.col("id"), shards).alias("shard"), *[c for c, _ in fields])
+        docs = scratch.written(own.select("id", "shard", F.size(weighed_terms(fields)).alias("len")), "docs")
+        # Texts are dealt by shard once, and cut there: all that follows groups inside a task.
+        told = own.repartition(shards, "shard").select("shard", "id", weighed_terms(fields).alias("terms")).withColumn("len", F.size("terms"))
+        each = told.select("shard", "id", "len", F.inline("terms")).groupBy("shard", "id", "len", "term").agg(F.sum("w").alias("tf"))
         lists = each.groupBy("shard", "term").agg(F.array_sort(F.collect_list(F.struct("id", "tf", "len"))).alias("p"))
         lists = lists.select("shard", "term", F.size("p").cast("long").alias("n"), F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.len").alias("lens"))
-        docs = told.select("id", "shard", "len")
         done = self._write(spark, batch, lists, docs, self.live(spark).join(docs.select("id"), "id", "left_semi"), shards)
-        store.remove(spark, told.at)
+        store.remove(spark, docs.at)
         return done
 
     def drop(self, spark: SparkSession, batch: str, ids: DataFrame) -> bool:
@@ -136,14 +142,15 @@ class Index:
         """
         spark = queries.sparkSession
         asked = queries.select("qid", F.explode(tx.index_terms(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("m")).withColumn("bucket", _bucket(F.col("term")))
-        blocks = max(1, -(-asked.count() // ASKED_TERMS))
+        first = asked.limit(ASKED_TERMS + 1).toArrow()  # all of it, unless there are several blocks
+        blocks = 1 if first.num_rows <= ASKED_TERMS else -(-asked.count() // ASKED_TERMS)
         n, average, shards = self.sizes(spark)
         out = None
         for b in range(blocks):
-            part = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else asked
+            part = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toArrow() if blocks > 1 else first
             own = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else queries
             scopes = {r["qid"]: r["visible"] or [] for r in own.select("qid", "visible").collect()} if "visible" in queries.columns else None
-            found = self._best(spark, part.toArrow(), scopes, eligible, k, n, average, shards, queries.schema["qid"].dataType.simpleString())
+            found = self._best(spark, part, scopes, eligible, k, n, average, shards, queries.schema["qid"].dataType.simpleString())
             out = found if out is None else out.unionByName(found)
         return out
 

@@ -33,6 +33,8 @@ OVERFETCH = 3
 #: Query vectors that are sent to the tasks at once.
 QUERY_BLOCK = 4096
 DEFAULT_LIMIT, MAX_LIMIT = 10, 100
+#: Rows of a side that is sent to every task.
+SENT_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -82,7 +84,7 @@ def bm25(index: Index, queries: DataFrame) -> DataFrame:
     return matching.join(weighed, "term").groupBy("qid", "id").agg(F.round(-F.sum(part), 9).alias("rank"))  # rounded: the order of a sum must not decide a tie
 
 
-def _small(rows: DataFrame, most: int = 200_000) -> bool:
+def _small(rows: DataFrame, most: int = SENT_ROWS) -> bool:
     """Whether a side has few enough rows to send to every task; counted, not guessed."""
     return rows.limit(most + 1).count() <= most
 
@@ -98,8 +100,9 @@ def keyword_candidates(rows: DataFrame, index: Index | pt.Index, queries: DataFr
     if isinstance(index, pt.Index):
         found = index.best(queries, rows.filter(keep).select("id", "created_at", *(["scope"] if own else [])), k)
         best = top(found, k, F.col("rank"), F.col("created_at"), F.col("id")).select("qid", F.col("id").alias("of"), "rank")
-        # A few rows a query: the texts are read for them alone.
-        best = rows.join(F.broadcast(best) if _small(best) else best, F.col("id") == F.col("of")).drop("of")
+        # At most k rows a query: the texts are read for them alone.
+        few = k * queries.count() <= SENT_ROWS
+        best = rows.join(F.broadcast(best) if few else best, F.col("id") == F.col("of")).drop("of")
     else:
         ranked = bm25(index, queries).join(rows.filter(keep), "id")
         if own:
