@@ -8,6 +8,8 @@ members, so the output grows with the members however large a group is.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -124,3 +126,75 @@ def similar_inside(members: DataFrame, percent: int, kind: type = np.uint64) ->
         return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_EDGES)
 
     return sent.groupBy("grp", "p", "q").applyInArrow(compare, "a long, b long")
+
+
+#: Members up to which groups are compared many at once.
+SMALL = 64
+
+
+def similar_rows(group: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i < j: the rows of one group each whose sets are similar; rows are in the order of their groups."""
+    n = len(sets)
+    size = np.fromiter(map(len, sets), np.int64, n)
+    value, owner = np.concatenate(sets) if n else np.zeros(0, np.uint64), np.repeat(np.arange(n), size)
+    order = np.lexsort((owner, value, group[owner]))
+    value, owner = value[order], owner[order]
+    # Each entry meets the later ones of its group and number.
+    last = np.concatenate(((value[1:] != value[:-1]) | (group[owner[1:]] != group[owner[:-1]]), [True])) if len(value) else np.zeros(0, bool)
+    ends = np.flatnonzero(last)
+    after = ends[np.searchsorted(ends, np.arange(len(value)))] - np.arange(len(value))
+    inside = np.arange(int(after.sum())) - np.repeat(np.cumsum(after) - after, after)
+    first = np.repeat(np.arange(len(value)), after)
+    code, both = np.unique(owner[first] * np.int64(n) + owner[first + 1 + inside], return_counts=True)
+    i, j = code // max(1, n), code % max(1, n)
+    good = 100 * both >= percent * (size[i] + size[j] - both)
+    return i[good], j[good]
+
+
+def similar_in_groups(members: DataFrame, percent: int, kind: type = np.uint64) -> DataFrame:
+    """similar_inside() for many groups of few members: a task takes them as they come, many at once."""
+    sent = in_blocks(members, "grp", F.octet_length("grams")).select("grp", "p", "q", "block", "id", "grams")
+    sent = sent.repartition("grp", "p", "q").sortWithinPartitions("grp", "p", "q", "id")
+
+    def edges(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        name = np.stack([rows.column(c).to_numpy() for c in ("grp", "p", "q")])
+        block, ids = rows.column("block").to_numpy(), rows.column("id").to_numpy()
+        sets = [np.frombuffer(g.as_buffer(), kind) for c in rows.column("grams").chunks for g in c]
+        cut = np.flatnonzero((name[:, 1:] != name[:, :-1]).any(axis=0)) + 1
+        begin = np.concatenate(([0], cut)).astype(np.int64)
+        count = np.diff(np.append(begin, len(ids)))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        few = np.flatnonzero((count > 1) & (count <= SMALL) & (name[1][begin] == name[2][begin]))
+        for part in np.split(few, np.flatnonzero(np.diff(np.cumsum(count[few] ** 2) // (1 << 14))) + 1):
+            at = np.repeat(begin[part] - (np.cumsum(count[part]) - count[part]), count[part]) + np.arange(int(count[part].sum()))
+            i, j = similar_rows(np.repeat(np.arange(len(part)), count[part]), [sets[x] for x in at.tolist()], percent)
+            found.append((at[i], at[j]))
+        for b, n in zip(begin.tolist(), count.tolist(), strict=True):
+            p, q = name[1][b], name[2][b]
+            if n > 1 and (n > SMALL or p != q):
+                x, y = (np.flatnonzero(block[b : b + n] == k) + b for k in (p, q))
+                both = intersections([sets[k] for k in x], [sets[k] for k in y])
+                size = np.array([len(s) for s in sets[b : b + n]], dtype=float)
+                i, j = np.nonzero((100 * both >= percent * (size[x - b][:, None] + size[y - b][None, :] - both)) & (both > 0))
+                found.append((x[i], y[j]))
+        i, j = (np.concatenate([np.zeros(0, np.int64), *f]) for f in (zip(*found, strict=True) if found else ([], [])))
+        kept = forest(len(ids), i, j)
+        a, b = ids[i[kept]], ids[j[kept]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_EDGES)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            name = np.stack([np.asarray(batch.column(i)) for i in range(3)])
+            end = np.flatnonzero((name != name[:, -1:]).any(axis=0))
+            if len(end):  # the last group may go on in the next batch
+                yield edges(pa.Table.from_batches([*held[:-1], batch.slice(0, end[-1] + 1)]))
+                held = [batch.slice(end[-1] + 1)]
+        if held:
+            yield edges(pa.Table.from_batches(held))
+
+    return sent.mapInArrow(compare, "a long, b long")

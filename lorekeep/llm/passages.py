@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import BROADCAST_IDS, checkpointed, discard, texts
-from .blocks import similar_inside
+from .blocks import similar_in_groups
 from .graph import components, looked_up
 from .minhash import mixed
 from .prefix import first_numbers
@@ -293,7 +293,7 @@ def rare_links(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     if not open_.seen["n"]:
         return edges
     members = open_.select("key", F.col("id").alias("name")).join(sets, "name").select(F.col("name").alias("id"), F.col("key").alias("grp"), "grams")
-    return edges.union(checkpointed(similar_inside(members, percent, np.uint32)).distinct())
+    return edges.union(checkpointed(similar_in_groups(members, percent, np.uint32)).distinct())
 
 
 _GROWN = pa.schema([("shard", pa.int32()), ("doc", pa.int32()), ("word", pa.int32()), ("n", pa.int32()), ("component", pa.int64())])
