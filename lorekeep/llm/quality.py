@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import learn
-from .base import checkpointed, pieces
+from .base import checkpointed, discard, pieces
 from .words import SPACED, Words
 
 SAMPLE = 4000
@@ -294,8 +294,10 @@ def judged(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dat
     rows = features(documents, columns)
     known = rows.join(F.broadcast(ids), rows["doc_id"] == ids["of_id"]).select(*rows.columns, "label")
     every = labels.select(F.col("doc_id").cast("long").alias("known_id")).filter(F.col("quality").isNotNull() & F.col("known_id").isNotNull()).distinct()
-    free = rows.filter("doc_id IS NOT NULL AND worded").join(every, F.col("doc_id") == F.col("known_id"), "left_anti")
-    return score(rows, train(known, free, len(learn.STATS) + len(columns)))
+    free = checkpointed(rows.filter("doc_id IS NOT NULL AND worded").join(every, F.col("doc_id") == F.col("known_id"), "left_anti"))
+    model = train(known, free, len(learn.STATS) + len(columns))
+    discard(free)
+    return score(rows, model)
 
 
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
