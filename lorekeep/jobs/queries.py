@@ -286,6 +286,19 @@ def event_by_id(spark: SparkSession, sf: str) -> DataFrame:
     return t.event_log(spark, sf).filter((F.col("session_id") == 3) & (F.col("created_at") == 0)).select("id", "role", "content")
 
 
+@query
+def preference_by_id(spark: SparkSession, sf: str) -> DataFrame:
+    """SC7: a preference by its id, superseded or not."""
+    return t.preferences(spark, sf).filter(F.col("id") == 7).select("id", "scope", "key", "statement")
+
+
+@query
+def embedding_by_memory(spark: SparkSession, sf: str) -> DataFrame:
+    """SC13: one memory's vectors of one model."""
+    rows = t.vectors(spark, sf).filter((F.col("model_id") == t.MODEL) & (F.col("memory_id") == 57))
+    return rows.select("memory_id", "model_id", F.posexplode("vector").alias("place", "x")).select("memory_id", "model_id", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
+
+
 @query
 def ordered_multi_get(spark: SparkSession, sf: str) -> DataFrame:
     """SC5: ids in request order, unknown ones left out."""
@@ -716,8 +729,9 @@ def prompt_contexts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def export_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """SK13, SC15, J-1: canonical JSON lines of two relations (floats are left out, as engines print them differently)."""
-    tables = {"memories": (t.memories(spark, sf).select("id", "scope", "subject", "kind", "status"), "id"), "events": (t.event_log(spark, sf).select("id", "session_id", "role"), "id")}
+    """SK13, SC15, J-1: canonical JSON lines of two relations, whole rows (the one float as text of four digits, as engines print floats differently)."""
+    memories = t.memories(spark, sf).withColumn("salience", F.format_string("%.4f", "salience"))
+    tables = {"memories": (memories, "id"), "events": (t.event_log(spark, sf), "id")}
     return export.json_lines(tables).select("table", "key", "line")
 
 

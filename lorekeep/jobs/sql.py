@@ -204,6 +204,8 @@ SQL = {
         UNION ALL SELECT rel_path, source, 2 + apart::INTEGER, '/Pref', 17 + o, 17 + o, 'Our preference: tone' || doc_id % 3 || ' = calm and clear from now on, in all texts', 'preference', 'tone' || doc_id % 3, 'calm and clear from now on, in all texts', doc_id FROM e
         UNION ALL SELECT rel_path, source, 3 + apart::INTEGER, '/State', 21 + o, 21 + o, 'The project state: p' || doc_id || ' = {{"phase": 2, "next": "the third phase"}}', 'project_state', 'p' || doc_id, '{{"phase": 2, "next": "the third phase"}}', doc_id FROM e)
       SELECT rel_path, ordinal::INTEGER AS ordinal, 'Doc ' || doc_id || sub AS heading, line_start::INTEGER AS line_start, line_end::INTEGER AS line_end, 'sha256:' || sha256(text) AS content_hash, route, 'project:' || source AS scope, key, value FROM c""",
+    "preference_by_id": f"WITH {P} SELECT id, scope, key, statement FROM prefs WHERE id = 7",
+    "embedding_by_memory": f"WITH {V} SELECT memory_id, model_id, unnest(range(len(vector)))::BIGINT AS place, round(unnest(vector), 6) AS x FROM vecs WHERE memory_id = 57",
     "memory_index": f"WITH {M} {frequencies('memories')}",
     "index_increments": f"WITH {CHANGED} {frequencies('memories')}",
     "keyword_recall_after_changes": f"WITH {CHANGED}, asked AS (SELECT item_id AS qid, text AS query FROM benchmark), {memory_hits('asked', 5, ACTIVE)} {best('m_hits', 5)}",
@@ -290,8 +292,9 @@ SQL = {
       UNION ALL SELECT 'memory', event_id, h.scope, 'semantic', sha256(body) FROM h LEFT JOIN held ON held.scope = h.scope AND held.form = {dup('body')} WHERE n = 0 AND length({dup('body')}) >= 4 AND held.form IS NULL
       UNION ALL SELECT 'preference', event_id, scope, 'tone' || turn, 'calm' FROM h WHERE n = 3
       UNION ALL SELECT 'project_state', event_id, 'project:p' || conv_id, 'p' || conv_id, '{{"turn": ' || turn || '}}' FROM h WHERE n = 6""",
-    "export_lines": f"""WITH {M}, {L} SELECT 'memories' AS "table", id::VARCHAR AS key, '{{"id":' || id || ',"kind":"' || kind || '","scope":"' || scope || '","status":"' || status || '","subject":"' || subject || '"}}' AS line FROM memories
-      UNION ALL SELECT 'events', id, '{{"id":"' || id || '","role":"' || role || '","session_id":' || session_id || '}}' FROM log""",
+    "export_lines": f"""WITH {M}, {L} SELECT 'memories' AS "table", id::VARCHAR AS key, '{{"content":' || coalesce(to_json(content)::VARCHAR, 'null') || ',"created_at":' || created_at || ',"id":' || id || ',"kind":"' || kind || '","salience":"' || printf('%.4f', salience) || '","scope":"' || scope || '","status":"' || status
+        || '","subject":"' || subject || '","tags":["' || tag || '"]}}' AS line FROM memories
+      UNION ALL SELECT 'events', id, '{{"content":' || coalesce(to_json(content)::VARCHAR, 'null') || ',"created_at":' || created_at || ',"id":"' || id || '","role":"' || role || '","session_id":' || session_id || '}}' FROM log""",
     "mirror_files": f"""WITH {M}, {P}, {S}, nowp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope, key ORDER BY created_at DESC, id DESC) AS v FROM prefs) WHERE v = 1),
       nows AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, scope ORDER BY created_at DESC, id DESC) AS v FROM states) WHERE v = 1),
       b AS (SELECT scope, 1 AS kind_no, id::VARCHAR AS id, '<!-- memory id=' || id || ' kind=' || kind || ' confidence=1.0 salience=0.5 created=' || created_at || ' scope=' || scope || ' -->' || chr(10) || coalesce(content, '') || chr(10) || chr(10) || 'tags: ' || tag || chr(10) || '<!-- /memory -->' || chr(10) AS block FROM memories WHERE status = 'active'
