@@ -447,7 +447,7 @@ def external_refs(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def glob_matches(spark: SparkSession, sf: str) -> DataFrame:
     """F8: document paths under globs."""
-    path = F.concat_ws("/", F.lit("Notes"), F.col("subject"), F.array_join("tags", "-"), F.concat(F.col("id").cast("string"), F.lit(".md")))
+    path = F.concat_ws("/", F.lit("Notes"), F.col("subject"), F.array_join("tags", "-"), F.concat(F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, ".md").otherwise(".TXT")))
     rows = t.memories(spark, sf).select("id", path.alias("path"))
     globs = {"not_md": "**/*.txt", "german": "notes/de/**", "teens": "1?.md", "digits": "Notes/*/src[1-3]/*"}
     return rows.select("id", *[tx.matches_glob(F.col("path"), g).alias(n) for n, g in globs.items()])

@@ -272,7 +272,7 @@ SQL = {
     "previews": rf"""WITH {M}, f AS (SELECT id, scope, trim(regexp_replace(coalesce(content, ''), '\s+', ' ', 'g')) AS flat FROM memories)
       SELECT id, replace(scope, ':', '-') AS slug, CASE WHEN length(flat) <= 120 THEN flat ELSE substr(flat, 1, 120) || '...' END AS preview FROM f""",
     "external_refs": f"WITH {M} SELECT id, 'obsidian:vault/' || subject || '/' || id || '.md' AS ref, subject || '/' || id || '.md' AS rel_path FROM memories",
-    "glob_matches": f"""WITH {M} SELECT id, false AS not_md, subject = 'de' AS german, id BETWEEN 10 AND 19 AS teens, tag IN ('src1', 'src2', 'src3') AS digits FROM memories""",
+    "glob_matches": f"""WITH {M} SELECT id, id % 2 = 1 AS not_md, subject = 'de' AS german, id BETWEEN 10 AND 19 AND id % 2 = 0 AS teens, tag IN ('src1', 'src2', 'src3') AS digits FROM memories""",
     "scope_mapping": "SELECT doc_id, CASE WHEN lang = 'de' THEN 'persona:' || source WHEN source = 'src1' THEN 'project:' || lang WHEN lang = 'fr' THEN 'global' WHEN doc_id < 10 THEN 'project:short' END AS scope FROM documents",
     "rule_extract": rf"""WITH {UTTERANCES}, h AS (SELECT *, regexp_replace(regexp_replace(head, '\A[：:,，、;；= \t\n\s]+', ''), '\s+\z', '') AS body FROM utt)
       SELECT id, CASE WHEN n = 0 THEN CASE WHEN body <> '' THEN 'memory' END WHEN n = 3 THEN 'preference' WHEN n = 6 THEN 'project_state' END AS target,

@@ -263,6 +263,12 @@ def formation_context(rows: DataFrame, utterances: DataFrame, limit: int, index:
     return found.filter(F.col("position") <= limit).select(F.col("qid").alias("id"), F.col("id").alias("memory_id"), F.col("position"))
 
 
+def context_ids(context: DataFrame) -> DataFrame:
+    """(id, context_ids) of formation_context(): what a model's response may name as superseded (candidates.parse). Lists are as short as the limit."""
+    listed = context.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("position", "memory_id"))).alias("l"))
+    return listed.select("id", F.col("l.memory_id").alias("context_ids"))
+
+
 def fuse(keyword: DataFrame, vector: DataFrame, limit: int, w: Weights = Weights(), k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of two ranked hit lists (with position); where one side is empty the other stays as it is."""
     both = keyword.withColumn("side", F.lit("keyword")).unionByName(vector.withColumn("side", F.lit("vector")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import vectors as vx
 from lorekeep.functions.visibility import resolve
-from lorekeep.operators import index, postings, quantiles, retrieval
+from lorekeep.operators import candidates, index, postings, quantiles, retrieval
 
 MEMORY = "id long, content string, scope string, subject string, tags array<string>, kind string, status string, salience double, created_at long"
 
@@ -33,6 +33,8 @@ def test_context_never_crosses_personas(spark, tmp_path):
         for r in retrieval.formation_context(rows, said, 5, used).collect():
             got.setdefault(r["id"], set()).add(r["memory_id"])
         assert got == want
+    shown = retrieval.context_ids(retrieval.formation_context(rows, said, 5, made)).filter("id = 10").withColumns({"scope": F.lit("persona:aria"), "raw": F.lit('{"memories": [{"operation": "supersede", "content": "tea no more", "supersedes_id": "1"}, {"operation": "supersede", "content": "x", "supersedes_id": "2"}]}')})
+    assert candidates.parse(shown).first()["error"] == "memories[1]: supersedes_id was not among the memories shown"
     assert {r["position"] for r in retrieval.formation_context(rows, said, 1, made).collect()} == {1} and retrieval.formation_context(rows, said, 0, made).count() == 0
 
     vectors = vx.hash_embeddings(rows.select("id", F.col("content").alias("text")), 16).select(F.col("id").alias("memory_id"), "vector")
