@@ -42,7 +42,7 @@ STEPS = 6
 #: A student rests for the round once its loss moves by no more than this share of it.
 SETTLED = 1e-6
 LEAST_CURVE = 0.02
-SALTS = 64
+SALTS = 16
 CONFIDENT = 0.97
 FOLDS = 5
 REJECT_AT_MOST = 0.005
@@ -121,10 +121,10 @@ class Student:
     of, weighted to count no more than the labelled rows, and half the square of its weights.
     """
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
-        self.model = learn.fit(x, y)
-        self.learns = bool(len(y)) and y.min() < y.max()
-        self.z, self.y = np.column_stack([(x - self.model.mean) / self.model.scale, np.ones(len(y))]), y
+    def __init__(self, x: np.ndarray, y: np.ndarray, rows: np.ndarray):
+        self.x, self.rows, self.y = x, rows, y[rows]  # the matrix is one for all versions
+        self.model = learn.fit(x[rows], self.y)
+        self.learns = bool(len(self.y)) and self.y.min() < self.y.max()
         self.w = np.append(self.model.weight, self.model.bias)
         self.best: tuple[float, np.ndarray, np.ndarray] | None = None  # loss, weights, step
         self.stride, self.done = 1.0, False
@@ -146,7 +146,8 @@ class Student:
         weight = min(1.0, len(self.y) / n) if n else 0.0
         gradient = np.append((xr - mean * residual) / scale, residual) * weight
         diagonal = np.append((xxd - 2 * mean * xd + mean * mean * curve) / scale**2, curve) * weight
-        logit = self.z @ self.w
+        z = np.column_stack([(self.x[self.rows] - mean) / scale, np.ones(len(self.y))])
+        logit = z @ self.w
         p = learn.sigmoid(logit)
         ridge = np.append(self.w[:-1], 0.0)
         total = weight * loss + float(np.logaddexp(0, logit).sum() - self.y @ logit) + 0.5 * float(ridge @ ridge)
@@ -155,9 +156,9 @@ class Student:
         if before is not None and total > before + 1e-9 * abs(before):
             self.stride /= 2  # too far: nearer to where it came from
         else:
-            gradient += self.z.T @ (p - self.y) + ridge
+            gradient += z.T @ (p - self.y) + ridge
             # The curvature of the labelled rows stands for the others' too, with their own on the diagonal.
-            curvature = (self.z.T * np.maximum(p * (1 - p), LEAST_CURVE)) @ self.z + np.diag(np.maximum(diagonal, 0) + np.append(np.ones(k), 1e-6))
+            curvature = (z.T * np.maximum(p * (1 - p), LEAST_CURVE)) @ z + np.diag(np.maximum(diagonal, 0) + np.append(np.ones(k), 1e-6))
             self.best, self.stride = (total, self.w, np.linalg.solve(curvature, gradient)), min(1.0, 2 * self.stride)
         self.w = self.best[1] - self.stride * self.best[2]
 
@@ -224,7 +225,7 @@ def co_trained(x: dict[str, np.ndarray], y: np.ndarray, fold: np.ndarray, look:
     fold f. look(sure, tried): the sums over all unlabelled documents for the teachers' and the tried weights.
     """
     versions = [np.ones(len(y), bool), *(fold != f for f in range(FOLDS))]
-    students = {v: [Student(x[v][m], y[m]) for m in versions] for v in x}
+    students = {v: [Student(x[v], y, m) for m in versions] for v in x}
     weights = lambda: {v: np.column_stack([s.raw(s.w) for s in own]) for v, own in students.items()}
     for _ in range(ROUNDS if students["text"][0].learns else 0):
         sure = weights()
