@@ -55,11 +55,19 @@ def duplicate_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
 
 
+def one_line_end(text: Column) -> Column:
+    """The text with line feeds alone as line ends."""
+    return F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text)
+
+
 def hash_form(text: Column) -> Column:
     """One kind of line end, no blanks at line ends, no blank lines at either edge."""
-    unified = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
-    stripped = F.regexp_replace(unified, r"[\s&&[^\n]]+(?=\n|\z)", "")
-    return F.regexp_replace(stripped, r"\A\n+|\n+\z", "")
+    text = F.coalesce(text, F.lit(""))
+    stripped = F.regexp_replace(one_line_end(text), r"[\s&&[^\n]]+(?=\n|\z)", "")
+    # Most texts are in this form already, which byte searches tell sooner than expressions.
+    blanks = " \t\x0b\x0c\r"
+    off = reduce(lambda a, b: a | b, [F.contains(text, F.lit("\r")), text.startswith("\n"), text.endswith("\n"), *[text.endswith(c) | F.contains(text, F.lit(f"{c}\n")) for c in blanks]])
+    return F.when(off, F.regexp_replace(stripped, r"\A\n+|\n+\z", "")).otherwise(text)
 
 
 def content_hash(text: Column) -> Column:

@@ -10,7 +10,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from ..functions import text as tx
 
 # Limits, markers, type names, reserved keys, scope map and inline patterns of the note format.
 MIN_CHARS, MAX_CHARS = 40, 2000
+#: Bytes of notes that a task cuts at once.
+CHUNKED_BYTES = 4 << 20
 MARKERS = ("记住：", "记住:", "记下：", "记下:", "别忘了：", "别忘了:", "remember:", "remember that", "> [!memory]")
 TYPES = {"preference": "preference", "pref": "preference", "project-state": "project_state", "project_state": "project_state", "projectstate": "project_state"}
 RESERVED = ("type", "scope", "persona", "project", "project_id", "title", "key", "value", "state", "tags")
@@ -162,7 +166,8 @@ def title_of(front_title: Column, body: Column, path: Column) -> Column:
 
 def parse(notes: DataFrame) -> DataFrame:
     """notes (rel_path, text) with title, front matter as JSON, and body; all of it Columns."""
-    clean = F.regexp_replace(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"\r\n?", "\n"), r"\A\x{FEFF}", "")
+    clean = tx.one_line_end(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    clean = F.when(clean.startswith("\ufeff"), F.regexp_replace(clean, r"\A\x{FEFF}", "")).otherwise(clean)
     split = notes.select(F.col("rel_path").cast("string").alias("rel_path"), clean.alias("clean"))
     has = F.col("clean").rlike(_BLOCK)
     split = split.select("rel_path", F.when(has, F.regexp_extract("clean", _BLOCK, 1)).otherwise("").alias("block"), F.when(has, F.regexp_replace("clean", _BLOCK, "")).otherwise(F.col("clean")).alias("body"))
@@ -179,15 +184,21 @@ def chunked(parsed: DataFrame, least: int = MIN_CHARS, most: int = MAX_CHARS) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, title, front, body, sha, declared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if declared:
-                    text = normal(body)
-                    own = [(0, [title], text, 1, text.count("\n") + 1)] if len(text) >= least else []
-                else:
-                    own = chunks(body, least, most)
-                rows += [(path, title, front, sha, *c) for c in own]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+            size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(3)), 0)).astype(np.int64))
+            cut = np.flatnonzero(np.diff(size // CHUNKED_BYTES, prepend=-1)).tolist()
+            for start, stop in zip(cut, [*cut[1:], batch.num_rows]):  # noqa: B905 - no rows, no part
+                yield part(batch.slice(start, stop - start))
+
+    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for path, title, front, body, sha, declared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if declared:
+                text = normal(body)
+                own = [(0, [title], text, 1, text.count("\n") + 1)] if len(text) >= least else []
+            else:
+                own = chunks(body, least, most)
+            rows += [(path, title, front, sha, *c) for c in own]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     declared = F.coalesce(F.lower(front("type")).isin(*TYPES), F.lit(False))
     return parsed.select("rel_path", "title", "front", "body", tx.content_hash(F.col("body")).alias("body_hash"), declared.alias("declared")).mapInArrow(run, _CHUNKED).withColumn("content_hash", tx.content_hash(F.col("text")))
@@ -227,18 +238,21 @@ def scope_of(path: Column, default: str = "global") -> Column:
 
 def route_of(text: Column) -> Column:
     """STRUCT<route, key, value> of a chunk without a declared type."""
-    state = F.regexp_extract(text, PROJECT_STATE, 2)
+    # Both forms need a sign, and a state needs a brace: without them no expression is tried.
+    signed = F.contains(text, F.lit("=")) | F.contains(text, F.lit("＝"))
+    state = F.when(signed & F.contains(text, F.lit("{")), F.regexp_extract(text, PROJECT_STATE, 2)).otherwise("")
     is_state = F.coalesce(F.schema_of_variant(F.try_parse_json(state)).startswith("OBJECT"), F.lit(False))
-    marked = F.lit(False)
-    for m in MARKERS:
-        marked = marked | (F.instr(F.lower(text), m) > 0)
+    marked = text.rlike("(?i)" + "|".join(re.escape(m) for m in MARKERS if m.isascii()))
+    for m in MARKERS:  # others have no case
+        marked = marked if m.isascii() else marked | F.contains(text, F.lit(m))
+
     def made(route: str, key: Column | None = None, value: Column | None = None) -> Column:
         none = F.lit(None).cast("string")
         return F.struct(F.lit(route).alias("route"), (none if key is None else key).alias("key"), (none if value is None else value).alias("value"))
 
     return (
         F.when(is_state, made("project_state", F.regexp_extract(text, PROJECT_STATE, 1), state))
-        .when(text.rlike(PREFERENCE), made("preference", F.regexp_extract(text, PREFERENCE, 1), F.regexp_extract(text, PREFERENCE, 2)))
+        .when(signed & text.rlike(PREFERENCE), made("preference", F.regexp_extract(text, PREFERENCE, 1), F.regexp_extract(text, PREFERENCE, 2)))
         .when(marked, made("declaration")).otherwise(made("knowledge"))
     )
 

@@ -1,9 +1,12 @@
 import json
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from lorekeep.functions import text as tx
 from lorekeep.functions import validation
 from lorekeep.functions.visibility import resolve
 from lorekeep.operators import candidates, export, formation, importing, index, ingest, retrieval, store, versions
@@ -295,3 +298,21 @@ def test_streaming_index(spark, tmp_path):
     write([(2, "two"), (3, "three")])
     run()
     assert sorted(r["memory_id"] for r in spark.read.parquet(str(tmp_path / "index")).collect()) == [1, 2, 3]
+
+
+def test_hash_form_and_routes_by_their_expressions(spark, monkeypatch):
+    """What is told by byte searches first equals what the expressions say of every text; notes are cut in small parts."""
+    rng = random.Random(3)
+    odd = ["", "\n", "\r", "a\r\nb \r", " \n a", "a\x0b\nb", "a\n\n", "\na", "a\x0c", "a b\tc", *["".join(rng.choice("a \n\r\t\x0b\x0c") for _ in range(rng.randrange(9))) for _ in range(200)]]
+    want = [re.sub(r"\A\n+|\n+\Z", "", re.sub(r"[ \t\x0b\x0c\r]+(?=\n|\Z)", "", re.sub(r"\r\n?", "\n", t))) for t in odd]
+    rows = spark.createDataFrame(list(enumerate(odd)), "i int, t string")
+    assert [r["h"] for r in rows.orderBy("i").select(tx.hash_form(F.col("t")).alias("h")).collect()] == want
+
+    said = {"REMEMBER: x": "declaration", "so 记下：x": "declaration", "> [!Memory] x": "declaration", "remember x": "knowledge", "Preference: a ＝ b": "preference", "PREFERENCE: a b": "knowledge", "project state: p = {\"a\": 1}": "project_state", "project state: p = [1]": "knowledge"}
+    rows = spark.createDataFrame([(t,) for t in said], "t string").select("t", ingest.route_of(F.col("t"))["route"].alias("r"))
+    assert {r["t"]: r["r"] for r in rows.collect()} == said
+
+    notes = ingest.parse(spark.createDataFrame([(f"{i}.md", f"# T\n\n{'word ' * 20}{i}") for i in range(30)], "rel_path string, text string").coalesce(1)).cache()
+    whole = sorted(ingest.chunked(notes).collect())
+    monkeypatch.setattr(ingest, "CHUNKED_BYTES", 250)
+    assert sorted(ingest.chunked(notes).collect()) == whole and len(whole) == 30
