@@ -6,6 +6,8 @@ import re
 import unicodedata
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ def _folding() -> tuple[str, str]:
 
 
 FOLD_FROM, FOLD_TO = _folding()
+_FOLDED = str.maketrans(FOLD_FROM, FOLD_TO)
 
 
 def fold(text: Column) -> Column:
@@ -31,6 +34,12 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(text), FOLD_FROM, FOLD_TO)
 
 
+def folded(tokens: pa.StringArray) -> pa.StringArray:
+    """Lower-case tokens of a batch without the diacritics of Latin letters, as fold() makes them."""
+    other = pc.invert(pc.string_is_ascii(tokens))
+    return pc.replace_with_mask(tokens, other, pa.array([t.translate(_FOLDED) for t in tokens.filter(other).to_pylist()], tokens.type))
+
+
 def units(text: Column) -> Column:
     """The tokens of a text in order, duplicates kept, diacritics kept."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))

@@ -1,5 +1,6 @@
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,6 +27,13 @@ def test_folding_matches_terms_but_not_phrases(spark):
     assert one(spark, tx.search_form(F.col("c0")), "Café") == "café"
 
 
+def test_tokens_fold_in_a_batch_as_in_a_column(spark):
+    said = ["Café É ÀÉÎ x1", "ǅ ß İ ñandú Ωmega", "本地 abc", "", None]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "id long, s string")
+    for r in rows.select(tx.units(F.col("s")).alias("u"), tx.index_terms(F.col("s")).alias("t")).collect():
+        assert tx.folded(pa.array(r["u"], pa.string())).to_pylist() == r["t"]
+
+
 @pytest.mark.parametrize(
     "path, pattern, match",
     [

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.functions.visibility import resolve
+from lorekeep.jobs import queries
 from lorekeep.operators import postings, retrieval, store
 
 ROW = "id long, body string"
@@ -164,3 +165,35 @@ def test_index_of_nothing(spark, tmp_path):
     assert hits(none, asked(spark, "a"), index) == []
     index.extend(spark, "all", none, retrieval.MEMORY_FIELDS)
     assert hits(none, asked(spark, "a"), index) == [] and index.sizes(spark)[0] == 0
+
+
+# -- frequencies ---------------------------------------------------------------
+
+FIELDS = (("content", 1.0), ("subject", 0.5))
+
+
+def texts(spark, *rows):
+    return spark.createDataFrame(list(rows), "id long, content string, subject string")
+
+
+def frequencies(rows):
+    return {r["term"]: (r["df"], r["total"]) for r in postings.frequencies(rows, FIELDS).collect()}
+
+
+@pytest.mark.parametrize("sent", [200_000, 0])
+@pytest.mark.parametrize("words", [2_000_000, 2])
+def test_frequencies_count_ids_however_many_rows_they_have(spark, monkeypatch, sent, words):
+    monkeypatch.setattr(postings, "SENT_IDS", sent)
+    monkeypatch.setattr(postings, "COUNTED_WORDS", words)
+    rows = texts(spark, (1, "Café cafe x x", "x"), (2, "x", None), (3, None, "y"), (4, "", ""), (5, "a b", "x"), (5, "a", "x"), (5, "a b", "x"), (None, "x only", "y"), (None, "x", None))
+    want = {"cafe": (1, 2.0), "x": (3, 7.0), "y": (1, 1.0), "a": (1, 3.0), "b": (1, 2.0), "only": (0, 1.0)}
+    assert frequencies(rows) == want and frequencies(rows.limit(0)) == {}
+
+
+def test_frequencies_shuffle_counts_instead_of_the_terms_of_documents(spark, tmp_path, monkeypatch):
+    texts(spark, *[(i, "common words of all " * 20, "en") for i in range(400)]).write.parquet(str(tmp_path / "rows"))
+    monkeypatch.setattr(queries.t, "memories", lambda spark, sf: spark.read.parquet(sf))
+    found = queries.document_frequencies(spark, str(tmp_path / "rows"))
+    assert {r["term"]: (r["df"], r["total"]) for r in found.collect()}["common"] == (400, 8000.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" in plan and "hashpartitioning(id" not in plan
