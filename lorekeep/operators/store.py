@@ -21,6 +21,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
+
 COMMITS, PINS = "_commits", "_pins"
 _FOLDER = "struct<relation:string,folder:string,seq:bigint>"
 _COMMIT = f"seq long, batch string, adds array<{_FOLDER}>, drops array<{_FOLDER}>"
@@ -138,7 +140,8 @@ def append(spark: SparkSession, root: str, batch: str, relations: Mapping[str, D
     folder = uuid.uuid4().hex
     for name, rows in relations.items():
         writer = rows.write.partitionBy(*partition[name]) if partition and name in partition else rows.write
-        writer.parquet(f"{root}/{name}/batch={folder}")
+        with scratch.released(spark):
+            writer.parquet(f"{root}/{name}/batch={folder}")
     done = _commit(spark, root, batch, lambda seq: {"adds": [{"relation": n, "folder": folder, "seq": seq} for n in relations], "drops": []}, since)
     if not done:
         for name in relations:

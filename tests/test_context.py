@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import vectors as vx
 from lorekeep.functions.visibility import resolve
-from lorekeep.operators import candidates, index, postings, quantiles, retrieval
+from lorekeep.operators import candidates, index, postings, quantiles, retrieval, scratch, store
 
 MEMORY = "id long, content string, scope string, subject string, tags array<string>, kind string, status string, salience double, created_at long"
 
@@ -138,3 +138,44 @@ def test_context_of_many_scopes_against_brute_force(spark, tmp_path, monkeypatch
         m.setattr(type(rows), "toArrow", lambda self: pytest.fail("queries are collected"))
         got = retrieval.formation_context(rows, said, 2, made)
     assert got.orderBy("id", "position").collect() == want and len(want) > 25
+
+
+def test_scoped_queries_in_rounds_leave_no_shuffle_files(spark, tmp_path, monkeypatch):
+    """Each query's best over rounds, parts and lanes, phrases too, are those of the index-free sum; what a round shuffled is gone with it, and only results stay in the shared folder."""
+    for name, value in (("PART_DOCS", 100), ("ROUND_BYTES", 1), ("ROUND_QUERIES", 30), ("LANE", 4), ("RUN_BYTES", 3000), ("CELLS", 1000)):
+        monkeypatch.setattr(postings, name, value, raising=False)
+    rng = random.Random(11)
+    words = [rng.choice(("été", "Été", "ete", "茶", "x")) + f"{i:x}" for i in range(400)]
+    text = lambda n: " ".join(words[int(400 * rng.random() ** 3)] for _ in range(n))
+    texts = [text(rng.randrange(120)) for _ in range(600)]
+    rows = memories(spark, *[(i, t, f"persona:{i % 2}" if i % 4 else "global", "deleted" if i % 9 == 0 else "active") for i, t in enumerate(texts)])
+    # Some are said as a memory has it, with half a word at either end.
+    said = spark.createDataFrame([(i, texts[5 * i][2:19] if i % 2 else text(6), f"persona:{i % 3}") for i in range(90)], "id long, text string, scope string")
+    made = postings.Index(str(tmp_path / "i"))
+    made.extend(spark, "all", retrieval.indexed_memories(rows), retrieval.MEMORY_FIELDS)
+    asked = said.select(F.col("id").alias("qid"), F.col("text").alias("query"), F.array(F.lit("global"), F.col("scope")).alias("visible"))
+    want = {(r["qid"], r["id"]): (r["matched_on"], round(r["score"], 6)) for r in retrieval.memory_keyword(rows, asked, 2, None).collect()}
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName(): files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    shared = []
+    folder = scratch.shared_folder
+    monkeypatch.setattr(scratch, "shared_folder", lambda spark, name="work": shared.append((name, folder(spark, name))) or shared[-1][1])
+    before = shuffled()
+    found = retrieval.memory_keyword(rows, asked, 2, None, index=made)
+    assert sum(n for name, n in shuffled().items() if name not in before) < 10_000 < sum(map(len, texts))
+    kept = [name for name, at in shared if store.exists(spark, at)]
+    assert set(kept) == {"best"} and len(kept) > 2
+    assert {(r["qid"], r["id"]): (r["matched_on"], round(r["score"], 6)) for r in found.collect()} == want
+    assert {m for m, _ in want.values()} == {"phrase", "fts"} and len(want) > 300
+
+
+def test_scoped_queries_find_indexed_memories_alone(spark, tmp_path):
+    rows = memories(spark, (1, "tea", "global", "active"), (2, "tea pot", "global", "active"), (3, "tea cup", "global", "active"), (4, "", "global", "active"), (5, None, "global", "active"))
+    made = postings.Index(str(tmp_path / "i"))
+    made.extend(spark, "all", retrieval.indexed_memories(rows.filter("id <> 3")), retrieval.MEMORY_FIELDS)
+    made.drop(spark, "gone", rows.filter("id = 2").select("id"))
+    said = spark.createDataFrame([(7, "tea, unheard", "global"), (8, "!", "global")], "id long, text string, scope string")
+    assert [(r["id"], r["memory_id"]) for r in retrieval.formation_context(rows, said, 5, made).collect()] == [(7, "1")]
